@@ -66,18 +66,25 @@ def first_producer(jobs: DataFrame) -> DataFrame:
     ).select("destination", "j.*")
 
 
-def resolve(wanted: DataFrame, jobs: DataFrame, prefer: str = "name") -> DataFrame:
+def resolve(wanted: DataFrame, jobs: DataFrame, prefer: str = "name", hot_tables: DataFrame | None = None) -> DataFrame:
     """Every declared upstream with the job it means, or unresolved.
 
     ``prefer`` is the match tried first: ``name`` for whole registries, ``destination`` for a single job.
+    ``hot_tables`` are the tables a very large number of jobs read (``skew.hot_keys``).
     """
-    by_name = jobs.selectExpr("project AS upstream_project", "name AS upstream_job", "struct(project, name, namespace, destination) AS by_name")
-    by_dest = first_producer(jobs).selectExpr("destination AS resource", "struct(project, name, namespace, destination) AS by_destination")
-    # Rows without a key cannot match; they take no part in the join that would gather them.
-    named, unnamed = wanted.where("upstream_job IS NOT NULL"), wanted.where("upstream_job IS NULL")
-    step = skew.join_many_to_one(named, by_name, ["upstream_project", "upstream_job"], "left").unionByName(unnamed, allowMissingColumns=True)
-    tabled, untabled = step.where("resource IS NOT NULL"), step.where("resource IS NULL")
-    step = skew.join_many_to_one(tabled, by_dest, ["resource"], "left").unionByName(untabled, allowMissingColumns=True)
+    by_name = jobs.selectExpr("project AS __project", "name AS __name", "struct(project, name, namespace, destination) AS by_name")
+    by_dest = first_producer(jobs).selectExpr("destination AS __table", "struct(project, name, namespace, destination) AS by_destination")
+    step = wanted.withColumns(
+        {
+            "__project": F.coalesce("upstream_project", F.lit("")),
+            "__name": skew.or_nowhere("upstream_job", "job_id", "resource"),
+            "__table": skew.or_nowhere("resource", "job_id", "upstream_job"),
+        }
+    )
+    if hot_tables is not None:
+        hot_tables = hot_tables.withColumnRenamed("resource", "__table")
+    step = skew.join_many_to_one(step, by_dest, ["__table"], "left", hot_tables)
+    step = skew.join_many_to_one(step, by_name, ["__project", "__name"], "left")
     order = ("by_name", "by_destination") if prefer == "name" else ("by_destination", "by_name")
     return step.withColumn("hit", F.coalesce(*order)).selectExpr(
         "job_id",
@@ -106,7 +113,8 @@ def deduplicate(edges: DataFrame) -> DataFrame:
 
 
 def bulk_resolve(jobs: DataFrame, sources: DataFrame, static: DataFrame, prefer: str = "name") -> DataFrame:
-    return deduplicate(resolve(declared(jobs, sources, static), jobs, prefer))
+    hot = skew.hot_keys(sources.selectExpr("source AS resource"), ["resource"])
+    return deduplicate(resolve(declared(jobs, sources, static), jobs, prefer, hot))
 
 
 def resolve_elsewhere(edges: DataFrame, registries: dict[str, DataFrame]) -> DataFrame:
@@ -118,18 +126,28 @@ def resolve_elsewhere(edges: DataFrame, registries: dict[str, DataFrame]) -> Dat
     for host, jobs in registries.items():
         part = jobs.selectExpr("project", "name", "namespace", "destination", f"'{host}' AS host")
         other = part if other is None else other.unionByName(part)
-    open_ = edges.where("state = 'unresolved'").drop("state", "external")
-    by_name = other.selectExpr("project AS upstream_project", "name AS upstream_job", "namespace AS x_namespace", "destination AS x_resource", "host")
-    by_dest = other.selectExpr("destination AS resource", "project AS x_project", "name AS x_job", "namespace AS x_namespace", "host")
-    static = skew.join_many_to_one(open_.where("type = 'static'"), by_name, ["upstream_project", "upstream_job"], "left").selectExpr(
-        "job_id", "upstream_project", "upstream_job", "x_namespace AS upstream_namespace", "coalesce(x_resource, resource) AS resource", "type",
-        "IF(host IS NULL, 'unresolved', 'resolved') AS state", "host IS NOT NULL AS external", "host",
-    )
-    inferred = skew.join_many_to_one(open_.where("type = 'inferred'"), by_dest, ["resource"], "left").selectExpr(
-        "job_id", "x_project AS upstream_project", "x_job AS upstream_job", "x_namespace AS upstream_namespace", "resource", "type",
-        "IF(host IS NULL, 'unresolved', 'resolved') AS state", "host IS NOT NULL AS external", "host",
-    )
-    return static.unionByName(inferred)
+    by_name = other.selectExpr("project AS __project", "name AS __name", "struct(project, name, namespace, destination, host) AS by_name")
+    by_dest = other.selectExpr("destination AS __table", "struct(project, name, namespace, destination, host) AS by_table")
+    open_ = edges.where("state = 'unresolved'").withColumns(
+        {
+            "__project": F.when(F.col("type") == "static", F.col("upstream_project")).otherwise(F.lit("")),
+            "__name": F.when(F.col("type") == "static", F.col("upstream_job")),
+            "__table": F.when(F.col("type") == "inferred", F.col("resource")),
+        }
+    )
+    open_ = open_.withColumns({"__name": skew.or_nowhere("__name", "job_id", "resource"), "__table": skew.or_nowhere("__table", "job_id", "upstream_job")})
+    step = open_.join(by_name, ["__project", "__name"], "left").join(by_dest, "__table", "left")
+    return step.withColumn("hit", F.coalesce("by_name", "by_table")).selectExpr(
+        "job_id",
+        "coalesce(hit.project, upstream_project) AS upstream_project",
+        "coalesce(hit.name, upstream_job) AS upstream_job",
+        "hit.namespace AS upstream_namespace",
+        "coalesce(hit.destination, resource) AS resource",
+        "type",
+        "IF(hit IS NULL, 'unresolved', 'resolved') AS state",
+        "hit IS NOT NULL AS external",
+        "hit.host AS host",
+    )
 
 
 def unresolved_errors(edges: DataFrame) -> DataFrame:

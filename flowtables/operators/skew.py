@@ -2,7 +2,7 @@
 
 * ``running_sums`` / ``previous_value`` / ``sums_at`` replace a window over a whole key by a
   window over (key, time bin) plus a carry from the earlier bins of the key.
-* ``join_many_to_one`` salts only the keys that are really hot.
+* ``join_many_to_one`` can salt just the keys that are really hot.
 * ``first_rows`` relies on Spark's group limit, which trims each key before the shuffle.
 """
 
@@ -85,33 +85,39 @@ def sums_at(
     )
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``rows`` rows: a map-side combined count that returns at most total / rows keys.
+
+    Take it from the stored table a join starts from, not from a long plan.
+    """
+    return df.groupBy(*keys).count().where(F.col("count") > rows).select(*keys, F.lit(True).alias("__hot"))
+
+
 def join_many_to_one(
-    many: DataFrame, one: DataFrame, keys: Sequence[str], how: str = "inner", hot_rows: int = HOT_ROWS, salts: int = SALTS
+    many: DataFrame, one: DataFrame, keys: Sequence[str], how: str = "inner", hot: DataFrame | None = None, salts: int = SALTS
 ) -> DataFrame:
-    """Equi-join whose left side may hold very hot keys.
+    """Equi-join whose left side repeats keys.
 
-    Keys with more than ``hot_rows`` left rows (found by a map-side combined count, at most
-    rows / hot_rows of them) are spread over ``salts`` partitions and only their right rows are
-    copied. Other keys are joined as usual.
+    Without ``hot`` the plan is left to Spark, which splits skewed partitions at run time (see
+    ``session.SETTINGS``). With ``hot`` (see ``hot_keys``) the rows of those keys are spread over
+    ``salts`` partitions beforehand and only their right rows are copied.
     """
     keys = list(keys)
+    if hot is None:
+        return many.join(one, keys, how)
     spread_by = [f.name for f in many.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    hot = many.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys, F.lit(True).alias("__hot"))
-    spread = (
-        many.join(hot, keys, "left")
-        .withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
-        .drop("__hot")
-    )
-    copied = (
-        one.join(hot, keys, "left")
-        .withColumn(
-            "__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-        )
-        .drop("__hot")
-    )
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    spread = many.join(hot, keys, "left").withColumn("__salt", salt).drop("__hot")
+    copied = one.join(hot, keys, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
     return spread.join(copied, [*keys, "__salt"], how).drop("__salt")
 
 
+def or_nowhere(column: str, *spread_by: str) -> Column:
+    """A string key; NULLs become many values that match nothing, so they do not meet in one task."""
+    return F.coalesce(F.col(column), F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*spread_by), F.lit(4096)).cast("string")))
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows per key; the optimizer trims every key before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -18,7 +18,7 @@ def query(name: str, oracle: str | None = None):
 
     def enter(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            session.pin_utc(spark)
+            session.prepare(spark)
             return session.zoneless(fn(Tables(spark, sf_dir)))
 
         run.__name__ = name
