@@ -143,7 +143,8 @@ def explode_schedule(df: DataFrame, expr: str, start: str, end: str, into: str =
     """One row per schedule time in the closed range [start, end]; a narrow operation, nothing is shuffled."""
     names = df.columns
     step = with_plan(df.selectExpr("*", f"CAST({start} AS TIMESTAMP) AS __lo", f"CAST({end} AS TIMESTAMP) AS __hi"), expr, "__plan")
-    days = step.where("__plan IS NOT NULL AND __lo <= __hi").selectExpr("*", "explode(sequence(CAST(__lo AS DATE), CAST(__hi AS DATE))) AS __day")
-    ticks = days.where(day_matches("__plan", "__day")).selectExpr("*", "explode(__plan.ticks) AS __tick")
+    # Filters only on generated columns: one on the plan itself would be pushed below its parsing and repeat it.
+    days = step.where("__lo <= __hi").selectExpr("*", "explode_outer(sequence(CAST(__lo AS DATE), CAST(__hi AS DATE))) AS __day")
+    ticks = days.where(day_matches("__plan", "__day")).selectExpr("*", "explode_outer(__plan.ticks) AS __tick")
     times = ticks.selectExpr(*names, "__lo", "__hi", f"{_at('__day', '__tick')} AS {into}")
     return times.where(f"{into} BETWEEN __lo AND __hi").select(*names, into)

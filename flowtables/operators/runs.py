@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowtables import session
 from flowtables.functions import cron, windows
 from flowtables.operators import skew
 
@@ -101,6 +102,8 @@ def readiness(runs: DataFrame, edges: DataFrame, jobs: DataFrame, actual: DataFr
     step = windows.with_bounds(step, "last_upstream", "w_version", "lo", "hi")
     step = step.selectExpr("*", f"{cron.next_time('plan', 'lo')} AS first_needed")
     sensors = step.selectExpr(*RUN, "upstream_id", "lo", "hi", "hi IS NULL OR first_needed < up_start OR hi < up_start AS refused")
+    # Read four times below, and its bounds are join keys: computed once and stored.
+    sensors = session.cut_lineage(sensors)
 
     ranges = sensors.where("NOT refused").select("upstream_id", "lo", "hi").distinct()
     spans = ranges.groupBy("upstream_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
