@@ -17,13 +17,22 @@ OPERATOR = [*RUN, "operator_type", "operator_name"]
 ORDER = ["event_time", "event_id"]
 
 _TYPE = "IF(type RLIKE '^(task|hook|sensor)_', split_part(type, '_', 1), 'job')"
-_ORD = F.struct(*ORDER)
-_IS_START = F.endswith(F.col("type"), F.lit("_start"))
-_IS_JOB = F.col("type").isin("job_success", "failure")
 _STATUS = "CASE WHEN type IN ('job_success') OR endswith(type, '_success') THEN 'success' WHEN endswith(type, '_retry') THEN 'retried' ELSE 'failed' END"
 _BEGINS = "IF(operator_type = 'sensor', 'wait_upstream', 'in_progress')"
 
 
+def _order() -> Column:
+    return F.struct(*ORDER)
+
+
+def _is_start() -> Column:
+    return F.endswith(F.col("type"), F.lit("_start"))
+
+
+def _is_job() -> Column:
+    return F.col("type").isin("job_success", "failure")
+
+
 def keyed(events: DataFrame) -> DataFrame:
     """Events with operator_type (job for events of the run itself) and a name for every operator."""
     typed = events.withColumns({"operator_type": F.expr(_TYPE), "ended_as": F.expr(_STATUS)})
@@ -33,9 +42,9 @@ def keyed(events: DataFrame) -> DataFrame:
 def partial_aggregates() -> list[Column]:
     """Per run and operator: last start, first event, last outcome of the run, SLA flag, first time."""
     return [
-        F.max(F.when(_IS_START, _ORD)).alias("last_start"),
-        F.min(_ORD).alias("first_event"),
-        F.max(F.when(_IS_JOB, F.struct(*ORDER, "ended_as"))).alias("last_outcome"),
+        F.max(F.when(_is_start(), _order())).alias("last_start"),
+        F.min(_order()).alias("first_event"),
+        F.max(F.when(_is_job(), F.struct(*ORDER, "ended_as"))).alias("last_outcome"),
         F.max(F.col("type") == "sla_miss").alias("sla_missed"),
     ]
 
@@ -98,8 +107,8 @@ def operator_runs(events: DataFrame) -> DataFrame:
     """
     ops = keyed(events).where("operator_type <> 'job'")
     hour = F.date_trunc("hour", "event_time")
-    numbered = skew.running_sums(ops, OPERATOR, ORDER, {"attempt": F.when(_IS_START, 1).otherwise(0)}, hour)
-    ended = F.when(~_IS_START, F.struct(*ORDER, "ended_as"))
+    numbered = skew.running_sums(ops, OPERATOR, ORDER, {"attempt": F.when(_is_start(), 1).otherwise(0)}, hour)
+    ended = F.when(~_is_start(), F.struct(*ORDER, "ended_as"))
     per_attempt = numbered.groupBy(*OPERATOR, "attempt").agg(F.min("event_time").alias("start_time"), F.max(ended).alias("e"))
     return per_attempt.select(
         *OPERATOR,
@@ -139,7 +148,7 @@ def sla_flags(runs: DataFrame, sla_events: DataFrame) -> DataFrame:
 
 def registrations(events: DataFrame) -> DataFrame:
     """Each run registered once, by its first event."""
-    return events.groupBy(*RUN).agg(F.min(_ORD).alias("first")).select(
+    return events.groupBy(*RUN).agg(F.min(_order()).alias("first")).select(
         *RUN, F.col("first.event_time").alias("registered_at"), F.col("first.event_id").alias("event_id")
     )
 
@@ -148,15 +157,15 @@ def first_sensor_starts(events: DataFrame) -> DataFrame:
     """Only the first poke of a sensor's attempt: later starts without an outcome in between do not count."""
     sensors = keyed(events).where("operator_type = 'sensor'")
     before = skew.previous_value(sensors, OPERATOR, ORDER, F.col("type"), "before", F.date_trunc("hour", "event_time"))
-    return before.where(_IS_START & (F.col("before").isNull() | ~F.endswith(F.col("before"), F.lit("_start")))).select(*OPERATOR, *ORDER)
+    return before.where(_is_start() & (F.col("before").isNull() | ~F.endswith(F.col("before"), F.lit("_start")))).select(*OPERATOR, *ORDER)
 
 
 def state_changes(events: DataFrame) -> DataFrame:
     """Events that change a run's state, with the new state; repeats of the same state are left out."""
-    opening = keyed(events).groupBy(*OPERATOR).agg(F.min(_ORD).alias("first")).where("operator_type <> 'job'")
+    opening = keyed(events).groupBy(*OPERATOR).agg(F.min(_order()).alias("first")).where("operator_type <> 'job'")
     opening = opening.select(*RUN, F.col("first.event_id").alias("event_id"), F.lit(True).alias("opens")).distinct()
-    steps = keyed(events).join(opening, [*RUN, "event_id"], "left").where(_IS_JOB | _IS_START | F.col("opens"))
-    steps = steps.withColumn("state", F.when(_IS_JOB, F.col("ended_as")).otherwise(F.expr(_BEGINS)))
+    steps = keyed(events).join(opening, [*RUN, "event_id"], "left").where(_is_job() | _is_start() | F.col("opens"))
+    steps = steps.withColumn("state", F.when(_is_job(), F.col("ended_as")).otherwise(F.expr(_BEGINS)))
     changed = skew.previous_value(steps.select(*RUN, *ORDER, "state"), RUN, ORDER, F.col("state"), "before", F.date_trunc("hour", "event_time"))
     return changed.where("before IS NULL OR before <> state").select(*RUN, *ORDER, "state")
 

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from flowtables.queries.registry import ORACLES, QUERIES
 
-for _module in ("time", "text", "registry_queries", "lineage", "runs", "replays", "graphs", "events", "tables", "loading", "metrics"):
+for _module in ("time", "text", "registry_queries", "lineage", "runs", "replays", "graphs", "events", "tables", "loading"):
     try:
         import_module(f"flowtables.queries.{_module}")
     except ModuleNotFoundError as missing:

@@ -154,7 +154,7 @@ def alert_truncate(t):
 @query(
     "change_event_json",
     f"""WITH {_CHANGES} SELECT event_id, concat('{{"event_id":"', event_id, '","occurred_at":"', strftime(event_time, '%Y-%m-%dT%H:%M:%S.%gZ'), '","project":"', project,
-  '","event_type":"job_', state, '","payload":{{"job_id":', job_id, ',"scheduled_at":"', strftime(scheduled_at, '%Y-%m-%dT%H:%M:%S.%gZ'), '"}}}}') AS value FROM c WHERE before IS NULL OR before <> state""".replace("{{", "{").replace("}}", "}"),
+  '","event_type":"job_', state, '","payload":{{"job_id":', job_id, ',"scheduled_at":"', strftime(scheduled_at, '%Y-%m-%dT%H:%M:%S.%gZ'), '"}}}}') AS value FROM c WHERE before IS NULL OR before <> state""",
 )
 def change_event_json(t):
     changes = E.state_changes(t.run_events_v)
