@@ -1,4 +1,5 @@
 """Five-field cron expressions evaluated row by row. Arguments are SQL expressions.
+Lambda variables start with two underscores, so that they never hide a column.
 
 No calendar table is joined: the next, previous or full set of schedule times follows from
 the expression and the time in the row, so nothing is shuffled and no expression is hot.
@@ -51,13 +52,13 @@ def _number(token: str, names: list[str], base: int) -> str:
 
 def _parts(text: str, low: int, high: int, names: list[str], base: int) -> str:
     """SQL for the comma-separated parts of a field as (first, last, step, unrestricted)."""
-    span, star = "split_part(p, '/', 1)", "split_part(p, '/', 1) IN ('*', '?')"
-    stepped, ranged = "instr(p, '/') > 0", "instr(split_part(p, '/', 1), '-') > 0"
-    step = f"IF({stepped}, {_number("split_part(p, '/', 2)", [], 0)}, 1)"
+    span, star = "split_part(__p, '/', 1)", "split_part(__p, '/', 1) IN ('*', '?')"
+    stepped, ranged = "instr(__p, '/') > 0", "instr(split_part(__p, '/', 1), '-') > 0"
+    step = f"IF({stepped}, {_number("split_part(__p, '/', 2)", [], 0)}, 1)"
     first = _number(f"split_part({span}, '-', 1)", names, base)
     last = _number(f"split_part({span}, '-', 2)", names, base)
     return (
-        f"transform(split({text}, ','), p -> named_struct('a', IF({star}, {low}, {first}), 'b', CASE WHEN {star} THEN {high} "
+        f"transform(split({text}, ','), __p -> named_struct('a', IF({star}, {low}, {first}), 'b', CASE WHEN {star} THEN {high} "
         f"WHEN {ranged} THEN {last} WHEN {stepped} THEN {high} ELSE {first} END, 'n', {step}, "
         f"'star', {star} AND {step} = 1))"
     )
@@ -71,20 +72,20 @@ def with_plan(df: DataFrame, expr: str, into: str = "plan") -> DataFrame:
     step = df.selectExpr("*", rf"split(trim({normalize(expr)}), r'\s+') AS __f")
     step = step.selectExpr("*", *[f"{_parts(f"coalesce(get(__f, {i}), '')", *spec)} AS __p_{n}" for i, (n, spec) in enumerate(_FIELDS.items())])
     checks = [
-        f"forall(__p_{n}, p -> coalesce(p.a >= {low} AND p.b <= {high} AND p.a <= p.b AND p.n >= 1, false))"
+        f"forall(__p_{n}, __p -> coalesce(__p.a >= {low} AND __p.b <= {high} AND __p.a <= __p.b AND __p.n >= 1, false))"
         for n, (low, high, _, _) in _FIELDS.items()
     ]
     allowed = [
-        f"filter(sequence({low}, {high}), x -> exists(__p_{n}, p -> x >= p.a AND x <= p.b AND (x - p.a) % nullif(p.n, 0) = 0)) AS __a_{n}"
+        f"filter(sequence({low}, {high}), __x -> exists(__p_{n}, __p -> __x >= __p.a AND __x <= __p.b AND (__x - __p.a) % nullif(__p.n, 0) = 0)) AS __a_{n}"
         for n, (low, high, _, _) in _FIELDS.items()
     ]
     step = step.selectExpr(
         "*",
         f"size(__f) = 5 AND {' AND '.join(checks)} AS __ok",
-        "exists(__p_days, p -> p.star) OR exists(__p_weekdays, p -> p.star) AS __both",
+        "exists(__p_days, __p -> __p.star) OR exists(__p_weekdays, __p -> __p.star) AS __both",
         *allowed,
     )
-    ticks = "flatten(transform(__a_hours, h -> transform(__a_minutes, m -> h * 60 + m)))"
+    ticks = "flatten(transform(__a_hours, __h -> transform(__a_minutes, __m -> __h * 60 + __m)))"
     fields = f"'ticks', {ticks}, 'days', __a_days, 'months', __a_months, 'weekdays', __a_weekdays, 'both', __both"
     return step.selectExpr(*df.columns, f"IF(__ok, named_struct({fields}), NULL) AS {into}")
 
@@ -115,14 +116,14 @@ def _clock(ts: str) -> str:
 
 
 def matches(plan: str, ts: str) -> str:
-    return f"({day_matches(plan, ts)} AND exists({plan}.ticks, t -> t * 60000000L = {_clock(ts)}))"
+    return f"({day_matches(plan, ts)} AND exists({plan}.ticks, __t -> __t * 60000000L = {_clock(ts)}))"
 
 
 def _step(plan: str, ts: str, order: str, pick: int, move: str) -> str:
     """The nearest schedule time on one side of ``ts``: on its own day, else on the nearest matching day."""
-    same_day = f"try_element_at(filter({plan}.ticks, t -> t * 60000000L {order} {_clock(ts)}), {pick})"
+    same_day = f"try_element_at(filter({plan}.ticks, __t -> __t * 60000000L {order} {_clock(ts)}), {pick})"
     days = [
-        f"try_element_at(filter(transform(sequence({near}, {far - 1}), n -> {move}(CAST({ts} AS DATE), n)), d -> {day_matches(plan, 'd')}), 1)"
+        f"try_element_at(filter(transform(sequence({near}, {far - 1}), __n -> {move}(CAST({ts} AS DATE), __n)), __d -> {day_matches(plan, '__d')}), 1)"
         for near, far in zip(_REACH, _REACH[1:])
     ]
     other_day = _at(f"coalesce({', '.join(days)})", f"try_element_at({plan}.ticks, {pick})")
