@@ -24,7 +24,7 @@ WEEKDAYS = "sun mon tue wed thu fri sat".split()
 
 # Day search distances: nearly every schedule is found in the first step, the later ones
 # are only evaluated when it came back empty. Nine years cover a skipped leap day.
-_REACH = (1, 8, 32, 367, 9 * 366)
+_REACH = (1, 2, 8, 32, 367, 9 * 366)
 
 
 def normalize(expr: str) -> str:
@@ -67,24 +67,27 @@ def _parts(text: str, low: int, high: int, names: list[str], base: int) -> str:
 def with_plan(df: DataFrame, expr: str, into: str = "plan") -> DataFrame:
     """Adds the parsed expression: allowed ticks (minutes of the day), days, months and weekdays.
 
-    NULL when the text is no schedule. Worked out in steps so that no part is parsed twice.
+    NULL when the text is no schedule. Worked out in steps so that no part is parsed twice; a field that
+    is unrestricted or a single number, as most are, takes no list processing.
     """
     step = df.selectExpr("*", rf"split(trim({normalize(expr)}), r'\s+') AS __f")
-    step = step.selectExpr("*", *[f"{_parts(f"coalesce(get(__f, {i}), '')", *spec)} AS __p_{n}" for i, (n, spec) in enumerate(_FIELDS.items())])
+    step = step.selectExpr("*", *[f"coalesce(get(__f, {i}), '') AS __t_{n}" for i, n in enumerate(_FIELDS)])
+    star = [f"__t_{n} IN ('*', '?') AS __any_{n}" for n in _FIELDS]
+    single = [f"IF(__t_{n} RLIKE '^[0-9]+$', try_cast(__t_{n} AS INT), NULL) AS __one_{n}" for n in _FIELDS]
+    step = step.selectExpr("*", *star, *single)
+    step = step.selectExpr("*", *[f"IF(__any_{n} OR __one_{n} IS NOT NULL, NULL, {_parts(f'__t_{n}', *spec)}) AS __p_{n}" for n, spec in _FIELDS.items()])
     checks = [
-        f"forall(__p_{n}, __p -> coalesce(__p.a >= {low} AND __p.b <= {high} AND __p.a <= __p.b AND __p.n >= 1, false))"
+        f"CASE WHEN __any_{n} THEN true WHEN __one_{n} IS NOT NULL THEN __one_{n} BETWEEN {low} AND {high} ELSE "
+        f"forall(__p_{n}, __p -> coalesce(__p.a >= {low} AND __p.b <= {high} AND __p.a <= __p.b AND __p.n >= 1, false)) END"
         for n, (low, high, _, _) in _FIELDS.items()
     ]
     allowed = [
-        f"filter(sequence({low}, {high}), __x -> exists(__p_{n}, __p -> __x >= __p.a AND __x <= __p.b AND (__x - __p.a) % nullif(__p.n, 0) = 0)) AS __a_{n}"
+        f"CASE WHEN __any_{n} THEN sequence({low}, {high}) WHEN __one_{n} IS NOT NULL THEN array(__one_{n}) ELSE "
+        f"filter(sequence({low}, {high}), __x -> exists(__p_{n}, __p -> __x >= __p.a AND __x <= __p.b AND (__x - __p.a) % nullif(__p.n, 0) = 0)) END AS __a_{n}"
         for n, (low, high, _, _) in _FIELDS.items()
     ]
-    step = step.selectExpr(
-        "*",
-        f"size(__f) = 5 AND {' AND '.join(checks)} AS __ok",
-        "exists(__p_days, __p -> __p.star) OR exists(__p_weekdays, __p -> __p.star) AS __both",
-        *allowed,
-    )
+    free = lambda n: f"(__any_{n} OR coalesce(exists(__p_{n}, __p -> __p.star), false))"
+    step = step.selectExpr("*", f"size(__f) = 5 AND {' AND '.join(checks)} AS __ok", f"{free('days')} OR {free('weekdays')} AS __both", *allowed)
     ticks = "flatten(transform(__a_hours, __h -> transform(__a_minutes, __m -> __h * 60 + __m)))"
     fields = f"'ticks', {ticks}, 'days', __a_days, 'months', __a_months, 'weekdays', __a_weekdays, 'both', __both"
     return step.selectExpr(*df.columns, f"IF(__ok, named_struct({fields}), NULL) AS {into}")
@@ -141,11 +144,14 @@ def prev_time(plan: str, ts: str) -> str:
 
 
 def explode_schedule(df: DataFrame, expr: str, start: str, end: str, into: str = "scheduled_at") -> DataFrame:
-    """One row per schedule time in the closed range [start, end]; a narrow operation, nothing is shuffled."""
+    """One row per schedule time in the closed range [start, end]. Only the input rows move, not the times."""
     names = df.columns
-    step = with_plan(df.selectExpr("*", f"CAST({start} AS TIMESTAMP) AS __lo", f"CAST({end} AS TIMESTAMP) AS __hi"), expr, "__plan")
-    # Filters only on generated columns: one on the plan itself would be pushed below its parsing and repeat it.
+    # Few rows become many: they are spread evenly first, whatever files they came from.
+    spread = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    step = with_plan(spread.selectExpr("*", f"CAST({start} AS TIMESTAMP) AS __lo", f"CAST({end} AS TIMESTAMP) AS __hi"), expr, "__plan")
+    # Filters only on generated columns, and none from which "plan is not null" follows: it would be
+    # pushed below the parsing and repeat it.
     days = step.where("__lo <= __hi").selectExpr("*", "explode_outer(sequence(CAST(__lo AS DATE), CAST(__hi AS DATE))) AS __day")
-    ticks = days.where(day_matches("__plan", "__day")).selectExpr("*", "explode_outer(__plan.ticks) AS __tick")
+    ticks = days.where(f"coalesce({day_matches('__plan', '__day')}, false)").selectExpr("*", "explode_outer(__plan.ticks) AS __tick")
     times = ticks.selectExpr(*names, "__lo", "__hi", f"{_at('__day', '__tick')} AS {into}")
     return times.where(f"{into} BETWEEN __lo AND __hi").select(*names, into)

@@ -15,27 +15,36 @@ def rfc3339(ts: str) -> str:
     return f"date_format({ts}, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
 
 
+def normalized(source: str) -> str:
+    """SQL: every known macro form in one spelling, ``{{.NAME}}`` or ``{{.NAME|Date}}``.
+
+    It depends on the text alone: apply it to the table of texts, before the texts meet their runs.
+    """
+    text = source
+    for form, spelling in ((r"\.(\w+)", "{{.$1}}"), (r"\.(\w+)\s*\|\s*Date", "{{.$1|Date}}"), (r"Date\s+\.(\w+)", "{{.$1|Date}}")):
+        text = rf"regexp_replace({text}, r'\{{\{{\s*{form}\s*\}}\}}', '{spelling}')"
+    return text
+
+
 def render(df: DataFrame, source: str, values: dict[str, str], into: str = "rendered", error: str = "render_error") -> DataFrame:
-    """Replaces each known macro, plain or through ``Date``, by the value column named for it, then trims.
+    """Replaces each known macro, plain or through ``Date``, by the value given for it, then trims.
 
-    ``error`` names what could not be rendered: a macro that is left over, or a Date of something else.
+    ``source`` is a column with normalized texts. ``error`` names what could not be rendered: a macro
+    that is left over, or a Date of something else.
     """
     names = list(values)
     step = df.selectExpr("*", *[f"{sql} AS __v_{n}" for n, sql in values.items()])
-    step = step.selectExpr("*", *[f"{X.date_of(f'__v_{n}')} AS __d_{n}" for n in names])
-    quoted = "regexp_replace({v}, r'([\\\\$])', r'\\\\$1')"
     body = source
     for n in names:
-        dated = rf"\{{\{{\s*(\.{n}\s*\|\s*Date|Date\s+\.{n})\s*\}}\}}"
-        plain = rf"\{{\{{\s*\.{n}\s*\}}\}}"
         # A NULL date keeps the macro, so it shows up as an error below.
-        body = f"IF(__d_{n} IS NULL, {body}, regexp_replace({body}, r'{dated}', __d_{n}))"
-        step = step.selectExpr("*", f"{body} AS __b_{n}")
-        step = step.selectExpr("*", f"regexp_replace(__b_{n}, r'{plain}', {quoted.format(v=f'__v_{n}')}) AS __r_{n}")
+        dated = f"replace({body}, '{{{{.{n}|Date}}}}', coalesce({X.date_of(f'__v_{n}')}, '{{{{.{n}|Date}}}}'))"
+        step = step.selectExpr("*", f"IF(instr({body}, '{{{{.{n}|Date}}}}') > 0, {dated}, {body}) AS __d_{n}")
+        body = f"__d_{n}"
+        plain = f"replace({body}, '{{{{.{n}}}}}', __v_{n})"
+        step = step.selectExpr("*", f"IF(instr({body}, '{{{{.{n}}}}}') > 0, {plain}, {body}) AS __r_{n}")
         body = f"__r_{n}"
-    left = rf"regexp_extract({body}, r'\{{\{{[^}}]*\}}\}}', 0)"
-    step = step.selectExpr("*", f"nullif({left}, '') AS __left")
-    return step.selectExpr(
+    left = rf"IF(instr({body}, '{{{{') > 0, nullif(regexp_extract({body}, r'\{{\{{[^}}]*\}}\}}', 0), ''), NULL)"
+    return step.selectExpr("*", f"{left} AS __left").selectExpr(
         *df.columns,
         f"IF(__left IS NULL, trim({body}), NULL) AS {into}",
         f"concat('cannot render ', __left) AS {error}",

@@ -114,6 +114,7 @@ def readiness(runs: DataFrame, edges: DataFrame, jobs: DataFrame, actual: DataFr
     points = calendar.join(done, ["upstream_id", "at"], "left").selectExpr(
         "upstream_id", "at", "1L AS n_expected", "coalesce(n_success, 0L) AS n_success"
     )
+    points = session.cut_lineage(points)
     probes = ranges.selectExpr(
         "upstream_id", "lo", "hi", "explode(array(named_struct('at', lo, 'sign', -1L), named_struct('at', hi, 'sign', 1L))) AS p", "true AS inclusive"
     ).selectExpr("upstream_id", "p.at", "lo", "hi", "p.sign", "inclusive")

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowtables import session
 from flowtables.functions import cron, windows
 from flowtables.operators import skew
 
@@ -53,6 +54,7 @@ def aggregate_windows(
     a day), with map-side combining, so neither a hot day nor a long overlap multiplies rows. Each
     window is then total(end) - total(start) over the few ticks. Windows without rows are left out.
     """
+    runs = session.cut_lineage(runs)
     lo_micros, hi_micros = F.unix_micros("window_start"), F.unix_micros("window_end")
     aligned = [F.bool_and((lo_micros % u == 0) & (hi_micros % u == 0)).alias(f"u{u}") for u in TICKS]
     span = runs.agg(F.min("window_start").alias("lo"), F.max("window_end").alias("hi"), *aligned).first()
@@ -66,6 +68,8 @@ def aggregate_windows(
         .agg(*[F.sum(e).alias(n) for n, e in names.items()])
         .select(F.lit(0).alias("k"), "at", *names)
     )
+    # The only pass over the rows; what follows reads the few stored ticks.
+    ticks = session.cut_lineage(ticks)
     edges = runs.select(
         "scheduled_at",
         F.explode(

@@ -86,7 +86,7 @@ SELECT run_id, CASE WHEN job_id % 11 = 0 THEN NULL ELSE replace(replace(sql_text
 def macro_render(t):
     """The query text of every run, rendered with the run's own data window."""
     jobs = windows.with_settings(t.jobs_v.select("job_id", "w_version", "w_size", "w_offset", "w_truncate"), "w_size", "w_offset", "w_truncate")
-    texts = t.sql(_braced(_SQL_TEXTS, "{{{{", "}}}}"))
+    texts = t.sql(_braced(_SQL_TEXTS, "{{{{", "}}}}")).selectExpr("job_id", "destination", f"{macros.normalized('sql_text')} AS sql_text")
     runs = t.sql("SELECT run_id, job_id, scheduled_at + (run_id % 50000) * INTERVAL '1' SECOND AS at_time FROM runs_v")
     runs = skew.join_many_to_one(runs, jobs.join(texts, "job_id"), ["job_id"])
     bound = windows.with_bounds(runs, "at_time", "w_version").where("window_start IS NOT NULL")

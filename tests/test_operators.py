@@ -137,7 +137,7 @@ def test_macro_vectors(spark):
     ]
     df = spark.createDataFrame(cases, "q string, want string")
     values = {"DSTART": "'2021-02-10T10:00:00+00:00'", "DEND": "'2021-02-11T10:00:00+00:00'", "EXECUTION_TIME": "'empty val'"}
-    rows = macros.render(df, "q", values).collect()
+    rows = macros.render(df.selectExpr("q", "want", f"{macros.normalized('q')} AS n"), "n", values).collect()
     assert [(r.q, r.rendered) for r in rows if (r.rendered or "").strip() != (r.want or "")] == []
     assert [r.want is None for r in rows] == [r.render_error is not None for r in rows]
 
