@@ -106,8 +106,7 @@ def operator_runs(events: DataFrame) -> DataFrame:
     Outcomes before any start open one attempt of their own.
     """
     ops = keyed(events).where("operator_type <> 'job'")
-    hour = F.date_trunc("hour", "event_time")
-    numbered = skew.running_sums(ops, OPERATOR, ORDER, {"attempt": F.when(_is_start(), 1).otherwise(0)}, hour)
+    numbered = skew.running_sums(ops, OPERATOR, ORDER, {"attempt": F.when(_is_start(), 1).otherwise(0)})
     ended = F.when(~_is_start(), F.struct(*ORDER, "ended_as"))
     per_attempt = numbered.groupBy(*OPERATOR, "attempt").agg(F.min("event_time").alias("start_time"), F.max(ended).alias("e"))
     return per_attempt.select(
@@ -156,7 +155,7 @@ def registrations(events: DataFrame) -> DataFrame:
 def first_sensor_starts(events: DataFrame) -> DataFrame:
     """Only the first poke of a sensor's attempt: later starts without an outcome in between do not count."""
     sensors = keyed(events).where("operator_type = 'sensor'")
-    before = skew.previous_value(sensors, OPERATOR, ORDER, F.col("type"), "before", F.date_trunc("hour", "event_time"))
+    before = skew.previous_value(sensors, OPERATOR, ORDER, F.col("type"), "before")
     return before.where(_is_start() & (F.col("before").isNull() | ~F.endswith(F.col("before"), F.lit("_start")))).select(*OPERATOR, *ORDER)
 
 
@@ -166,7 +165,7 @@ def state_changes(events: DataFrame) -> DataFrame:
     opening = opening.select(*RUN, F.col("first.event_id").alias("event_id"), F.lit(True).alias("opens")).distinct()
     steps = keyed(events).join(opening, [*RUN, "event_id"], "left").where(_is_job() | _is_start() | F.col("opens"))
     steps = steps.withColumn("state", F.when(_is_job(), F.col("ended_as")).otherwise(F.expr(_BEGINS)))
-    changed = skew.previous_value(steps.select(*RUN, *ORDER, "state"), RUN, ORDER, F.col("state"), "before", F.date_trunc("hour", "event_time"))
+    changed = skew.previous_value(steps.select(*RUN, *ORDER, "state"), RUN, ORDER, F.col("state"), "before")
     return changed.where("before IS NULL OR before <> state").select(*RUN, *ORDER, "state")
 
 

@@ -32,7 +32,7 @@ def conflicts(new: DataFrame, ongoing: DataFrame) -> DataFrame:
         "replay_id",
         "explode(array(named_struct('at', end_time, 'inclusive', true), named_struct('at', start_time, 'inclusive', false))) AS p",
     ).selectExpr(*TENANT_JOB, "replay_id", "p.at", "p.inclusive")
-    totals = skew.sums_at(points, probes, TENANT_JOB, "at", ["n_start", "n_end"], skew.day_bin("at"))
+    totals = skew.sums_at(points, probes, TENANT_JOB, "at", ["n_start", "n_end"])
     overlapping = totals.groupBy("replay_id").agg(F.sum(F.expr("IF(inclusive, n_start, -n_end)")).alias("n"))
     itself = ongoing.select("replay_id", F.lit(1).alias("self"))
     return overlapping.join(itself, "replay_id", "left").selectExpr("replay_id", "n - coalesce(self, 0) AS n_conflicts")
@@ -46,7 +46,7 @@ def run_conflicts(new: DataFrame, runs: DataFrame) -> DataFrame:
         "replay_id",
         "explode(array(named_struct('at', end_time, 'inclusive', true), named_struct('at', start_time, 'inclusive', false))) AS p",
     ).selectExpr("job_id", "replay_id", "p.at", "p.inclusive")
-    totals = skew.sums_at(points, probes, ["job_id"], "at", ["n"], skew.day_bin("at"))
+    totals = skew.sums_at(points, probes, ["job_id"], "at", ["n"])
     return totals.groupBy("replay_id").agg(F.sum(F.expr("IF(inclusive, n, -n)")).alias("n_conflicts"))
 
 
@@ -62,20 +62,18 @@ def date_errors(replays: DataFrame, jobs: DataFrame, now: str) -> DataFrame:
 def run_config(runs: DataFrame, replays: DataFrame, config: str) -> DataFrame:
     """Configuration of each run: of all replays whose closed range holds it, the latest created wins per key.
 
-    ``config`` is a map column. Replays are cut into days; equal pieces keep only their latest value
-    before they meet the runs of that job and day.
+    ``config`` is a map column. A replay's range becomes a few aligned time blocks, and each block keeps
+    only its latest value per key; a run then looks up the blocks around its schedule time. Neither many
+    replays over one moment nor a long range multiplies anything.
     """
-    pieces = replays.selectExpr(
-        "job_id", "replay_id", "created_at", "start_time", "end_time", config,
-        "explode(sequence(CAST(start_time AS DATE), CAST(end_time AS DATE))) AS day",
-    ).selectExpr(
-        "job_id", "day", "greatest(start_time, CAST(day AS TIMESTAMP)) AS lo", "least(end_time, CAST(date_add(day, 1) AS TIMESTAMP)) AS hi",
-        "created_at", "replay_id", f"explode({config}) AS (key, value)",
-    )
-    newest = F.max(F.struct("created_at", "replay_id", "value")).alias("v")
-    pieces = pieces.groupBy("job_id", "day", "lo", "hi", "key").agg(newest)
-    times = runs.select("job_id", "scheduled_at").distinct().withColumn("day", F.col("scheduled_at").cast("date"))
-    hits = times.join(pieces, ["job_id", "day"]).where("scheduled_at BETWEEN lo AND hi")
+    blocks = replays.selectExpr(
+        "job_id", "replay_id", "created_at", config, f"explode({skew.blocks_of('start_time', 'end_time')}) AS b"
+    ).selectExpr("job_id", "b.level AS level", "b.block AS block", "created_at", "replay_id", f"explode({config}) AS (key, value)")
+    newest = blocks.groupBy("job_id", "level", "block", "key").agg(F.max(F.struct("created_at", "replay_id", "value")).alias("v"))
+    times = runs.select("job_id", "scheduled_at").distinct().join(replays.select("job_id").distinct(), "job_id", "left_semi")
+    around = times.selectExpr("job_id", "scheduled_at", f"explode({skew.blocks_over('scheduled_at')}) AS b")
+    around = around.selectExpr("job_id", "scheduled_at", "b.level AS level", "b.block AS block")
+    hits = around.join(newest, ["job_id", "level", "block"])
     return hits.groupBy("job_id", "scheduled_at", "key").agg(F.max("v").alias("v")).selectExpr("job_id", "scheduled_at", "key", "v.value AS value")
 
 

@@ -47,7 +47,7 @@ def execution_times(expected_runs: DataFrame, actual: DataFrame) -> DataFrame:
 
 def past_gate(runs: DataFrame) -> DataFrame:
     """Whether a run that depends on the past may go: the run scheduled before it succeeded, or there is none."""
-    with_previous = skew.previous_value(runs, ["job_id"], ["scheduled_at"], F.col("state"), "previous_state", F.trunc("scheduled_at", "MM"))
+    with_previous = skew.previous_value(runs, ["job_id"], ["scheduled_at"], F.col("state"), "previous_state")
     return with_previous.withColumn("may_run", F.coalesce(F.col("previous_state") == "success", F.lit(True)))
 
 
@@ -118,7 +118,7 @@ def readiness(runs: DataFrame, edges: DataFrame, jobs: DataFrame, actual: DataFr
     probes = ranges.selectExpr(
         "upstream_id", "lo", "hi", "explode(array(named_struct('at', lo, 'sign', -1L), named_struct('at', hi, 'sign', 1L))) AS p", "true AS inclusive"
     ).selectExpr("upstream_id", "p.at", "lo", "hi", "p.sign", "inclusive")
-    totals = skew.sums_at(points, probes, ["upstream_id"], "at", ["n_expected", "n_success"], skew.day_bin("at"))
+    totals = skew.sums_at(points, probes, ["upstream_id"], "at", ["n_expected", "n_success"])
     counts = totals.groupBy("upstream_id", "lo", "hi").agg(
         F.sum(F.expr("sign * n_expected")).alias("n_expected"), F.sum(F.expr("sign * n_success")).alias("n_success")
     )

@@ -1,7 +1,8 @@
 """Building blocks that stay distributed when one key holds a large share of all rows.
 
-* ``running_sums`` / ``previous_value`` / ``sums_at`` replace a window over a whole key by a
-  window over (key, time bin) plus a carry from the earlier bins of the key.
+* ``running_sums`` / ``previous_value`` / ``sums_at`` replace a window over a whole key by windows
+  over bins of equal size plus a carry from the earlier bins of the key.
+* ``blocks_of`` / ``blocks_over`` turn "which intervals hold this moment" into an equality.
 * ``join_many_to_one`` can salt just the keys that are really hot.
 * ``first_rows`` relies on Spark's group limit, which trims each key before the shuffle.
 """
@@ -9,24 +10,41 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowtables import session
+
 HOT_ROWS = 2_000_000
 SALTS = 32
 
 
-def day_bin(ts: str) -> Column:
-    return F.col(ts).cast("date")
+def _binned(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows in bins of about equal size, cut along (keys, order): a hot key or a hot moment fills several bins.
+
+    Stored once, because the cuts come from a sample and both uses of the bins must see the same ones.
+    """
+    rows = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = [c for c in df.columns if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
+    ranged = df.withColumn("__tie", F.xxhash64(*spread)).repartitionByRange(rows, *keys, *order, "__tie")
+    return session.cut_lineage(ranged.withColumn("__bin", F.spark_partition_id()))
+
 
+def _with_carry(local: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Joins per (key, bin); NULL keys are keys too."""
+    carry = carry.withColumnsRenamed({c: f"__k_{c}" for c in (*keys, "__bin")})
+    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in (*keys, "__bin")])
+    return local.join(carry, match)
 
-def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column], bin_: Column) -> DataFrame:
-    """Adds inclusive running sums per key in the given order. ``bin_`` must not decrease along ``order``."""
+
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """Adds inclusive running sums per key in the given order."""
     keys = list(keys)
-    work = df.withColumns({"__bin": bin_, **{f"__v_{n}": e for n, e in sums.items()}})
-    inside = Window.partitionBy(*keys, "__bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    work = _binned(df.withColumns({f"__v_{n}": e for n, e in sums.items()}), keys, order)
+    inside = Window.partitionBy(*keys, "__bin").orderBy(*order, "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = work.select("*", *[F.coalesce(F.sum(f"__v_{n}").over(inside), F.lit(0)).alias(f"__l_{n}") for n in sums])
     earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
@@ -34,31 +52,27 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
         .agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
         .select(*keys, "__bin", *[F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__c_{n}") for n in sums])
     )
-    return local.join(carry, [*keys, "__bin"]).select(
-        *df.columns, *[(F.col(f"__l_{n}") + F.col(f"__c_{n}")).alias(n) for n in sums]
-    )
+    return _with_carry(local, carry, keys).select(*df.columns, *[(F.col(f"__l_{n}") + F.col(f"__c_{n}")).alias(n) for n in sums])
 
 
-def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, into: str, bin_: Column) -> DataFrame:
+def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, into: str) -> DataFrame:
     """Adds the value of the row before, per key in the given order; NULL on a key's first row."""
     keys = list(keys)
-    work = df.withColumns({"__bin": bin_, "__v": F.struct(value.alias("v"))})
-    inside = Window.partitionBy(*keys, "__bin").orderBy(*order)
+    work = _binned(df.withColumn("__v", F.struct(value.alias("v"))), keys, order)
+    inside = Window.partitionBy(*keys, "__bin").orderBy(*order, "__tie")
     local = work.select("*", F.lag("__v").over(inside).alias("__p"), F.row_number().over(inside).alias("__n"))
     across = Window.partitionBy(*keys).orderBy("__bin")
     carry = (
         work.groupBy(*keys, "__bin")
-        .agg(F.max_by("__v", F.struct(*order)).alias("__last"))
+        .agg(F.max_by("__v", F.struct(*order, "__tie")).alias("__last"))
         .select(*keys, "__bin", F.lag("__last").over(across).alias("__carry"))
     )
-    return local.join(carry, [*keys, "__bin"]).select(
+    return _with_carry(local, carry, keys).select(
         *df.columns, F.when(F.col("__n") == 1, F.col("__carry")).otherwise(F.col("__p"))["v"].alias(into)
     )
 
 
-def sums_at(
-    points: DataFrame, probes: DataFrame, keys: Sequence[str], ts: str, sums: Sequence[str], bin_: Column, inclusive: str = "inclusive"
-) -> DataFrame:
+def sums_at(points: DataFrame, probes: DataFrame, keys: Sequence[str], ts: str, sums: Sequence[str], inclusive: str = "inclusive") -> DataFrame:
     """For each probe row, the sums of the points of its key up to the probe's time.
 
     The boolean probe column ``inclusive`` decides whether points at exactly that time count.
@@ -78,13 +92,37 @@ def sums_at(
         F.when(F.col(inclusive), F.lit(2)).otherwise(F.lit(0)).alias("__side"),
         *extra,
     )
-    both = flat_points.unionByName(flat_probes)
-    summed = running_sums(both, keys, [ts, "__side"], {f"__s_{s}": F.col(s) for s in sums}, bin_)
+    summed = running_sums(flat_points.unionByName(flat_probes), keys, [ts, "__side"], {f"__s_{s}": F.col(s) for s in sums})
     return summed.where(F.col("__side") != 1).select(
         *keys, ts, (F.col("__side") == 2).alias(inclusive), *extra, *[F.col(f"__s_{s}").alias(s) for s in sums]
     )
 
 
+# --- latest interval over a moment --------------------------------------------------
+
+# Blocks of 1, 2, 4 ... 2^22 seconds (about 48 days); longer intervals take several of the largest.
+_TOP = 22
+
+
+def blocks_of(start: str, end: str) -> str:
+    """SQL: the aligned blocks (level, block) that exactly cover the whole seconds of [start, end].
+
+    At most two per level, so an interval of any length becomes a few dozen rows instead of one per day.
+    """
+    state = f"""aggregate(sequence(0, {_TOP - 1}), named_struct('a', CAST(ceil(unix_micros({start}) / 1e6) AS BIGINT), 'b', CAST(floor(unix_micros({end}) / 1e6) AS BIGINT) + 1,
+        'out', CAST(array() AS ARRAY<STRUCT<level: INT, block: BIGINT>>)),
+        (__s, __k) -> named_struct('a', (__s.a + __s.a % 2) DIV 2, 'b', (__s.b - __s.b % 2) DIV 2, 'out', concat(__s.out,
+            IF(__s.a < __s.b AND __s.a % 2 = 1, array(named_struct('level', __k, 'block', __s.a)), array()),
+            IF(__s.a + __s.a % 2 < __s.b AND __s.b % 2 = 1, array(named_struct('level', __k, 'block', __s.b - 1)), array()))),
+        __s -> concat(__s.out, IF(__s.a < __s.b, transform(sequence(__s.a, __s.b - 1), __x -> named_struct('level', {_TOP}, 'block', __x)), array())))"""
+    return f"IF({start} <= {end}, {state}, CAST(array() AS ARRAY<STRUCT<level: INT, block: BIGINT>>))"
+
+
+def blocks_over(ts: str) -> str:
+    """SQL: all blocks that contain the moment ``ts`` (whole seconds after 1970)."""
+    return f"transform(sequence(0, {_TOP}), __k -> named_struct('level', __k, 'block', shiftright(unix_seconds({ts}), __k)))"
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> DataFrame:
     """Keys with more than ``rows`` rows: a map-side combined count that returns at most total / rows keys.
 

@@ -79,7 +79,6 @@ def aggregate_windows(
             )
         ).alias("edge"),
     ).select(F.lit(0).alias("k"), "edge.at", "scheduled_at", "edge.sign", F.lit(False).alias("inclusive"))
-    day = F.floor(F.col("at") / F.lit(86_400_000_000))
-    totals = skew.sums_at(ticks, edges, ["k"], "at", list(names), day)
+    totals = skew.sums_at(ticks, edges, ["k"], "at", list(names))
     result = totals.groupBy("scheduled_at").agg(*[F.sum(F.col("sign") * F.col(n)).alias(n) for n in names])
     return result.where(F.greatest(*[F.col(n) for n in counts], F.lit(0)) > 0)

@@ -28,18 +28,18 @@ def hot(spark):
 
 def test_running_sums_equal_plain_window(hot):
     w = Window.partitionBy("k").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    same(skew.running_sums(hot, ["k"], ["at", "id"], {"s": F.col("v")}, skew.day_bin("at")), hot.withColumn("s", F.sum("v").over(w)))
+    same(skew.running_sums(hot, ["k"], ["at", "id"], {"s": F.col("v")}), hot.withColumn("s", F.sum("v").over(w)))
 
 
 def test_previous_value_equals_lag(hot):
     w = Window.partitionBy("k").orderBy("at", "id")
     value = F.when(F.col("v") > 0, F.col("v"))
-    same(skew.previous_value(hot, ["k"], ["at", "id"], value, "p", skew.day_bin("at")), hot.withColumn("p", F.lag(value).over(w)))
+    same(skew.previous_value(hot, ["k"], ["at", "id"], value, "p"), hot.withColumn("p", F.lag(value).over(w)))
 
 
 def test_sums_at_equal_range_join(spark, hot):
     probes = spark.range(200).selectExpr("id % 11 AS k", "timestamp_seconds((id * 7919 * 3) % 900000) AS at", "id AS probe", "id % 2 = 0 AS inclusive")
-    got = skew.sums_at(hot.select("k", "at", "v"), probes, ["k"], "at", ["v"], skew.day_bin("at"))
+    got = skew.sums_at(hot.select("k", "at", "v"), probes, ["k"], "at", ["v"])
     pairs = probes.alias("p").join(hot.alias("h"), F.expr("p.k = h.k AND (h.at < p.at OR (inclusive AND h.at = p.at))"), "left")
     want = pairs.groupBy("p.k", "p.at", "probe", "inclusive").agg(F.coalesce(F.sum("h.v"), F.lit(0)).alias("v"))
     same(got, want)
@@ -53,6 +53,29 @@ def test_salted_join_equals_plain_join(spark, hot, how):
     same(skew.join_many_to_one(hot, one, ["k"], how, keys, salts=4), hot.join(one, "k", how))
 
 
+def test_null_keys_are_kept(spark):
+    rows = spark.sql("SELECT CAST(NULL AS INT) AS k, id AS at, id AS v FROM range(10)")
+    assert skew.running_sums(rows, ["k"], ["at"], {"s": F.col("v")}).agg(F.max("s")).first()[0] == 45
+
+
+def test_bins_split_a_hot_key(hot):
+    sizes = [r["count"] for r in skew._binned(hot.where("k = 0"), ["k"], ["at", "id"]).groupBy("__bin").count().collect()]
+    assert len(sizes) > 2 and max(sizes) < 0.6 * sum(sizes)
+
+
+def test_blocks_cover_exactly_the_interval(spark):
+    spans = spark.range(300).selectExpr("id", "timestamp_micros(id * 37000000 + id % 3) AS lo", "timestamp_micros(id * 37000000 + (id * id * 7919 % 40000) * 1000000) AS hi")
+    moments = spark.range(400).selectExpr("timestamp_seconds(id * 61) AS at")
+    want = moments.join(spans, F.expr("at BETWEEN lo AND hi")).select("id", "at")
+    blocks = spans.selectExpr("id", f"explode({skew.blocks_of('lo', 'hi')}) AS b")
+    around = moments.selectExpr("at", f"explode({skew.blocks_over('at')}) AS b")
+    got = around.join(blocks, "b").select("id", "at")
+    assert got.count() == got.distinct().count() == want.count() > 100
+    assert got.exceptAll(want).isEmpty()
+    long = spark.sql(f"SELECT size({skew.blocks_of("TIMESTAMP '1990-01-01'", "TIMESTAMP '2020-01-01'")}) AS n").first().n
+    assert long < 280
+
+
 def test_first_rows_are_trimmed_before_the_shuffle(hot):
     df = skew.first_rows(hot, ["k"], [F.col("at"), F.col("id")], 3)
     plan = df._jdf.queryExecution().executedPlan().toString()
