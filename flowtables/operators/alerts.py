@@ -10,6 +10,12 @@ from flowtables.operators import skew
 MAX_BREACHES = 8
 
 
+def settings_of(jobs: DataFrame, alerts: str = "alerts") -> DataFrame:
+    """(job_id, alert_on, channel) from each job's alerts, an array of (on, channels, config)."""
+    one = jobs.selectExpr("job_id", f"explode({alerts}) AS a")
+    return one.selectExpr("job_id", "a.on AS alert_on", "explode(a.channels) AS channel")
+
+
 def routes(events: DataFrame, settings: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """One row per event and channel of its job whose category fits; channels are ``scheme://route``.
 

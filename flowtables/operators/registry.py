@@ -131,6 +131,13 @@ def unmatched(changes: DataFrame, jobs: DataFrame) -> DataFrame:
     return changes.join(jobs.select("job_id"), "job_id", "left_anti")
 
 
+def set_states(jobs: DataFrame, changes: DataFrame) -> DataFrame:
+    """``with_states``, refused as a whole when a change names no job."""
+    if not unmatched(changes, jobs).isEmpty():
+        raise ValueError("a state change names a job that does not exist")
+    return with_states(jobs, changes)
+
+
 def moved(df: DataFrame, mapping: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows with the namespace of their job's move; the same mapping serves job, edge and run tables."""
     target = mapping.select(*keys, F.col("namespace").alias("__to"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowtables import session
-from flowtables.functions import cron, windows
+from flowtables.functions import cron, durations, windows
 from flowtables.operators import skew
 
 FOREVER = "TIMESTAMP '3000-01-01 00:00:00'"
@@ -62,6 +62,16 @@ def sorted_by_schedule(runs: DataFrame) -> DataFrame:
     return runs.orderBy("scheduled_at", "job_id", "run_id")
 
 
+def with_sla_seconds(jobs: DataFrame, alerts: str = "alerts", into: str = "sla_seconds") -> DataFrame:
+    """Adds the SLA of a job: the duration of its first ``sla_miss`` alert that has one, in seconds; 0 means none.
+
+    ``alerts`` is an array of (on, channels, config).
+    """
+    chosen = f"get(filter({alerts}, __a -> __a.on = 'sla_miss' AND map_contains_key(__a.config, 'duration')), 0).config['duration']"
+    step = jobs.selectExpr("*", f"{chosen} AS __sla")
+    return step.selectExpr(*jobs.columns, f"CAST(coalesce(({durations.clock_micros('__sla')}) DIV 1000000, 0) AS BIGINT) AS {into}")
+
+
 def sla_breach(runs: DataFrame, now: str) -> DataFrame:
     """Seconds beyond the SLA, for runs that have one; an open run counts up to ``now``."""
     seconds = F.unix_timestamp(F.least(F.col("end_time"), F.expr(now))) - F.unix_timestamp("start_time") - F.col("sla_seconds")

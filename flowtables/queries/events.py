@@ -8,6 +8,7 @@ from flowtables.operators import alerts as A
 from flowtables.operators import events as E
 from flowtables.operators import skew
 from flowtables.queries.registry import query
+from flowtables.queries.runs import with_alerts
 from flowtables.sources import feed
 
 _RUN = "project, job_id, scheduled_at"
@@ -122,7 +123,7 @@ routed AS (SELECT a.*, split_part(channel, '://', 1) AS scheme, split_part(chann
 
 def _routed(t):
     hot = skew.hot_keys(t.events.selectExpr("user_id AS job_id"), ["job_id"])
-    return A.routes(t.sql(_ALERTS), t.job_alerts_v, hot)
+    return A.routes(t.sql(_ALERTS), A.settings_of(with_alerts(t)), hot)
 
 
 @query("alert_routes", f"WITH {_ROUTED} SELECT event_id, job_id, type, scheme, route FROM routed")

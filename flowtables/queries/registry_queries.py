@@ -181,11 +181,11 @@ def missing_resources(t):
 
 @query(
     "orphan_deployments",
-    """SELECT concat('proj_', s_suppkey % 3) AS project, concat('job_', s_suppkey * 7) AS name, 'no such job' AS reason FROM supplier s
-WHERE NOT EXISTS (SELECT 1 FROM jobs_v j WHERE j.project = concat('proj_', s_suppkey % 3) AND j.name = concat('job_', s_suppkey * 7))""",
+    """SELECT concat('proj_', (s_suppkey * 50) % 3) AS project, concat('job_', s_suppkey * 50) AS name, 'no such job' AS reason FROM supplier s
+WHERE NOT EXISTS (SELECT 1 FROM jobs_v j WHERE j.project = concat('proj_', (s_suppkey * 50) % 3) AND j.name = concat('job_', s_suppkey * 50))""",
 )
 def orphan_deployments(t):
-    deployed = t.supplier.selectExpr("concat('proj_', s_suppkey % 3) AS project", "concat('job_', s_suppkey * 7) AS name")
+    deployed = t.supplier.selectExpr("concat('proj_', (s_suppkey * 50) % 3) AS project", "concat('job_', s_suppkey * 50) AS name")
     return registry.missing(deployed, t.jobs_v, ["project", "name"], "no such job")
 
 

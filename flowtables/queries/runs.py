@@ -80,6 +80,19 @@ def schedule_delay(t):
     return t.runs_v.select("run_id", (F.unix_timestamp("start_time") - F.unix_timestamp("scheduled_at")).alias("delay_seconds"))
 
 
+def with_alerts(t):
+    """Jobs with their alert settings as stored: an array of (on, channels, config)."""
+    alert = "named_struct('on', {}, 'channels', array({}), 'config', map({}))"
+    sla = alert.format("'sla_miss'", "concat('slack://#c', job_id % 5)", "'duration', '2h'")
+    failure = alert.format("'failure'", "'pagerduty://#svc'", "'note', 'page'")
+    return t.jobs_v.selectExpr("job_id", f"array_compact(array(IF(job_id % 3 = 0, {failure}, NULL), IF(job_id % 2 = 0, {sla}, NULL))) AS alerts")
+
+
+def _runs_with_sla(t):
+    sla = R.with_sla_seconds(with_alerts(t)).select("job_id", "sla_seconds")
+    return t.runs_v.drop("sla_seconds").join(sla, "job_id")
+
+
 NOW = "TIMESTAMP '1999-06-01 04:00:00'"
 _BREACH_SQL = f"breach AS (SELECT *, CAST(epoch(least(end_time, {NOW})) - epoch(start_time) - sla_seconds AS BIGINT) AS breach_seconds FROM runs_v WHERE sla_seconds > 0)"
 
@@ -89,7 +102,7 @@ _BREACH_SQL = f"breach AS (SELECT *, CAST(epoch(least(end_time, {NOW})) - epoch(
     f"WITH {_BREACH_SQL} SELECT run_id, CASE WHEN end_time < TIMESTAMP '3000-01-01' THEN end_time END AS ended_at, breach_seconds, breach_seconds > 0 AS breached FROM breach",
 )
 def sla_breach(t):
-    return R.sla_breach(t.runs_v, NOW).select("run_id", R.end_or_null().alias("ended_at"), "breach_seconds", "breached")
+    return R.sla_breach(_runs_with_sla(t), NOW).select("run_id", R.end_or_null().alias("ended_at"), "breach_seconds", "breached")
 
 
 @query(
@@ -99,7 +112,7 @@ FROM breach JOIN jobs_v USING (job_id) GROUP BY GROUPING SETS ((date_trunc('day'
 )
 def sla_trend(t):
     # Runs are counted per job and day first, so that the join and the roll-up see few rows.
-    per_job = R.sla_breach(t.runs_v, NOW).groupBy(F.date_trunc("day", "scheduled_at").alias("day"), "job_id").agg(
+    per_job = R.sla_breach(_runs_with_sla(t), NOW).groupBy(F.date_trunc("day", "scheduled_at").alias("day"), "job_id").agg(
         F.count("*").alias("n"), F.count_if("breached").alias("b")
     )
     rows = per_job.join(t.jobs_v.select("job_id", "project", "namespace"), "job_id")

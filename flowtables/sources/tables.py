@@ -51,6 +51,14 @@ def insert(df: DataFrame, name: str, schema: T.StructType) -> None:
     rows.write.insertInto(name)
 
 
+def add_columns(spark: SparkSession, name: str, fields: list[dict]) -> None:
+    """New nullable columns at the end of a table; existing rows have NULL there."""
+    schema = specs.struct_type(fields)
+    if any(not f.nullable for f in schema.fields):
+        raise ValueError("a required column cannot be added to existing data")
+    spark.sql(f"ALTER TABLE {name} ADD COLUMNS (" + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ")")
+
+
 def update_properties(spark: SparkSession, name: str, properties: dict[str, str]) -> None:
     spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES (" + ", ".join(f"'{k}' = '{v}'" for k, v in properties.items()) + ")")
 

@@ -317,3 +317,48 @@ def test_clustered_files_hold_narrow_ranges(spark, tables, tmp_path):
     tb.write_clustered(tables.lineitem, path, ["l_partkey"], files=4)
     ranges = spark.read.parquet(path).groupBy(F.input_file_name().alias("f")).agg(F.min("l_partkey").alias("lo"), F.max("l_partkey").alias("hi")).orderBy("lo").collect()
     assert len(ranges) == 4 and all(a.hi < b.lo for a, b in zip(ranges, ranges[1:]))
+
+
+def test_table_update_and_external_files(spark, tmp_path):
+    fields = [{"name": "id", "type": "INTEGER", "mode": "required"}, {"name": "day", "type": "DATE"}]
+    schema = managed.create(spark, "t_update", fields, path=str(tmp_path / "t"), partition="day", properties={"expires_at": "2024-02-01"})
+    with pytest.raises(managed.AlreadyExists):
+        managed.create(spark, "t_update", fields)
+    managed.insert(spark.sql("SELECT 1 AS id, DATE '2024-01-01' AS day"), "t_update", schema)
+    with pytest.raises(ValueError):
+        managed.insert(spark.sql("SELECT CAST(NULL AS INT) AS id, DATE '2024-01-01' AS day"), "t_update", schema)
+    managed.add_columns(spark, "t_update", [{"name": "note", "type": "STRING"}])
+    managed.update_properties(spark, "t_update", {"label.team": "x"})
+    row = spark.table("t_update").first()
+    assert (row.id, row.note) == (1, None)
+    assert "label.team" in {r.key for r in spark.sql("SHOW TBLPROPERTIES t_update").collect()}
+    spark.sql("DROP TABLE t_update")
+
+    spark.sql("SELECT 1 AS a, 'x' AS b").write.json(str(tmp_path / "j"))
+    assert managed.read_external(spark, [str(tmp_path / "j")], "json").dtypes == [("a", "bigint"), ("b", "string")]
+    (tmp_path / "c1.csv").write_text("n,m\n1,2\n")
+    assert managed.read_external(spark, [str(tmp_path / "c1.csv")], "csv", skip_leading_rows=1).first().asDict() == {"n": 1, "m": 2}
+
+
+def test_spec_errors_of_external_tables_and_views(spark):
+    rows = spark.sql("SELECT * FROM VALUES ('csv', array('a')), ('', array('a')), ('csv', CAST(array() AS ARRAY<STRING>)), ('csv', array('')) AS t(kind, uris)")
+    got = [len(r.e) for r in rows.selectExpr(f"{specs.external_errors('kind', 'uris')} AS e").collect()]
+    assert got == [0, 1, 1, 1]
+    got = [len(r.e) for r in spark.sql("SELECT * FROM VALUES ('SELECT 1'), (' ') AS t(q)").selectExpr(f"{specs.view_errors('q')} AS e").collect()]
+    assert got == [0, 1]
+
+
+def test_state_changes_are_refused_as_a_whole(spark):
+    jobs = spark.createDataFrame([(1, "enabled"), (2, "enabled")], "job_id long, state string")
+    change = spark.createDataFrame([(1, "disabled"), (9, "disabled")], "job_id long, state string")
+    with pytest.raises(ValueError):
+        registry.set_states(jobs, change)
+    assert {r.job_id: r.state for r in registry.set_states(jobs, change.where("job_id = 1")).collect()} == {1: "disabled", 2: "enabled"}
+
+
+def test_first_sla_alert_with_a_duration_counts(spark):
+    from flowtables.operators import runs
+
+    jobs = spark.sql("""SELECT 1L AS job_id, array(named_struct('on', 'sla_miss', 'config', map('x', '1h')), named_struct('on', 'sla_miss', 'config', map('duration', '1h30m')),
+        named_struct('on', 'sla_miss', 'config', map('duration', '9h'))) AS alerts UNION ALL SELECT 2L, array(named_struct('on', 'failure', 'config', map('duration', '1h')))""")
+    assert {r.job_id: r.sla_seconds for r in runs.with_sla_seconds(jobs).collect()} == {1: 5400, 2: 0}
