@@ -22,9 +22,9 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("bench").config("spark.driver.memory", "16g")
-    for key, value in {**session.SETTINGS, "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false"}.items():
+    local = {"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false"}
+    for key, value in {**session.SETTINGS, **session.NEW_SESSION, **local}.items():
         builder = builder.config(key, value)
-    builder = builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{folder}/orders.parquet").groupBy("o_orderstatus").count().collect()

@@ -92,7 +92,9 @@ def upstream_times(runs: DataFrame, edges: DataFrame, jobs: DataFrame) -> DataFr
     They follow from the upstream's expression and the run's time: no as-of join is needed.
     """
     plans = cron.with_plan(jobs.selectExpr("job_id AS upstream_id", "cron AS up_cron", "start_at AS up_start"), "up_cron")
-    pairs = edges.selectExpr("dst AS job_id", "src AS upstream_id").join(plans, "upstream_id")
+    # Each edge meets every run of its job: the edges are spread evenly first.
+    spread = edges.repartition(edges.sparkSession.sparkContext.defaultParallelism)
+    pairs = spread.selectExpr("dst AS job_id", "src AS upstream_id").join(plans, "upstream_id")
     step = runs.select(*RUN).join(pairs, "job_id")
     at = f"IF({cron.matches('plan', 'scheduled_at')}, scheduled_at, {cron.prev_time('plan', 'scheduled_at')})"
     step = step.selectExpr("*", f"{at} AS last_upstream")

@@ -23,10 +23,17 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+# Settings only a new session can take: drop checkpoints nothing refers to any more, and do not record
+# the Python call site of every expression (building long expressions is several times faster).
+NEW_SESSION = {
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
 
 def build(app: str = "flowtables", **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
-    for key, value in {**SETTINGS, **extra}.items():
+    for key, value in {**SETTINGS, **NEW_SESSION, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -19,11 +19,11 @@ def spark(tmp_path_factory):
     builder = SparkSession.builder.master("local[8]").appName("tests")
     settings = {
         **session.SETTINGS,
+        **session.NEW_SESSION,
         "spark.sql.shuffle.partitions": "4",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
         "spark.sql.warehouse.dir": str(warehouse),
-        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for key, value in settings.items():
         builder = builder.config(key, value)

@@ -130,3 +130,77 @@ def test_logical_and_execution_time(spark):
     rows = spark.createDataFrame([("@midnight",)], "e string").selectExpr("e", "TIMESTAMP '2022-01-01 01:01:01' AS s", "TIMESTAMP '2022-01-01 00:00:00' AS exact")
     row = cron.with_plan(rows, "e").selectExpr(f"{cron.prev_time('plan', 's')} AS a", f"{cron.prev_time('plan', 'exact')} AS b", f"{cron.matches('plan', 'exact')} AS m").first()
     assert str(row.a) == "2022-01-01 00:00:00" and str(row.b) == "2021-12-31 00:00:00" and row.m
+
+
+def _by_hand(expr, start, minutes):
+    """Schedule minutes of an expression, checked minute by minute."""
+    from datetime import timedelta
+
+    def allowed(field, low, high):
+        values, star = set(), False
+        for part in field.split(","):
+            span, _, step = part.partition("/")
+            n = int(step or 1)
+            if span == "*":
+                a, b, star = low, high, star or n == 1
+            elif "-" in span:
+                a, b = map(int, span.split("-"))
+            else:
+                a = int(span)
+                b = high if step else a
+            values |= set(range(a, b + 1, n))
+        return values, star
+
+    m, h, d, mo, w = expr.split()
+    (m, _), (h, _), (d, d_any), (mo, _), (w, w_any) = allowed(m, 0, 59), allowed(h, 0, 23), allowed(d, 1, 31), allowed(mo, 1, 12), allowed(w, 0, 6)
+    out = []
+    for i in range(minutes + 1):
+        t = start + timedelta(minutes=i)
+        day, week = t.day in d, (t.weekday() + 1) % 7 in w
+        if t.minute in m and t.hour in h and t.month in mo and ((day and week) if d_any or w_any else (day or week)):
+            out.append(t)
+    return out
+
+
+def test_random_schedules_equal_a_check_of_every_minute(spark):
+    import random
+    from datetime import datetime
+
+    rng = random.Random(11)
+
+    def field(low, high):
+        parts = []
+        for _ in range(rng.choice([1, 1, 2])):
+            a = rng.randint(low, high)
+            parts.append(rng.choice(["*", f"*/{rng.randint(1, 9)}", str(a), f"{a}-{rng.randint(a, high)}", f"{a}/{rng.randint(1, 9)}", f"{a}-{high}/{rng.randint(1, 5)}"]))
+        return ",".join(parts)
+
+    exprs = sorted({" ".join([field(0, 59), field(0, 23), rng.choice(["*", field(1, 31)]), rng.choice(["*", field(1, 12)]), rng.choice(["*", field(0, 6)])]) for _ in range(60)})
+    rows = spark.createDataFrame([(e,) for e in exprs], "e string")
+    start = datetime(2024, 2, 25)
+    got = cron.explode_schedule(rows, "e", "'2024-02-25'", "'2024-03-06'", "at").groupBy("e").count()
+    assert {r.e: r["count"] for r in got.collect()} == {e: len(x) for e in exprs if (x := _by_hand(e, start, 10 * 1440))}
+
+    probe = "TIMESTAMP '2024-02-28 13:17:30'"
+    steps = cron.with_plan(rows, "e").selectExpr("e", f"{cron.prev_time('plan', probe)} AS p", f"{cron.next_time('plan', probe)} AS n").collect()
+    middle = datetime(2024, 2, 28, 13, 17, 30)
+    for r in steps:
+        times = _by_hand(r.e, start, 10 * 1440)
+        before, after = [t for t in times if t < middle], [t for t in times if t > middle]
+        assert not before or r.p == before[-1]
+        assert not after or r.n == after[0]
+
+
+@pytest.mark.parametrize("size,offset,unit", [("168h", "0", "d"), ("36h", "-90m", ""), ("1M24h", "1h", "w"), ("1.5s", "0", "h")])
+def test_window_aggregates_equal_a_range_join(spark, tables, size, offset, unit):
+    from pyspark.sql import functions as F
+
+    from flowtables.plans import incremental
+
+    runs = incremental.run_windows(spark, cron_expr="17 */8 * * *", start="2024-01-05", end="2024-01-25", version=2, size=size, offset=offset, unit=unit)
+    events = tables.events.selectExpr("ts", "CAST(value AS DECIMAL(18, 4)) AS value")
+    got = incremental.aggregate_windows(events, "ts", runs, {"n": F.lit(1)}, {"total": F.col("value")})
+    stamped = events.withColumn("at", F.col("ts").cast("timestamp"))
+    want = runs.join(stamped, F.expr("at >= window_start AND at < window_end")).groupBy("scheduled_at").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    rows = lambda df: sorted((r.scheduled_at, r.n, r.total) for r in df.collect())
+    assert rows(got) == rows(want)
