@@ -15,7 +15,6 @@ def profile(df: DataFrame, columns: Sequence[str], group: str | None = None) ->
     rows share costs no more than a rare one and the exact distinct counts need no wide expansion.
     """
     group_key = F.col(group) if group else F.lit("all")
-    kinds = dict(df.dtypes)
     base = df.select(group_key.alias("group_value"), *columns)
     per_column = [f"'{c}', CAST(`{c}` AS STRING)" for c in columns]
     values = base.selectExpr("group_value", f"stack({len(columns)}, {', '.join(per_column)}) AS (column_name, v)")
@@ -24,7 +23,7 @@ def profile(df: DataFrame, columns: Sequence[str], group: str | None = None) ->
         .groupBy("group_value", "column_name")
         .agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("n_nulls"), F.count("v").alias("n_distinct"))
     )
-    limits = base.groupBy("group_value").agg(*[f(c).alias(f"__{f.__name__}_{c}") for c in columns if kinds[c] for f in (F.min, F.max)])
+    limits = base.groupBy("group_value").agg(*[f(c).alias(f"__{f.__name__}_{c}") for c in columns for f in (F.min, F.max)])
     limits = limits.selectExpr(
         "group_value",
         f"stack({len(columns)}, {', '.join(f"'{c}', CAST(`__min_{c}` AS STRING), CAST(`__max_{c}` AS STRING)" for c in columns)}) AS (column_name, min_value, max_value)",

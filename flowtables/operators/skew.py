@@ -27,9 +27,9 @@ def _binned(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFra
 
     Stored once, because the cuts come from a sample and both uses of the bins must see the same ones.
     """
-    rows = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bins = session.shuffle_pieces(df.sparkSession)
     spread = [c for c in df.columns if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
-    ranged = df.withColumn("__tie", F.xxhash64(*spread)).repartitionByRange(rows, *keys, *order, "__tie")
+    ranged = df.withColumn("__tie", F.xxhash64(*spread)).repartitionByRange(bins, *keys, *order, "__tie")
     return session.cut_lineage(ranged.withColumn("__bin", F.spark_partition_id()))
 
 
@@ -111,9 +111,9 @@ def blocks_of(start: str, end: str) -> str:
     """
     state = f"""aggregate(sequence(0, {_TOP - 1}), named_struct('a', CAST(ceil(unix_micros({start}) / 1e6) AS BIGINT), 'b', CAST(floor(unix_micros({end}) / 1e6) AS BIGINT) + 1,
         'out', CAST(array() AS ARRAY<STRUCT<level: INT, block: BIGINT>>)),
-        (__s, __k) -> named_struct('a', (__s.a + __s.a % 2) DIV 2, 'b', (__s.b - __s.b % 2) DIV 2, 'out', concat(__s.out,
-            IF(__s.a < __s.b AND __s.a % 2 = 1, array(named_struct('level', __k, 'block', __s.a)), array()),
-            IF(__s.a + __s.a % 2 < __s.b AND __s.b % 2 = 1, array(named_struct('level', __k, 'block', __s.b - 1)), array()))),
+        (__s, __k) -> named_struct('a', (__s.a + pmod(__s.a, 2)) DIV 2, 'b', (__s.b - pmod(__s.b, 2)) DIV 2, 'out', concat(__s.out,
+            IF(__s.a < __s.b AND pmod(__s.a, 2) = 1, array(named_struct('level', __k, 'block', __s.a)), array()),
+            IF(__s.a + pmod(__s.a, 2) < __s.b AND pmod(__s.b, 2) = 1, array(named_struct('level', __k, 'block', __s.b - 1)), array()))),
         __s -> concat(__s.out, IF(__s.a < __s.b, transform(sequence(__s.a, __s.b - 1), __x -> named_struct('level', {_TOP}, 'block', __x)), array())))"""
     return f"IF({start} <= {end}, {state}, CAST(array() AS ARRAY<STRUCT<level: INT, block: BIGINT>>))"
 

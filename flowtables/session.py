@@ -12,8 +12,7 @@ from pyspark.sql import types as T
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
-# One place for the settings every job relies on. Shuffle partition counts are left to
-# the cluster: adaptive execution coalesces small ones and splits skewed ones.
+# One place for the settings every job relies on. Partition counts depend on the data: see ``sizing``.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -31,9 +30,31 @@ NEW_SESSION = {
 }
 
 
-def build(app: str = "flowtables", **extra: str) -> SparkSession:
+def sizing(input_bytes: int) -> dict[str, str]:
+    """Partition counts for an input of this size.
+
+    Shuffles start with pieces of about 256 MB, which adaptive execution merges where data shrank;
+    scans of more than 10 TB take larger splits, so that the number of tasks stays in the low hundred thousands.
+    """
+    pieces = min(max(input_bytes // (256 << 20), 200), 400_000)
+    split = 512 if input_bytes > 10 << 40 else 128
+    return {
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(pieces),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+        "spark.sql.files.maxPartitionBytes": f"{split}m",
+    }
+
+
+def shuffle_pieces(spark: SparkSession) -> int:
+    """How many partitions a shuffle starts with in this session."""
+    first = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return int(first or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def build(app: str = "flowtables", input_bytes: int | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
-    for key, value in {**SETTINGS, **NEW_SESSION, **extra}.items():
+    sized = sizing(input_bytes) if input_bytes else {}
+    for key, value in {**SETTINGS, **NEW_SESSION, **sized, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -33,9 +33,6 @@ def canonical(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.sort_values(list(pdf.columns)).reset_index(drop=True) if len(pdf.columns) else pdf
 
 
-KIND = {"i": "int", "u": "int", "f": "float", "b": "bool", "M": "ts"}
-
-
 def mismatch(spark_pdf: pd.DataFrame, duck_pdf: pd.DataFrame) -> str | None:
     if sorted(spark_pdf.columns) != sorted(duck_pdf.columns):
         return f"columns {sorted(spark_pdf.columns)} != {sorted(duck_pdf.columns)}"

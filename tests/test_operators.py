@@ -362,3 +362,22 @@ def test_first_sla_alert_with_a_duration_counts(spark):
     jobs = spark.sql("""SELECT 1L AS job_id, array(named_struct('on', 'sla_miss', 'config', map('x', '1h')), named_struct('on', 'sla_miss', 'config', map('duration', '1h30m')),
         named_struct('on', 'sla_miss', 'config', map('duration', '9h'))) AS alerts UNION ALL SELECT 2L, array(named_struct('on', 'failure', 'config', map('duration', '1h')))""")
     assert {r.job_id: r.sla_seconds for r in runs.with_sla_seconds(jobs).collect()} == {1: 5400, 2: 0}
+
+
+def test_tables_stored_by_key_join_without_a_shuffle(spark, tables):
+    managed.store_by_key(tables.runs_v, "runs_by_job", "job_id", 4)
+    managed.store_by_key(tables.jobs_v, "jobs_by_job", "job_id", 4)
+    joined = spark.table("runs_by_job").hint("merge").join(spark.table("jobs_by_job"), "job_id").groupBy("job_id").agg(F.count("*").alias("n"))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    same(joined, tables.runs_v.join(tables.jobs_v, "job_id").groupBy("job_id").agg(F.count("*").alias("n")))
+    for name in ("runs_by_job", "jobs_by_job"):
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_sizing_grows_with_the_input():
+    from flowtables import session
+
+    small, large = session.sizing(1 << 30), session.sizing(100 << 40)
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert small[key] == "200" and int(large[key]) == 400_000 and large["spark.sql.files.maxPartitionBytes"] == "512m"
