@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowtables.llm import common, exact_dedup
+from flowtables.llm import common, exact_dedup, mixing, packing, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +38,37 @@ FROM t WINDOW w AS (PARTITION BY norm)""",
 def _exact_dedup(table):
     """Every document with the row that stays for its text."""
     return exact_dedup.find_copies(table("documents"))
+
+
+@query("op6_token_files")
+def _token_files(table):
+    """Ids of every document, written as byte planes and read back."""
+    return token_files.read_index(token_files.write(table("documents"), public_tokenizers.path("byte_bpe_50k.json"), how="spaced", end_id=0))
+
+
+@query("op7_packing")
+def _packing(table):
+    """Every document cut into sequences whose lengths are powers of two."""
+    return packing.pack(table("documents"), public_tokenizers.path("word_bpe_49k.json"), how="words", end_id=1)
+
+
+@query(
+    "op4_mixing",
+    r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS mixed FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][(rank - 1) % 3 + 1] AS weight, [0.5::DOUBLE, 0.0, -0.5][(rank - 1) % 3 + 1] AS slope FROM s),
+l AS (SELECT w.*, (SELECT CAST(sum(x.source_size) AS DOUBLE) FROM w x) - coalesce((SELECT sum(3 * x.source_size) FROM w x WHERE (3 * x.source_size / x.weight, x.rank) < (3 * w.source_size / w.weight, w.rank)), 0) AS rest,
+        (SELECT sum(x.weight) FROM w x WHERE (3 * x.source_size / x.weight, x.rank) >= (3 * w.source_size / w.weight, w.rank)) AS among FROM w),
+f AS (SELECT rest, among FROM l WHERE rest * weight <= 3 * source_size * among ORDER BY 3 * source_size / weight, rank LIMIT 1),
+t AS (SELECT l.source, l.source_size, l.slope, CASE WHEN l.rest * l.weight <= 3 * l.source_size * l.among THEN f.rest * l.weight / f.among ELSE CAST(3 * l.source_size AS DOUBLE) END AS target FROM l, f),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.slope, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.mixed, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, CASE WHEN source_size = 0 THEN 1 ELSE least(3, greatest(0, floor((target - start - size / 2) / source_size) + 1)) END AS copies,
+        CASE WHEN target > 0 THEN start / target ELSE 0.0 END AS asked FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * copies AS BIGINT) AS taken,
+  CASE WHEN copies > 0 THEN CASE WHEN slope = 0 THEN asked ELSE (1 + slope - sqrt(greatest(0.0, (1 + slope) * (1 + slope) - 4 * slope * asked))) / (2 * slope) END END AS first_time
+FROM c""",
+)
+def _mixing(table):
+    """What the mix takes of every document, and when it is first read."""
+    return mixing.plan_mix(table("documents"))
