@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowtables.llm import common, exact_dedup, mixing, packing, token_files
+from flowtables.llm import common, exact_dedup, mixing, near_dedup, packing, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,9 @@ FROM c""",
 def _mixing(table):
     """What the mix takes of every document, and when it is first read."""
     return mixing.plan_mix(table("documents"))
+
+
+@query("op2_near_dedup")
+def _near_dedup(table):
+    """Every document with its group of near copies."""
+    return near_dedup.find_near_copies(table("documents"), words=4, percent=80)
