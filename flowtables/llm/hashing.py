@@ -1,6 +1,6 @@
 """Hashes of words and shingles of many texts at once, with numpy.
 
-A word is a run of bytes that are not white space; A-Z count as a-z. Hashes are 64 bits wide. Long texts are
+A word is a run of bytes that are not white space, or, with ``plain``, of letters, digits and bytes beyond ASCII; A-Z count as a-z. Hashes are 64 bits wide. Long texts are
 cut at white space into segments, so working memory follows the segment, not the text.
 """
 
@@ -22,6 +22,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_IS_PLAIN_BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,11 +47,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _segment_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _segment_words(data: np.ndarray, cuts: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of adjoining texts and the number of words of each; ``cuts`` are the texts' ends."""
     data = _LOWER[data]
     inside = np.zeros(len(data) + 2, bool)
-    np.logical_not(_IS_SPACE[data], out=inside[1:-1])
+    np.logical_not(breaks[data], out=inside[1:-1])
     border = np.zeros(len(data) + 1, bool)
     border[cuts] = True
     border[0] = True
@@ -75,18 +76,19 @@ def _segments(text: bytes) -> Iterable[bytes]:
     yield text[at:]
 
 
-def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+def word_hashes(texts: list[bytes], plain: bool = False) -> list[np.ndarray]:
     """The word hashes of each text, in order."""
     out: list[list[np.ndarray]] = [[] for _ in texts]
     held: list[bytes] = []
     owners: list[int] = []
     size = 0
+    breaks = _IS_PLAIN_BREAK if plain else _IS_SPACE
 
     def flush() -> None:
         nonlocal held, owners, size
         if held:
             data = np.frombuffer(b"".join(held), np.uint8)
-            hashes, counts = _segment_words(data, np.cumsum([len(x) for x in held]))
+            hashes, counts = _segment_words(data, np.cumsum([len(x) for x in held]), breaks)
             for owner, part in zip(owners, np.split(hashes, np.cumsum(counts)[:-1]), strict=True):
                 out[owner].append(part)
         held, owners, size = [], [], 0

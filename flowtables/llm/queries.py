@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowtables.llm import common, exact_dedup, mixing, near_dedup, packing, token_files
+from flowtables.llm import common, exact_dedup, language, mixing, near_dedup, packing, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,15 @@ def _mixing(table):
 def _near_dedup(table):
     """Every document with its group of near copies."""
     return near_dedup.find_near_copies(table("documents"), words=4, percent=80)
+
+
+@query("op3_toxicity")
+def _toxicity(table):
+    """Every document's toxicity; a fifth of the ids is held out of the fit."""
+    return toxicity.score_with_held_out(table("documents"), table("labels"), folds=5, held=0)
+
+
+@query("op10_language")
+def _language(table):
+    """Every document's language; a quarter of the ids is held out of the fit."""
+    return language.predict_with_held_out(table("documents"), folds=4, held=2)
