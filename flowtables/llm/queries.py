@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowtables.llm import common, exact_dedup, language, mixing, near_dedup, packing, token_files, toxicity
+from flowtables.llm import common, exact_dedup, language, mixing, near_dedup, packing, token_files, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +91,17 @@ def _toxicity(table):
 def _language(table):
     """Every document's language; a quarter of the ids is held out of the fit."""
     return language.predict_with_held_out(table("documents"), folds=4, held=2)
+
+
+@query(
+    "op9_topk",
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+)
+def _topk(table):
+    """The ten best other rows of every hundredth vector."""
+    return topk.top_k(table("embeddings"), F.col("vec_id") % 100 == 0, k=10)
