@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtables.llm import common, exact_dedup, language, mixing, near_dedup, packing, token_files, topk, toxicity
+from flowtables.llm import common, exact_dedup, html_text, language, mixing, near_dedup, packing, token_files, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
 def _topk(table):
     """The ten best other rows of every hundredth vector."""
     return topk.top_k(table("embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op8_html_text")
+def _html_text(table):
+    """The main text of every page."""
+    return html_text.extract_text(table("pages"))
