@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtables.llm import common, exact_dedup, html_text, language, mixing, near_dedup, packing, token_files, topk, toxicity
+from flowtables.llm import common, exact_dedup, html_text, language, mixing, near_dedup, packing, pii, token_files, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +111,9 @@ def _topk(table):
 def _html_text(table):
     """The main text of every page."""
     return html_text.extract_text(table("pages"))
+
+
+@query("op1_pii")
+def _pii(table):
+    """Spans of personal data in every document."""
+    return pii.report(table("documents"))
