@@ -28,9 +28,14 @@ def tables_in_sql(df: DataFrame, sql: str, own: str | None = None, into: str = "
     return rows.where(f"{own} IS NULL OR {into} <> {own}") if own else rows
 
 
+def active(jobs: DataFrame) -> DataFrame:
+    """Deleted jobs neither need upstreams nor provide them. A registry without ``is_deleted`` has none."""
+    return jobs.where("NOT coalesce(is_deleted, false)") if "is_deleted" in jobs.columns else jobs
+
+
 def declared(jobs: DataFrame, sources: DataFrame, static: DataFrame) -> DataFrame:
-    """What each job declares: static names (split into project and job) and source tables, unresolved."""
-    owners = jobs.select("job_id", "project", "name")
+    """What each active job declares: static names (split into project and job) and source tables, unresolved."""
+    owners = active(jobs).select("job_id", "project", "name")
     by_name = skew.join_many_to_one(static, owners, ["job_id"]).selectExpr(
         "job_id",
         f"{N.upstream_project('static_upstream', 'project')} AS upstream_project",
@@ -38,7 +43,7 @@ def declared(jobs: DataFrame, sources: DataFrame, static: DataFrame) -> DataFram
         "CAST(NULL AS STRING) AS resource",
         "'static' AS type",
     )
-    by_table = sources.selectExpr(
+    by_table = skew.join_many_to_one(sources, owners.select("job_id"), ["job_id"]).selectExpr(
         "job_id", "CAST(NULL AS STRING) AS upstream_project", "CAST(NULL AS STRING) AS upstream_job", "source AS resource", "'inferred' AS type"
     )
     return by_name.unionByName(by_table)
@@ -46,13 +51,13 @@ def declared(jobs: DataFrame, sources: DataFrame, static: DataFrame) -> DataFram
 
 def resolve_static(wanted: DataFrame, jobs: DataFrame) -> DataFrame:
     """Declared names matched with jobs by (project, name): two equalities instead of an OR condition."""
-    found = jobs.selectExpr("project AS upstream_project", "name AS upstream_job", "destination", "namespace AS upstream_namespace", "job_id AS upstream_id")
+    found = active(jobs).selectExpr("project AS upstream_project", "name AS upstream_job", "destination", "namespace AS upstream_namespace", "job_id AS upstream_id")
     return skew.join_many_to_one(wanted.where("type = 'static'"), found, ["upstream_project", "upstream_job"])
 
 
 def resolve_inferred(wanted: DataFrame, jobs: DataFrame) -> DataFrame:
     """Source tables matched with the jobs that write them, in any project."""
-    found = jobs.selectExpr(
+    found = active(jobs).selectExpr(
         "destination AS resource", "project AS p", "name AS n", "destination", "namespace AS upstream_namespace", "job_id AS upstream_id"
     )
     hit = skew.join_many_to_one(wanted.where("type = 'inferred'").drop("upstream_project", "upstream_job"), found, ["resource"])
@@ -60,8 +65,8 @@ def resolve_inferred(wanted: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def first_producer(jobs: DataFrame) -> DataFrame:
-    """One job per destination: the lowest (project, name)."""
-    return jobs.groupBy("destination").agg(
+    """One active job per destination: the lowest (project, name)."""
+    return active(jobs).groupBy("destination").agg(
         F.min_by(F.struct("project", "name", "namespace", "job_id"), F.struct("project", "name")).alias("j")
     ).select("destination", "j.*")
 
@@ -72,7 +77,7 @@ def resolve(wanted: DataFrame, jobs: DataFrame, prefer: str = "name", hot_tables
     ``prefer`` is the match tried first: ``name`` for whole registries, ``destination`` for a single job.
     ``hot_tables`` are the tables a very large number of jobs read (``skew.hot_keys``).
     """
-    by_name = jobs.selectExpr("project AS __project", "name AS __name", "struct(project, name, namespace, destination) AS by_name")
+    by_name = active(jobs).selectExpr("project AS __project", "name AS __name", "struct(project, name, namespace, destination) AS by_name")
     by_dest = first_producer(jobs).selectExpr("destination AS __table", "struct(project, name, namespace, destination) AS by_destination")
     step = wanted.withColumns(
         {
@@ -124,7 +129,7 @@ def resolve_elsewhere(edges: DataFrame, registries: dict[str, DataFrame]) -> Dat
     """
     other = None
     for host, jobs in registries.items():
-        part = jobs.selectExpr("project", "name", "namespace", "destination", f"'{host}' AS host")
+        part = active(jobs).selectExpr("project", "name", "namespace", "destination", f"'{host}' AS host")
         other = part if other is None else other.unionByName(part)
     by_name = other.selectExpr("project AS __project", "name AS __name", "struct(project, name, namespace, destination, host) AS by_name")
     by_dest = other.selectExpr("destination AS __table", "struct(project, name, namespace, destination, host) AS by_table")
@@ -156,30 +161,31 @@ def unresolved_errors(edges: DataFrame) -> DataFrame:
 
 
 def downstream_by_destination(jobs: DataFrame, sources: DataFrame) -> DataFrame:
-    """(job, reader) where the reader, in the same project, reads the job's destination."""
-    readers = skew.join_many_to_one(sources, jobs.select("job_id", "project"), ["job_id"])
+    """(job, reader) where the reader, active and in the same project, reads the job's destination."""
+    readers = skew.join_many_to_one(sources, active(jobs).select("job_id", "project"), ["job_id"])
     producers = jobs.selectExpr("destination AS source", "project", "job_id AS producer_id")
     return skew.join_many_to_one(readers, producers, ["source", "project"]).selectExpr("producer_id", "job_id AS downstream_id")
 
 
 def downstream_by_sources(jobs: DataFrame, sources: DataFrame, resources: DataFrame) -> DataFrame:
-    """Jobs of all projects that read any of the given tables."""
+    """Active jobs of all projects that read any of the given tables."""
     # Readers are reduced to distinct jobs inside each salt-free semi join; no pair is produced.
     reading = sources.join(resources.select("source"), "source", "left_semi").select("job_id").distinct()
-    return jobs.join(reading, "job_id", "left_semi")
+    return active(jobs).join(reading, "job_id", "left_semi")
 
 
 def downstream_by_job(edges: DataFrame, jobs: DataFrame) -> DataFrame:
     """Stored edges whose reading job is active."""
-    active = jobs.where("NOT is_deleted").selectExpr("job_id AS dst", "name AS downstream_name", "project AS downstream_project")
-    return skew.join_many_to_one(edges, active, ["dst"])
+    readers = active(jobs).selectExpr("job_id AS dst", "name AS downstream_name", "project AS downstream_project")
+    return skew.join_many_to_one(edges, readers, ["dst"])
 
 
 def same_destination(jobs: DataFrame) -> DataFrame:
-    """Jobs whose destination other jobs write too, with how many others and the lowest other name.
+    """Active jobs whose destination other active jobs write too, with how many others and another writer's name.
 
     The two lowest names per destination are enough to name another writer, so no pairs are made.
     """
+    jobs = active(jobs)
     writers = jobs.groupBy("destination").agg(
         F.count("*").alias("writers"), F.min("name").alias("first"), F.max("name").alias("last")
     ).where("writers > 1")

@@ -49,9 +49,9 @@ def dag_edges(t):
     return _resolved(t).join(jobs, "job_id").selectExpr("src AS upstream", "job").distinct()
 
 
-@query("dag_roots", f"WITH {DECLARED_SQL} SELECT job_id, name FROM jobs_v WHERE job_id NOT IN (SELECT job_id FROM deduped WHERE state = 'resolved')")
+@query("dag_roots", f"WITH {DECLARED_SQL} SELECT job_id, name FROM act WHERE job_id NOT IN (SELECT job_id FROM deduped WHERE state = 'resolved')")
 def dag_roots(t):
-    nodes = t.jobs_v.selectExpr("job_id AS node", "name")
+    nodes = lineage.active(t.jobs_v).selectExpr("job_id AS node", "name")
     return G.roots(_resolved(t).selectExpr("job_id AS dst"), nodes).selectExpr("node AS job_id", "name")
 
 

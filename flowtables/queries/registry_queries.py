@@ -192,7 +192,7 @@ def orphan_deployments(t):
 @query(
     "refresh_downstream",
     """WITH changed AS (SELECT destination AS urn FROM jobs_v WHERE job_id % 6 = 0 OR job_id % 7 = 0)
-SELECT project, count(*) AS n_jobs, min(name) AS first_job FROM jobs_v WHERE job_id IN (SELECT job_id FROM job_sources_v WHERE source IN (SELECT urn FROM changed)) GROUP BY project""",
+SELECT project, name FROM jobs_v WHERE NOT is_deleted AND job_id IN (SELECT job_id FROM job_sources_v WHERE source IN (SELECT urn FROM changed))""",
 )
 def refresh_downstream(t):
     before = t.jobs_v.selectExpr("destination AS urn", "IF(job_id % 2 = 0, cron, NULL) AS view_query", "w_size AS schema", "namespace AS source")
@@ -203,8 +203,7 @@ def refresh_downstream(t):
         "namespace AS source",
     )
     changed = registry.refresh_candidates(before, after).withColumnRenamed("urn", "source")
-    jobs = lineage.downstream_by_sources(t.jobs_v, t.job_sources_v, changed)
-    return jobs.groupBy("project").agg(F.count("*").alias("n_jobs"), F.min("name").alias("first_job"))
+    return lineage.downstream_by_sources(t.jobs_v, t.job_sources_v, changed).select("project", "name")
 
 
 # --- aggregates ---------------------------------------------------------------------
