@@ -1,7 +1,8 @@
 """Token ids of whole texts with the ``tokenizers`` library, remembering the ids of pieces seen before.
 
-Both public vocabularies cut texts at white space before anything else, so a text is split at places where a cut
-cannot change the result, and each piece is encoded by the library once per worker (as long as it is remembered).
+Both public vocabularies cut texts at white space before anything else, and letters from marks, so a text is split at
+places where a cut cannot change the result. Each piece is encoded by the library once per worker (as long as it is
+remembered); a piece that is one run of letters goes to the library's model directly, the rest through all its steps.
 """
 
 from __future__ import annotations
@@ -10,12 +11,19 @@ import os
 import re
 from array import array
 
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 LONGEST_REMEMBERED = 64
+MARKS = frozenset(",.;:!?")
 
 _between_words = re.compile(r"(?<=\S) (?=\S)")
+_over_line_end = re.compile(r"(\S+)\n(\S+)")
 _workers: dict[tuple[str, str], PieceEncoder] = {}
 
+# Fixed rule of byte-level vocabularies: printable Latin-1 stands for itself, the other bytes for 256, 257, ...
+_printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_others = [b for b in range(256) if b not in _printable]
+_byte_names = {b: chr(b) for b in _printable} | {b: chr(256 + k) for k, b in enumerate(_others)}
+
 
 class _Pieces(dict):
     """Ids of pieces as little-endian uint32 bytes; two generations bound the memory."""
@@ -42,7 +50,7 @@ class PieceEncoder:
 
     * ``spaced``: byte-level vocabularies, in which a word starts with its space. Cut before a single space between
       two characters that are not white space.
-    * ``words``: vocabularies that drop white space. Cut at every space, tab and line end.
+    * ``words``: vocabularies that drop white space and case. Cut at every space, tab and line end.
     """
 
     def __init__(self, path: str, how: str):
@@ -51,24 +59,44 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.how = how
+        self.model, self.how = self.tokenizer.model, how
         self.pieces = _Pieces(self._spaced if how == "spaced" else self._word)
+        self.bare = _Pieces(lambda piece: self._cut(piece, self.bare, ""))
         self.careful = _Pieces(lambda piece: self._library(" " + piece))
+        self.line_end = self._library("\n")
 
     def _library(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return array("I", ids).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        """One run of letters, with its leading space if it has one."""
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_byte_names))]).tobytes()
+
+    def _cut(self, piece: str, known: _Pieces, before: str) -> bytes:
+        if piece.isalpha():
+            return self._letters(before + piece)
+        if piece[-1] in MARKS and piece[:-1].isalpha():
+            return known[piece[:-1]] + self.bare[piece[-1]]
+        if over := _over_line_end.fullmatch(piece):
+            return known[over[1]] + self.line_end + self.bare[over[2]]
+        return self._library(before + piece)
 
     def _spaced(self, piece: str):
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return None  # white space beside the cut: the text takes the careful way
-        return self._library(" " + piece)
+        return self._cut(piece, self.pieces, " ")
 
     def _word(self, piece: str):
         if not piece:
             return b""
-        if piece.isascii() and not piece.islower() and piece.lower() != piece:
-            return self.pieces[piece.lower()]
+        if max(piece) <= "\xff":  # lower case is plain there, and nothing composes
+            lower = piece.lower()
+            if lower != piece:
+                return self.pieces[lower]
+            if piece.isalpha():
+                return self._letters(piece)
+            if piece[-1] in MARKS and piece[:-1].isalpha():
+                return self.pieces[piece[:-1]] + self.pieces[piece[-1]]
         return self._library(piece)
 
     def encode(self, text: str) -> bytes:
