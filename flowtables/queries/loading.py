@@ -10,20 +10,21 @@ from flowtables.queries.registry import query
 from flowtables.sources import loads
 
 DAILY = """SELECT CAST(ts AS DATE) AS day, user_id, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE) AS total FROM {events} GROUP BY CAST(ts AS DATE), user_id"""
-# The table as it is (up to the 19th) and a result for the 15th to the 24th that lacks the 18th.
-OLD, NEW = "day < DATE '2024-01-20'", "day BETWEEN DATE '2024-01-15' AND DATE '2024-01-24' AND day <> DATE '2024-01-18'"
-_SQL = f"""daily AS ({DAILY.format(events='events')}), old AS (SELECT * FROM daily WHERE {OLD}),
-new AS (SELECT day, user_id, n + 1000 AS n, total FROM daily WHERE {NEW} AND user_id % 3 <> 0)"""
+# The table as it is holds every day, those of user 7 without a day. The result holds every day again, changed, but
+# for the 18th; user 11 is new in it, users divisible by 3 are missing from it, and user 8 has lost the day.
+_OLD = "SELECT CASE WHEN user_id % 50 <> 7 THEN day END AS day, user_id, sum(n) AS n, sum(total) AS total FROM daily WHERE user_id % 50 <> 11 GROUP BY ALL"
+_NEW = "SELECT CASE WHEN user_id % 50 <> 8 THEN day END AS day, user_id, sum(n) + 1000 AS n, sum(total) AS total FROM daily WHERE user_id % 3 <> 0 AND day <> DATE '2024-01-18' GROUP BY ALL"
+_CAST = "SELECT day, user_id, CAST(n AS BIGINT) AS n, round(total, 2) AS total FROM"
+_SQL = f"daily AS ({DAILY.format(events='events')}), old AS ({_CAST} ({_OLD}) o), new AS ({_CAST} ({_NEW}) o)"
 
 
 def _target(t):
     """The target as stored before the load, and the result to load."""
     daily = t.sql(DAILY)
     path = session.scratch(t.spark, "target")
-    old = daily.where(OLD).select("user_id", "n", "total", "day")
-    loads.append(old, path, "day")
-    new = daily.where(f"{NEW} AND user_id % 3 <> 0").selectExpr("user_id", "n + 1000 AS n", "total", "day")
-    return path, new
+    old, new = (t.spark.sql(f"{_CAST} ({text.replace('FROM daily', 'FROM {daily}')}) o", daily=daily) for text in (_OLD, _NEW))
+    loads.append(old.select("user_id", "n", "total", "day"), path, "day")
+    return path, new.select("user_id", "n", "total", "day")
 
 
 def _back(t, path, new):
@@ -37,14 +38,14 @@ def load_append(t):
     return _back(t, path, new)
 
 
-@query("load_replace", f"WITH {_SQL}, final AS (SELECT * FROM old WHERE day NOT IN (SELECT day FROM new) UNION ALL SELECT * FROM new) SELECT CAST(day AS VARCHAR) AS day, user_id, n, total FROM final")
+@query("load_replace", f"WITH {_SQL}, final AS (SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.day IS NOT DISTINCT FROM old.day) UNION ALL SELECT * FROM new) SELECT CAST(day AS VARCHAR) AS day, user_id, n, total FROM final")
 def load_replace(t):
     path, new = _target(t)
     loads.replace(new, path, "day")
     return _back(t, path, new)
 
 
-@query("load_replace_filter", f"WITH {_SQL}, final AS (SELECT * FROM old WHERE day < DATE '2024-01-15' UNION ALL SELECT * FROM new) SELECT CAST(day AS VARCHAR) AS day, user_id, n, total FROM final")
+@query("load_replace_filter", f"WITH {_SQL}, final AS (SELECT * FROM old WHERE (day < DATE '2024-01-15' AND NOT EXISTS (SELECT 1 FROM new WHERE new.day = old.day)) OR (day IS NULL AND NOT EXISTS (SELECT 1 FROM new WHERE day IS NULL)) UNION ALL SELECT * FROM new) SELECT CAST(day AS VARCHAR) AS day, user_id, n, total FROM final")
 def load_replace_filter(t):
     """The 18th matches the filter and goes although the result has no rows for it."""
     path, new = _target(t)
@@ -59,24 +60,56 @@ def load_replace_all(t):
     return _back(t, path, new)
 
 
-@query("load_merge", f"WITH {_SQL}, final AS (SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.day = old.day AND new.user_id = old.user_id) UNION ALL SELECT * FROM new) SELECT CAST(day AS VARCHAR) AS day, user_id, n, total FROM final")
+@query("load_merge", f"WITH {_SQL}, final AS (SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.day IS NOT DISTINCT FROM old.day AND new.user_id = old.user_id) UNION ALL SELECT * FROM new) SELECT CAST(day AS VARCHAR) AS day, user_id, n, total FROM final")
 def load_merge(t):
     path, new = _target(t)
     loads.merge(new, path, "day", ["day", "user_id"])
     return _back(t, path, new)
 
 
-@query("load_replace_merge", f"WITH {_SQL}, m AS (SELECT coalesce(new.day, old.day) AS day, coalesce(new.user_id, old.user_id) AS user_id, coalesce(new.n, old.n) AS n, coalesce(new.total, old.total) AS total FROM old FULL JOIN new ON old.day = new.day AND old.user_id = new.user_id WHERE coalesce(new.day, old.day) IN (SELECT day FROM new)), final AS (SELECT * FROM m UNION ALL SELECT * FROM old WHERE day NOT IN (SELECT day FROM new)) SELECT CAST(day AS VARCHAR) AS day, user_id, n, total FROM final")
+@query("load_replace_merge", f"WITH {_SQL}, final AS (SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.day IS NOT DISTINCT FROM old.day AND new.user_id = old.user_id) UNION ALL SELECT * FROM new) SELECT CAST(day AS VARCHAR) AS day, user_id, n, total FROM final")
 def load_replace_merge(t):
     """The result itself reads the target: partitions are replaced by old and new rows merged."""
     path, new = _target(t)
     old = loads.read(t.spark, path, new)
-    touched = old.join(new.select("day").distinct(), "day", "left_semi")
-    kept = touched.join(new.select("day", "user_id"), ["day", "user_id"], "left_anti")
+    days, keys = new.selectExpr("day AS d").distinct(), new.selectExpr("day AS d", "user_id AS u")
+    touched = old.join(days, old.day.eqNullSafe(days.d), "left_semi")
+    kept = touched.join(keys, touched.day.eqNullSafe(keys.d) & (touched.user_id == keys.u), "left_anti")
     loads.replace_merge(kept.unionByName(new), path, "day")
     return _back(t, path, new)
 
 
+# Half days in folders whose names are escaped; user 5's rows move to the half before, those of user 6 have none.
+_HOURS = "SELECT event_id, user_id, CASE WHEN user_id % 60 <> 6 THEN date_trunc('day', ts) + CASE WHEN extract(hour FROM ts) >= 12 THEN INTERVAL '12' HOUR ELSE INTERVAL '0' HOUR END END AS h FROM events WHERE user_id % 4 <> 1"
+_MOVED = "SELECT event_id, user_id + 1000 AS user_id, CASE WHEN user_id % 60 <> 16 THEN date_trunc('day', ts) + CASE WHEN extract(hour FROM ts) >= 12 THEN INTERVAL '12' HOUR ELSE INTERVAL '0' HOUR END - CASE WHEN user_id % 60 = 5 THEN INTERVAL '12' HOUR ELSE INTERVAL '0' HOUR END END AS h FROM events WHERE user_id % 10 > 4"
+
+
+def _hours(t):
+    path = session.scratch(t.spark, "target")
+    old, new = (t.spark.sql(text.replace("FROM events", "FROM {events}"), events=t.events).selectExpr("event_id", "user_id", "CAST(h AS TIMESTAMP) AS h") for text in (_HOURS, _MOVED))
+    loads.append(old, path, "h")
+    return path, new
+
+
+_HOUR_SQL = f"old AS (SELECT * FROM ({_HOURS}) x), new AS (SELECT * FROM ({_MOVED}) x)"
+
+
+@query("load_merge_hours", f"WITH {_HOUR_SQL} SELECT * FROM old WHERE event_id NOT IN (SELECT event_id FROM new) UNION ALL SELECT * FROM new")
+def load_merge_hours(t):
+    """Half-day partitions and none: rows move between them."""
+    path, new = _hours(t)
+    loads.merge(new, path, "h", ["event_id"])
+    return loads.read(t.spark, path, new)
+
+
+@query("load_filter_hours", f"WITH {_HOUR_SQL} SELECT * FROM old WHERE h IS NOT NULL AND h < TIMESTAMP '2024-01-15 12:00:00' AND h NOT IN (SELECT h FROM new WHERE h IS NOT NULL) UNION ALL SELECT * FROM new")
+def load_filter_hours(t):
+    """From a certain noon on, and the rows without a time, all go; then the result comes."""
+    path, new = _hours(t)
+    loads.replace_filter(new, path, "h", "h IS NULL OR h >= TIMESTAMP '2024-01-15 12:00:00'")
+    return loads.read(t.spark, path, new)
+
+
 @query(
     "job_run",
     f"WITH daily AS ({DAILY.format(events='events')}) SELECT CAST(day AS VARCHAR) AS day, user_id, n FROM daily WHERE day = DATE '2024-01-14'",

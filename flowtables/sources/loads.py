@@ -1,32 +1,32 @@
 """Load methods: append, replace, replace by filter, replace all, merge.
 
-A result is first written to a staging folder and the target is changed from there, so nothing is
-ever overwritten while it is read, and a failing computation leaves the target alone. All methods but
-append give the same table when a run is repeated.
+``append`` and ``replace`` are one write that commits when it has succeeded. The other methods write their
+rows once, to a folder beside the target, and then exchange whole folders by renaming; the target is untouched
+until that write has succeeded, and the folder beside it is removed whether the load succeeds or fails. All methods but
+append give the same table when a run is repeated. NULL is a partition value and a key value like any other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowtables import session
 from flowtables.operators import registry
 
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 
-def stage(df: DataFrame) -> DataFrame:
-    """The rows, computed once and stored in the shared folder."""
-    path = session.scratch(df.sparkSession, "staging")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def _write(df: DataFrame, path: str, partition: str, mode: str, overwrite: str = "dynamic") -> None:
+def _write(df: DataFrame, path: str, partition: str, mode: str) -> None:
     # Rebalancing groups rows by partition but splits a partition that is too large for one task.
     balanced = df.hint("rebalance", partition)
-    balanced.write.mode(mode).option("partitionOverwriteMode", overwrite).partitionBy(partition).parquet(path)
+    balanced.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 def read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -39,65 +39,131 @@ def append(df: DataFrame, path: str, partition: str) -> None:
 
 def replace(df: DataFrame, path: str, partition: str) -> None:
     """The partitions present in the result are replaced."""
-    _write(stage(df), path, partition, "overwrite")
+    _write(df, path, partition, "overwrite")
 
 
 def replace_all(df: DataFrame, path: str, partition: str) -> None:
-    _write(stage(df), path, partition, "overwrite", overwrite="static")
+    """The whole table is exchanged once the new one is complete."""
+    spark = df.sparkSession
+    with _beside(spark, path) as incoming, _beside(spark, path) as outgoing:
+        _write(df, incoming, partition, "overwrite")
+        fs, target = _folder(spark, path)
+        if fs.exists(target):
+            _rename(spark, path, outgoing)
+        try:
+            _rename(spark, incoming, path)
+        except OSError:
+            if fs.exists(_folder(spark, outgoing)[1]):
+                _rename(spark, outgoing, path)
+            raise
 
 
 def replace_filter(df: DataFrame, path: str, partition: str, matches: str) -> None:
-    """Partitions that match the SQL condition go, also those the result has no rows for; then the result is written."""
+    """Partitions that match the SQL condition go, also those the result has no rows for; then the result takes their place."""
     spark = df.sparkSession
-    kind = df.schema[partition].dataType
-    staged = stage(df)
-    existing = partitions(spark, path, partition)
-    listed = spark.createDataFrame([(v,) for v in existing], "v string").select("v", F.col("v").cast(kind).alias(partition))
-    for row in listed.where(matches).select("v").collect():
-        drop_partition(spark, path, partition, row.v)
-    _write(staged, path, partition, "overwrite")
+    with _beside(spark, path) as incoming:
+        _write(df, incoming, partition, "overwrite")
+        listed = partitions(spark, path, partition)
+        values = spark.createDataFrame([(n, v) for n, v in listed.items()], "name string, v string")
+        values = values.select("name", F.col("v").try_cast(df.schema[partition].dataType).alias(partition))
+        _exchange(spark, incoming, path, partition, [r["name"] for r in values.where(matches).collect()])
 
 
 def merge(source: DataFrame, path: str, partition: str, keys: Sequence[str]) -> None:
     """Rows of the source replace target rows with the same key or are added; other rows stay.
 
-    Only partitions that hold a source row or a row it replaces are rewritten. Repeated source keys
-    are an error.
+    Only partitions that hold a source row or a row it replaces are read for the result and rewritten; where the
+    partition is one of the keys, no other partition is read at all. Repeated source keys are an error.
     """
-    spark, keys = source.sparkSession, list(keys)
-    source = stage(source)
-    if not registry.repeated_keys(source, keys).isEmpty():
-        raise ValueError(f"source has several rows for one key ({', '.join(keys)})")
-    target = read(spark, path, source)
-    replaced_in = target.join(source.select(*keys), keys, "left_semi").select(partition)
-    touched = session.cut_lineage(source.select(partition).unionByName(replaced_in).distinct())
-    kept = target.join(touched, partition, "left_semi").join(source.select(*keys), keys, "left_anti")
-    result = stage(kept.unionByName(source))
-    emptied = touched.join(result.select(partition).distinct(), partition, "left_anti")
-    for row in emptied.select(F.col(partition).cast("string").alias("v")).collect():
-        drop_partition(spark, path, partition, row.v)
-    _write(result, path, partition, "overwrite")
+    spark, keys, given = source.sparkSession, list(keys), source
+    with _beside(spark, path) as staged, _beside(spark, path) as incoming:
+        given.write.parquet(staged)
+        source = spark.read.schema(given.schema).parquet(staged)
+        if not registry.repeated_keys(source, keys).isEmpty():
+            raise ValueError(f"source has several rows for one key ({', '.join(keys)})")
+        target = read(spark, path, source) if partitions(spark, path, partition) else source.limit(0)
+        replacing = source.select(*[F.col(k).alias(f"__{k}") for k in keys])
+        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+        touched = source.select(partition)
+        if partition not in keys:
+            touched = touched.unionByName(target.join(replacing, same, "left_semi").select(partition))
+        # Values of partitions: as many as the table has folders at most.
+        values = [r[0] for r in touched.select(F.col(partition).cast("string")).distinct().collect()]
+        kept = target.where(_is_any(partition, values, source)).join(replacing, same, "left_anti")
+        _write(kept.unionByName(source), incoming, partition, "overwrite")
+        kind = source.schema[partition].dataType
+        listed = spark.createDataFrame(list(partitions(spark, path, partition).items()), "name string, v string")
+        listed = listed.select("name", F.col("v").try_cast(kind).alias(partition)).where(_is_any(partition, values, source))
+        _exchange(spark, incoming, path, partition, [r["name"] for r in listed.collect()])
 
 
 replace_merge = replace
 
 
-# --- partition folders --------------------------------------------------------------
+def _is_any(partition: str, values: list[str | None], like: DataFrame) -> Column:
+    """A condition on literal values, which prunes partitions."""
+    kind = like.schema[partition].dataType
+    known = F.col(partition).isin(*[F.lit(v).cast(kind) for v in values if v is not None]) if any(v is not None for v in values) else F.lit(False)
+    return known | F.col(partition).isNull() if None in values else known
+
+
+# --- folders ------------------------------------------------------------------------
 
 
 def _folder(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    fs, source = _folder(spark, old)
+    if not fs.rename(source, _folder(spark, new)[1]):
+        raise OSError(f"cannot move {old} to {new}")
+
+
+@contextmanager
+def _beside(spark: SparkSession, path: str) -> Iterator[str]:
+    """A name for a folder beside a table; what is there in the end is deleted."""
+    head, _, name = path.rstrip("/").rpartition("/")
+    beside = f"{head}/.{name}-{uuid.uuid4().hex}"
+    try:
+        yield beside
+    finally:
+        fs, folder = _folder(spark, beside)
+        fs.delete(folder, True)
 
 
-def partitions(spark: SparkSession, path: str, partition: str) -> list[str]:
-    """Partition values of a stored table, from its folder names; no file is read."""
+def partitions(spark: SparkSession, path: str, partition: str) -> dict[str, str | None]:
+    """Partitions of a stored table from its folders, without reading a file: folder name -> value (None for NULL)."""
     fs, folder = _folder(spark, path)
     names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-    return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{partition}="))
+    values = {n: unquote(n.split("=", 1)[1]) for n in sorted(names) if n.startswith(f"{partition}=")}
+    return {n: None if v == NULL_FOLDER else v for n, v in values.items()}
+
+
+def drop_partitions(spark: SparkSession, path: str, names: Sequence[str]) -> None:
+    """Deletes partition folders by the names ``partitions`` gives."""
+
+    def drop(name: str) -> None:
+        fs, folder = _folder(spark, path)
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, spark._jvm.org.apache.hadoop.fs.Path(None, None, name)), True)
+
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(drop, names))
+
+
+def _exchange(spark: SparkSession, incoming: str, path: str, partition: str, gone: Sequence[str]) -> None:
+    """Deletes the partitions that go, and moves all incoming ones in."""
+    arriving = list(partitions(spark, incoming, partition))
+    fs, folder = _folder(spark, path)
+    fs.mkdirs(folder)
+    drop_partitions(spark, path, sorted({*gone, *arriving}))
+    file = spark._jvm.org.apache.hadoop.fs.Path
 
+    def move(name: str) -> None:
+        leaf = file(None, None, name)
+        if not fs.rename(file(_folder(spark, incoming)[1], leaf), file(folder, leaf)):
+            raise OSError(f"cannot move {name} into {path}")
 
-def drop_partition(spark: SparkSession, path: str, partition: str, value: str) -> None:
-    fs, folder = _folder(spark, f"{path}/{partition}={value}")
-    fs.delete(folder, True)
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(move, arriving))

@@ -1,5 +1,7 @@
 """Skew-safe building blocks against plain windows and joins, resolution rules, graph shapes, loads."""
 
+import re
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -261,6 +263,77 @@ def test_merge_moves_rows_between_partitions_and_refuses_repeated_keys(spark, tm
         loads.merge(_table(spark, [(1, "x", "2024-01-02"), (1, "y", "2024-01-02")]), path, "day", ["id"])
 
 
+def _stored(spark, path, like):
+    return sorted(map(str, (tuple(r) for r in loads.read(spark, path, like).collect())))
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp", "string"])
+def test_loads_with_null_and_escaped_partitions(spark, tmp_path, kind):
+    """Every method twice, with a NULL partition, NULL keys and values whose folder names are escaped."""
+    part = {"date": "day", "timestamp": "timestampadd(HOUR, id, day)", "string": "concat('a=b/c:', day)"}[kind]
+    frame = lambda rows: _table(spark, rows).selectExpr("id", "v", f"CAST({part} AS {kind}) AS p")
+    old = frame([(1, "a", "2024-01-01"), (2, "b", "2024-01-02"), (5, "five", None), (None, "none", "2024-01-01"), (6, "six", None)])
+    new = frame([(2, "B", "2024-01-02"), (9, "nine", None), (None, "NONE", "2024-01-01"), (5, "FIVE", "2024-01-03")])
+    rows = lambda df: sorted(map(str, (tuple(r) for r in df.collect())))
+    touched = {str(r.p) for r in new.select("p").distinct().collect()}
+    untouched = [r for r in old.collect() if str(r.p) not in touched]
+    want = {
+        "replace": rows(new) + [str(tuple(r)) for r in untouched],
+        "filter": rows(new) + rows(old.where("p IS NOT NULL AND id = 1")),
+        "all": rows(new),
+        "merge": rows(new) + rows(old.where("id IN (1, 6)")),
+    }
+    if kind != "timestamp":
+        want["filter"] = rows(new)
+    calls = {
+        "replace": lambda p: loads.replace(new, p, "p"),
+        "filter": lambda p: loads.replace_filter(new, p, "p", "p IS NULL OR hour(p) <> 1" if kind == "timestamp" else "true"),
+        "all": lambda p: loads.replace_all(new, p, "p"),
+        "merge": lambda p: loads.merge(new, p, "p", ["id"]),
+    }
+    for name, call in calls.items():
+        path = f"{tmp_path}/{name}"
+        loads.append(old, path, "p")
+        for _ in range(2):
+            call(path)
+            assert _stored(spark, path, old) == sorted(want[name]), name
+    assert sorted(f.name for f in tmp_path.iterdir()) == sorted(calls), "nothing stays beside the tables"
+
+
+def test_a_failing_load_leaves_the_target_and_nothing_else(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    old = _table(spark, [(1, "a", "2024-01-01")])
+    bad = old.selectExpr("id", "CAST(raise_error('boom') AS STRING) AS v", "day")
+    loads.append(old, path, "day")
+    for call in (
+        lambda: loads.replace(bad, path, "day"), lambda: loads.replace_all(bad, path, "day"),
+        lambda: loads.replace_filter(bad, path, "day", "true"), lambda: loads.merge(bad, path, "day", ["id"]),
+    ):
+        with pytest.raises(Exception, match="boom"):
+            call()
+        assert _rows(spark, path, old) == [(1, "a", "2024-01-01")] and [f.name for f in tmp_path.iterdir()] == ["t"]
+
+
+def test_results_may_read_their_own_target(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    old = _table(spark, [(1, "a", "2024-01-01"), (2, "b", "2024-01-02")])
+    loads.append(old, path, "day")
+    more = loads.read(spark, path, old).selectExpr("id + 10 AS id", "v", "day")
+    loads.replace_all(more.unionByName(loads.read(spark, path, old)), path, "day")
+    assert [r[0] for r in _rows(spark, path, old)] == [1, 2, 11, 12]
+
+
+def test_merge_by_partition_key_prunes_the_target(spark, tmp_path, monkeypatch):
+    path, plans = f"{tmp_path}/t", []
+    old = _table(spark, [(k, "a", f"2024-01-0{k}") for k in range(1, 9)])
+    loads.append(old, path, "day")
+    write = loads._write
+    monkeypatch.setattr(loads, "_write", lambda df, *a: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, *a)))
+    loads.merge(_table(spark, [(3, "B", "2024-01-03"), (3, "C", "2024-01-05")]), path, "day", ["day", "id"])
+    scans = [line for p in plans for line in p.splitlines() if "Scan parquet" in line and "day" in line and "/.t-" not in line]
+    assert scans and all(re.search(r"PartitionFilters: \[[^]]*day#\d+ IN \(", line) for line in scans)
+
+
 def test_job_run_hooks(spark, tables, tmp_path):
     seen = []
 
