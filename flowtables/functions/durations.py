@@ -15,12 +15,16 @@ _MONTH = r"([-+]?)([0-9]+)M"
 _UNIT = {"ns": "0.001", "us": "1", "µs": "1", "μs": "1", "ms": "1000", "s": "1000000", "m": "60000000", "h": str(HOUR)}
 
 
+# Fixed value: the longest duration, 64-bit nanoseconds, in microseconds.
+MOST_MICROS = 9223372036854775
+
+
 def clock_micros(c: str) -> str:
-    """SQL for the microseconds of a text such as ``-1h30m`` in column ``c``; NULL when it is no duration."""
+    """SQL for the microseconds of a text such as ``-1h30m`` in column ``c``; NULL when it is no duration or beyond 64-bit nanoseconds."""
     unit = " ".join(f"WHEN '{u}' THEN {v}" for u, v in _UNIT.items())
-    amount = f"(__n, __u) -> CAST(__n AS DECIMAL(18, 6)) * CAST(CASE __u {unit} END AS DECIMAL(14, 3))"
+    amount = f"(__n, __u) -> try_cast(__n AS DECIMAL(22, 6)) * CAST(CASE __u {unit} END AS DECIMAL(14, 3))"
     parts = f"zip_with(regexp_extract_all({c}, r'{_PART}', 1), regexp_extract_all({c}, r'{_PART}', 2), {amount})"
-    total = f"try_cast(aggregate({parts}, CAST(0 AS DECIMAL(38, 9)), (__a, __x) -> CAST(__a + __x AS DECIMAL(38, 9))) AS BIGINT)"
+    total = f"aggregate({parts}, CAST(0 AS DECIMAL(38, 9)), (__a, __x) -> try_cast(__a + __x AS DECIMAL(38, 9)), __a -> IF(__a <= {MOST_MICROS}, CAST(__a AS BIGINT), NULL))"
     return (
         f"IF(startswith({c}, '-'), -1, 1) * "
         f"CASE WHEN {c} IN ('0', '+0', '-0') THEN 0L WHEN {c} RLIKE r'^[-+]?({_PART})+$' THEN {total} END"

@@ -36,11 +36,11 @@ def render(df: DataFrame, source: str, values: dict[str, str], into: str = "rend
     step = df.selectExpr("*", *[f"{sql} AS __v_{n}" for n, sql in values.items()])
     body = source
     for n in names:
-        # A NULL date keeps the macro, so it shows up as an error below.
+        # A NULL value keeps the macro, so it shows up as an error below.
         dated = f"replace({body}, '{{{{.{n}|Date}}}}', coalesce({X.date_of(f'__v_{n}')}, '{{{{.{n}|Date}}}}'))"
         step = step.selectExpr("*", f"IF(instr({body}, '{{{{.{n}|Date}}}}') > 0, {dated}, {body}) AS __d_{n}")
         body = f"__d_{n}"
-        plain = f"replace({body}, '{{{{.{n}}}}}', __v_{n})"
+        plain = f"coalesce(replace({body}, '{{{{.{n}}}}}', __v_{n}), {body})"
         step = step.selectExpr("*", f"IF(instr({body}, '{{{{.{n}}}}}') > 0, {plain}, {body}) AS __r_{n}")
         body = f"__r_{n}"
     left = rf"IF(instr({body}, '{{{{') > 0, nullif(regexp_extract({body}, r'\{{\{{[^}}]*\}}\}}', 0), ''), NULL)"

@@ -18,7 +18,7 @@ def _shift(ts: str, micros: str | int) -> str:
     return f"timestamp_micros(unix_micros({ts}) + {micros})"
 
 
-def _add_months(ts: str, months: str) -> str:
+def add_months(ts: str, months: str) -> str:
     """Calendar months with day overflow: Jan 31 plus one month is Mar 2 or 3, not Feb 28."""
     moved = f"date_add(add_months(trunc({ts}, 'MM'), {months}), day({ts}) - 1)"
     return _shift(f"CAST({moved} AS TIMESTAMP)", f"unix_micros({ts}) - unix_micros(date_trunc('DAY', {ts}))")
@@ -84,11 +84,11 @@ def with_bounds(
     keep = [c for c in df.columns if c not in _NUMBERS]
     step = df.selectExpr("*", f"{ts} AS __ts", f"CAST({version} AS INT) AS __version")
     step = step.selectExpr("*", f"{_shift(_truncate('__ts', 'ws_unit'), 'ws_offset_micros')} AS __cut2", f"{_CLOCK_END} AS __end1", f"{_MONTH} AS __month")
-    step = step.selectExpr("*", f"{_add_months('__cut2', 'ws_offset_months')} AS __end2")
+    step = step.selectExpr("*", f"{add_months('__cut2', 'ws_offset_months')} AS __end2")
     step = step.selectExpr("*", f"{_shift('__end2', '-ws_size_micros')} AS __back2")
     return step.selectExpr(
         *keep,
-        f"CASE WHEN __version = 2 THEN {_add_months('__back2', '-ws_size_months')} WHEN __version NOT IN (0, 1) THEN NULL "
+        f"CASE WHEN __version = 2 THEN {add_months('__back2', '-ws_size_months')} WHEN __version NOT IN (0, 1) THEN NULL "
         f"WHEN ws_unit = 'M' THEN {_MONTH_START} ELSE {_shift('__end1', '-ws_size_v1')} END AS {start}",
         "CASE WHEN __version = 2 THEN __end2 WHEN __version NOT IN (0, 1) THEN NULL "
         f"WHEN ws_unit = 'M' THEN IF(__end1 IS NULL, NULL, CAST(last_day(__month) AS TIMESTAMP)) ELSE __end1 END AS {end}",
@@ -106,5 +106,5 @@ def with_last_covered_run(df: DataFrame, ts: str, size: str, into: str) -> DataF
     """Adds the inclusive last run a window of this size reaches from ``ts``: one day before its end."""
     step = D.parse_v2(df.selectExpr("*", f"{ts} AS __ts"), {"__s": size})
     step = step.selectExpr("*", f"{_shift('__ts', '__s_micros')} AS __moved")
-    step = step.selectExpr("*", f"{_add_months('__moved', '__s_months')} AS __end")
+    step = step.selectExpr("*", f"{add_months('__moved', '__s_months')} AS __end")
     return step.selectExpr(*df.columns, f"{_shift('__end', -D.DAY)} AS {into}")

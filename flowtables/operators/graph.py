@@ -95,9 +95,13 @@ def delete_blockers(edges: DataFrame, doomed: DataFrame) -> DataFrame:
 
 
 def delete_order(edges: DataFrame, doomed: DataFrame) -> DataFrame:
-    """(node, step): everything downstream of the given nodes and they themselves, deepest first, each once."""
+    """(node, step, error): everything downstream of the given nodes and they themselves, deepest first, each once.
+
+    Nodes on or behind a cycle have no order: their step is NULL and ``error`` says why.
+    """
     gone = session.cut_lineage(closure(edges, doomed).select("node").unionByName(doomed.select("node")).distinct())
     inner = edges.join(gone.withColumnRenamed("node", "src"), "src", "left_semi").join(gone.withColumnRenamed("node", "dst"), "dst", "left_semi")
     depth = levels(inner, gone)
     deepest = depth.agg(F.max("level")).first()[0] or 0
-    return depth.select("node", (F.lit(deepest) - F.col("level")).alias("step"))
+    error = F.when(F.col("level").isNull(), "on or behind a cycle")
+    return depth.select("node", (F.lit(deepest) - F.col("level")).alias("step"), error.alias("error"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def profile(df: DataFrame, columns: Sequence[str], group: str | None = None) -> DataFrame:
-    """Per column (and group): rows, NULLs, distinct values, minimum, maximum, completeness.
+    """Per column (and group, NULL being one): rows, NULLs, distinct values, minimum, maximum, completeness.
 
     Values are counted per (column, value) before they are counted per column, so a value that most
     rows share costs no more than a rare one and the exact distinct counts need no wide expansion.
@@ -29,4 +29,6 @@ def profile(df: DataFrame, columns: Sequence[str], group: str | None = None) ->
         f"stack({len(columns)}, {', '.join(f"'{c}', CAST(`__min_{c}` AS STRING), CAST(`__max_{c}` AS STRING)" for c in columns)}) AS (column_name, min_value, max_value)",
     )
     completeness = F.round((F.col("n_rows") - F.col("n_nulls")) / F.col("n_rows"), 6)
-    return counts.join(limits, ["group_value", "column_name"]).withColumn("completeness", completeness)
+    limits = limits.withColumnsRenamed({"group_value": "__group", "column_name": "__column"})
+    same = F.col("group_value").eqNullSafe(F.col("__group")) & (F.col("column_name") == F.col("__column"))
+    return counts.join(limits, same).drop("__group", "__column").withColumn("completeness", completeness)

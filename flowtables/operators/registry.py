@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowtables.functions import windows
 from flowtables.operators import skew
 
 
@@ -49,7 +50,9 @@ def runs_in_states(runs: DataFrame, states: Sequence[str]) -> DataFrame:
 
 
 def recent_backups(backups: DataFrame, now: str, months: int = 3) -> DataFrame:
-    return backups.where(F.col("created_at") > F.add_months(F.lit(now).cast("timestamp"), -months).cast("timestamp"))
+    """Created after the same clock time ``months`` earlier; a day that month lacks counts on into the next."""
+    border = windows.add_months(f"CAST('{now}' AS TIMESTAMP)", f"-{months}")
+    return backups.where(F.col("created_at") > F.expr(border))
 
 
 def query_error(range_start: str, range_end: str, job_start: str) -> str:
@@ -75,12 +78,22 @@ def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
+def _by_content(c: Column, kind: T.DataType) -> Column:
+    """The value with the entries of all its maps sorted, however deep they are."""
+    if isinstance(kind, T.MapType):
+        pairs = F.transform(F.map_entries(c), lambda e: F.struct(_by_content(e["key"], kind.keyType).alias("k"), _by_content(e["value"], kind.valueType).alias("v")))
+        return F.array_sort(pairs)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _by_content(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_by_content(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return c
+
+
 def fingerprint(df: DataFrame, columns: Sequence[str]) -> Column:
-    """Hash of the values; maps are compared by content, not by order of entries."""
+    """Hash of the values; maps are compared by content at any depth, not by order of entries."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    parts = [
-        F.array_sort(F.map_entries(c)).alias(c) if isinstance(kinds[c], T.MapType) else F.col(c) for c in sorted(columns)
-    ]
+    parts = [_by_content(F.col(c), kinds[c]).alias(c) for c in sorted(columns)]
     return F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256)
 
 

@@ -51,11 +51,11 @@ def run_conflicts(new: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def date_errors(replays: DataFrame, jobs: DataFrame, now: str) -> DataFrame:
-    """A replay may not begin before its job nor end after now or the job's end."""
-    limits = jobs.select("job_id", "start_at", "end_at")
-    return replays.join(limits, "job_id").selectExpr(
+    """A replay may not begin before its job nor end after now or the job's end; its job must be known."""
+    limits = jobs.selectExpr("job_id", "start_at", "end_at", "true AS known")
+    return replays.join(limits, "job_id", "left").selectExpr(
         "replay_id",
-        f"""CASE WHEN start_time < start_at THEN 'begins before the job' WHEN end_time > least({now}, coalesce(end_at, {now})) THEN 'ends too late' END AS error""",
+        f"""CASE WHEN known IS NULL THEN 'unknown job' WHEN start_time < start_at THEN 'begins before the job' WHEN end_time > least({now}, coalesce(end_at, {now})) THEN 'ends too late' END AS error""",
     )
 
 

@@ -106,14 +106,14 @@ def readiness(runs: DataFrame, edges: DataFrame, jobs: DataFrame, actual: DataFr
 
     The upstream runs a run needs are those scheduled in (start, end], the downstream's window, without
     offset and truncation, at the upstream's last schedule time. All must have succeeded; an empty range is
-    ready; a range before the upstream's start date is an error. Counts come from running totals over the
+    ready; a range before the upstream's start date, or an upstream without one, is an error. Counts come from running totals over the
     upstream's calendar, looked up at both ends of each distinct range, so no run is paired with a range.
     """
     settings = windows.with_settings(jobs.selectExpr("job_id", "w_version", "w_size"), "w_size", "''", "''")
     step = upstream_times(runs, edges, jobs).join(settings, "job_id")
     step = windows.with_bounds(step, "last_upstream", "w_version", "lo", "hi")
     step = step.selectExpr("*", f"{cron.next_time('plan', 'lo')} AS first_needed")
-    sensors = step.selectExpr(*RUN, "upstream_id", "lo", "hi", "hi IS NULL OR first_needed < up_start OR hi < up_start AS refused")
+    sensors = step.selectExpr(*RUN, "upstream_id", "lo", "hi", "coalesce(hi IS NULL OR first_needed < up_start OR hi < up_start, true) AS refused")
     # Read four times below, and its bounds are join keys: computed once and stored.
     sensors = session.cut_lineage(sensors)
 

@@ -2,15 +2,7 @@
 
 from __future__ import annotations
 
-from importlib import import_module
-
+from flowtables.queries import events, graphs, lineage, loading, registry_queries, replays, runs, tables, text, time  # noqa: F401  they register themselves
 from flowtables.queries.registry import ORACLES, QUERIES
 
-for _module in ("time", "text", "registry_queries", "lineage", "runs", "replays", "graphs", "events", "tables", "loading"):
-    try:
-        import_module(f"flowtables.queries.{_module}")
-    except ModuleNotFoundError as missing:
-        if missing.name != f"flowtables.queries.{_module}":
-            raise
-
 __all__ = ["ORACLES", "QUERIES"]

@@ -84,7 +84,7 @@ def delete_blockers(t):
     "delete_order",
     f"""WITH RECURSIVE {_REACHED}, gone AS (SELECT node FROM walk UNION SELECT node FROM doomed), inside AS (SELECT * FROM edges_v WHERE src IN (SELECT node FROM gone) AND dst IN (SELECT node FROM gone)),
 deep AS (SELECT node, 0 AS level FROM gone WHERE node NOT IN (SELECT dst FROM inside) UNION SELECT dst, level + 1 FROM deep JOIN inside ON src = node), lv AS (SELECT node, max(level) AS level FROM deep GROUP BY node)
-SELECT node, (SELECT max(level) FROM lv) - level AS step FROM lv""",
+SELECT node, (SELECT max(level) FROM lv) - level AS step, CAST(NULL AS VARCHAR) AS error FROM lv""",
 )
 def delete_order(t):
     return G.delete_order(t.edges_v, _doomed(t))

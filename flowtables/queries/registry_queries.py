@@ -24,12 +24,12 @@ def runs_by_state(t):
     return registry.runs_in_states(t.runs_v, ["running", "failed"]).select("run_id", "job_id", "state")
 
 
-_BACKUPS = "SELECT s_suppkey AS backup_id, s_name AS resource, CAST(DATE '2024-01-01' - CAST(s_suppkey % 200 AS INT) AS TIMESTAMP) AS created_at FROM {supplier}"
+_BACKUPS = "SELECT s_suppkey AS backup_id, s_name AS resource, CAST(DATE '2024-01-01' - CAST(s_suppkey % 200 AS INT) AS TIMESTAMP) + CASE WHEN s_suppkey % 2 = 0 THEN INTERVAL '12' HOUR ELSE INTERVAL '0' HOUR END AS created_at FROM {supplier}"
 
 
-@query("recent_backups", f"WITH b AS ({_BACKUPS.format(supplier='supplier')}) SELECT * FROM b WHERE created_at > TIMESTAMP '2023-10-01'")
+@query("recent_backups", f"WITH b AS ({_BACKUPS.format(supplier='supplier')}) SELECT * FROM b WHERE created_at > TIMESTAMP '2023-10-01 10:30:00'")
 def recent_backups(t):
-    return registry.recent_backups(t.sql(_BACKUPS), "2024-01-01")
+    return registry.recent_backups(t.sql(_BACKUPS), "2023-12-31 10:30:00")
 
 
 @query(

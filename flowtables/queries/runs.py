@@ -126,7 +126,7 @@ def sla_trend(t):
 SENSORS_SQL = f"""{slots_sql("1994-10-01", "1995-03-05")},
 numbered AS (SELECT *, lag(slot) OVER w AS before, lead(slot) OVER w AS after FROM slots WINDOW w AS (PARTITION BY cron ORDER BY slot)),
 wanted AS (SELECT job_id, slot AS scheduled_at FROM jobs_v JOIN slots USING (cron) WHERE slot BETWEEN TIMESTAMP '{S_LO}' AND TIMESTAMP '{S_HI}'),
-paired AS (SELECT w.job_id, w.scheduled_at, e.src AS upstream_id, u.cron AS up_cron, u.start_at AS up_start, d.w_version, d.w_size FROM wanted w JOIN edges_v e ON e.dst = w.job_id JOIN jobs_v u ON u.job_id = e.src JOIN jobs_v d ON d.job_id = w.job_id),
+paired AS (SELECT w.job_id, w.scheduled_at, e.src AS upstream_id, u.cron AS up_cron, CASE WHEN u.job_id % 13 <> 6 THEN u.start_at END AS up_start, d.w_version, d.w_size FROM wanted w JOIN edges_v e ON e.dst = w.job_id JOIN jobs_v u ON u.job_id = e.src JOIN jobs_v d ON d.job_id = w.job_id),
 timed AS (SELECT p.*, n.slot AS last_upstream, n.before AS before_upstream FROM paired p ASOF JOIN numbered n ON p.up_cron = n.cron AND p.scheduled_at >= n.slot)"""
 
 
@@ -147,10 +147,11 @@ sized AS (SELECT *, CASE WHEN w_size = '' AND w_version = 1 THEN 24 ELSE coalesc
 moved AS (SELECT *, last_upstream - to_hours(CASE WHEN w_version = 1 THEN sh + 720 * sm ELSE sh END) AS b FROM sized),
 ranges AS (SELECT job_id, scheduled_at, upstream_id, up_cron, up_start, last_upstream AS hi, CASE WHEN w_version = 1 THEN b ELSE {add_months_sql('b', '-sm')} END AS lo FROM moved),
 firsts AS (SELECT r.*, s.slot AS first_needed FROM ranges r ASOF LEFT JOIN slots s ON r.up_cron = s.cron AND r.lo < s.slot),
-counted AS (SELECT f.job_id, f.scheduled_at, f.upstream_id, first_needed < up_start OR hi < up_start AS refused, count(s.slot) AS n_expected, count(CASE WHEN l.state = 'success' THEN 1 END) AS n_success
+counted AS (SELECT f.job_id, f.scheduled_at, f.upstream_id, coalesce(first_needed < up_start OR hi < up_start, true) AS refused, count(s.slot) AS n_expected, count(CASE WHEN l.state = 'success' THEN 1 END) AS n_success
   FROM firsts f LEFT JOIN slots s ON s.cron = f.up_cron AND s.slot > f.lo AND s.slot <= f.hi LEFT JOIN latest l ON l.job_id = f.upstream_id AND l.scheduled_at = s.slot GROUP BY ALL)
 SELECT job_id, scheduled_at, upstream_id, CASE WHEN NOT refused THEN n_expected END AS n_expected, CASE WHEN NOT refused THEN n_success END AS n_success,
   CASE WHEN refused THEN 'error' WHEN n_expected = n_success THEN 'ready' ELSE 'waiting' END AS status FROM counted""",
 )
 def sensor_ready(t):
-    return R.readiness(_sensor_runs(t), t.edges_v, t.jobs_v, R.latest(t.runs_v))
+    jobs = t.jobs_v.withColumn("start_at", F.expr("IF(job_id % 13 <> 6, start_at, NULL)"))
+    return R.readiness(_sensor_runs(t), t.edges_v, jobs, R.latest(t.runs_v))

@@ -149,9 +149,9 @@ _PROFILE = " UNION ALL ".join(
 )
 
 
-@query("profile_window", f"WITH w AS (SELECT event_type, user_id, props, CASE WHEN event_id % 3 = 0 THEN event_id END AS odd FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15') {_PROFILE}")
+@query("profile_window", f"WITH w AS (SELECT CASE WHEN event_id % 11 <> 0 THEN event_type END AS event_type, user_id, props, CASE WHEN event_id % 3 = 0 THEN event_id END AS odd FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15') {_PROFILE}")
 def profile_window(t):
     """The window of a weekly run, profiled per event type."""
     bounds = incremental.bounds_of_run(t.spark, "2024-01-16 02:00:00", version=2, size="168h", offset="0", unit="w")
-    rows = incremental.read_window(t.events, "ts", *bounds).withColumn("odd", F.expr("IF(event_id % 3 = 0, event_id, NULL)"))
+    rows = incremental.read_window(t.events, "ts", *bounds).withColumns({"odd": F.expr("IF(event_id % 3 = 0, event_id, NULL)"), "event_type": F.expr("IF(event_id % 11 <> 0, event_type, NULL)")})
     return quality.profile(rows, ["user_id", "props", "odd"], group="event_type")

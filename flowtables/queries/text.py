@@ -80,16 +80,17 @@ def _braced(sql: str, opener: str, closer: str) -> str:
     "macro_render",
     f"""WITH {SETTINGS_SQL}, {V2_SQL}, {V1_SQL}, texts AS ({_braced(_SQL_TEXTS, '{{', '}}')}),
 joined AS (SELECT v.*, x.sql_text, CASE WHEN w_version = 1 THEN s1t ELSE s2 END AS lo, CASE WHEN w_version = 1 THEN e1 ELSE e2 END AS hi FROM v1 v JOIN texts x USING (job_id))
-SELECT run_id, CASE WHEN job_id % 11 = 0 THEN NULL ELSE replace(replace(sql_text, '{{{{.DSTART}}}}', strftime(lo, '%Y-%m-%dT%H:%M:%SZ')), '{{{{ .DEND | Date }}}}', strftime(hi, '%Y-%m-%d')) END AS rendered,
-       CASE WHEN job_id % 11 = 0 THEN 'cannot render {{{{.NOPE}}}}' END AS render_error FROM joined""",
+SELECT run_id, CASE WHEN job_id % 11 = 0 OR job_id % 17 = 3 THEN NULL ELSE replace(replace(sql_text, '{{{{.DSTART}}}}', strftime(lo, '%Y-%m-%dT%H:%M:%SZ')), '{{{{ .DEND | Date }}}}', strftime(hi, '%Y-%m-%d')) END AS rendered,
+       CASE WHEN job_id % 17 = 3 THEN 'cannot render {{{{.DSTART}}}}' WHEN job_id % 11 = 0 THEN 'cannot render {{{{.NOPE}}}}' END AS render_error FROM joined""",
 )
 def macro_render(t):
-    """The query text of every run, rendered with the run's own data window."""
-    jobs = windows.with_settings(t.jobs_v.select("job_id", "w_version", "w_size", "w_offset", "w_truncate"), "w_size", "w_offset", "w_truncate")
+    """The query text of every run, rendered with the run's own data window; runs without a window cannot be rendered."""
+    versions = t.jobs_v.withColumn("w_version", F.expr("IF(job_id % 17 = 3, 5, w_version)"))
+    jobs = windows.with_settings(versions.select("job_id", "w_version", "w_size", "w_offset", "w_truncate"), "w_size", "w_offset", "w_truncate")
     texts = t.sql(_braced(_SQL_TEXTS, "{{{{", "}}}}")).selectExpr("job_id", "destination", f"{macros.normalized('sql_text')} AS sql_text")
     runs = t.sql("SELECT run_id, job_id, scheduled_at + (run_id % 50000) * INTERVAL '1' SECOND AS at_time FROM runs_v")
     runs = skew.join_many_to_one(runs, jobs.join(texts, "job_id"), ["job_id"])
-    bound = windows.with_bounds(runs, "at_time", "w_version").where("window_start IS NOT NULL")
+    bound = windows.with_bounds(runs, "at_time", "w_version")
     values = {"DSTART": macros.rfc3339("window_start"), "DEND": macros.rfc3339("window_end"), "JOB_DESTINATION": "destination"}
     return macros.render(bound, "sql_text", values).select("run_id", "rendered", "render_error")
 

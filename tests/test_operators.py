@@ -454,3 +454,48 @@ def test_sizing_grows_with_the_input():
     small, large = session.sizing(1 << 30), session.sizing(100 << 40)
     key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     assert small[key] == "200" and int(large[key]) == 400_000 and large["spark.sql.files.maxPartitionBytes"] == "512m"
+
+
+def test_odd_durations(spark):
+    from flowtables.functions import durations
+
+    df = spark.createDataFrame([("9999999999999us",), ("99999999999999999999us",), ("9223372036855s",), ("1h",), (None,)], "d string")
+    got = [r.x for r in df.selectExpr(f"{durations.clock_micros('d')} AS x").collect()]
+    assert got == [9999999999999, None, None, 3600000000, None]
+
+
+def test_nested_maps_compare_by_content(spark):
+    kind = "k int, v array<struct<on: string, config: map<string, string>>>, m map<string, map<string, int>>"
+    one = spark.createDataFrame([(1, [("fail", {"a": "1", "b": "2"})], {"x": {"p": 1, "q": 2}}), (2, None, None), (3, [("x", None)], {})], kind)
+    two = spark.createDataFrame([(1, [("fail", {"b": "2", "a": "1"})], {"x": {"q": 2, "p": 1}}), (2, None, None), (3, [("x", {})], {})], kind)
+    got = {r.k: r.change for r in registry.diff(one, two, ["k"], ["v", "m"]).collect()}
+    assert got == {1: "unmodified", 2: "unmodified", 3: "modified"}
+
+
+def test_missing_values_are_errors_not_gaps(spark):
+    from flowtables.operators import quality
+
+    rows = spark.createDataFrame([("a", 1), (None, 2), (None, None)], "g string, x int")
+    assert {r.group_value: (r.n_rows, r.n_nulls, r.max_value) for r in quality.profile(rows, ["x"], "g").collect()} == {"a": (1, 0, "1"), None: (2, 1, "2")}
+    text = spark.createDataFrame([("at {{.D}}", None), ("at {{.D}}", "x")], "t string, d string")
+    assert [(r.rendered, r.render_error) for r in macros.render(text, "t", {"D": "d"}).collect()] == [(None, "cannot render {{.D}}"), ("at x", None)]
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (3, 4)], "src long, dst long")
+    got = {r.node: (r.step, r.error) for r in graph.delete_order(edges, spark.createDataFrame([(1,)], "node long")).collect()}
+    assert got[1] == (0, None) and all(got[n] == (None, "on or behind a cycle") for n in (2, 3, 4))
+    replays = spark.createDataFrame([(1, 99)], "replay_id long, job_id long").selectExpr("*", "TIMESTAMP '2024-01-01' AS start_time", "TIMESTAMP '2024-01-02' AS end_time")
+    jobs = spark.createDataFrame([(1,)], "job_id long").selectExpr("*", "TIMESTAMP '2023-01-01' AS start_at", "CAST(NULL AS TIMESTAMP) AS end_at")
+    assert [r.error for r in replay.date_errors(replays, jobs, "TIMESTAMP '2024-02-01'").collect()] == ["unknown job"]
+
+
+def test_recent_means_the_same_clock_time_months_ago(spark):
+    backups = spark.sql("SELECT CAST(x AS TIMESTAMP) AS created_at FROM VALUES ('2024-02-29 12:00:00'), ('2024-03-02 09:59:59'), ('2024-03-02 10:00:01') AS v(x)")
+    assert [str(r.created_at) for r in registry.recent_backups(backups, "2024-05-31 10:00:00").collect()] == ["2024-03-02 10:00:01"]
+
+
+def test_deleted_jobs_take_no_part(spark):
+    jobs, none = _jobs(spark), spark.createDataFrame([], "job_id long, static_upstream string")
+    sources = spark.createDataFrame([(5, "t://x"), (2, "t://w"), (3, "t://x")], "job_id long, source string")
+    edges = lineage.bulk_resolve(jobs, sources, none).collect()
+    assert {(e.job_id, e.state) for e in edges} == {(2, "unresolved"), (3, "resolved")}
+    assert {r.job_id for r in lineage.downstream_by_sources(jobs, sources, sources.select("source")).collect()} == {2, 3}
+    assert {r.downstream_id for r in lineage.downstream_by_destination(jobs, sources).collect()} == {3}
