@@ -33,6 +33,20 @@ def _is_job() -> Column:
     return F.col("type").isin("job_success", "failure")
 
 
+def aimed(events: DataFrame) -> DataFrame:
+    """SLA events as one row per run in their list (``slas``), in the event's project; all others as they are.
+
+    Without a list, an SLA event means the run it is keyed by.
+    """
+    if "slas" not in events.columns:
+        return events
+    named = next(f.name for f in events.schema["slas"].dataType.elementType.fields if f.name in ("job_id", "job"))
+    listed = F.col("type").eqNullSafe("sla_miss") & (F.coalesce(F.size("slas"), F.lit(0)) > 0)
+    breaches = events.where(listed).withColumn("__s", F.explode("slas"))
+    breaches = breaches.withColumns({"job_id": F.col("__s")[named].cast(events.schema["job_id"].dataType), "scheduled_at": F.col("__s.scheduled_at")})
+    return events.where(~listed).unionByName(breaches.drop("__s"))
+
+
 def keyed(events: DataFrame) -> DataFrame:
     """Events with operator_type (job for events of the run itself) and a name for every operator."""
     typed = events.withColumns({"operator_type": F.expr(_TYPE), "ended_as": F.expr(_STATUS)})
@@ -40,17 +54,22 @@ def keyed(events: DataFrame) -> DataFrame:
 
 
 def partial_aggregates() -> list[Column]:
-    """Per run and operator: last start, first event, last outcome of the run, SLA flag, first time."""
+    """Per run and operator: last start, first event, last outcome of the run, SLA flag, latest monitoring values (as JSON)."""
+    own = F.col("type") != "sla_miss"
     return [
         F.max(F.when(_is_start(), _order())).alias("last_start"),
-        F.min(_order()).alias("first_event"),
+        F.min(F.when(own, _order())).alias("first_event"),
         F.max(F.when(_is_job(), F.struct(*ORDER, "ended_as"))).alias("last_outcome"),
         F.max(F.col("type") == "sla_miss").alias("sla_missed"),
+        F.max(F.when(F.col("monitoring").isNotNull(), F.struct(*ORDER, F.to_json("monitoring").alias("values")))).alias("monitored"),
     ]
 
 
 def partials(events: DataFrame) -> DataFrame:
-    return keyed(events).groupBy(*OPERATOR).agg(*partial_aggregates())
+    rows = aimed(events)
+    if "monitoring" not in rows.columns:
+        rows = rows.withColumn("monitoring", F.lit(None).cast("map<string,string>"))
+    return keyed(rows).groupBy(*OPERATOR).agg(*partial_aggregates())
 
 
 def combine_partials(parts: DataFrame) -> DataFrame:
@@ -60,6 +79,7 @@ def combine_partials(parts: DataFrame) -> DataFrame:
         F.min("first_event").alias("first_event"),
         F.max("last_outcome").alias("last_outcome"),
         F.max("sla_missed").alias("sla_missed"),
+        F.max("monitored").alias("monitored"),
     )
 
 
@@ -68,6 +88,7 @@ def run_states(parts: DataFrame) -> DataFrame:
 
     A start makes the run wait_upstream (sensor) or in_progress. An operator whose first event is an
     outcome is opened by it. The outcome of the run sets state and end time; no outcome means still open.
+    An SLA event flags a run but never opens one. ``monitoring`` holds the values that came last.
     """
     begun = F.when(F.col("operator_type") != "job", F.coalesce("last_start", "first_event"))
     changes = parts.select(
@@ -79,19 +100,22 @@ def run_states(parts: DataFrame) -> DataFrame:
         ).alias("o"),
         F.col("first_event.event_time").alias("first_at"),
         "sla_missed",
+        "monitored",
     )
     per_run = changes.groupBy(*RUN).agg(
         F.greatest(F.max("c"), F.max("o")).alias("latest"),
         F.max("o").alias("outcome"),
         F.min("first_at").alias("start_time"),
         F.max("sla_missed").alias("sla_alert"),
+        F.max("monitored").alias("monitored"),
     )
-    return per_run.select(
+    return per_run.where("start_time IS NOT NULL").select(
         *RUN,
         F.coalesce(F.col("latest.state"), F.lit("pending")).alias("state"),
         "start_time",
         F.col("outcome.event_time").alias("end_time"),
         "sla_alert",
+        F.from_json("monitored.values", "map<string,string>").alias("monitoring"),
     )
 
 
@@ -99,6 +123,11 @@ def fold_runs(events: DataFrame) -> DataFrame:
     return run_states(partials(events))
 
 
+def with_sla_definition(states: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The SLA of each run's job, in seconds, as the registry has it; NULL where there is none."""
+    return skew.join_many_to_one(states, jobs.selectExpr("job_id", "nullif(sla_seconds, 0) AS sla_definition"), ["job_id"], "left")
+
+
 def operator_runs(events: DataFrame) -> DataFrame:
     """One row per attempt of each operator.
 

@@ -18,13 +18,29 @@ firsts AS (SELECT *, row_number() OVER (PARTITION BY project, job_id, scheduled_
 steps AS (SELECT *, CASE WHEN op = 'job' THEN ended_as WHEN op = 'sensor' THEN 'wait_upstream' ELSE 'in_progress' END AS state FROM firsts WHERE op = 'job' OR type LIKE '%start' OR is_first)"""
 
 
+# Hooks, retries, and SLA events that list runs: every 37th event's run, and one that never ran.
+_RETYPED = "CASE WHEN event_id % 13 = 0 THEN replace(type, 'task_', 'hook_') WHEN event_id % 29 = 0 AND type = 'task_success' THEN 'task_retry' ELSE type END AS type"
+_RETYPED_SQL = (
+    f"raw AS (SELECT * REPLACE ({_RETYPED}) FROM run_events_v), missed AS (SELECT DISTINCT {_RUN} FROM run_events_v WHERE event_id % 37 = 0), "
+    + _TYPED.replace("FROM run_events_v)", "FROM raw)").replace("WHEN type LIKE 'sensor%'", "WHEN type LIKE 'hook%' THEN 'hook' WHEN type LIKE 'sensor%'")
+)
+
+
 @query(
     "run_state_fold",
-    f"""WITH {_TYPED}, s AS (SELECT {_RUN}, arg_max(state, event_id) AS state, max(CASE WHEN op = 'job' THEN event_time END) AS end_time FROM steps GROUP BY ALL)
-SELECT {_RUN}, s.state, f.start_time, s.end_time, false AS sla_alert FROM (SELECT {_RUN}, min(event_time) AS start_time FROM typed GROUP BY ALL) f JOIN s USING ({_RUN})""",
+    f"""WITH {_RETYPED_SQL}, s AS (SELECT {_RUN}, arg_max(state, event_id) AS state, max(CASE WHEN op = 'job' THEN event_time END) AS end_time FROM steps GROUP BY ALL)
+SELECT {_RUN}, s.state, f.start_time, s.end_time, {_RUN.replace("project", "(project").replace("scheduled_at", "scheduled_at)")} IN (SELECT (project, job_id, scheduled_at) FROM missed) AS sla_alert
+FROM (SELECT {_RUN}, min(event_time) AS start_time FROM typed GROUP BY ALL) f JOIN s USING ({_RUN})""",
 )
 def run_state_fold(t):
-    return E.fold_runs(t.run_events_v)
+    events = t.run_events_v
+    listed = "array(named_struct('job_id', job_id, 'scheduled_at', scheduled_at), named_struct('job_id', -job_id - 1, 'scheduled_at', scheduled_at))"
+    kind = "array<struct<job_id: bigint, scheduled_at: timestamp>>"
+    sla = events.where("event_id % 37 = 0").withColumns(
+        {"slas": F.expr(f"CAST({listed} AS {kind})"), "type": F.lit("sla_miss"), "scheduled_at": F.lit(None).cast(events.schema["scheduled_at"].dataType), "operator_name": F.lit(None).cast("string")}
+    )
+    own = events.withColumns({"type": F.expr(_RETYPED.removesuffix(" AS type")), "slas": F.expr(f"CAST(NULL AS {kind})")})
+    return E.fold_runs(own.unionByName(sla)).drop("monitoring")
 
 
 _ATTEMPTS = f"""{_TYPED}, n AS (SELECT *, CAST(sum(CASE WHEN type LIKE '%start' THEN 1 ELSE 0 END) OVER (PARTITION BY project, job_id, scheduled_at, op, operator_name ORDER BY event_time, event_id) AS BIGINT) AS attempt FROM typed WHERE op <> 'job'),

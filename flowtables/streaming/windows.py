@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 from flowtables.operators import alerts as A
@@ -30,6 +31,26 @@ def alert_batches(events: DataFrame, settings: DataFrame, every: str = "10 secon
     return A.batches(A.routes(events.withWatermark("event_time", lateness), settings), every)
 
 
+class LateRows(StreamingQueryListener):
+    """Counts rows that came after a watermark for as long as it is registered (``spark.streams.addListener``), per query id."""
+
+    def __init__(self) -> None:
+        self.total: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.total.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        late = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        self.total[str(event.progress.id)] = self.total.get(str(event.progress.id), 0) + late
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
 def dropped_as_late(query: StreamingQuery) -> int:
-    """Rows that came after the watermark and changed nothing, over the query's kept progress."""
+    """Rows that came after the watermark and changed nothing, over the progress Spark keeps; ``LateRows`` counts all."""
     return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
