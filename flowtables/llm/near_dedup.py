@@ -9,10 +9,12 @@ Order of work, without listing all pairs of a bucket:
 1. documents with equal sets form a class, whose smallest id stands for it;
 2. in every bucket all members are compared in full with one centre, the member that shares most bucket places
    (of a base and its edited copies: the base); confirmed pairs give components;
-3. where members of one bucket are still in different components, those outside the bucket's largest component
-   are compared with the others by their signatures, in blocks of bounded size inside tasks; only pairs whose estimate
-   reaches ``LEAST_ESTIMATE`` (over six standard deviations below 0.8) come out and are compared in full. No partner is
-   capped: every pair of a bucket is then either in one component, or was compared.
+3. members of a bucket's smaller components are compared in full with the member of another component whose signature
+   agrees most with theirs;
+4. where components of one bucket still differ, the smaller ones meet all others with their full sets, in blocks of bounded
+   size inside tasks. Only links come out, so nothing grows with the pairs of a group. Pairs whose signatures agree in less than
+   ``LEAST_ESTIMATE`` (nearly five standard deviations below 0.8) are passed over. No partner is capped: every other
+   pair of a bucket is then in one component or was compared.
 
 Defined results: null and empty texts have an empty set and are linked with nothing; rows without an id are not
 linked, have no component and are kept; rows with the same id are one node with the links of each; an empty
@@ -35,7 +37,7 @@ from flowtables.llm.hashing import mix, shingles, word_hashes
 
 PERMUTATIONS, BANDS, ROWS = 48, 24, 4
 LEAST_ESTIMATE = 0.6
-BLOCK = 1024
+BLOCK = 1 << 20
 MEMBERS_PER_TASK_GROUP = 256
 # A shingle travels as 5 bytes of its hash.
 SHINGLE_BYTES = 5
@@ -122,6 +124,15 @@ def unpacked(items: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, for sorted distinct values."""
+    x, y = (x, y) if len(x) >= len(y) else (y, x)
+    if not len(y) or percent * len(x) > 100 * len(y):
+        return False
+    both = int(np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union.
 
@@ -144,74 +155,134 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if head:
                     centres.append(np.sort(mine))
                     continue
-                for centre in centres:
-                    if percent * max(len(mine), len(centre)) > 100 * min(len(mine), len(centre)):
-                        continue
-                    at = np.minimum(np.searchsorted(centre, mine), len(centre) - 1)
-                    both = int(np.count_nonzero(centre[at] == mine)) if len(centre) else 0
-                    if both and 100 * both >= percent * (len(mine) + len(centre) - both):
-                        a.append(at_a)
-                        b.append(at_b)
-                        break
+                if any(_similar(centre, np.sort(mine), percent) for centre in centres):
+                    a.append(at_a)
+                    b.append(at_b)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _apart(members: DataFrame, parts: DataFrame, shorts: DataFrame, percent: int) -> DataFrame:
-    """Pairs in one bucket but different components whose estimated similarity reaches ``LEAST_ESTIMATE``."""
-    placed = members.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    kinds = placed.groupBy("key", "component").count()
-    buckets = kinds.groupBy("key").agg(F.sum("count").alias("size"), F.max(F.struct("count", "component")).alias("main"))
+MEETING = ("key", "s", "t", "block", "id", "component", "n")
+
+
+def _meetings(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Blocks of a bucket's members that must meet because components differ: columns ``MEETING``.
+
+    A bucket's largest component is its main one. Odd members, those of other components, meet each other and the main
+    ones; main ones do not meet each other. A block holds about ``BLOCK`` shingles, whatever the bucket's size.
+    """
+    placed = members.join(parts, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    weight = F.sum(F.col("n") + BLOCK // 1024)
+    kinds = placed.groupBy("key", "component").agg(F.count("*").alias("count"), weight.alias("weight"))
+    buckets = kinds.groupBy("key").agg(F.sum("count").alias("size"), F.sum("weight").alias("weight"), F.max(F.struct("count", "component", "weight")).alias("main"))
     # Two members of a bucket have been compared already.
     buckets = buckets.where((F.col("size") > 2) & (F.col("size") > F.col("main.count"))).select(
         "key", F.col("main.component").alias("main"),
-        F.ceil((F.col("size") - F.col("main.count")) / BLOCK).cast("int").alias("odd_blocks"), F.ceil(F.col("main.count") / BLOCK).cast("int").alias("main_blocks"),
+        F.ceil((F.col("weight") - F.col("main.weight")) / BLOCK).cast("int").alias("odd_blocks"), F.ceil(F.col("main.weight") / BLOCK).cast("int").alias("main_blocks"),
     )
     salt = F.xxhash64("id")
     blocked = placed.join(buckets, "key").select(
-        "key", "id", "component", "odd_blocks", (F.col("odd_blocks") + F.col("main_blocks")).alias("blocks"),
+        "key", "id", "component", "n", "odd_blocks", (F.col("odd_blocks") + F.col("main_blocks")).alias("blocks"),
         F.when(F.col("component") != F.col("main"), F.pmod(salt, F.col("odd_blocks"))).otherwise(F.col("odd_blocks") + F.pmod(salt, F.col("main_blocks"))).cast("int").alias("block"),
     )
-    # A block of odd members meets itself and every later block; blocks of the main component do not meet each other.
+    # A block of odd members meets itself and every later block.
     as_left = F.when(F.col("block") < F.col("odd_blocks"), F.transform(F.sequence("block", F.col("blocks") - 1), lambda x: F.struct(F.col("block").alias("s"), x.alias("t"))))
     as_right = F.transform(
         F.filter(F.sequence(F.lit(0), F.col("odd_blocks") - 1), lambda x: x < F.col("block")), lambda x: F.struct(x.alias("s"), F.col("block").alias("t"))
     )
     none = F.array().cast("array<struct<s:int,t:int>>")
-    meetings = blocked.select("key", "id", "component", "block", F.explode(F.concat(F.coalesce(as_left, none), as_right)).alias("m"))
-    rows = meetings.select("key", "m.s", "m.t", "block", "id", "component").join(shorts, "id")
-    rows = rows.select("key", "s", "t", "block", "id", "component", "n", "short").repartition("key", "s", "t").sortWithinPartitions("key", "s", "t")
-
-    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        (_, s, t, *_), ids = rows[0], np.array([r[4] for r in rows])
-        block, component, n = (np.array([r[k] for r in rows]) for k in (3, 5, 6))
-        short = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
-        left, right = np.flatnonzero(block == s), np.flatnonzero(block == t)
-        for i in left:
-            others = right[right > i] if s == t else right
-            others = others[(component[others] != component[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
-            close = others[(short[others] == short[i]).mean(axis=1) >= LEAST_ESTIMATE] if len(others) else others
-            for j in close:
-                yield (max(ids[i], ids[j]), min(ids[i], ids[j]))
+    meetings = blocked.select("key", "id", "component", "n", "block", F.explode(F.concat(F.coalesce(as_left, none), as_right)).alias("m"))
+    return meetings.select("key", "m.s", "m.t", "block", "id", "component", "n")
+
+
+def _by_meeting(rows: DataFrame, compare) -> DataFrame:
+    """The pairs (a, b) that ``compare`` yields from the rows of each meeting."""
+    rows = rows.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+
+        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
         for batch in batches:
             found: list[tuple[int, int]] = []
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if held and held[0][:3] != row[:3]:
-                    found.extend(pairs(held))
+                    found.extend(compare(held))
                     held = []
                 held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            yield out(found)
         if held:
-            found = list(pairs(held))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            yield out(list(compare(held)))
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _likely(rows: list[tuple], percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each odd row of a meeting: its index, the rows that may be similar to it and their estimates."""
+    _, s, t, *_ = rows[0]
+    block, component, n = (np.array([r[k] for r in rows]) for k in (3, 5, 6))
+    short = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
+    right = np.flatnonzero(block == t)
+    for i in np.flatnonzero(block == s):
+        others = right[right > i] if s == t else right
+        others = others[(component[others] != component[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
+        if len(others):
+            estimate = (short[others] == short[i]).mean(axis=1)
+            close = estimate >= LEAST_ESTIMATE
+            if close.any():
+                yield i, others[close], estimate[close]
+
+
+def _nearest(members: DataFrame, parts: DataFrame, shorts: DataFrame, percent: int) -> DataFrame:
+    """For each odd member and block, the one member of another component that looks most similar."""
+
+    def compare(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        for i, others, estimate in _likely(rows, percent):
+            a, b = rows[i][4], rows[others[estimate.argmax()]][4]
+            if a != b:
+                yield max(a, b), min(a, b)
+
+    rows = _meetings(members, parts).join(shorts, "id").select(*MEETING, "short")
+    return _by_meeting(rows, compare)
+
+
+def _links_apart(members: DataFrame, parts: DataFrame, shorts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links still missing between components, found inside the meetings by full sets; no failing pair comes out.
+
+    A pair that shares several buckets is compared in the first of them only; members that a link of the same meeting
+    has just joined are not compared again.
+    """
+
+    def compare(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        key, up, opened = rows[0][0], {}, {}
+        keys = np.array([r[8] for r in rows], np.int64)
+
+        def top(x: int) -> int:
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        def items(k: int) -> np.ndarray:
+            if k not in opened:
+                opened[k] = np.sort(unpacked(rows[k][9]))
+            return opened[k]
+
+        for i, others, estimate in _likely(rows, percent):
+            same = keys[others] == keys[i]
+            first = keys[i][same.argmax(axis=1)] == key
+            for j in others[first][np.argsort(-estimate[first], kind="stable")]:
+                a, b = top(rows[i][5]), top(rows[j][5])
+                if a != b and _similar(items(i), items(j), percent):
+                    up[max(a, b)] = min(a, b)
+                    yield rows[i][4], rows[j][4]
+
+    rows = _meetings(members, parts).join(shorts.join(sets, "id"), "id").select(*MEETING, "short", "keys", "items")
+    return _by_meeting(rows, compare)
+
+
 def find_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Words per shingle and percent of similarity are parameters."""
     rows = stored(signed(docs, words), "near-signed")
@@ -222,22 +293,21 @@ def find_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
     several = named.groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where(F.col("b") != F.col("top")).select("id", "b")
     by_id = named.select("id", F.col("rep").alias("a")).join(several, "id").select("a", "b").distinct()
     reps = sets_of.join(classes.select("same", "n", F.col("rep").alias("id")), ["same", "n", "id"], "left_semi")
-    places = reps.select("id", F.explode("keys").alias("key"))
+    places = reps.select("id", "n", F.explode("keys").alias("key"))
     shared = places.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1)
     members = session.cut_lineage(places.join(shared, "key").distinct())
     busy = members.groupBy("id").agg(F.sum("size").alias("busy"))
     centres = members.join(busy, "id").groupBy("key").agg(F.max(F.struct("busy", (-F.col("id")).alias("least"))).alias("c"))
     pairs = members.join(centres, "key").select(F.col("id").alias("a"), (-F.col("c.least")).alias("b")).where(F.col("a") != F.col("b")).distinct()
     pairs = session.cut_lineage(pairs)
-    members = members.select("key", "id")
+    members = members.select("key", "id", "n")
     sets = stored(_sets(docs, members.select("id").distinct(), words), "near-sets")
     links = session.cut_lineage(_confirmed(pairs, sets, percent))
-    parts = components(links)
-    tested = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    shorts = reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "n", "short")
-    rest = session.cut_lineage(_apart(members, parts, shorts, percent).join(tested, ["a", "b"], "left_anti"))
-    more = _confirmed(rest, sets, percent)
-    final = components(links.unionByName(more).unionByName(by_id))
+    shorts = reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "short", "keys")
+    near = session.cut_lineage(_nearest(members, components(links), shorts.drop("keys"), percent))
+    links = session.cut_lineage(links.unionByName(_confirmed(near, sets, percent)))
+    rest = _links_apart(members, components(links), shorts, sets, percent)
+    final = components(links.unionByName(rest).unionByName(by_id))
     of_class = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("same", "n", F.coalesce("component", "rep").alias("component"))
     return rows.join(of_class, ["same", "n"], "left").select(
         F.col("id").alias("doc_id"),
