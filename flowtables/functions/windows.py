@@ -98,7 +98,7 @@ def with_bounds(
 def version_error(version: Column) -> Column:
     return F.when(
         ~version.isin(0, 1, 2),
-        F.concat(F.lit("window version ["), version.cast("string"), F.lit("] is not recognized")),
+        F.concat(F.lit("no window rules of version "), version.cast("string")),
     )
 
 

@@ -107,7 +107,7 @@ def status(replays: DataFrame, replay_runs: DataFrame) -> DataFrame:
     return done.selectExpr(
         "replay_id",
         "CASE WHEN n_in_progress > 0 THEN 'replayed' WHEN n_failed > 0 THEN 'failed' ELSE 'success' END AS status",
-        "IF(n_in_progress = 0 AND n_failed > 0, concat('found ', n_failed, ' failed runs.'), '') AS message",
+        "IF(n_in_progress = 0 AND n_failed > 0, concat('runs failed: ', n_failed), '') AS message",
     )
 
 
@@ -168,4 +168,4 @@ def ongoing(replays: DataFrame) -> DataFrame:
 def timeouts(replays: DataFrame, now: str, hours: int = 3) -> DataFrame:
     """Ongoing replays that are too old, as failed."""
     late = ongoing(replays).where(f"created_at + INTERVAL {hours} HOURS <= {now}")
-    return late.selectExpr("replay_id", "'failed' AS status", "'replay timed out' AS message")
+    return late.selectExpr("replay_id", "'failed' AS status", "'no progress before the deadline' AS message")

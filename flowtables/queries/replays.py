@@ -79,7 +79,7 @@ def replay_bounds(t):
 @query(
     "replay_status",
     f"""WITH {PROGRESS_SQL} SELECT r.replay_id, CASE WHEN n_in_progress > 0 THEN 'replayed' WHEN n_failed > 0 THEN 'failed' ELSE 'success' END AS status,
-  CASE WHEN n_in_progress = 0 AND n_failed > 0 THEN concat('found ', n_failed, ' failed runs.') ELSE '' END AS message FROM replays_v r LEFT JOIN progress p ON p.replay_id = r.replay_id WHERE r.status = 'replayed'""",
+  CASE WHEN n_in_progress = 0 AND n_failed > 0 THEN concat('runs failed: ', n_failed) ELSE '' END AS message FROM replays_v r LEFT JOIN progress p ON p.replay_id = r.replay_id WHERE r.status = 'replayed'""",
 )
 def replay_status(t):
     return P.status(t.replays_v, _replay_runs(t))
@@ -130,7 +130,7 @@ def replay_list(t):
 
 @query(
     "replay_timeouts",
-    f"SELECT replay_id, 'failed' AS status, 'replay timed out' AS message FROM replays_v WHERE status IN {ONGOING} AND created_at + INTERVAL 3 HOUR <= TIMESTAMP '1995-05-01'",
+    f"SELECT replay_id, 'failed' AS status, 'no progress before the deadline' AS message FROM replays_v WHERE status IN {ONGOING} AND created_at + INTERVAL 3 HOUR <= TIMESTAMP '1995-05-01'",
 )
 def replay_timeouts(t):
     return P.timeouts(t.replays_v, "TIMESTAMP '1995-05-01 00:00:00'")

@@ -112,7 +112,7 @@ def window_v1(t):
     f"""WITH {SETTINGS_SQL}, {V2_SQL}, {V1_SQL}, pick AS (SELECT *, run_id % 4 AS version FROM v1)
 SELECT run_id, version, CASE WHEN version IN (0, 1) THEN s1t WHEN version = 2 THEN s2 END AS window_start,
        CASE WHEN version IN (0, 1) THEN e1 WHEN version = 2 THEN e2 END AS window_end,
-       CASE WHEN version = 3 THEN 'window version [3] is not recognized' END AS error FROM pick""",
+       CASE WHEN version = 3 THEN 'no window rules of version 3' END AS error FROM pick""",
 )
 def window_dispatch(t):
     runs = _timed_runs(t).withColumn("version", F.col("run_id") % 4)

@@ -27,7 +27,7 @@ def replay_timeouts(updates: DataFrame, hours: int = 3, lateness: str = "10 minu
             status, _ = state.get
             state.remove()
             if status in ONGOING_REPLAYS:
-                yield pd.DataFrame({"replay_id": [key[0]], "status": ["failed"], "message": ["replay timed out"]})
+                yield pd.DataFrame({"replay_id": [key[0]], "status": ["failed"], "message": ["no progress before the deadline"]})
             return
         newest = max((b.loc[b["updated_at"].idxmax()] for b in batches), key=lambda row: row["updated_at"])
         created = int(newest["created_at"].value // 1_000_000)

@@ -4,7 +4,7 @@ import pytest
 
 from flowtables.functions import cron, durations, windows
 
-# scheduled_at, size, offset, truncate_to, start, end
+# Windows that must come out. scheduled_at, size, offset, truncate_to, start, end
 V2 = [
     ("2022-07-05 02:10:10", "24h", "0", "h", "2022-07-04 02:00:00", "2022-07-05 02:00:00"),
     ("2022-07-05 02:10:10", "24h", "0", "", "2022-07-04 02:10:10", "2022-07-05 02:10:10"),
