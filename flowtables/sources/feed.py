@@ -29,14 +29,19 @@ def write(messages: DataFrame, target: str, fmt: str = "parquet", **options: str
     writer.save() if fmt == "kafka" else writer.save(target)
 
 
-def write_stream(messages: DataFrame, target: str, checkpoint: str, every: str = "10 seconds", available_now: bool = False):
+def write_stream(messages: DataFrame, target: str, checkpoint: str, every: str = "10 seconds", available_now: bool = False, fmt: str = "parquet", **options: str):
     """Micro-batches of a stream, at least once: a batch that failed is written again under the same id.
 
-    Each batch has its own folder, replaced when the batch is retried, so readers see every message once.
+    Each batch has its own folder, replaced when the batch is retried, so readers see every message once. Formats that
+    are not files (``kafka`` needs its connector) get ``options`` and an append per batch: at least once.
     """
 
     def flush(batch: DataFrame, batch_id: int) -> None:
-        batch.select("value").write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        writer = batch.select("value").write.format(fmt).options(**options)
+        if fmt in ("parquet", "orc", "json", "text", "csv"):
+            writer.mode("overwrite").save(f"{target}/batch={batch_id}")
+        else:
+            writer.mode("append").save()
 
     writer = messages.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from flowtables.functions import durations
-from flowtables.sources import specs
+from flowtables.sources import loads, specs
 
 # Partition type -> time unit.
 UNITS = {"HOUR": "hour", "DAY": "day", "MONTH": "month", "YEAR": "year"}
@@ -83,6 +83,18 @@ def expired_partitions(listing: DataFrame, partition: str, hours: int, now: str)
     return listing.where(F.timestamp_micros(F.unix_micros(F.col(partition).cast("timestamp")) + F.lit(hours * durations.HOUR)) <= F.expr(now))
 
 
+def remove_expired(spark: SparkSession, path: str, partition: str, kind: str, hours: int, now: str) -> list[str]:
+    """Deletes the partitions of a stored table whose time to live is over, and names them; no file is read.
+
+    ``kind`` is the partition's type. The partition of NULL never expires.
+    """
+    listed = spark.createDataFrame(list(loads.partitions(spark, path, partition).items()), "name string, v string")
+    gone = expired_partitions(listed.select("name", F.col("v").try_cast(kind).alias(partition)), partition, hours, now)
+    names = sorted(r["name"] for r in gone.select("name").collect())
+    loads.drop_partitions(spark, path, names)
+    return names
+
+
 def check_partitioning(old: dict, new: dict) -> None:
     """Time partitioning may change; range partitioning may not."""
     if old.get("type", "").upper() == "RANGE" and old != new:
@@ -128,10 +140,11 @@ def _skip_lines(spark: SparkSession, uris: Sequence[str], schema: T.StructType,
     lines = spark.read.text(list(uris)).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")
     )
-    # Leading rows are in a file's first block, which one task reads in order; only those blocks are ranked.
+    # Leading rows are in a file's first block, which one task reads in order. Only the n first of each file are
+    # ranked beyond that task (Spark trims every file before the shuffle); the others pass as they are.
     rank = F.row_number().over(Window.partitionBy("file").orderBy("line"))
-    first = lines.where("block = 0").withColumn("rank", rank).where(F.col("rank") > n).select("value")
-    rows = first.unionByName(lines.where("block > 0").select("value"))
+    leading = lines.where("block = 0").select("file", "line", rank.alias("rank")).where(F.col("rank") <= n).groupBy("file").agg(F.max("line").alias("last"))
+    rows = lines.join(leading, "file", "left").where("block > 0 OR last IS NULL OR line > last").select("value")
     parsed = rows.select(F.from_csv("value", F.lit(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)), options or None).alias("r"))
     return parsed.select("r.*")
 

@@ -500,3 +500,55 @@ def test_deleted_jobs_take_no_part(spark):
     assert {(e.job_id, e.state) for e in edges} == {(2, "unresolved"), (3, "resolved")}
     assert {r.job_id for r in lineage.downstream_by_sources(jobs, sources, sources.select("source")).collect()} == {2, 3}
     assert {r.downstream_id for r in lineage.downstream_by_destination(jobs, sources).collect()} == {3}
+
+
+def test_expired_partitions_are_removed(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    loads.append(_table(spark, [(1, "a", "2024-01-01"), (2, "b", "2024-01-05"), (3, "c", None)]), path, "day")
+    assert managed.remove_expired(spark, path, "day", "date", 48, "TIMESTAMP '2024-01-06 00:00:00'") == ["day=2024-01-01"]
+    assert [r[0] for r in _rows(spark, path, _table(spark, []))] == [2, 3]
+
+
+def test_leading_lines_are_skipped(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text("".join(f"head {i}\n" for i in range(2)) + "".join(f"{k},{i}\n" for i in range(k * 2)))
+    rows = managed.read_external(spark, [str(tmp_path)], "csv", specs.struct_type([{"name": "a", "type": "INTEGER"}, {"name": "b", "type": "INTEGER"}]), skip_leading_rows=2)
+    assert sorted(map(tuple, rows.collect())) == [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (2, 3)]
+
+
+def test_backup_runs_and_expires(spark, tmp_path):
+    from datetime import datetime
+
+    from flowtables.sources import backup
+
+    resources = spark.createDataFrame([("d", "one", "table"), ("d", "two", "view"), ("d", "gone", "table")], "dataset string, name string, kind string")
+    plan = backup.manifest(resources, "TIMESTAMP '2024-01-02 03:04:05'", ttl="24h")
+
+    def rows_of(dataset, name):
+        if name == "gone":
+            raise LookupError("no such table")
+        return spark.range(5)
+
+    got = {r.name: (r.status, r.reason) for r in backup.run(spark, plan, rows_of, str(tmp_path)).collect()}
+    assert got["one"] == ("success", None) and got["two"][0] == "ignored" and got["gone"] == ("failed", "no such table")
+    name = "backup_d_one_2024_01_02_03_04_05"
+    assert spark.table(name).count() == 5
+    assert backup.remove_expired(spark, [name], datetime(2024, 1, 3, 3, 4, 4)) == []
+    assert backup.remove_expired(spark, [name], datetime(2024, 1, 3, 3, 4, 5)) == [name]
+    assert not spark.catalog.tableExists(name) and not (tmp_path / name).exists()
+
+
+def test_job_run_renders_macros_and_hooks_see_what_was_loaded(spark, tables, tmp_path):
+    seen = {}
+
+    def look(result, context):
+        seen.update(context.config, rows=sorted(tuple(r) for r in result.collect()))
+
+    sql = "SELECT user_id, count(*) AS n, DATE '{{ .DSTART | Date }}' AS day FROM {source} GROUP BY user_id"
+    job = J.Job("m", sql, f"{tmp_path}/t", "day", method="REPLACE", config={"from": "{{.DSTART}}", "mode": "all"}, after=[look])
+    J.run(spark, job, tables.events, "ts", "2024-01-16 02:00:00", {"mode": "replay"})
+    stored = spark.read.schema("user_id bigint, n bigint, day date").parquet(f"{tmp_path}/t")
+    assert seen["rows"] == sorted(tuple(r) for r in stored.collect()) and len(seen["rows"]) > 0
+    assert seen["from"].endswith("Z") and seen["mode"] == "replay"
+    with pytest.raises(ValueError, match="NOPE"):
+        J.run(spark, J.Job("m", "SELECT {{.NOPE}}", f"{tmp_path}/t", "day"), tables.events, "ts", "2024-01-16 02:00:00")
