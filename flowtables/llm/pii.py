@@ -222,7 +222,7 @@ def train(docs: DataFrame, sample: int = TRAINING_DOCS) -> Model | None:
         return None
     booster = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=11, maxBins=32)
     fitted = booster.fit(labelled.where(F.col("fold") != 0))
-    trees = [(_nodes(t._java_obj.rootNode() if hasattr(t, "_java_obj") else t._call_java("rootNode")), float(w)) for t, w in zip(fitted.trees, fitted.treeWeights, strict=True)]
+    trees = [(_nodes(t._java_obj.rootNode()), float(w)) for t, w in zip(fitted.trees, fitted.treeWeights, strict=True)]
     model = Model(trees, {})
     held = labelled.where(F.col("fold") == 0).select(F.col("kind").cast("int").alias("kind"), "label", model.score(F.struct(*FEATURES)).alias("score"))
     return Model(trees, _thresholds([(r["kind"], r["score"], r["label"]) for r in held.collect()]))
@@ -251,6 +251,7 @@ def _added(model: Model | None) -> Column:
     none = F.array().cast("array<struct<kind:int,start:int,stop:int>>")
     if model is None or not model.thresholds:
         return none
+
     def bar(w: Column) -> Column:
         first, *rest = model.thresholds.items()
         chosen = F.when(w["span"]["kind"] == first[0], F.lit(first[1]))
