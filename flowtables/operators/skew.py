@@ -10,7 +10,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,49 +24,43 @@ SALTS = 32
 def _binned(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows in bins of about equal size, cut along (keys, order): a hot key or a hot moment fills several bins.
 
-    Stored once, because the cuts come from a sample and both uses of the bins must see the same ones.
+    Stored once, because the cuts come from a sample and both uses of the bins must see the same ones. How many bins
+    there are follows from the data: adaptive execution merges small neighbours. ``__key`` is the keys as one value
+    that is never NULL, so that windows over it and joins on it share one exchange; NULL keys are keys too.
     """
-    bins = session.shuffle_pieces(df.sparkSession)
     spread = [c for c in df.columns if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
-    ranged = df.withColumn("__tie", F.xxhash64(*spread)).repartitionByRange(bins, *keys, *order, "__tie")
-    return session.cut_lineage(ranged.withColumn("__bin", F.spark_partition_id()))
-
-
-def _with_carry(local: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Joins per (key, bin); NULL keys are keys too."""
-    carry = carry.withColumnsRenamed({c: f"__k_{c}" for c in (*keys, "__bin")})
-    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in (*keys, "__bin")])
-    return local.join(carry, match)
+    ranged = df.withColumn("__tie", F.xxhash64(*spread)).repartitionByRange(*keys, *order, "__tie")
+    return session.cut_lineage(ranged.withColumn("__bin", F.spark_partition_id())).withColumn("__key", F.struct(*keys))
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
     """Adds inclusive running sums per key in the given order."""
     keys = list(keys)
     work = _binned(df.withColumns({f"__v_{n}": e for n, e in sums.items()}), keys, order)
-    inside = Window.partitionBy(*keys, "__bin").orderBy(*order, "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("__key", "__bin").orderBy(*order, "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = work.select("*", *[F.coalesce(F.sum(f"__v_{n}").over(inside), F.lit(0)).alias(f"__l_{n}") for n in sums])
-    earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("__key").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        work.groupBy(*keys, "__bin")
+        work.groupBy("__key", "__bin")
         .agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
-        .select(*keys, "__bin", *[F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__c_{n}") for n in sums])
+        .select("__key", "__bin", *[F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__c_{n}") for n in sums])
     )
-    return _with_carry(local, carry, keys).select(*df.columns, *[(F.col(f"__l_{n}") + F.col(f"__c_{n}")).alias(n) for n in sums])
+    return local.join(carry, ["__key", "__bin"]).select(*df.columns, *[(F.col(f"__l_{n}") + F.col(f"__c_{n}")).alias(n) for n in sums])
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, into: str) -> DataFrame:
     """Adds the value of the row before, per key in the given order; NULL on a key's first row."""
     keys = list(keys)
     work = _binned(df.withColumn("__v", F.struct(value.alias("v"))), keys, order)
-    inside = Window.partitionBy(*keys, "__bin").orderBy(*order, "__tie")
+    inside = Window.partitionBy("__key", "__bin").orderBy(*order, "__tie")
     local = work.select("*", F.lag("__v").over(inside).alias("__p"), F.row_number().over(inside).alias("__n"))
-    across = Window.partitionBy(*keys).orderBy("__bin")
+    across = Window.partitionBy("__key").orderBy("__bin")
     carry = (
-        work.groupBy(*keys, "__bin")
+        work.groupBy("__key", "__bin")
         .agg(F.max_by("__v", F.struct(*order, "__tie")).alias("__last"))
-        .select(*keys, "__bin", F.lag("__last").over(across).alias("__carry"))
+        .select("__key", "__bin", F.lag("__last").over(across).alias("__carry"))
     )
-    return _with_carry(local, carry, keys).select(
+    return local.join(carry, ["__key", "__bin"]).select(
         *df.columns, F.when(F.col("__n") == 1, F.col("__carry")).otherwise(F.col("__p"))["v"].alias(into)
     )
 
