@@ -324,7 +324,10 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html") -> Data
     """One row per page: page_id, url, text, n_chars."""
     known = wrappers(pages, url, html)
     rows = pages.select(col("page_id").alias("page_id"), col(url).cast("string").alias("url"), F.coalesce(col(html), F.lit("")).alias("html"), _host(url).alias("host"))
-    joined = rows.join(known, "host", "left").select("page_id", "url", "html", "wrapper")
+    # A host's pages meet its wrapper in ``MERGE_GROUPS`` parts, whatever the host's share of all pages.
+    part = F.pmod(F.xxhash64("page_id", "url"), F.lit(MERGE_GROUPS)).cast("int")
+    copies = known.select("host", "wrapper", F.explode(F.sequence(F.lit(0), F.lit(MERGE_GROUPS - 1))).alias("part"))
+    joined = rows.withColumn("part", part).join(copies, ["host", "part"], "left").select("page_id", "url", "html", "wrapper")
     kind = T.StructType([T.StructField("page_id", joined.schema["page_id"].dataType)]).add("url", "string").add("text", "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
