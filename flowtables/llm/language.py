@@ -33,7 +33,7 @@ UNKNOWN = "und"
 _BATCH = 128
 _SEGMENT = 1 << 20
 
-_letter = re.compile(r"[^\W\d_]")
+_alphanumeric = re.compile(r"[^\W\d_]")
 _AS_SPACE = np.arange(256, dtype=np.uint8)
 for _b in range(128):
     if not chr(_b).isalpha():
@@ -120,8 +120,11 @@ def train(docs: DataFrame, learn: Column | None = None, rows: int = ROWS_PER_LAN
     """Fits on at most ``rows`` documents per language; ``learn`` restricts which documents may be used."""
     usable = docs.where(col("lang").isNotNull() & col("doc_id").isNotNull() & col("text").isNotNull() & (F.lit(True) if learn is None else learn))
     named = usable.select(col("doc_id").cast("bigint").alias("id"), col("lang").alias("lang"))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = named.select("id", "lang", turn.alias("turn")).where(F.col("turn") <= rows).select("id", "lang").distinct()
+    # Only ids whose hash can be among the lowest meet in a language's window: about twice the rows wanted.
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    likely = named.join(named.groupBy("lang").agg(F.count("*").alias("n")), "lang").where(place * F.col("n") <= 2 * rows).select("id", "lang").distinct()
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(place, "id"))
+    chosen = likely.select("id", "lang", turn.alias("turn")).where(F.col("turn") <= rows).select("id", "lang")
     # Bounded by ``rows`` times the number of languages: about 20 bytes each.
     picked = usable.select(col("text").alias("text"), col("doc_id").cast("bigint").alias("id"), col("lang").alias("lang")).join(F.broadcast(chosen), ["id", "lang"])
 
@@ -135,8 +138,12 @@ def train(docs: DataFrame, learn: Column | None = None, rows: int = ROWS_PER_LAN
     return fit(rows_, [r["lang"] for r in taken])
 
 
+def _has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _alphanumeric.finditer(text))
+
+
 def _predictions(texts: list[str | None], model: Model) -> tuple[list[str], list[float], list[bool]]:
-    known = [k for k, t in enumerate(texts) if t is not None and model.languages and _letter.search(t)]
+    known = [k for k, t in enumerate(texts) if t is not None and model.languages and _has_letter(t)]
     names, scores, unclear = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
     if known:
         for k, best, score, ambiguous in zip(known, *decode(model, np.stack([vector(texts[k]) for k in known])), strict=True):
