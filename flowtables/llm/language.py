@@ -122,7 +122,9 @@ def train(docs: DataFrame, learn: Column | None = None, rows: int = ROWS_PER_LAN
     named = usable.select(col("doc_id").cast("bigint").alias("id"), col("lang").alias("lang"))
     # Only ids whose hash can be among the lowest meet in a language's window: about twice the rows wanted.
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    likely = named.join(named.groupBy("lang").agg(F.count("*").alias("n")), "lang").where(place * F.col("n") <= 2 * rows).select("id", "lang").distinct()
+    # One row per language; the model itself holds as many on every machine.
+    sizes = F.broadcast(named.groupBy("lang").agg(F.count("*").alias("n")))
+    likely = named.join(sizes, "lang").where(place * F.col("n") <= 2 * rows).select("id", "lang").distinct()
     turn = F.row_number().over(Window.partitionBy("lang").orderBy(place, "id"))
     chosen = likely.select("id", "lang", turn.alias("turn")).where(F.col("turn") <= rows).select("id", "lang")
     # Bounded by ``rows`` times the number of languages: about 20 bytes each.
