@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtables import session
+from flowtables.llm import common
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,3 +31,4 @@ def components(edges: DataFrame) -> DataFrame:
                 now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
             )
         before = state
+        common.release(now.sparkSession)
