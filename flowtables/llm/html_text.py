@@ -4,16 +4,16 @@ Pages of one host come from few templates. Every page becomes a stream of block
 host are aligned one after the other into a regular expression without unions: an element that some pages lack becomes
 optional, equal neighbours become a repeated group, texts become slots that are constant or vary. Aligning is
 associative, so every task aligns its own pages first and only one wrapper per host and task is shuffled; all pages
-take part, and a host of any size is spread. A wrapper then says which paths of elements hold main text:
+take part, and a host of any size is spread. Main text is chosen page by page:
 
-* inside ``article``, else ``main``, where the template has one that is not a comment or a teaser;
-* else inside the element that holds most of the varying text with few links;
+* inside ``article`` and ``main``, where the page has one with text that is not a comment or a teaser;
+* else, by the paths of the wrapper, inside the element that holds most of the varying text with few links;
 * never in elements whose tag, role, class or id says menu, header, footer, sidebar, notice, advert, form or comments;
 * outside ``article`` and ``main``, never a slot with the same text on all of three or more pages.
 
-Defined results: a null page or one without main text gives the empty text; pages without a url form one host; paths
-no wrapper knows follow the same rules by their names alone; repeated rows are handled one by one; an empty table
-gives an empty result. White space includes no-break spaces.
+Paths inside ``article`` and ``main`` take no part in that choice of an element. Defined results: a null page or one
+without main text gives the empty text; pages without a url form one host; repeated rows are handled one by one; an
+empty table gives an empty result. White space includes no-break spaces.
 """
 
 from __future__ import annotations
@@ -220,31 +220,36 @@ def outside(name: str, in_article: bool) -> bool:
     return not OUTSIDE.isdisjoint(words) or (not in_article and not HEADERS.isdisjoint(words))
 
 
+def _region(names: list[str]) -> tuple[str, int]:
+    """Which region a path lies in, and where in the path it begins."""
+    kind, at = "", len(names)
+    for k, name in enumerate(names):
+        tag = name.split(".")[0]
+        if tag == "article":
+            return "article", min(k, at)
+        if not kind and (tag == "main" or "role.main" in name):
+            kind, at = "main", k
+    return kind, at
+
+
 def main_paths(wrapper: list) -> dict[str, bool]:
-    """For every path of the wrapper: is its own text main text?"""
-    paths: dict[str, tuple[list, bool, str]] = {}
+    """For every path of the wrapper outside ``article`` and ``main``: is its own text main text on pages without them?"""
+    paths: dict[str, tuple[list, bool]] = {}
 
-    def walk(node: list, path: str, inside: str, out: bool) -> None:
+    def walk(node: list, path: str, out: bool) -> None:
         for kid in node[KIDS]:
-            tag = kid[NAME].split(".")[0]
-            here = inside or ("article" if tag == "article" else "")
-            main = inside or ("main" if tag == "main" or "role.main" in kid[NAME] else "")
-            where = here or main
-            gone = out or outside(kid[NAME], bool(where))
+            if _region([kid[NAME]])[0]:
+                continue
+            gone = out or outside(kid[NAME], False)
             at = f"{path}>{kid[NAME]}"
             if at in paths:
                 known = paths[at][0]
-                node_ = [*known[:LENGTH], known[LENGTH] + kid[LENGTH], known[LINKED] + kid[LINKED], known[CRC], True, []]
-                paths[at] = (node_, gone, where)
+                paths[at] = ([*known[:LENGTH], known[LENGTH] + kid[LENGTH], known[LINKED] + kid[LINKED], known[CRC], True, []], gone)
             else:
-                paths[at] = (kid, gone, where)
-            walk(kid, at, where, gone)
+                paths[at] = (kid, gone)
+            walk(kid, at, gone)
 
-    walk(wrapper, "", "", False)
-    marked = [w for _, gone, w in paths.values() if w and not gone]
-    if marked:
-        region = "article" if "article" in marked else "main"
-        return {p: w == region and not gone for p, (_, gone, w) in paths.items()}
+    walk(wrapper, "", False)
 
     def varies(node: list) -> bool:
         return node[VARIES] or node[PAGES] < SAME_ON
@@ -252,7 +257,7 @@ def main_paths(wrapper: list) -> dict[str, bool]:
     def good(node: list, gone: bool) -> bool:
         return not gone and node[LENGTH] > 0 and varies(node) and node[LINKED] <= MOST_LINKS * node[LENGTH]
 
-    mass = {p: node[LENGTH] if good(node, gone) else 0 for p, (node, gone, _) in paths.items()}
+    mass = {p: node[LENGTH] if good(node, gone) else 0 for p, (node, gone) in paths.items()}
     total: dict[str, int] = {}
     for p, n in mass.items():
         while p:
@@ -267,18 +272,18 @@ def main_paths(wrapper: list) -> dict[str, bool]:
         if not deeper:
             break
         container = deeper[0]
-    return {p: good(node, gone) and (p == container or p.startswith(container + ">")) for p, (node, gone, _) in paths.items()}
+    return {p: good(node, gone) and (p == container or p.startswith(container + ">")) for p, (node, gone) in paths.items()}
 
 
 def extract(page: str, keep: dict[str, bool]) -> str:
+    """The main text of one page: its own elements say whether it is inside ``article`` and ``main`` or by ``keep``."""
+    found = [([name for name, _ in path], text) for path, text, _ in blocks(page)]
+    places = [_region(names) for names, _ in found]
+    alive = [not any(outside(n, k >= at) for k, n in enumerate(names)) for (names, _), (_, at) in zip(found, places, strict=True)]
+    marked = any(good and region for good, (region, _) in zip(alive, places, strict=True))
     out = []
-    for path, text, _ in blocks(page):
-        names = [name for name, _ in path]
-        known = keep.get("".join(f">{n}" for n in names))
-        if known is None:
-            at = next((k for k, n in enumerate(names) if n.split(".")[0] in ("article", "main")), None)
-            known = at is not None and not any(outside(n, k >= at) for k, n in enumerate(names))
-        if known:
+    for (names, text), (region, _), good in zip(found, places, alive, strict=True):
+        if good and (region if marked else keep.get("".join(f">{n}" for n in names), False)):
             out.append(text)
     return " ".join(out)
 

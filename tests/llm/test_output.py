@@ -147,6 +147,19 @@ def test_page_text(spark):
     assert html_text.extract_text(docs.limit(0)).count() == 0
 
 
+def texts_of(spark, pages):
+    rows = [(k, "http://one.org/p", page) for k, page in enumerate(pages)]
+    return {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_mixed_templates_of_a_host(spark):
+    inside, beside = "<nav>m</nav><article><h1>A{0}</h1><p>one {0}</article>", "<main><h1>H{0}</h1><p>lead {0}<article><p>body {0}</article></main><footer>f</footer>"
+    plain, only = "<nav>m</nav><div class=content><h1>C{0}</h1><p>two {0}</div><footer>f</footer>", "<main><p>three {0}</main>"
+    got = texts_of(spark, [t.format(k) for k, t in enumerate([inside, beside, plain, only] * 4)])
+    want = ["A{0} one {0}", "H{0} lead {0} body {0}", "C{0} two {0}", "three {0}"]
+    assert got == {k: want[k % 4].format(k) for k in range(16)}
+
+
 def test_alignment_does_not_depend_on_grouping():
     trees = [html_text.tree(PAGE.format(k, "<p>extra</p>" if k % 2 else "")) for k in range(6)]
     one = None
