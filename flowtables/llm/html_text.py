@@ -7,13 +7,13 @@ associative, so every task aligns its own pages first and only one wrapper per h
 take part, and a host of any size is spread. Main text is chosen page by page:
 
 * inside ``article`` and ``main``, where the page has one with text that is not a comment or a teaser;
-* else, by the paths of the wrapper, inside the element that holds most of the varying text with few links;
+* else in every slot of the wrapper with few links;
 * never in elements whose tag, role, class or id says menu, header, footer, sidebar, notice, advert, form or comments;
-* outside ``article`` and ``main``, never a slot with the same text on all of three or more pages.
+* outside ``article`` and ``main``, never a slot with the same text on all of three or more different pages (copies count
+  as one); where nothing varies on the whole host, no slot counts as constant.
 
-Paths inside ``article`` and ``main`` take no part in that choice of an element. Defined results: a null page or one
-without main text gives the empty text; pages without a url form one host; repeated rows are handled one by one; an
-empty table gives an empty result. White space includes no-break spaces.
+Defined results: a null page or one without main text gives the empty text; pages without a url form one host;
+repeated rows are handled one by one; an empty table gives an empty result. White space includes no-break spaces.
 """
 
 from __future__ import annotations
@@ -36,7 +36,6 @@ HOSTS_AT_ONCE = 500
 MERGE_GROUPS = 32
 SAME_ON = 3
 MOST_LINKS = 0.5
-MASS = 0.8
 
 # Names of elements.
 BLOCKS = frozenset(
@@ -137,13 +136,14 @@ def blocks(page: str) -> Iterator[tuple[tuple[tuple[str, int], ...], str, int]]:
     yield from flush()
 
 
-# A wrapper node: [name, pages, optional, repeated, text length, length in links, crc of the text, varies, children].
+# A wrapper node: [name, up to ``SAME_ON`` checksums of different pages, optional, repeated, text length, length in links, crc of the text, varies, children].
 NAME, PAGES, OPTIONAL, REPEATED, LENGTH, LINKED, CRC, VARIES, KIDS = range(9)
 
 
 def tree(page: str) -> list:
     """The block elements with text of one page, equal neighbours folded into repeated groups."""
-    root = ["", 1, False, False, 0, 0, 0, False, []]
+    shown = [0]  # the checksum of all texts of the page, shared by its elements
+    root = ["", shown, False, False, 0, 0, 0, False, []]
     open_nodes: list[tuple[int, list]] = [(0, root)]
     for path, text, linked in blocks(page):
         depth = 1
@@ -151,13 +151,15 @@ def tree(page: str) -> list:
             depth += 1
         del open_nodes[depth:]
         for name, serial in path[depth - 1 :]:
-            node = [name, 1, False, False, 0, 0, 0, False, []]
+            node = [name, shown, False, False, 0, 0, 0, False, []]
             open_nodes[-1][1][KIDS].append(node)
             open_nodes.append((serial, node))
         leaf = open_nodes[-1][1]
         leaf[LENGTH] += len(text)
         leaf[LINKED] += linked
-        leaf[CRC] = zlib.crc32(text.encode("utf-8", "replace"), leaf[CRC])
+        data = text.encode("utf-8", "replace")
+        leaf[CRC] = zlib.crc32(data, leaf[CRC])
+        shown[0] = zlib.crc32(data + b"\n", shown[0])
     return _folded(root)
 
 
@@ -180,11 +182,16 @@ def _folded(node: list) -> list:
     return node
 
 
+def _pages(a: list[int], b: list[int]) -> list[int]:
+    """Checksums of different pages, no more than needed to call a slot constant."""
+    return a if len(a) >= SAME_ON or a == b else sorted({*a, *b})[:SAME_ON]
+
+
 def _joined(a: list, b: list, same_page: bool = False) -> list:
     """Two elements of one name as one."""
     crc = zlib.crc32(b[CRC].to_bytes(4, "little"), a[CRC]) if same_page else a[CRC]
     return [
-        a[NAME], a[PAGES] if same_page else a[PAGES] + b[PAGES], a[OPTIONAL] or b[OPTIONAL], same_page or a[REPEATED] or b[REPEATED],
+        a[NAME], a[PAGES] if same_page else _pages(a[PAGES], b[PAGES]), a[OPTIONAL] or b[OPTIONAL], same_page or a[REPEATED] or b[REPEATED],
         a[LENGTH] + b[LENGTH], a[LINKED] + b[LINKED], crc, a[VARIES] or b[VARIES] or (not same_page and a[CRC] != b[CRC]),
         _aligned(a[KIDS], b[KIDS], same_page),
     ]
@@ -232,6 +239,20 @@ def _region(names: list[str]) -> tuple[str, int]:
     return kind, at
 
 
+def _varies(node: list) -> bool:
+    """Is a slot not known to be constant? That takes ``SAME_ON`` different pages, copies of one page show nothing."""
+    return node[VARIES] or len(node[PAGES]) < SAME_ON
+
+
+def _open(node: list, inside: bool) -> Iterator[list]:
+    """The elements of a wrapper that are not marked as outside."""
+    for kid in node[KIDS]:
+        here = inside or bool(_region([kid[NAME]])[0])
+        if not outside(kid[NAME], here):
+            yield kid
+            yield from _open(kid, here)
+
+
 def main_paths(wrapper: list) -> dict[str, bool]:
     """For every path of the wrapper outside ``article`` and ``main``: is its own text main text on pages without them?"""
     paths: dict[str, tuple[list, bool]] = {}
@@ -244,35 +265,22 @@ def main_paths(wrapper: list) -> dict[str, bool]:
             at = f"{path}>{kid[NAME]}"
             if at in paths:
                 known = paths[at][0]
-                paths[at] = ([*known[:LENGTH], known[LENGTH] + kid[LENGTH], known[LINKED] + kid[LINKED], known[CRC], True, []], gone)
+                both = any(_varies(x) for x in (known, kid) if x[LENGTH])
+                seen = _pages(known[PAGES], kid[PAGES])
+                paths[at] = ([known[NAME], seen, *known[OPTIONAL:LENGTH], known[LENGTH] + kid[LENGTH], known[LINKED] + kid[LINKED], known[CRC], both, []], gone)
             else:
                 paths[at] = (kid, gone)
             walk(kid, at, gone)
 
     walk(wrapper, "", False)
 
-    def varies(node: list) -> bool:
-        return node[VARIES] or node[PAGES] < SAME_ON
+    # A host without any slot that varies has shown no template yet.
+    unknown = not any(node[LENGTH] > 0 and _varies(node) for node in _open(wrapper, False))
 
     def good(node: list, gone: bool) -> bool:
-        return not gone and node[LENGTH] > 0 and varies(node) and node[LINKED] <= MOST_LINKS * node[LENGTH]
-
-    mass = {p: node[LENGTH] if good(node, gone) else 0 for p, (node, gone) in paths.items()}
-    total: dict[str, int] = {}
-    for p, n in mass.items():
-        while p:
-            total[p] = total.get(p, 0) + n
-            p = p.rpartition(">")[0]
-    container = ""
-    while True:
-        deeper = [p for p in paths if p.rpartition(">")[0] == container and total.get(p, 0) >= MASS * max(1, total.get(container, sum(mass.values())))]
-        deeper = [p for p in deeper if any(q.startswith(p + ">") for q in paths)]
-        # A heading of the text stays inside.
-        deeper = [p for p in deeper if not any(mass[q] and q.rpartition(">")[2].split(".")[0] in HEADINGS for q in paths if not q.startswith(p + ">"))]
-        if not deeper:
-            break
-        container = deeper[0]
-    return {p: good(node, gone) and (p == container or p.startswith(container + ">")) for p, (node, gone) in paths.items()}
+        return not gone and node[LENGTH] > 0 and (unknown or _varies(node)) and node[LINKED] <= MOST_LINKS * node[LENGTH]
+
+    return {p: good(node, gone) for p, (node, gone) in paths.items()}
 
 
 def extract(page: str, keep: dict[str, bool]) -> str:

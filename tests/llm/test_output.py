@@ -160,6 +160,19 @@ def test_mixed_templates_of_a_host(spark):
     assert got == {k: want[k % 4].format(k) for k in range(16)}
 
 
+@pytest.mark.parametrize("n", [2, 3, 9])
+def test_copies_of_a_page_show_no_template(spark, n):
+    page = "<div class=menu>m</div><div><h1>A</h1><p>some text</p></div>"
+    assert set(texts_of(spark, [page] * n).values()) == {"A some text"}
+    assert set(texts_of(spark, [page] * n + ["<div><p>another</p></div>"]).values()) == {"A some text", "another"}
+
+
+def test_small_blocks_beside_the_text_stay(spark):
+    page = "<div class=lead>lead {0}</div><div class=text><h1>A{0}</h1><p>" + "long {0} " * 50 + "</div><div class=sum>end {0}</div><div>Terms</div>"
+    got = texts_of(spark, [page.format(k) for k in range(5)])
+    assert got == {k: f"lead {k} A{k} " + f"long {k} " * 50 + f"end {k}" for k in range(5)}
+
+
 def test_alignment_does_not_depend_on_grouping():
     trees = [html_text.tree(PAGE.format(k, "<p>extra</p>" if k % 2 else "")) for k in range(6)]
     one = None
