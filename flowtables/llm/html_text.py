@@ -9,6 +9,7 @@ take part, and a host of any size is spread. Main text is chosen page by page:
 * inside ``article`` and ``main``, where the page has one with text that is not a comment or a teaser;
 * else in every slot of the wrapper with few links;
 * never in elements whose tag, role, class or id says menu, header, footer, sidebar, notice, advert, form or comments;
+  such words do not count on ``html``, ``body`` and elements that hold ``main`` or the page's article;
 * outside ``article`` and ``main``, never a slot with the same text on all of three or more different pages (copies count
   as one); where nothing varies on the whole host, no slot counts as constant.
 
@@ -24,6 +25,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,7 +44,7 @@ BLOCKS = frozenset(
     "html body div article section main nav header footer aside form fieldset ul ol li dl dt dd table thead tbody tfoot tr td th caption p h1 h2 h3 h4 h5 h6 "
     "blockquote pre figure figcaption address details summary dialog menu center hgroup search".split()
 )
-RAW = frozenset("script style title textarea noscript template iframe svg math object select button option audio video canvas head".split())
+RAW = frozenset("script style title textarea noscript template iframe svg math object select button option audio video canvas".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 CLOSES_P = BLOCKS - {"html", "body"}
 # Words that name what is not main text, as tags, roles, classes or ids.
@@ -112,7 +114,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[tuple[str, int], ...], str, int]]:
             if (m[3] or m[6] or "").endswith("/"):
                 continue
             if tag not in _ends:
-                _ends[tag] = re.compile(rf"</{re.escape(tag)}\b[^>]*>" + (r"|(?=<body\b)" if tag == "head" else ""), re.I)
+                _ends[tag] = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I)
             end = _ends[tag].search(page, at)
             at = end.end() if end else len(page)
             continue
@@ -222,9 +224,11 @@ def align(a: list | None, b: list) -> list:
     return b if a is None else _joined(a, b)
 
 
+@lru_cache(maxsize=65_536)
 def outside(name: str, in_article: bool) -> bool:
+    """Does the name of an element say that it is not main text? Those of the whole page say nothing."""
     words = name.split(".")
-    return not OUTSIDE.isdisjoint(words) or (not in_article and not HEADERS.isdisjoint(words))
+    return words[0] not in ("html", "body") and (not OUTSIDE.isdisjoint(words) or (not in_article and not HEADERS.isdisjoint(words)))
 
 
 def _region(names: list[str]) -> tuple[str, int]:
@@ -283,17 +287,47 @@ def main_paths(wrapper: list) -> dict[str, bool]:
     return {p: good(node, gone) for p, (node, gone) in paths.items()}
 
 
+def _chosen(found: list, keep: dict[str, bool]) -> list[bool]:
+    """Which of a page's texts are main text. Marks do not count on elements that hold ``main`` or the page's article."""
+    places = [_region([name for name, _ in path]) for path, _, _ in found]
+    both = list(zip(found, places, strict=True))
+    unmarked: set[int] = set()  # serials
+
+    def clear(path, at: int, first: int = 0) -> bool:
+        return not any(outside(name, k >= at) and serial not in unmarked for k, (name, serial) in enumerate(path) if k >= first)
+
+    def choose() -> tuple[list[bool], bool]:
+        alive = [clear(path, at) for (path, _, _), (_, at) in both]
+        in_article = any(good and region == "article" for good, (region, _) in zip(alive, places, strict=True))
+        if any(good and region for good, (region, _) in zip(alive, places, strict=True)):
+            return [good and region != "" for good, (region, _) in zip(alive, places, strict=True)], in_article
+        return [good and keep.get("".join(f">{name}" for name, _ in path), False) for good, (path, _, _) in zip(alive, found, strict=True)], in_article
+
+    articles: dict[int, int] = {}  # serial: length of its text
+    above: dict[int, set[int]] = {}
+    for (path, text, _), (region, at) in both:
+        if not region:
+            continue
+        start = next((k for k, (name, _) in enumerate(path) if name.split(".")[0] == "article"), None)
+        if start is None or start > at:
+            unmarked.update(serial for _, serial in path[: at + 1])
+        if start is not None and clear(path, at, start):
+            articles[path[start][1]] = articles.get(path[start][1], 0) + len(text)
+            above[path[start][1]] = {serial for _, serial in path[:start]}
+    chosen, in_article = choose()
+    if articles and not in_article:
+        # All articles are below marked elements: the longest is the page's article, unless the rest is longer.
+        longest = max(articles, key=articles.__getitem__)
+        if articles[longest] > sum(len(text) for good, (_, text, _) in zip(chosen, found, strict=True) if good):
+            unmarked |= above[longest]
+            chosen, _ = choose()
+    return chosen
+
+
 def extract(page: str, keep: dict[str, bool]) -> str:
     """The main text of one page: its own elements say whether it is inside ``article`` and ``main`` or by ``keep``."""
-    found = [([name for name, _ in path], text) for path, text, _ in blocks(page)]
-    places = [_region(names) for names, _ in found]
-    alive = [not any(outside(n, k >= at) for k, n in enumerate(names)) for (names, _), (_, at) in zip(found, places, strict=True)]
-    marked = any(good and region for good, (region, _) in zip(alive, places, strict=True))
-    out = []
-    for (names, text), (region, _), good in zip(found, places, alive, strict=True):
-        if good and (region if marked else keep.get("".join(f">{n}" for n in names), False)):
-            out.append(text)
-    return " ".join(out)
+    found = list(blocks(page))
+    return " ".join(text for good, (_, text, _) in zip(_chosen(found, keep), found, strict=True) if good)
 
 
 def _host(url: str):

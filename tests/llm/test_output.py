@@ -173,6 +173,18 @@ def test_small_blocks_beside_the_text_stay(spark):
     assert got == {k: f"lead {k} A{k} " + f"long {k} " * 50 + f"end {k}" for k in range(5)}
 
 
+def test_words_on_the_whole_page_do_not_empty_it(spark):
+    article = "<nav>m</nav><article><h1>A</h1><p>some long text of a page</article><aside class=related><article>teaser</article></aside>"
+    pages = [
+        f'<html class="cookies-not-set"><body class="single no-sidebar">{article}',
+        f'<body><div id=page class="site right-sidebar">{article}<div class=share>s</div></div><p>9 visits',
+        '<body><div class="widget"><main class="has-sidebar"><h1>A</h1><p>some long text of a page</main></div>',
+        f"<head><title>t</title><script>var a = '<p>no</p>';</script><meta charset=utf-8><nav>m</nav>{article}",
+        "<body class=cookies><div class=content><h1>A</h1><p>some long text of a page</div><div class=related><article>teaser</article></div>",
+    ]
+    assert texts_of(spark, pages) == dict.fromkeys(range(5), "A some long text of a page")
+
+
 def test_alignment_does_not_depend_on_grouping():
     trees = [html_text.tree(PAGE.format(k, "<p>extra</p>" if k % 2 else "")) for k in range(6)]
     one = None
