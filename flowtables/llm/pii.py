@@ -10,8 +10,10 @@
    are right, and no lower than the score that ``LEAST_TYPICAL`` of the known spans miss. Candidates at or above it that
    keep the rules and touch no base span are added, best first.
 
-Scoring is one pass over the documents without a shuffle; the trees are a CASE expression. The fit sees the candidates of
-about ``TRAINING_DOCS`` documents, those whose id hashes lowest.
+Scoring is one pass over the documents without a shuffle; the trees are a CASE expression. One pass before it stores the
+labelled candidates of all documents. The fit sees at most about ``TRAINING_SPANS`` of each kind and label, those that hash
+lowest; thresholds come from counts by score of all the others. A kind whose known spans are all in the fit is calibrated
+on these.
 
 Spans count code points, ends exclusive. Defined results: null and empty texts have no spans; null ids
 pass through; repeated rows are handled one by one; without enough labelled candidates nothing is added; an empty
@@ -30,7 +32,8 @@ from flowtables import session
 from flowtables.llm.common import col, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-TRAINING_DOCS = 6_000
+TRAINING_SPANS = 4_000
+SCORES = 65_536  # steps of the score in the counts
 LEAST_LABELLED = 40
 TREES, DEPTH, STEP = 8, 3, 0.3
 PRECISION, LEAST_TYPICAL = 0.99, 0.05
@@ -203,46 +206,74 @@ def _nodes(node) -> tuple | float:
     return (split.featureIndex(), float(split.threshold()), _nodes(node.leftChild()), _nodes(node.rightChild()))
 
 
-def train(docs: DataFrame, sample: int = TRAINING_DOCS) -> Model | None:
-    """Fits trees and thresholds on the candidates of about ``sample`` documents."""
+def train(docs: DataFrame, sample: int = TRAINING_SPANS) -> Model | None:
+    """Fits trees on at most about ``sample`` candidates of each kind and label, and thresholds on all documents."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = docs.count()
-    share = min(1.0, sample / max(1, rows))
-    place = F.pmod(F.xxhash64(col("doc_id")), F.lit(1_000_000))
-    seen = candidates(docs.where(place < int(1_000_000 * share)) if share < 1 else docs).select("id", "base", F.explode("wide").alias("w"))
+    seen = candidates(docs).select("id", "base", F.explode("wide").alias("w"))
     same = F.exists("base", lambda b: (b["start"] == F.col("w.span.start")) & (b["stop"] == F.col("w.span.stop")) & (b["kind"] == F.col("w.span.kind")))
+    place = F.xxhash64("id", "w").bitwiseAND(F.lit(2**62 - 1))
     labelled = seen.select(
-        F.when(same, 1.0).when(~F.col("w.ok"), 0.0).alias("label"), F.pmod(F.xxhash64("id", "w.span.start"), F.lit(4)).alias("fold"), "w.x.*"
+        F.when(same, 1.0).when(~F.col("w.ok"), 0.0).alias("label"), F.pmod(F.xxhash64("id", "w.span.start"), F.lit(4)).alias("fold"),
+        place.alias("place"), F.floor(F.log2(place + 1) * 8).cast("int").alias("level"), "w.x.*",
     ).where(F.col("label").isNotNull())
-    labelled = session.cut_lineage(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(labelled))
+    labelled = session.cut_lineage(labelled)
+    cells = labelled.where("fold != 0").groupBy(F.col("kind").cast("int").alias("kind"), "label", "level").count().collect()
     sides = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     if len(sides) < 2 or sum(sides.values()) < LEAST_LABELLED:
         return None
+    last = _levels([tuple(r) for r in cells], sample)
+    fits = reduce(
+        lambda a, b: a | b, [(F.col("kind") == kind) & (F.col("label") == label) & (F.col("level") <= level) for (kind, label), level in last.items()], F.lit(False)
+    )
+    labelled = labelled.withColumn("fit", (F.col("fold") != 0) & fits)
+    # Repeated rows are one example, so that their number is no bound.
+    chosen = labelled.where("fit").dropDuplicates(["kind", "label", "place"])
+    if chosen.select("label").distinct().count() < 2:
+        return None
     booster = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=11, maxBins=32)
-    fitted = booster.fit(labelled.where(F.col("fold") != 0))
+    fitted = booster.fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(chosen))
     trees = [(_nodes(t._java_obj.rootNode()), float(w)) for t, w in zip(fitted.trees, fitted.treeWeights, strict=True)]
-    model = Model(trees, {})
-    held = labelled.where(F.col("fold") == 0).select(F.col("kind").cast("int").alias("kind"), "label", model.score(F.struct(*FEATURES)).alias("score"))
-    return Model(trees, _thresholds([(r["kind"], r["score"], r["label"]) for r in held.collect()]))
+    score = F.floor(Model(trees, {}).score(F.struct(*FEATURES)) * SCORES) / SCORES
+    counts = labelled.groupBy(F.col("kind").cast("int").alias("kind"), score.alias("score"), "label", "fit").count().collect()
+    held = {r["kind"] for r in counts if r["label"] and not r["fit"]}
+    return Model(trees, _thresholds([(r["kind"], r["score"], r["label"], r["count"]) for r in counts if not r["fit"] or r["kind"] not in held]))
+
+
+def _levels(cells: list[tuple[int, float, int, int]], most: int) -> dict[tuple[int, float], int]:
+    """Per kind and label the last level of hashes that belongs to the fit, from (kind, label, level, candidates)."""
+    out: dict[tuple[int, float], int] = {}
+    total: dict[tuple[int, float], int] = {}
+    for kind, label, level, n in sorted(cells):
+        cell = (kind, label)
+        total[cell] = total.get(cell, 0) + n
+        if cell not in out or total[cell] <= most:
+            out[cell] = level
+    return out
 
 
-def _thresholds(held: list[tuple[int, float, float]]) -> dict[int, float]:
-    """Per kind, from bounded held-out candidates (kind, score, label); kinds without known spans get none."""
+def _thresholds(held: list[tuple[int, float, float, int]]) -> dict[int, float]:
+    """Per kind, from counts of candidates (kind, score, label, count); kinds without known spans get none."""
     out = {}
-    for kind in {k for k, _, _ in held}:
-        ranked = sorted(((s, y) for k, s, y in held if k == kind), reverse=True)
-        known = sorted(s for s, y in ranked if y)
+    for kind in {k for k, _, _, _ in held}:
+        ranked = sorted(((s, y, n) for k, s, y, n in held if k == kind), reverse=True)
+        known = sum(n for _, y, n in ranked if y)
         if not known:
             continue
-        right, lowest = 0.0, None
-        for n, (s, y) in enumerate(ranked, 1):
-            right += y
-            if right >= PRECISION * n and (n == len(ranked) or ranked[n][0] < s):
+        right, seen, lowest = 0, 0, None
+        for at, (s, y, n) in enumerate(ranked, 1):
+            right, seen = right + n * (y > 0), seen + n
+            if right >= PRECISION * seen and (at == len(ranked) or ranked[at][0] < s):
                 lowest = s
+        below, typical = 0, 0.0
+        for s, y, n in reversed(ranked):
+            below += n * (y > 0)
+            if below > int(LEAST_TYPICAL * known):
+                typical = s
+                break
         if lowest is not None:
-            out[kind] = max(0.5, lowest, known[int(LEAST_TYPICAL * len(known))])
+            out[kind] = max(0.5, lowest, typical)
     return out
 
 

@@ -133,6 +133,20 @@ def test_added_spans(spark):
     }
 
 
+def test_rare_kinds_get_a_threshold(spark):
+    def text(k):
+        return f"mail a{k}@b.org card 4111 1111 1111 {1000 + k}" + (f" ip 10.0.0.{k % 200}" if k % 100 == 7 else " call +49 30 12345 678" if k == 5 else "")
+
+    model = pii.train(spark.createDataFrame([(k, text(k)) for k in range(1000)], "doc_id long, text string"), 60)
+    assert {pii.KINDS[k] for k in model.thresholds} >= {"email", "ip", "phone"}
+
+
+def test_thresholds_of_counts():
+    rows = [(0, 0.9, 1.0, 95), (0, 0.8, 1.0, 5), (0, 0.7, 0.0, 1), (0, 0.6, 0.0, 50), (1, 0.9, 0.0, 9)]
+    assert pii._thresholds(rows) == {0: 0.9} and pii._thresholds([*rows, (0, 0.85, 1.0, 1)]) == {0: 0.85}
+    assert pii._levels([(0, 1.0, 3, 2), (0, 1.0, 1, 5), (0, 1.0, 7, 9), (1, 0.0, 2, 99)], 10) == {(0, 1.0): 3, (1, 0.0): 2}
+
+
 def test_pii_odd_rows(spark):
     rows = odd_docs(spark)
     assert pii.report(rows).count() == rows.count() and pii.report(rows.limit(0)).count() == 0
