@@ -3,6 +3,7 @@
 Both public vocabularies cut texts at white space before anything else, and letters from marks, so a text is split at
 places where a cut cannot change the result. Each piece is encoded by the library once per worker (as long as it is
 remembered); a piece that is one run of letters goes to the library's model directly, the rest through all its steps.
+A text that holds an added token of the vocabulary, such as ``<|endoftext|>``, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -51,14 +52,20 @@ class PieceEncoder:
     * ``spaced``: byte-level vocabularies, in which a word starts with its space. Cut before a single space between
       two characters that are not white space.
     * ``words``: vocabularies that drop white space and case. Cut at every space, tab and line end.
+
+    ``added`` says whether added tokens are found in texts, as the library does by itself, or are plain text.
     """
 
-    def __init__(self, path: str, how: str):
+    def __init__(self, path: str, how: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Pieces are plain text, also one that only reads like an added token in lower case.
         self.tokenizer.encode_special_tokens = True
+        self.unchanged = Tokenizer.from_file(path) if added else self.tokenizer
+        named = [re.escape(t.content) for t in self.unchanged.get_added_tokens_decoder().values() if added and t.content]
+        self.holds_added = re.compile("|".join(named)).search if named else None
         self.model, self.how = self.tokenizer.model, how
         self.pieces = _Pieces(self._spaced if how == "spaced" else self._word)
         self.bare = _Pieces(lambda piece: self._cut(piece, self.bare, ""))
@@ -101,6 +108,8 @@ class PieceEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if self.holds_added and self.holds_added(text):
+            return array("I", self.unchanged.encode(text, add_special_tokens=False).ids).tobytes()
         if self.how == "words":
             for c in "\n\t\r":
                 text = text.replace(c, " ")
@@ -118,5 +127,5 @@ class PieceEncoder:
 def encoder(path: str, how: str) -> PieceEncoder:
     """One encoder for each worker process."""
     if (path, how) not in _workers:
-        _workers[path, how] = PieceEncoder(path, how)
+        _workers[path, how] = PieceEncoder(path, how, added=True)
     return _workers[path, how]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from flowtables.llm import html_text, language, mixing, packing, token_files, topk  # noqa: E402
-from flowtables.llm.encoding import PieceEncoder  # noqa: E402
+from flowtables.llm.encoding import PieceEncoder, encoder  # noqa: E402
 from flowtables.llm.queries import ORACLES, QUERIES  # noqa: E402
 
 BYTES, WORDY = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -76,6 +76,14 @@ def test_pieces_do_not_change_ids(path, how):
         assert np.frombuffer(pieces.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize(("path", "how"), [(BYTES, "spaced"), (WORDY, "words")])
+def test_ids_of_texts_with_added_tokens(path, how):
+    library, pieces = Tokenizer.from_file(path), encoder(path, how)
+    texts = TEXTS + ["end <|endoftext|> next", "<|endoftext|>", "a<|endoftext|>b\n<|startoftext|> c", "<|ENDOFTEXT|> <|endoftext |> x", "<|endoftext|><|endoftext|>"]
+    for text in texts:
+        assert np.frombuffer(pieces.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_planes_round_trip(bits):
     for n in (0, 1, 7, 65_536, 70_001):
