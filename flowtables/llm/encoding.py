@@ -23,7 +23,7 @@ _workers: dict[tuple[str, str], PieceEncoder] = {}
 # Fixed rule of byte-level vocabularies: printable Latin-1 stands for itself, the other bytes for 256, 257, ...
 _printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _others = [b for b in range(256) if b not in _printable]
-_byte_names = {b: chr(b) for b in _printable} | {b: chr(256 + k) for k, b in enumerate(_others)}
+byte_names = {b: chr(b) for b in _printable} | {b: chr(256 + k) for k, b in enumerate(_others)}
 
 
 class _Pieces(dict):
@@ -77,7 +77,7 @@ class PieceEncoder:
 
     def _letters(self, word: str) -> bytes:
         """One run of letters, with its leading space if it has one."""
-        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_byte_names))]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(byte_names))]).tobytes()
 
     def _cut(self, piece: str, known: _Pieces, before: str) -> bytes:
         if piece.isalpha():

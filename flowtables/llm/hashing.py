@@ -65,7 +65,7 @@ def _segment_words(data: np.ndarray, cuts: np.ndarray, breaks: np.ndarray) -> tu
     return hashes, counts
 
 
-def _segments(text: bytes) -> Iterable[bytes]:
+def segments(text: bytes) -> Iterable[bytes]:
     at = 0
     while len(text) - at > SEGMENT:
         found = _space.search(text, at + SEGMENT)
@@ -94,7 +94,7 @@ def word_hashes(texts: list[bytes], plain: bool = False) -> list[np.ndarray]:
         held, owners, size = [], [], 0
 
     for k, text in enumerate(texts):
-        for part in _segments(text):
+        for part in segments(text):
             if size + len(part) > SEGMENT:
                 flush()
             held.append(part)

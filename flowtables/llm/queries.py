@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtables.llm import common, exact_dedup, html_text, language, mixing, near_dedup, packing, pii, token_files, topk, toxicity
+from flowtables.llm import alignment, common, exact_dedup, html_text, language, mixing, near_dedup, packing, pii, prefix_trie, simhash, token_files, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,43 @@ def _html_text(table):
 def _pii(table):
     """Spans of personal data in every document."""
     return pii.report(table("documents"))
+
+
+@query("op11_alignment")
+def _alignment(table):
+    """Tokens of two vocabularies aligned in every document, with corpus-wide counts of linked pairs."""
+    return alignment.align_corpus(table("documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query(
+    "op12_prefix_trie",
+    r"""WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(sha256(concat(octet_length(encode(coalesce(role, ''))), ':', role, text)), 1, 32)) AS d
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda v, z: xor(v // 2, 3988292384 * (v % 2)))), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM o)),
+r AS (SELECT c.conv_id, o.d, o.role, o.text FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 AND o.d <= c.h
+  UNION ALL SELECT c.conv_id, o.d + 4, o.role, o.text FROM c JOIN o ON o.conv_id = c.conv_id AND o.d > c.h),
+p AS (SELECT c.conv_id, coalesce(list(struct_pack(r := r.role, t := r.text) ORDER BY r.d) FILTER (r.d IS NOT NULL), []) AS path FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+m AS (SELECT conv_id, len(path) AS size, unnest(range(0, len(path) + 1)) AS depth, path FROM p),
+n AS (SELECT depth, path[1:depth] AS prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256 FROM m GROUP BY ALL),
+k AS (SELECT depth - 1 AS depth, prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(prefix[depth].t, '[^ 	-
+]+')) END AS saved
+  FROM n LEFT JOIN k USING (depth, prefix)),
+a AS (SELECT up AS depth, prefix[1:up] AS prefix, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM f) GROUP BY ALL)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(a.n_leaves AS BIGINT) AS n_leaves, CAST(a.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN a USING (depth, prefix) LEFT JOIN n u ON u.depth = f.depth - 1 AND u.prefix = f.prefix[1:f.depth - 1]""",
+)
+def _prefix_trie(table):
+    """Every shared prefix of the rebuilt conversations."""
+    return prefix_trie.rebuilt_trie(table("conversations"))
+
+
+@query("op13_simhash")
+def _simhash(table):
+    """Every document with its fingerprint and its group of near copies."""
+    return simhash.find_near_copies(table("documents"), words=3, radius=2)
