@@ -25,8 +25,7 @@ import hashlib
 import os
 import re
 from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -38,7 +37,8 @@ from flowtables.llm.common import col, stored, text_or_empty
 from flowtables.llm.encoding import byte_names
 from flowtables.llm.hashing import mix
 
-REMEMBERED, LONGEST_REMEMBERED = 100_000, 64
+# Pieces each worker remembers, twice over, and the longest of them.
+REMEMBERED, LONGEST_REMEMBERED = 300_000, 64
 SEGMENT = 1 << 20
 FAN_IN = 16
 CHUNK = 1 << 16
@@ -46,7 +46,8 @@ CHUNK = 1 << 16
 GAMMA = 2
 
 _between_words = re.compile(r"(?<=\S) (?=\S)")
-_workers: dict[tuple[str, str], Aligner] = {}
+_beside_space = re.compile(r"\s | \s")
+_workers: dict[tuple[str, str, bool], Aligner] = {}
 
 
 def cuts(text: str) -> Iterator[list[str]]:
@@ -56,15 +57,24 @@ def cuts(text: str) -> Iterator[list[str]]:
         found = _between_words.search(text, at + SEGMENT)
         if found is None:
             break
-        yield _between_words.split(text[at : found.start()])
+        yield _split(text[at : found.start()])
         at = found.end()
-    yield _between_words.split(text[at:] if at else text)
+    yield _split(text[at:] if at else text)
+
+
+def _split(text: str) -> list[str]:
+    """At every single space between two characters that are not white space."""
+    return _between_words.split(text) if text[:1] == " " or text[-1:] == " " or _beside_space.search(text) else text.split(" ")
+
+
+# What is known of a piece: tokens of A, tokens of B, links (8 bytes each: id of A * 2^32 + id of B), groups as text, each closed by a semicolon.
+Fact = tuple[int, int, bytes, bytes]
 
 
 class Aligner:
-    """Aligns pieces of text; one for each worker process, see ``aligner``."""
+    """Aligns pieces of text; one for each worker process, see ``aligner``. Groups are made where they are wanted."""
 
-    def __init__(self, path_a: str, path_b: str):
+    def __init__(self, path_a: str, path_b: str, groups: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -73,65 +83,145 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=path_b)
         known = {c: byte for byte, c in byte_names.items()}
-        self.bytes_a = {i: bytes(known[c] for c in t) if all(c in known for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        vocabulary = {i: t for t, i in self.a.get_vocab().items()}
+        names_a = [vocabulary.get(i, "") for i in range(max(vocabulary) + 1)]
+        self.bytes_a = [bytes(known[c] for c in t) if all(c in known for c in t) else t.encode() for t in names_a]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.sizes = [np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b)]
         # A piece of B that went on after a space would make the cuts wrong.
         self.may_cut = not any("▁" in p.lstrip("▁") for p in pieces)
-        self._remembered = lru_cache(REMEMBERED)(self._align)
-
-    def align(self, piece: str) -> tuple[bool, int, int, tuple[tuple[int, int], ...], bytes]:
-        """For space + piece: whether the bytes come back, tokens of A and of B, linked pairs in order, groups as text."""
-        return self._remembered(piece) if len(piece) <= LONGEST_REMEMBERED else self._align(piece)
-
-    def _align(self, piece: str):
-        text = " " + piece
-        ids_a = self.a.encode(text, add_special_tokens=False).ids
-        ids_b = self.b.encode(piece, num_threads=1)
-        parts_a, parts_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        whole = text.encode()
-        if b"".join(parts_a) != whole or b"".join(parts_b) != whole:
-            return False, 0, 0, (), b""
-        pairs, groups, open_a, open_b = [], [], [], []
-        at_a = at_b = k = 0
-        for i, part in zip(ids_a, parts_a, strict=True):
-            open_a.append(i)
-            at_a += len(part)
-            while at_b < at_a:
-                open_b.append(ids_b[k])
-                at_b += len(parts_b[k])
-                k += 1
-            if at_a == at_b:
-                pairs.append((i, ids_b[k - 1]))
-                groups.append(",".join(map(str, open_a)) + "|" + ",".join(map(str, open_b)))
-                open_a, open_b = [], []
-        return True, len(ids_a), len(ids_b), tuple(pairs), ";".join(groups).encode()
+        self.groups = groups
+        # Names of tokens as they stand inside and at the end of their side of a group.
+        sizes = [len(self.bytes_a), len(self.bytes_b)]
+        self.names = [f"{i}{end}".encode() for size, ends in zip(sizes, (",|", ",;"), strict=True) for end in ends for i in range(size)]
+        # Bytes that A knows one by one always come back from it.
+        self.lossless = self.a.normalizer is None and set(byte_names.values()) <= set(names_a)
+        self.known: dict[str, Fact | None] = {}
+        self.older: dict[str, Fact | None] = {}
+
+    def facts(self, pieces: Iterable[str]) -> dict[str, Fact | None]:
+        """For each of the different pieces, what is known of space + piece; None where its tokens do not give the bytes back."""
+        found, fresh, known, older = {}, [], self.known, self.older
+        for piece in pieces:
+            if piece in known:
+                found[piece] = known[piece]
+            elif piece in older:
+                found[piece] = known[piece] = older[piece]
+            else:
+                fresh.append(piece)
+        # Pieces that begin or end with white space cannot be encoded side by side.
+        inner = [p for p in fresh if p and p == p.strip()] if self.may_cut else []
+        made = dict(self._together(inner))
+        if len(inner) < len(fresh):
+            for piece in set(fresh).difference(inner):
+                made.update(self._together([piece], lead=""))
+        found.update(made)
+        if len(self.known) + len(made) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        self.known.update((p, f) for p, f in made.items() if len(p) <= LONGEST_REMEMBERED)
+        return found
+
+    def _together(self, pieces: list[str], lead: str = " a") -> Iterator[tuple[str, Fact | None]]:
+        """Encodes pieces as one text, in which they do not touch each other; halves them to find those that do not come back."""
+        if not pieces:
+            return
+        coded = [lead.encode(), *[(" " + p).encode() for p in pieces]]
+        text, cut = b"".join(coded), np.cumsum([len(x) for x in coded])
+        ids_a = self.a.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids
+        ids_b = self.b.encode(text[1:].decode(), num_threads=1)
+        back = self.lossless or b"".join(map(self.bytes_a.__getitem__, ids_a)) == text
+        if back and b"".join(map(self.bytes_b.__getitem__, ids_b)) == text:
+            flat = [np.array(ids, np.int64) for ids in (ids_a, ids_b)]
+            ends = [np.cumsum(size[ids]) for size, ids in zip(self.sizes, flat, strict=True)]
+            until = [np.searchsorted(e, cut, side="right") for e in ends]
+            if all((np.append(0, e)[u] == cut).all() for e, u in zip(ends, until, strict=True)):
+                yield from zip(pieces, self._aligned(flat, ends, until), strict=True)
+                return
+        if len(pieces) == 1:
+            yield pieces[0], None
+            return
+        half = len(pieces) // 2
+        yield from self._together(pieces[:half], lead)
+        yield from self._together(pieces[half:], lead)
+
+    def _aligned(self, ids: list[np.ndarray], ends: list[np.ndarray], until: list[np.ndarray]) -> Iterator[Fact]:
+        """One fact per piece behind the lead; ``until`` says how many tokens there are up to a piece's end."""
+        common = np.intersect1d(*ends, assume_unique=True)
+        last = [np.searchsorted(e, common) for e in ends]
+        keys = (ids[0][last[0]].astype(np.uint64) << np.uint64(32) | ids[1][last[1]].astype(np.uint64)).astype("<u8").tobytes()
+        links = np.searchsorted(last[0], until[0]).tolist()
+        counts = [np.diff(u).tolist() for u in until]
+        spans = [slice(8 * at, 8 * to) for at, to in zip(links[:-1], links[1:], strict=True)]
+        if not self.groups:
+            yield from ((n_a, n_b, keys[span], b"") for n_a, n_b, span in zip(*counts, spans, strict=True))
+            return
+        names = self._in_groups(ids, last)
+        ends = (until[0] + until[1]).tolist()
+        for n_a, n_b, span, at, to in zip(*counts, spans, ends[:-1], ends[1:], strict=True):
+            yield n_a, n_b, keys[span], b"".join(names[at:to])
+
+    def _in_groups(self, ids: list[np.ndarray], last: list[np.ndarray]) -> list[bytes]:
+        """Names of all tokens, group by group, A before B; the last one of a side closes it."""
+        size = len(self.bytes_a), len(self.bytes_b)
+        out = np.empty(len(ids[0]) + len(ids[1]), np.int64)
+        for side, (mine, other) in enumerate((last, last[::-1])):
+            at = np.arange(len(ids[side]))
+            group = np.searchsorted(mine, at)
+            # B stands behind A of its own group, A behind B of the group before.
+            before = other[group] + 1 if side else np.append(0, other + 1)[group]
+            out[at + before] = ids[side] + size[side] * (mine[group] == at) + 2 * size[0] * side
+        return list(map(self.names.__getitem__, out.tolist()))
 
     def pieces(self, text: str) -> Iterator[list[str]]:
         return cuts(text) if self.may_cut else iter([[text]])
 
-    def counted(self, text: str) -> Counter[str] | None:
-        """How often each piece occurs; the whole text as one piece if need be, None for a text without tokens."""
-        found: Counter[str] = Counter()
-        for part in self.pieces(text):
-            found.update(part)
-        if not all(self.align(p)[0] for p in found):
-            found = Counter([text])
-            if not self.align(text)[0]:
-                return None
-        return found
+    def blocks(self, texts: list[str | None]) -> Iterator[tuple[list[tuple[int, list[str]]], Counter[str], dict[str, Fact | None]]]:
+        """Texts with tokens in blocks of bounded size: [(index, its next pieces)], how often each piece occurs, and the facts of just these.
+
+        A text that does not come back by pieces is aligned whole, and left out if it does not come back then.
+        """
+        held, size = [], 0
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            long = len(text) > SEGMENT
+            if long and not all(all(self.facts(dict.fromkeys(part)).values()) for part in self.pieces(text)):
+                parts = iter([[text]])
+            else:
+                parts = self.pieces(text)
+            for part in parts:
+                held.append((k, part))
+                size += len(part)
+                if size >= SEGMENT // 8:
+                    yield self._block(held, texts)
+                    held, size = [], 0
+        if held:
+            yield self._block(held, texts)
 
+    def _block(self, held: list[tuple[int, list[str]]], texts: list[str | None]):
+        pieces = Counter(chain.from_iterable(part for _, part in held))
+        facts = self.facts(pieces)
+        if not all(facts.values()):
+            odd = {k for k, part in held if not all(map(facts.__getitem__, part))}
+            facts.update(self.facts({texts[k] for k in odd}))
+            held = [(k, [texts[k]] if k in odd else part) for k, part in held if k not in odd or facts[texts[k]]]
+            pieces = Counter(chain.from_iterable(part for _, part in held))
+            facts = {piece: facts[piece] for piece in pieces}
+        return held, pieces, facts
 
-def aligner(path_a: str, path_b: str) -> Aligner:
-    if (path_a, path_b) not in _workers:
-        _workers[path_a, path_b] = Aligner(path_a, path_b)
-    return _workers[path_a, path_b]
+
+def aligner(path_a: str, path_b: str, groups: bool) -> Aligner:
+    if (path_a, path_b, groups) not in _workers:
+        _workers.clear()
+        _workers[path_a, path_b, groups] = Aligner(path_a, path_b, groups)
+    return _workers[path_a, path_b, groups]
 
 
 def pair_bound(a: Aligner) -> int:
     """How many pairs of tokens can be linked at all: those in which one's bytes end with the other's."""
-    count_a, count_b = Counter(a.bytes_a.values()), Counter(a.bytes_b)
-    longer_a = sum(count_b[t[k:]] for t in a.bytes_a.values() for k in range(len(t)))
+    count_a, count_b = Counter(a.bytes_a), Counter(a.bytes_b)
+    longer_a = sum(count_b[t[k:]] for t in a.bytes_a for k in range(len(t)))
     return longer_a + sum(count_a[t[k:]] for t in a.bytes_b for k in range(1, len(t)))
 
 
@@ -182,28 +272,38 @@ class PerfectHash:
         return np.where(known, slots, -1)
 
 
-def _keys(pairs: list[tuple[int, int]]) -> np.ndarray:
-    both = np.array(pairs, np.uint64).reshape(-1, 2)
-    return both[:, 0] << np.uint64(32) | both[:, 1]
+class _Counts:
+    """Running counts of keys; as long as there are few distinct ones, so is the memory."""
+
+    def __init__(self):
+        self.keys, self.counts, self.added = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.added.append((keys, counts))
+        if sum(len(k) for k, _ in self.added) > len(self.keys) + SEGMENT:
+            self.merge()
+
+    def merge(self) -> None:
+        keys = np.concatenate([self.keys, *[k for k, _ in self.added]])
+        counts = np.concatenate([self.counts, *[c for _, c in self.added]])
+        self.keys, place = np.unique(keys, return_inverse=True)
+        self.counts, self.added = np.zeros(len(self.keys), np.int64), []
+        np.add.at(self.counts, place, counts)
 
 
 def count_in_tasks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """First pass: (key, n) per task and linked pair; the key is id of A * 2^32 + id of B."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = aligner(path_a, path_b)
-        counts: Counter[tuple[int, int]] = Counter()
+        tool, total = aligner(path_a, path_b, groups=False), _Counts()
         for batch in batches:
-            pieces: Counter[str] = Counter()
-            for text in batch.column(0):
-                if text := text.as_py():
-                    for piece, n in (tool.counted(text) or {}).items():
-                        pieces[piece] += n
-            for piece, n in pieces.items():
-                for pair in tool.align(piece)[3]:
-                    counts[pair] += n
-        keys = _keys(list(counts)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(counts.values()), pa.int64())], names=["key", "n"])
+            for at in range(0, batch.num_rows, 256):
+                for _, pieces, facts in tool.blocks(batch.column(0).slice(at, 256).to_pylist()):
+                    found = [facts[p] for p in pieces]
+                    times = np.fromiter(pieces.values(), np.int64, len(pieces))
+                    total.add(np.frombuffer(b"".join(f[2] for f in found), "<u8"), np.repeat(times, [len(f[2]) // 8 for f in found]))
+        total.merge()
+        yield pa.RecordBatch.from_arrays([pa.array(total.keys.view(np.int64)), pa.array(total.counts)], names=["key", "n"])
 
     return docs.select(text_or_empty().alias("text")).mapInArrow(run, "key long, n long")
 
@@ -227,7 +327,7 @@ def count_pairs(docs: DataFrame, path_a: str, path_b: str) -> tuple[PerfectHash,
     spark = docs.sparkSession
     partial = stored(count_in_tasks(docs, path_a, path_b), "pair-counts")
     distinct = partial.select("key").distinct().toArrow().column("key").to_numpy().astype(np.int64)
-    bound = pair_bound(aligner(path_a, path_b))
+    bound = pair_bound(aligner(path_a, path_b, groups=False))
     if len(distinct) > bound:
         raise RuntimeError(f"{len(distinct)} linked pairs, but only {bound} are possible")
     index = PerfectHash(np.sort(distinct).view(np.uint64))
@@ -272,7 +372,7 @@ def align_corpus(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((index, counts, counts == most[of_b]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = aligner(path_a, path_b)
+        tool = aligner(path_a, path_b, groups=True)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -285,47 +385,27 @@ def align_corpus(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
 
 def _report(tool: Aligner, texts: list[str], index: PerfectHash, counts: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, list[str]]:
-    sums, digests = np.zeros((len(texts), 6), np.int64), [hashlib.sha256() for _ in texts]
-    empty = [not text for text in texts]
-
-    def add(held: list[tuple[int, list[str]]]) -> None:
-        distinct = list(dict.fromkeys(chain.from_iterable(pieces for _, pieces in held)))
-        found = list(map(tool.align, distinct))
-        links = np.array([len(f[3]) for f in found])
-        slots = index.find(_keys([pair for f in found for pair in f[3]]))
+    sums, digests = np.zeros((len(texts), 6), np.int64), [None] * len(texts)
+    for held, _, facts in tool.blocks(texts):
+        found = list(facts.values())
+        links = np.array([len(f[2]) // 8 for f in found])
+        slots = index.find(np.frombuffer(b"".join([f[2] for f in found]), "<u8"))
+        if (slots < 0).any():
+            raise RuntimeError("a pair is not among the keys of the hash")
         owner = np.repeat(np.arange(len(found)), links)
-        known = slots >= 0
-        facts = np.zeros((len(found), 6), np.int64)
-        facts[:, 0], facts[:, 1], facts[:, 2], facts[:, 3] = [f[1] for f in found], [f[2] for f in found], links, links
-        np.add.at(facts[:, 4], owner[known], best[slots[known]])
-        np.add.at(facts[:, 5], owner[known], counts[slots[known]])
-        place = {piece: k for k, piece in enumerate(distinct)}
-        groups = {piece: f[4] for piece, f in zip(distinct, found, strict=True)}
-        fine = all(f[0] for f in found)
-        for doc, pieces in held:
-            if not fine and not all(found[place[p]][0] for p in pieces):
-                odd.add(doc)
-                continue
-            if sums[doc, 0]:
-                digests[doc].update(b";")
-            digests[doc].update(b";".join(map(groups.__getitem__, pieces)))
-            sums[doc] += facts[np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))].sum(axis=0)
-
-    def in_turn(items: Iterator[tuple[int, list[str]]]) -> None:
-        held, size = [], 0
-        for doc, pieces in items:
-            held.append((doc, pieces))
-            size += len(pieces)
-            if size >= SEGMENT // 8:
-                add(held)
-                held, size = [], 0
-        if held:
-            add(held)
-
-    odd: set[int] = set()
-    in_turn((doc, pieces) for doc, text in enumerate(texts) if text for pieces in tool.pieces(text))
-    whole, odd = odd, set()
-    for doc in whole:
-        sums[doc], digests[doc] = 0, hashlib.sha256()
-    in_turn((doc, [texts[doc]]) for doc in sorted(whole))
-    return sums, ["" if empty[k] or k in odd else d.hexdigest() for k, d in enumerate(digests)]
+        rows = np.zeros((len(found), 6), np.int64)
+        rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3] = [f[0] for f in found], [f[1] for f in found], links, links
+        np.add.at(rows[:, 4], owner, best[slots])
+        np.add.at(rows[:, 5], owner, counts[slots])
+        place, groups = {piece: k for k, piece in enumerate(facts)}, [f[3] for f in found]
+        starts = np.cumsum([0, *[len(part) for _, part in held]])
+        at = list(map(place.__getitem__, chain.from_iterable(part for _, part in held)))
+        added = np.add.reduceat(rows[at], starts[:-1], axis=0) if held else rows[:0]
+        for (k, _), row, first, end in zip(held, added, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            text = b"".join(map(groups.__getitem__, at[first:end]))[:-1]
+            if digests[k] is None:
+                digests[k] = hashlib.sha256(text)
+            else:
+                digests[k].update(b";" + text)
+            sums[k] += row
+    return sums, [d.hexdigest() if d else "" for d in digests]

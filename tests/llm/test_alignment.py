@@ -95,19 +95,27 @@ def test_odd_and_tricky_texts(spark):
     assert found[1005].n_a == 0 and found[1005].groups_sha256 == "" and found[1004].n_a > 0
 
 
-def test_texts_in_segments(spark, monkeypatch):
+def all_keys(tool, texts):
+    found = b"".join(facts[p][2] for held, _, facts in tool.blocks(texts) for _, part in held for p in part)
+    return np.frombuffer(found, "<u8")
+
+
+@pytest.mark.parametrize("segment", [40, 400])
+def test_texts_in_segments(monkeypatch, segment):
     draw = random.Random(4)
     tool = alignment.Aligner(A, B)
-    texts = [sentence(draw, 700), sentence(draw, 300) + " ▁ " + sentence(draw, 300), " ".join(TRICKY), "", "one"]
-    whole = [tool.counted(t) for t in texts]
-    index = alignment.PerfectHash(alignment._keys(sorted({p for c in whole if c for piece in c for p in tool.align(piece)[3]})))
+    texts = [sentence(draw, 700), sentence(draw, 300) + " ▁ " + sentence(draw, 300), " ".join(TRICKY), "", "one", None]
+    keys = all_keys(tool, texts)
+    index = alignment.PerfectHash(np.unique(keys))
     counts = np.arange(len(index.keys))
     best = counts % 2 == 0
     want = alignment._report(tool, texts, index, counts, best)
-    monkeypatch.setattr(alignment, "SEGMENT", 40)
-    assert [tool.counted(t) for t in texts] == whole
-    got = alignment._report(tool, texts, index, counts, best)
-    assert (got[0] == want[0]).all() and got[1] == want[1]
+    monkeypatch.setattr(alignment, "SEGMENT", segment)
+    monkeypatch.setattr(alignment, "REMEMBERED", 50)
+    fresh = alignment.Aligner(A, B)
+    assert sorted(all_keys(fresh, texts)) == sorted(keys)
+    got = alignment._report(fresh, texts, index, counts, best)
+    assert (got[0] == want[0]).all() and got[1] == want[1] and want[0][1, 0] == 0 < want[0][0, 0]
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 50_000])
@@ -125,10 +133,8 @@ def test_counts_in_a_tree(spark, monkeypatch):
     texts = [sentence(draw, 40) for _ in range(60)]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(9)
     index, counts = alignment.count_pairs(docs, A, B)
-    tool = alignment.aligner(A, B)
-    want = Counter(pair for t in texts for pair in tool.align(t)[3])
-    got = {(int(k >> np.uint64(32)), int(k & np.uint64(0xFFFFFFFF))): int(n) for k, n in zip(index.keys, counts)}
-    assert got == dict(want)
+    want = Counter(all_keys(alignment.Aligner(A, B), texts).tolist())
+    assert dict(zip(index.keys.tolist(), counts.tolist(), strict=True)) == dict(want)
 
 
 def test_pairs_are_bounded_by_the_vocabularies():
