@@ -67,6 +67,28 @@ def load_merge(t):
     return _back(t, path, new)
 
 
+# Users divisible by 7 lose their rows where the result has fewer, others add up; of the new ones only those with many rows come, without total;
+# rows the result does not know are marked, and go where they were small.
+_CLAUSES_SQL = """joined AS (SELECT old.day AS od, old.user_id AS ou, old.n AS o_n, old.total AS o_total, new.day AS nd, new.user_id AS nu, new.n AS n_n, new.total AS n_total, old.user_id IS NOT NULL AS in_t, new.user_id IS NOT NULL AS in_s
+  FROM old FULL JOIN new ON old.day IS NOT DISTINCT FROM new.day AND old.user_id = new.user_id),
+final AS (SELECT coalesce(od, nd) AS day, coalesce(ou, nu) AS user_id,
+    CASE WHEN in_t AND in_s THEN o_n + n_n WHEN in_s THEN n_n ELSE -o_n END AS n, CASE WHEN in_t AND in_s THEN n_total WHEN in_s THEN NULL ELSE o_total END AS total
+  FROM joined WHERE NOT coalesce((in_t AND in_s AND ou % 7 = 0 AND n_total < o_total + 1) OR (in_s AND NOT in_t AND n_n <= 1001) OR (in_t AND NOT in_s AND o_n = 1), false))"""
+
+
+@query("load_merge_clauses", f"WITH {_SQL}, {_CLAUSES_SQL} SELECT CAST(day AS VARCHAR) AS day, user_id, n, total FROM final")
+def load_merge_clauses(t):
+    """Updates, inserts and deletes with conditions, also of rows that the result does not hold; NULL days are keys too."""
+    path, new = _target(t)
+    loads.merge(
+        new, path, "day", ["day", "user_id"],
+        matched=[loads.Clause("delete", "t.user_id % 7 = 0 AND s.total < t.total + 1"), loads.Clause("update", values=(("n", "t.n + s.n"), ("total", "s.total")))],
+        not_matched=[loads.Clause("insert", "s.n > 1001", (("day", "s.day"), ("user_id", "s.user_id"), ("n", "s.n")))],
+        not_matched_by_source=[loads.Clause("delete", "t.n = 1"), loads.Clause("update", values=(("n", "-t.n"),))],
+    )
+    return _back(t, path, new)
+
+
 @query("load_replace_merge", f"WITH {_SQL}, final AS (SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.day IS NOT DISTINCT FROM old.day AND new.user_id = old.user_id) UNION ALL SELECT * FROM new) SELECT CAST(day AS VARCHAR) AS day, user_id, n, total FROM final")
 def load_replace_merge(t):
     """The result itself reads the target: partitions are replaced by old and new rows merged."""
@@ -120,4 +142,4 @@ def job_run(t):
     sql = "SELECT user_id, count(*) AS n, CAST(ts AS DATE) AS day FROM {source} WHERE ts >= :dstart AND ts < :dend GROUP BY user_id, CAST(ts AS DATE)"
     job = J.Job("daily_users", sql, path, "day", method="REPLACE", size="24h", offset="-24h", truncate_to="d")
     J.run(t.spark, job, t.events, "ts", "2024-01-16 02:00:00")
-    return t.spark.read.schema("user_id bigint, n bigint, day date").parquet(path).withColumn("day", F.col("day").cast("string"))
+    return loads.read(t.spark, path, "user_id bigint, n bigint, day date").withColumn("day", F.col("day").cast("string"))

@@ -10,7 +10,7 @@ from flowtables.functions import macros, text
 from flowtables.operators import events as E
 from flowtables.operators import graph, lineage, registry, replay, skew
 from flowtables.plans import job as J
-from flowtables.sources import loads, specs
+from flowtables.sources import loads, specs, versions
 from flowtables.sources import tables as managed
 
 
@@ -343,15 +343,154 @@ def test_results_may_read_their_own_target(spark, tmp_path):
     assert [r[0] for r in _rows(spark, path, old)] == [1, 2, 11, 12]
 
 
-def test_merge_by_partition_key_prunes_the_target(spark, tmp_path, monkeypatch):
-    path, plans = f"{tmp_path}/t", []
+def test_merge_reads_only_the_partitions_it_touches(spark, tmp_path, monkeypatch):
+    path, read = f"{tmp_path}/t", []
     old = _table(spark, [(k, "a", f"2024-01-0{k}") for k in range(1, 9)])
     loads.append(old, path, "day")
-    write = loads._write
-    monkeypatch.setattr(loads, "_write", lambda df, *a: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, *a)))
+    write = versions.write
+    monkeypatch.setattr(versions, "write", lambda df, *a: (read.append({m[0] for f in df.inputFiles() if (m := re.search("day=[0-9-]+", f))}), write(df, *a)))
     loads.merge(_table(spark, [(3, "B", "2024-01-03"), (3, "C", "2024-01-05")]), path, "day", ["day", "id"])
-    scans = [line for p in plans for line in p.splitlines() if "Scan parquet" in line and "day" in line and "/.t-" not in line]
-    assert scans and all(re.search(r"PartitionFilters: \[[^]]*day#\d+ IN \(", line) for line in scans)
+    loads.merge(_table(spark, [(3, "D", "2024-01-09"), (7, "E", "2024-01-07")]), path, "day", ["id"])
+    assert read == [{"day=2024-01-03", "day=2024-01-05"}, {"day=2024-01-03", "day=2024-01-05", "day=2024-01-07"}]
+    assert _rows(spark, path, old)[2] == (3, "D", "2024-01-09") and len(_rows(spark, path, old)) == 9
+
+
+def _merge_plainly(target, source, matched, not_matched, by_source):
+    """Rows (id, v, day) by id, clauses as (action, condition, values) of Python functions of both rows."""
+    out, by_key = [], {s[0]: s for s in source}
+    for t in target:
+        s = by_key.get(t[0]) if t[0] in by_key else None
+        for action, holds, values in matched if s else by_source:
+            if holds(t, s):
+                if action == "update":
+                    out.append(values(t, s))
+                break
+        else:
+            out.append(t)
+    known = {t[0] for t in target}
+    for s in source:
+        if s[0] not in known:
+            for _, holds, values in not_matched:
+                if holds(None, s):
+                    out.append(values(None, s))
+                    break
+    return sorted(out, key=str)
+
+
+def test_merge_clauses_equal_a_plain_merge(spark, tmp_path):
+    C = loads.Clause
+    target = [(k if k else None, "abc"[k % 3] if k % 4 else None, f"2024-01-0{1 + k % 3}") for k in range(12)]
+    source = [(k if k else None, "xyz"[k % 3] if k % 5 else None, f"2024-01-0{1 + k % 4}") for k in range(0, 20, 2)]
+    cases = [
+        ((), (), ()),
+        ((C("delete", "t.v = 'a'"), C("update", "s.v IS NOT NULL")), (C("insert", "s.id > 14"), C("insert", "s.id = 12", (("id", "s.id"), ("day", "s.day")))), ()),
+        ((C("update", None, (("v", "concat(t.v, s.v)"), ("day", "s.day"))),), (), (C("delete", "t.id < 6"), C("update", "t.v = 'b'", (("v", "'gone'"),)))),
+        ((C("delete"),), (C("insert"),), (C("delete"),)),
+    ]
+    both = lambda t, s: None if t[1] is None or s[1] is None else t[1] + s[1]
+    always = lambda t, s: True
+    plain = [
+        ((), (), ()),
+        (
+            (("delete", lambda t, s: t[1] == "a", None), ("update", lambda t, s: s[1] is not None, lambda t, s: s)),
+            (("insert", lambda t, s: s[0] is not None and s[0] > 14, lambda t, s: s), ("insert", lambda t, s: s[0] == 12, lambda t, s: (s[0], None, s[2]))), (),
+        ),
+        (
+            (("update", always, lambda t, s: (t[0], both(t, s), s[2])),), (),
+            (("delete", lambda t, s: t[0] is not None and t[0] < 6, None), ("update", lambda t, s: t[1] == "b", lambda t, s: (t[0], "gone", t[2]))),
+        ),
+        ((("delete", always, None),), (("insert", always, lambda t, s: s),), (("delete", always, None),)),
+    ]
+    old, new = _table(spark, target), _table(spark, source)
+    for k, (clauses, expected) in enumerate(zip(cases, plain, strict=True)):
+        path = f"{tmp_path}/{k}"
+        loads.append(old, path, "day")
+        loads.merge(new, path, "day", ["id"], *clauses)
+        got = sorted(((r.id, r.v, str(r.day)) for r in loads.read(spark, path, old).collect()), key=str)
+        assert got == _merge_plainly(target, source, *expected), k
+    with pytest.raises(ValueError, match="insert"):
+        loads.merge(new, f"{tmp_path}/0", "day", ["id"], matched=[C("insert")])
+
+
+class _Killed(BaseException):
+    pass
+
+
+def test_a_load_killed_at_any_call_leaves_the_old_or_the_new_table(spark, tmp_path, monkeypatch):
+    """Dies before or after every single operation on the store; nothing runs any more after that, clean-up included."""
+    old = _table(spark, [(1, "a", "2024-01-01"), (2, "b", "2024-01-02"), (5, "e", None)])
+    new = _table(spark, [(1, "NEW", "2024-01-01"), (3, "c", "2024-01-03"), (5, "E", None)])
+    calls = {
+        "append": lambda p: loads.append(new, p, "day"),
+        "replace": lambda p: loads.replace(new, p, "day"),
+        "filter": lambda p: loads.replace_filter(new, p, "day", "day IS NULL OR day >= DATE '2024-01-02'"),
+        "all": lambda p: loads.replace_all(new, p, "day"),
+        "merge": lambda p: loads.merge(new, p, "day", ["day", "id"]),
+        "drop": lambda p: loads.drop_partitions(spark, p, ["day=2024-01-02"]),
+    }
+    count, limit, after = [0], [None], [False]
+
+    def dying(real):
+        def call(*args):
+            count[0] += 1
+            if limit[0] is None or count[0] < limit[0]:
+                return real(*args)
+            if count[0] == limit[0] and after[0]:
+                real(*args)
+            raise _Killed
+
+        return call
+
+    for owner, names in ((versions.Files, ("names", "read", "create", "delete")), (versions, ("write",))):
+        for name in names:
+            monkeypatch.setattr(owner, name, dying(getattr(owner, name)))
+    for name, call in calls.items():
+        limit[0] = None
+        whole = f"{tmp_path}/{name}"
+        loads.append(old, whole, "day")
+        before = _rows(spark, whole, old)
+        count[0] = 0
+        call(whole)
+        steps, want = count[0], _rows(spark, whole, old)
+        seen = set()
+        for step in range(1, steps + 1):
+            for dies_after in (False, True):
+                path = f"{tmp_path}/{name}-{step}-{dies_after}"
+                limit[0] = None
+                loads.append(old, path, "day")
+                count[0], limit[0], after[0] = 0, step, dies_after
+                with pytest.raises(_Killed):
+                    call(path)
+                limit[0] = None
+                found = _rows(spark, path, old)
+                assert found in (before, want), (name, step, dies_after)
+                seen.add(found == want)
+        assert seen == {False, True} and before != want
+        # A repeated load and a clean table in the end.
+        call(path)
+        versions.clean(spark, path, hours=-1)
+        assert _rows(spark, path, old)
+
+
+def test_concurrent_loads_and_clean(spark, tmp_path):
+    path, files = f"{tmp_path}/t", versions.Files(spark)
+    old = _table(spark, [(1, "a", "2024-01-01"), (2, "b", "2024-01-02")])
+    old.write.partitionBy("day").parquet(path)  # by plain Spark
+    assert len(_rows(spark, path, old)) == 2
+    base = versions.latest(files, path)
+    reader = loads.read(spark, path, old)
+    loads.replace(_table(spark, [(1, "A", "2024-01-01")]), path, "day")
+    assert sorted(r.v for r in reader.collect()) == ["a", "b"], "a reader keeps its version"
+    assert [r[1] for r in _rows(spark, path, old)] == ["A", "b"]
+    with pytest.raises(versions.Conflict):
+        versions.commit(files, path, base, lambda c: {}, ["day=2024-01-01"])
+    with pytest.raises(versions.Conflict):
+        versions.commit(files, path, base, lambda c: {}, None)
+    versions.commit(files, path, base, lambda c: {**c, "day=2024-01-02": []}, ["day=2024-01-02"])
+    assert [r[1] for r in _rows(spark, path, old)] == ["A"]
+    assert versions.clean(spark, path) == []
+    assert sorted(x for x in versions.clean(spark, path, hours=-1)) == ["_versions/00000000000000000001", "day=2024-01-01", "day=2024-01-02"]
+    assert [r[1] for r in _rows(spark, path, old)] == ["A"] and versions.clean(spark, path, hours=-1) == []
 
 
 def test_job_run_hooks(spark, tables, tmp_path):
@@ -371,9 +510,9 @@ def test_job_run_hooks(spark, tables, tmp_path):
     ok = J.Job(transform=lambda rows, c: rows.selectExpr("user_id", "CAST(ts AS DATE) AS day"), checks=[check], **base)
     context = J.run(spark, ok, tables.events, "ts", "2024-01-16 02:00:00")
     assert seen == ["check", "after"] and str(context.start) == "2024-01-14 00:00:00"
-    first = spark.read.parquet(target).count()
+    first = loads.read(spark, target, "user_id bigint, day date").count()
     J.run(spark, ok, tables.events, "ts", "2024-01-16 02:00:00")
-    assert spark.read.parquet(target).count() == first > 0
+    assert loads.read(spark, target, "user_id bigint, day date").count() == first > 0
     seen.clear()
     with pytest.raises(RuntimeError):
         J.run(spark, J.Job(transform=lambda rows, c: rows, checks=[boom], **base), tables.events, "ts", "2024-01-16 02:00:00")
@@ -566,7 +705,7 @@ def test_job_run_renders_macros_and_hooks_see_what_was_loaded(spark, tables, tmp
     sql = "SELECT user_id, count(*) AS n, DATE '{{ .DSTART | Date }}' AS day FROM {source} GROUP BY user_id"
     job = J.Job("m", sql, f"{tmp_path}/t", "day", method="REPLACE", config={"from": "{{.DSTART}}", "mode": "all"}, after=[look])
     J.run(spark, job, tables.events, "ts", "2024-01-16 02:00:00", {"mode": "replay"})
-    stored = spark.read.schema("user_id bigint, n bigint, day date").parquet(f"{tmp_path}/t")
+    stored = loads.read(spark, f"{tmp_path}/t", "user_id bigint, n bigint, day date")
     assert seen["rows"] == sorted(tuple(r) for r in stored.collect()) and len(seen["rows"]) > 0
     assert seen["from"].endswith("Z") and seen["mode"] == "replay"
     with pytest.raises(ValueError, match="NOPE"):
