@@ -77,11 +77,100 @@ def levels(edges: DataFrame, nodes: DataFrame | None = None, hot_rows: int = ske
         )
 
 
+class _Steps:
+    """Stored steps of a loop that joins its own results: written and read back, since a checkpoint passes on the estimated size of a
+    join, which such steps multiply without end. All are deleted when the loop is over."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.n = df.sparkSession, 0
+        self.root = session.scratch(self.spark, "steps")
+
+    def __enter__(self) -> _Steps:
+        return self
+
+    def __exit__(self, *error) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.root}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self.n}")
+
+
+def strong_components(edges: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+    """(node, component) of every node on a cycle; the component is its smallest node.
+
+    Ends that lie on no cycle are trimmed first. Then every node learns the smallest node that reaches it; those that reach that
+    node back, inside the part with the same label, are its component. Components and edges between parts go, and the rest, if
+    any, is labelled again. Nodes between cycles are in no component.
+    """
+    with _Steps(edges) as steps:
+        outer = levels(edges, hot_rows=hot_rows).where("level IS NULL").select("node")
+        trimmed = steps.kept(_inside(edges.select("src", "dst"), outer))
+        core = levels(reverse(trimmed), hot_rows=hot_rows).where("level IS NULL").select("node")
+        left, found = steps.kept(_inside(trimmed, core).distinct()), None
+        while not left.isEmpty():
+            labels = _smallest_reaching(left, steps, hot_rows)
+            parts = left.join(labels.selectExpr("node AS src", "label"), "src").join(labels.selectExpr("node AS dst", "label"), ["dst", "label"])
+            parts = steps.kept(parts.select("src", "dst", "label"))
+            roots_ = labels.where("node = label").select("node")
+            back = steps.kept(closure(reverse(parts), roots_, hot_rows).select("node").join(labels, "node").selectExpr("node", "label AS component"))
+            found = back if found is None else steps.kept(found.unionByName(back))
+            gone = back.select("node").unionByName(roots_).distinct()
+            rest = parts.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+            left = steps.kept(rest.select("src", "dst"))
+        return session.cut_lineage(left.selectExpr("src AS node", "src AS component") if found is None else found)
+
+
+def _inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    return edges.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
+
+
+def _smallest_reaching(edges: DataFrame, steps: _Steps, hot_rows: int) -> DataFrame:
+    """(node, label): the smallest node from which each one can be reached, itself included."""
+    graph = _Edges(edges, hot_rows)
+    labels = steps.kept(graph.edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("label", F.col("node")))
+    fresh = labels
+    while True:
+        told = graph.after(fresh).join(fresh.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("told"))
+        step = steps.kept(labels.join(told, "node", "left").selectExpr("node", "least(label, told) AS label", "coalesce(told < label, false) AS fresh"))
+        labels, fresh = step.select("node", "label"), step.where("fresh").select("node", "label")
+        if fresh.isEmpty():
+            return labels
+
+
 def cycle_nodes(edges: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
-    """Nodes on a cycle or between cycles: what is left after trimming from both ends."""
-    left = levels(edges, hot_rows=hot_rows).where("level IS NULL").select("node")
-    inner = edges.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    return levels(reverse(inner), hot_rows=hot_rows).where("level IS NULL").select("node")
+    """Nodes on a cycle."""
+    return strong_components(edges, hot_rows).select("node")
+
+
+def cycle_paths(edges: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+    """(component, step, node): a shortest cycle through the smallest node of every component, from that node on.
+
+    Of several ways of the same length, each node comes after its smallest predecessor, and the cycle closes from its smallest last node.
+    """
+    with _Steps(edges) as steps:
+        members = steps.kept(strong_components(edges, hot_rows))
+        inner = edges.select("src", "dst").distinct().join(members.selectExpr("node AS src", "component"), "src")
+        inner = steps.kept(inner.join(members.selectExpr("node AS dst", "component"), ["dst", "component"]))
+        graph, depth = _Edges(inner, hot_rows), 0
+        frontier = steps.kept(members.where("node = component").selectExpr("node", "0 AS depth", "CAST(NULL AS BIGINT) AS parent"))
+        tree = frontier
+        while not frontier.isEmpty():
+            depth += 1
+            reached = graph.after(frontier).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+            frontier = steps.kept(reached.join(tree, "node", "left_anti").select("node", F.lit(depth).alias("depth"), "parent"))
+            tree = tree.unionByName(frontier) if depth % 8 else steps.kept(tree.unionByName(frontier))
+        tree = steps.kept(tree.join(members, "node"))
+        closing = tree.join(inner.where("dst = component").selectExpr("src AS node"), "node", "left_semi")
+        at = steps.kept(closing.groupBy("component").agg(F.min(F.struct("depth", "node", "parent")).alias("l")).select("component", "l.*"))
+        path = at
+        while not at.where("depth > 0").isEmpty():
+            before = at.where("depth > 0").selectExpr("component", "parent AS node")
+            at = steps.kept(before.join(tree, ["component", "node"]).select("component", "depth", "node", "parent"))
+            path = path.unionByName(at)
+        return session.cut_lineage(path.selectExpr("component", "depth AS step", "node"))
 
 
 def roots(edges: DataFrame, nodes: DataFrame) -> DataFrame:

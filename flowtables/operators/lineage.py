@@ -8,23 +8,54 @@ from pyspark.sql import functions as F
 from flowtables.functions import names as N
 from flowtables.operators import skew
 
-IGNORE = "@ignoreupstream"
+# What a query text is made of; strings and comments come first, so that nothing inside them is read as anything else.
+NOTE = r"/\*\s*@ignoreupstream\s*\*/"
+_TOKENS = "|".join(
+    [
+        NOTE,
+        r"(?s:/\*.*?(?:\*/|\z))",
+        r"--[^\n]*",
+        r"#[^\n]*",
+        r"(?s:'''.*?(?:'''|\z))",
+        r'(?s:""".*?(?:"""|\z))',
+        r"'[^'\\]*+(?:\\(?s:.)[^'\\]*+)*+(?:'|\z)",
+        r'"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+(?:"|\z)',
+        r"`[^`]*`(?:\.`[^`]*`|\.\w+)*",
+        r"\w+",
+        r"[(),;]",
+    ]
+)
+# Words that end a list of tables, and those with which a query in brackets begins.
+_ENDS = "'SELECT', 'WHERE', 'GROUP', 'HAVING', 'QUALIFY', 'WINDOW', 'ORDER', 'LIMIT', 'UNION', 'INTERSECT', 'EXCEPT', 'SET', 'WITH', 'VALUES', ';'"
 
 
 def tables_in_sql(df: DataFrame, sql: str, own: str | None = None, into: str = "source_table") -> DataFrame:
-    """One row per distinct table a query text reads: back-quoted three-part names after FROM or JOIN.
+    """One row per distinct table a query text reads: back-quoted three-part names in the lists after FROM or JOIN.
 
-    Comments are dropped except the ignore note, which removes the name right after it. A job does
-    not read its own destination (``own``, a column).
+    The text is cut into strings, comments, quoted names, words and marks. These are folded with a state: whether a table is
+    expected next, whether an ignore note stands before it, and for each open bracket whether a comma goes on with a list of
+    tables. The note removes the name right after it; names that WITH defines are no tables. A job does not read its own
+    destination (``own``, a column).
     """
-    note = r"/\*\s*@ignoreupstream\s*\*/"
-    # The note becomes a plain word first, so that removing the other comments leaves it in place.
-    bare = f"regexp_replace({sql}, r'{note}', ' {IGNORE} ')"
-    bare = rf"regexp_replace(regexp_replace({bare}, r'(?s)/\*.*?\*/', ' '), r'--[^\n]*', ' ')"
-    found = rf"regexp_extract_all(__sql, r'(?i)\b(?:FROM|JOIN)\s+(@ignoreupstream\s+)?`([^`.]+\.[^`.]+\.[^`.]+)`', {{}})"
-    step = df.selectExpr("*", f"{bare} AS __sql")
-    step = step.selectExpr("*", f"zip_with({found.format(1)}, {found.format(2)}, (n, t) -> IF(n = '', t, NULL)) AS __t")
-    rows = step.selectExpr(*df.columns, f"explode(array_distinct(array_compact(__t))) AS {into}")
+    tokens = F.regexp_extract_all(F.col(sql), F.lit(_TOKENS), F.lit(0))
+    # Comments go, strings become one mark, words are compared in upper case.
+    kind = rf"""filter(transform(__raw, t -> CASE WHEN t RLIKE r'^{NOTE}$' THEN '@' WHEN left(t, 2) IN ('/*', '--') OR left(t, 1) = '#' THEN ''
+        WHEN ascii(t) IN (34, 39) THEN '$' WHEN left(t, 1) = '`' THEN t ELSE upper(t) END), t -> t <> '')"""
+    start = "named_struct('expect', false, 'skip', false, 'lists', '0', 'last', '', 'found', CAST(array() AS ARRAY<STRING>))"
+    top = "concat(left(s.lists, length(s.lists) - 1), {})"
+    step = f"""named_struct(
+        'expect', CASE WHEN t IN ('@', '(') THEN s.expect WHEN t = 'FROM' THEN s.last <> 'DISTINCT' WHEN t = 'JOIN' THEN true WHEN t = ',' THEN right(s.lists, 1) = '1' ELSE false END,
+        'skip', t = '@' AND s.expect,
+        'lists', CASE WHEN t = '(' THEN concat(IF(s.expect, {top.format("'1'")}, s.lists), '0') WHEN t = ')' THEN IF(length(s.lists) > 1, left(s.lists, length(s.lists) - 1), '0')
+            WHEN t IN ({_ENDS}) THEN {top.format("'0'")} WHEN s.expect AND t <> '@' THEN {top.format("'1'")} ELSE s.lists END,
+        'last', t,
+        'found', IF(s.expect AND NOT s.skip AND left(t, 1) = '`', array_append(s.found, replace(t, '`', '')), s.found))"""
+    # name AS ( ... is a query that WITH names.
+    named = "filter(transform(__t, (t, i) -> IF(t = '(' AND i > 1 AND get(__t, i - 1) = 'AS', replace(get(__t, i - 2), '`', ''), NULL)), t -> t IS NOT NULL)"
+    given = [f"`{c}`" for c in df.columns]
+    rows = df.withColumn("__raw", tokens).selectExpr(*given, f"{kind} AS __t")
+    rows = rows.selectExpr(*given, f"array_except(aggregate(__t, {start}, (s, t) -> {step}).found, {named}) AS __f")
+    rows = rows.selectExpr(*given, rf"explode(filter(__f, t -> t RLIKE r'^[^.]+\.[^.]+\.[^.]+$')) AS {into}")
     return rows.where(f"{own} IS NULL OR {into} <> {own}") if own else rows
 
 
@@ -180,6 +211,16 @@ def downstream_by_job(edges: DataFrame, jobs: DataFrame) -> DataFrame:
     return skew.join_many_to_one(edges, readers, ["dst"])
 
 
+def destination_writers(jobs: DataFrame) -> DataFrame:
+    """(destination, job_id, name, n_writers): every active job that writes a table several of them write, in long form.
+
+    The writers of a table beside a job are the other rows of its destination; no pairs are made.
+    """
+    writers = active(jobs).select("destination", "job_id", "name")
+    shared = writers.groupBy("destination").agg(F.count("*").alias("n_writers")).where("n_writers > 1")
+    return skew.join_many_to_one(writers, shared, ["destination"])
+
+
 def same_destination(jobs: DataFrame) -> DataFrame:
     """Active jobs whose destination other active jobs write too, with how many others and another writer's name.
 

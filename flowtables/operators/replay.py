@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowtables.functions import cron
@@ -144,11 +144,24 @@ def plan(replays: DataFrame, jobs: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def slots(replays: DataFrame, replay_runs: DataFrame, per_project: int = 10, per_job: int = 5) -> DataFrame:
-    """Pending runs that get a slot: first come first served, at most so many per job, then per project."""
-    waiting = replay_runs.where("state = 'pending'").select("replay_id", "scheduled_at")
-    queue = waiting.join(replays.select("replay_id", "created_at", *TENANT_JOB), "replay_id")
+    """Pending runs that get a slot: first come first served, at most so many per job, then per project.
+
+    Runs in progress hold the slots they have: a job or project has only the rest to give.
+    """
+    of = replays.select("replay_id", "created_at", *TENANT_JOB)
+    running = replay_runs.where("state = 'in_progress'").select("replay_id").join(of, "replay_id")
+    by_job = running.groupBy(*TENANT_JOB).agg(F.count("*").alias("job_runs"))
+    by_project = by_job.groupBy("project").agg(F.sum("job_runs").alias("project_runs"))
+    queue = replay_runs.where("state = 'pending'").select("replay_id", "scheduled_at").join(of, "replay_id")
     order = [F.col("created_at"), F.col("replay_id"), F.col("scheduled_at")]
-    return skew.first_rows(skew.first_rows(queue, TENANT_JOB, order, per_job), ["project"], order, per_project)
+
+    def first(rows: DataFrame, keys: list[str], limit: int, held: DataFrame, runs: str) -> DataFrame:
+        # At most ``limit`` rows a key pass the shuffle, whatever waits; those held take the last places.
+        turn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        ranked = rows.withColumn("__turn", turn).where(F.col("__turn") <= limit)
+        return ranked.join(held, keys, "left").where(F.col("__turn") <= limit - F.coalesce(runs, F.lit(0))).drop("__turn", runs)
+
+    return first(first(queue, TENANT_JOB, per_job, by_job, "job_runs"), ["project"], per_project, by_project, "project_runs")
 
 
 def pick(replays: DataFrame, replay_runs: DataFrame) -> DataFrame:

@@ -107,3 +107,23 @@ SELECT job_id, destination FROM jobs_v WHERE job_id IN (SELECT node FROM walk) A
 def backup_set(t):
     """The table of job 1 and all tables of its project that depend on it."""
     return backup.backup_set(t.jobs_v, t.edges_v, t.jobs_v.where("job_id = 1")).select("job_id", F.col("destination"))
+
+
+_CYCLES = """e AS (SELECT src, dst FROM edges_v UNION SELECT CAST(8 AS BIGINT), CAST(1 AS BIGINT) UNION SELECT dst, src FROM edges_v WHERE src % 50 = 7),
+reach AS (SELECT src AS a, dst AS b FROM e WHERE src IN (SELECT dst FROM e) UNION SELECT a, dst FROM reach JOIN e ON src = b),
+mutual AS (SELECT DISTINCT r.a AS node, r.b AS other FROM reach r JOIN reach s ON s.a = r.b AND s.b = r.a),
+comp AS (SELECT node, min(other) AS component FROM mutual GROUP BY node),
+inside AS (SELECT e.src, e.dst, c.component FROM e JOIN comp c ON c.node = e.src JOIN comp d ON d.node = e.dst AND d.component = c.component),
+walk AS (SELECT DISTINCT component, component AS node, 0 AS depth FROM comp UNION SELECT w.component, i.dst, w.depth + 1 FROM walk w JOIN inside i ON i.src = w.node WHERE w.depth < 60),
+tree AS (SELECT component, node, min(depth) AS depth FROM walk GROUP BY component, node),
+up AS (SELECT t.node, min(p.node) AS parent FROM tree t JOIN inside i ON i.dst = t.node JOIN tree p ON p.node = i.src AND p.depth = t.depth - 1 GROUP BY t.node),
+last AS (SELECT t.component, min((t.depth, t.node)) AS l FROM tree t JOIN inside i ON i.src = t.node AND i.dst = t.component GROUP BY t.component),
+path AS (SELECT component, l[1] AS step, l[2] AS node FROM last UNION ALL SELECT p.component, p.step - 1, u.parent FROM path p JOIN up u ON u.node = p.node WHERE p.step > 0)"""
+
+
+@query("cycle_paths", f"WITH RECURSIVE {_CYCLES} SELECT component, step, node FROM path")
+def cycle_paths(t):
+    """One way round every cycle of the registry, with a source and some edges back that close cycles."""
+    more = t.jobs_v.where("job_id = 8").selectExpr("job_id AS src", "1L AS dst")
+    back = t.edges_v.where("src % 50 = 7").selectExpr("dst AS src", "src AS dst")
+    return G.cycle_paths(t.edges_v.unionByName(more).unionByName(back))

@@ -127,3 +127,14 @@ SELECT job_id, name, destination, n - 1 AS n_others, CASE WHEN name = first THEN
 def duplicate_destination(t):
     writers = t.jobs_v.selectExpr("job_id", "name", "concat('store://wh:shared.t', job_id % 700) AS destination", "is_deleted")
     return lineage.same_destination(writers)
+
+
+@query(
+    "destination_writers",
+    """WITH w AS (SELECT job_id, name, concat('store://wh:shared.t', job_id % 700) AS destination FROM jobs_v WHERE NOT is_deleted)
+SELECT destination, job_id, name, count(*) OVER (PARTITION BY destination) AS n_writers FROM w QUALIFY count(*) OVER (PARTITION BY destination) > 1""",
+)
+def destination_writers(t):
+    """All writers of every table that several jobs write."""
+    writers = t.jobs_v.selectExpr("job_id", "name", "concat('store://wh:shared.t', job_id % 700) AS destination", "is_deleted")
+    return lineage.destination_writers(writers)

@@ -107,11 +107,14 @@ def replay_plan(t):
 
 @query(
     "replay_slots",
-    f"""WITH {RUNS_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY project, job_id ORDER BY created_at, replay_id, scheduled_at) AS r1 FROM rr WHERE state = 'pending'),
-b AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY created_at, replay_id, scheduled_at) AS r2 FROM a WHERE r1 <= 5) SELECT project, job_id, replay_id, scheduled_at FROM b WHERE r2 <= 10""",
+    f"""WITH {RUNS_SQL}, j AS (SELECT project, job_id, count(*) AS held FROM rr WHERE state = 'in_progress' GROUP BY project, job_id), p AS (SELECT project, sum(held) AS held FROM j GROUP BY project),
+a AS (SELECT *, row_number() OVER (PARTITION BY project, job_id ORDER BY created_at, replay_id, scheduled_at) AS r1 FROM rr WHERE state = 'pending'),
+b AS (SELECT a.*, row_number() OVER (PARTITION BY a.project ORDER BY created_at, replay_id, scheduled_at) AS r2 FROM a LEFT JOIN j ON j.project = a.project AND j.job_id = a.job_id WHERE r1 <= 25 - coalesce(j.held, 0))
+SELECT b.project, b.job_id, replay_id, scheduled_at FROM b LEFT JOIN p ON p.project = b.project WHERE r2 <= 2000 - coalesce(p.held, 0)""",
 )
 def replay_slots(t):
-    return P.slots(t.replays_v, _replay_runs(t)).select("project", "job_id", "replay_id", "scheduled_at")
+    """So many runs are in progress that the default limits would leave no slot."""
+    return P.slots(t.replays_v, _replay_runs(t), per_project=2000, per_job=25).select("project", "job_id", "replay_id", "scheduled_at")
 
 
 @query(

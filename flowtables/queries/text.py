@@ -242,3 +242,26 @@ def sql_lineage(t):
     texts = t.sql(_braced(_SQL_TEXTS, "{{{{", "}}}}"))
     own = "concat_ws('.', 'wh', replace(destination, 'store://wh:', ''))"
     return lineage.tables_in_sql(texts.selectExpr("job_id", "sql_text", f"{own} AS own"), "sql_text", "own").select("job_id", "source_table")
+
+
+# Each job reads the tables of its two upstreams through a comma list in a sub-query or a join behind WITH; literals and comments name others.
+_HARD_TEXTS = r"""SELECT job_id, destination, CASE WHEN job_id % 3 = 0
+ THEN concat('WITH `wh.d9.cte` AS (SELECT "-- it\\"s /* FROM `wh.no.a`" AS x, "JOIN `wh.no.b`" AS y FROM `wh.d', a % 3, '.t', a, '`), two AS (SELECT 1) SELECT * FROM `wh.d9.cte` c # FROM `wh.no.c`
+  JOIN two ON c.x IS DISTINCT FROM `wh.no.d` LEFT JOIN (SELECT EXTRACT(DAY FROM ts) AS d, `wh.no.e` FROM /* @ignoreupstream */ `wh.no.f`, `wh`.`d', b % 3, '`.`t', b, '` WHERE x IN (1, 2)) z, `wh.d8.all` USING (d)')
+ ELSE concat('SELECT count(*), `wh.no.a` FROM (`wh.d', a % 3, '.t', a, '` x INNER JOIN `wh.d', b % 3, '.t', b, '` y ON f(x.a, y.b)), `wh.d8.all` WHERE z = "*/" AND w = @FROM `wh.no.b` " @
+  UNION ALL SELECT "/*", `wh.no.c`, "," -- FROM `wh.no.x`
+  GROUP BY `wh.no.d`, `wh.no.e`') END AS sql_text
+FROM (SELECT *, CAST(FLOOR(job_id / 2.0) AS BIGINT) AS a, CAST(FLOOR(job_id / 3.0) AS BIGINT) AS b FROM jobs_v) j""".replace("@FROM", '"""FROM').replace('" @', '" """')
+
+
+@query(
+    "sql_lineage_hard",
+    """WITH pairs AS (SELECT job_id, destination, unnest([CAST(FLOOR(job_id / 2.0) AS BIGINT), CAST(FLOOR(job_id / 3.0) AS BIGINT)]) AS k FROM jobs_v)
+SELECT DISTINCT job_id, concat('wh.d', k % 3, '.t', k) AS source_table FROM pairs WHERE concat('store://wh:d', k % 3, '.t', k) <> destination
+UNION ALL SELECT job_id, 'wh.d8.all' FROM jobs_v""",
+)
+def sql_lineage_hard(t):
+    """Texts with literals, comments, WITH, comma lists, joins in brackets and sub-queries."""
+    texts = t.sql(_HARD_TEXTS)
+    own = "concat_ws('.', 'wh', replace(destination, 'store://wh:', ''))"
+    return lineage.tables_in_sql(texts.selectExpr("job_id", "sql_text", f"{own} AS own"), "sql_text", "own").select("job_id", "source_table")

@@ -153,6 +153,83 @@ def test_tables_in_sql(spark):
     assert sorted(r.source_table for r in lineage.tables_in_sql(df, "sql", "own").collect()) == ["p.d.a", "p.d.c"]
 
 
+@pytest.mark.parametrize(
+    ("sql", "tables"),
+    [
+        ("SELECT '-- x' FROM `p.d.t4`, `p.d.t5`", "t4 t5"),
+        ("SELECT '/* ' FROM `p.d.a` WHERE x = '*/' AND y IN (SELECT z FROM `p.d.b`)", "a b"),
+        ("SELECT 'FROM `p.d.no`', \"JOIN `p.d.no`\" FROM `p.d.a` x, (SELECT 1, 2 FROM `p.d.b`) y, `p.d.c`", "a b c"),
+        ("WITH `p.d.x` AS (SELECT * FROM `p.d.a`), y AS (SELECT 1 FROM `p.d.b`) SELECT * FROM `p.d.x`, y", "a b"),
+        ("SELECT a, `p.d.no` FROM `p.d.a` WHERE a IS NOT DISTINCT FROM `p.d.no` ORDER BY a, `p.d.no`", "a"),
+        ("SELECT * FROM `p`.`d`.`a` JOIN `p.d`.b USING (x), `p.d.c` /* open FROM `p.d.no`", "a b c"),
+        ("SELECT f(FROM_UNIXTIME(x), `p.d.no`), trim(BOTH ' ' FROM `p.no`) from((`p.d.a` join `p.d.b` on (1=1)), `p.d.c`)", "a b c"),
+        ("SELECT 'it\\'s FROM `p.d.no`' FROM /* @ignoreupstream */ `p.d.no`, /*@ignoreupstream*/ `p.d.no`, `p.d.a` -- `p.d.no`\n, `p.d.b`", "a b"),
+        ("SELECT r'''FROM `p.d.no` ' \" ''' FROM `p.d.a` UNION ALL SELECT 1, `p.d.no` FROM `p.d.a`; DELETE FROM `p.d.b`", "a b"),
+        ("", ""), (None, ""), ("'never closed FROM `p.d.no`", ""), (")) FROM `p.d.a`, (", "a"), ("FROM", ""),
+    ],
+)
+def test_tables_in_hard_sql(spark, sql, tables):
+    df = spark.createDataFrame([(1, sql)], "job_id int, sql string")
+    assert sorted(r.source_table for r in lineage.tables_in_sql(df, "sql").collect()) == [f"p.d.{x}" for x in tables.split()]
+
+
+def test_long_texts_are_scanned(spark):
+    body = "'" + "a''b\\'" * 300 + "' " + "/* * " * 2000 + "*/" + "(" * 500 + "x, " * 5000 + ")" * 500
+    df = spark.createDataFrame([(1, f"SELECT {body} FROM `p.d.a`, `p.d.b`")], "job_id int, sql string")
+    assert lineage.tables_in_sql(df, "sql").count() == 2
+
+
+def test_runs_in_progress_hold_slots(spark):
+    replays = spark.createDataFrame([(k, "p", k // 2, "2024-01-0" + str(1 + k)) for k in range(6)], "replay_id long, project string, job_id long, created_at string")
+    runs = [(0, "in_progress", k) for k in range(5)] + [(1, "pending", k) for k in range(9)] + [(2, "in_progress", 0), (2, "pending", 1)] + [(k, "pending", n) for k in (3, 4, 5) for n in range(4)]
+    given = replay.slots(replays, spark.createDataFrame(runs, "replay_id long, state string, scheduled_at long"))
+    # Job 0 is full; job 1 has four left and the project four in all.
+    assert sorted((r.replay_id, r.scheduled_at) for r in given.collect()) == [(2, 1), (3, 0), (3, 1), (3, 2)]
+    more = replay.slots(replays, spark.createDataFrame(runs, "replay_id long, state string, scheduled_at long"), per_project=100)
+    assert more.where("job_id = 0").count() == 0 and more.where("job_id = 1").count() == 4 and more.where("job_id = 2").count() == 5
+
+
+def _plain_components(edges):
+    nodes = {n for e in edges for n in e}
+    reach = {n: {b for a, b in edges if a == n} for n in nodes}
+    grown = True
+    while grown:
+        grown = False
+        for n in nodes:
+            more = set().union(*[reach[m] for m in reach[n]]) - reach[n]
+            if more:
+                reach[n] |= more
+                grown = True
+    return {n: min(m for m in reach[n] if n in reach[m]) for n in nodes if n in reach[n]}
+
+
+@pytest.mark.parametrize("seed", [2])
+def test_components_and_cycle_paths(spark, seed):
+    import random
+
+    draw = random.Random(seed)
+    # Two pairs joined by 3, a loop, a long way and random edges.
+    edges = {(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 4), (9, 9), (5, 9)} | {(20 + k, 21 + k) for k in range(6)} | {(26, 20)}
+    edges |= {(draw.randrange(40, 60), draw.randrange(40, 60)) for _ in range(14 + 4 * seed)}
+    df = spark.createDataFrame(sorted(edges), "src long, dst long")
+    want = _plain_components(edges)
+    assert {r.node: r.component for r in graph.strong_components(df).collect()} == want
+    assert {r.node for r in graph.cycle_nodes(df, hot_rows=2).collect()} == set(want) and 3 not in want
+    paths = {}
+    for r in sorted(graph.cycle_paths(df).collect(), key=lambda r: (r.component, r.step)):
+        paths.setdefault(r.component, []).append(r.node)
+    assert set(paths) == set(want.values())
+    for component, path in paths.items():
+        assert path[0] == component and len(set(path)) == len(path) and all(want[n] == component for n in path)
+        assert all(step in edges for step in zip(path, path[1:] + path[:1], strict=True))
+    assert paths[20] == [20, 21, 22, 23, 24, 25, 26] and paths[9] == [9] and paths[1] == [1, 2] and paths[4] == [4, 5]
+
+
+def test_no_cycle_has_no_path(spark):
+    df = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")
+    assert graph.cycle_paths(df).count() == graph.strong_components(df).count() == 0
+
+
 def test_filter_precedence(spark):
     jobs = _jobs(spark)
     assert registry.jobs_by_filter(jobs, destination="t://x", project="p2").count() == 2
