@@ -26,7 +26,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -104,12 +104,14 @@ class Aligner:
         """For each of the different pieces, what is known of space + piece; None where its tokens do not give the bytes back."""
         found, fresh, known, older = {}, [], self.known, self.older
         for piece in pieces:
-            if piece in known:
-                found[piece] = known[piece]
-            elif piece in older:
-                found[piece] = known[piece] = older[piece]
-            else:
-                fresh.append(piece)
+            fact = known.get(piece, ())
+            if fact == ():
+                fact = older.get(piece, ())
+                if fact == ():
+                    fresh.append(piece)
+                    continue
+                known[piece] = fact
+            found[piece] = fact
         # Pieces that begin or end with white space cannot be encoded side by side.
         inner = [p for p in fresh if p and p == p.strip()] if self.may_cut else []
         made = dict(self._together(inner))
@@ -119,7 +121,9 @@ class Aligner:
         found.update(made)
         if len(self.known) + len(made) > REMEMBERED:
             self.known, self.older = {}, self.known
-        self.known.update((p, f) for p, f in made.items() if len(p) <= LONGEST_REMEMBERED)
+        self.known.update(made)
+        for piece in [p for p in made if len(p) > LONGEST_REMEMBERED]:
+            del self.known[piece]
         return found
 
     def _together(self, pieces: list[str], lead: str = " a") -> Iterator[tuple[str, Fact | None]]:
@@ -152,14 +156,12 @@ class Aligner:
         keys = (ids[0][last[0]].astype(np.uint64) << np.uint64(32) | ids[1][last[1]].astype(np.uint64)).astype("<u8").tobytes()
         links = np.searchsorted(last[0], until[0]).tolist()
         counts = [np.diff(u).tolist() for u in until]
-        spans = [slice(8 * at, 8 * to) for at, to in zip(links[:-1], links[1:], strict=True)]
+        of_piece = [keys[8 * at : 8 * to] for at, to in zip(links[:-1], links[1:], strict=True)]
         if not self.groups:
-            yield from ((n_a, n_b, keys[span], b"") for n_a, n_b, span in zip(*counts, spans, strict=True))
-            return
+            return zip(*counts, of_piece, repeat(b""), strict=False)
         names = self._in_groups(ids, last)
         ends = (until[0] + until[1]).tolist()
-        for n_a, n_b, span, at, to in zip(*counts, spans, ends[:-1], ends[1:], strict=True):
-            yield n_a, n_b, keys[span], b"".join(names[at:to])
+        return zip(*counts, of_piece, [b"".join(names[at:to]) for at, to in zip(ends[:-1], ends[1:], strict=True)], strict=True)
 
     def _in_groups(self, ids: list[np.ndarray], last: list[np.ndarray]) -> list[bytes]:
         """Names of all tokens, group by group, A before B; the last one of a side closes it."""
@@ -299,9 +301,9 @@ def count_in_tasks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 for _, pieces, facts in tool.blocks(batch.column(0).slice(at, 256).to_pylist()):
-                    found = [facts[p] for p in pieces]
+                    keys = [f[2] for f in map(facts.__getitem__, pieces)]
                     times = np.fromiter(pieces.values(), np.int64, len(pieces))
-                    total.add(np.frombuffer(b"".join(f[2] for f in found), "<u8"), np.repeat(times, [len(f[2]) // 8 for f in found]))
+                    total.add(np.frombuffer(b"".join(keys), "<u8"), np.repeat(times, np.fromiter(map(len, keys), np.int64, len(keys)) // 8))
         total.merge()
         yield pa.RecordBatch.from_arrays([pa.array(total.keys.view(np.int64)), pa.array(total.counts)], names=["key", "n"])
 
@@ -387,20 +389,22 @@ def align_corpus(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 def _report(tool: Aligner, texts: list[str], index: PerfectHash, counts: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, list[str]]:
     sums, digests = np.zeros((len(texts), 6), np.int64), [None] * len(texts)
     for held, _, facts in tool.blocks(texts):
-        found = list(facts.values())
-        links = np.array([len(f[2]) // 8 for f in found])
-        slots = index.find(np.frombuffer(b"".join([f[2] for f in found]), "<u8"))
+        if not held:
+            continue
+        n_a, n_b, keys, groups = zip(*facts.values(), strict=True)
+        links = np.fromiter(map(len, keys), np.int64, len(keys)) // 8
+        slots = index.find(np.frombuffer(b"".join(keys), "<u8"))
         if (slots < 0).any():
             raise RuntimeError("a pair is not among the keys of the hash")
-        owner = np.repeat(np.arange(len(found)), links)
-        rows = np.zeros((len(found), 6), np.int64)
-        rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3] = [f[0] for f in found], [f[1] for f in found], links, links
+        owner = np.repeat(np.arange(len(keys)), links)
+        rows = np.zeros((len(keys), 6), np.int64)
+        rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3] = n_a, n_b, links, links
         np.add.at(rows[:, 4], owner, best[slots])
         np.add.at(rows[:, 5], owner, counts[slots])
-        place, groups = {piece: k for k, piece in enumerate(facts)}, [f[3] for f in found]
+        place = dict(zip(facts, range(len(facts)), strict=True))
         starts = np.cumsum([0, *[len(part) for _, part in held]])
         at = list(map(place.__getitem__, chain.from_iterable(part for _, part in held)))
-        added = np.add.reduceat(rows[at], starts[:-1], axis=0) if held else rows[:0]
+        added = np.add.reduceat(rows[at], starts[:-1], axis=0)
         for (k, _), row, first, end in zip(held, added, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             text = b"".join(map(groups.__getitem__, at[first:end]))[:-1]
             if digests[k] is None:
