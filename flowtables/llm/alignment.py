@@ -38,7 +38,7 @@ from flowtables.llm.encoding import byte_names
 from flowtables.llm.hashing import mix
 
 # Pieces each worker remembers, twice over, and the longest of them.
-REMEMBERED, LONGEST_REMEMBERED = 300_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 500_000, 64
 SEGMENT = 1 << 20
 FAN_IN = 16
 CHUNK = 1 << 16
