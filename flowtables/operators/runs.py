@@ -13,9 +13,22 @@ FOREVER = "TIMESTAMP '3000-01-01 00:00:00'"
 RUN = ["job_id", "scheduled_at"]
 
 
+def spans(jobs: DataFrame, runs: DataFrame) -> DataFrame:
+    """Adds lo and hi, the first and last schedule time the job has run for; its start date for both where it never ran.
+
+    A job with neither has NULL bounds and so no calendar.
+    """
+    seen = runs.groupBy("job_id").agg(F.min("scheduled_at").alias("lo"), F.max("scheduled_at").alias("hi"))
+    return jobs.join(seen, "job_id", "left").withColumns({"lo": F.coalesce("lo", "start_at"), "hi": F.coalesce("hi", "start_at")})
+
+
 def expected(jobs: DataFrame, start: str, end: str) -> DataFrame:
-    """(job_id, scheduled_at) of every run due in the closed range; ``jobs`` has job_id and cron."""
-    return cron.explode_schedule(jobs.select("job_id", "cron"), "cron", start, end).select(*RUN)
+    """(job_id, scheduled_at) of every run due in the closed range; ``jobs`` has job_id and cron.
+
+    ``start`` and ``end`` are SQL over the columns of ``jobs``, such as the bounds of ``spans``.
+    """
+    bounded = jobs.selectExpr("job_id", "cron", f"{start} AS lo", f"{end} AS hi")
+    return cron.explode_schedule(bounded, "cron", "lo", "hi").select(*RUN)
 
 
 def latest(runs: DataFrame, by: str = "run_id") -> DataFrame:
@@ -92,9 +105,7 @@ def upstream_times(runs: DataFrame, edges: DataFrame, jobs: DataFrame) -> DataFr
     They follow from the upstream's expression and the run's time: no as-of join is needed.
     """
     plans = cron.with_plan(jobs.selectExpr("job_id AS upstream_id", "cron AS up_cron", "start_at AS up_start"), "up_cron")
-    # Each edge meets every run of its job: the edges are spread evenly first.
-    spread = edges.repartition(edges.sparkSession.sparkContext.defaultParallelism)
-    pairs = spread.selectExpr("dst AS job_id", "src AS upstream_id").join(plans, "upstream_id")
+    pairs = edges.selectExpr("dst AS job_id", "src AS upstream_id").join(plans, "upstream_id")
     step = runs.select(*RUN).join(pairs, "job_id")
     at = f"IF({cron.matches('plan', 'scheduled_at')}, scheduled_at, {cron.prev_time('plan', 'scheduled_at')})"
     step = step.selectExpr("*", f"{at} AS last_upstream")

@@ -72,6 +72,24 @@ def operator_durations(t):
     return E.durations(E.operator_runs(t.run_events_v))
 
 
+def _job_durations_sql(keys: str) -> str:
+    return f"""WITH {_ATTEMPTS}, d AS (SELECT *, date_trunc('day', end_time) AS day, CAST(epoch(date_trunc('second', end_time)) - epoch(date_trunc('second', start_time)) AS BIGINT) AS seconds FROM attempts WHERE end_time IS NOT NULL),
+g AS (SELECT {keys}, count(*) AS n, CAST(sum(seconds) AS BIGINT) AS total_seconds, max(seconds) AS max_seconds, list(seconds ORDER BY seconds) AS sorted,
+  arg_max(seconds, (end_time, scheduled_at, operator_name, attempt)) AS last_seconds FROM d GROUP BY {keys})
+SELECT * EXCLUDE sorted, total_seconds / n AS mean_seconds, sorted[(n * 500 + 999) // 1000] AS p500_seconds, sorted[(n * 950 + 999) // 1000] AS p950_seconds FROM g"""
+
+
+@query("job_durations", _job_durations_sql("project, job_id, operator_type"))
+def job_durations(t):
+    """Every job's durations, from partials per day as they would be stored."""
+    return E.job_durations(E.duration_partials(E.operator_runs(t.run_events_v)))
+
+
+@query("job_durations_daily", _job_durations_sql("project, job_id, operator_type, day"))
+def job_durations_daily(t):
+    return E.job_durations(E.duration_partials(E.operator_runs(t.run_events_v)), [*E.JOB_OPERATOR, "day"])
+
+
 @query(
     "sla_flag",
     f"""WITH l AS (SELECT project, job_id, scheduled_at FROM run_events_v WHERE type = 'failure' UNION SELECT project, job_id + 3, scheduled_at FROM run_events_v WHERE type = 'failure')

@@ -6,18 +6,17 @@ from pyspark.sql import functions as F
 
 from flowtables.operators import runs as R
 from flowtables.queries.registry import query
-from flowtables.queries.time import add_months_sql, slots_sql
-
-# A quarter of schedule times for gaps, a week for sensors.
-LO, HI = "1995-01-01", "1995-03-31"
-S_LO, S_HI = "1995-02-20", "1995-02-26"
+from flowtables.queries.time import WIDE_SLOTS, add_months_sql
 
+# Each job's calendar goes from its first to its last run; a job that never ran has its start date only.
+SPANS_SQL = """spans AS (SELECT job_id, cron, coalesce(lo, start_at) AS lo, coalesce(hi, start_at) AS hi
+  FROM jobs_v LEFT JOIN (SELECT job_id, min(scheduled_at) AS lo, max(scheduled_at) AS hi FROM runs_v GROUP BY job_id) USING (job_id))"""
 LATEST_SQL = "latest AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY job_id, scheduled_at ORDER BY run_id DESC) AS rn FROM runs_v) WHERE rn = 1)"
-EXPECTED_SQL = f"{slots_sql(LO, HI)}, expected AS (SELECT job_id, slot AS scheduled_at FROM jobs_v JOIN slots USING (cron) WHERE slot <= TIMESTAMP '{HI}')"
+EXPECTED_SQL = f"{WIDE_SLOTS}, {SPANS_SQL}, expected AS (SELECT job_id, slot AS scheduled_at FROM spans JOIN slots USING (cron) WHERE slot BETWEEN lo AND hi)"
 
 
 def _expected(t):
-    return R.expected(t.jobs_v, f"'{LO}'", f"'{HI}'")
+    return R.expected(R.spans(t.jobs_v, t.runs_v), "lo", "hi")
 
 
 @query("latest_run", f"WITH {LATEST_SQL} SELECT job_id, scheduled_at, run_id, state FROM latest")
@@ -123,20 +122,15 @@ def sla_trend(t):
 
 # --- sensors ------------------------------------------------------------------------
 
-SENSORS_SQL = f"""{slots_sql("1994-10-01", "1995-03-05")},
-numbered AS (SELECT *, lag(slot) OVER w AS before, lead(slot) OVER w AS after FROM slots WINDOW w AS (PARTITION BY cron ORDER BY slot)),
-wanted AS (SELECT job_id, slot AS scheduled_at FROM jobs_v JOIN slots USING (cron) WHERE slot BETWEEN TIMESTAMP '{S_LO}' AND TIMESTAMP '{S_HI}'),
-paired AS (SELECT w.job_id, w.scheduled_at, e.src AS upstream_id, u.cron AS up_cron, CASE WHEN u.job_id % 13 <> 6 THEN u.start_at END AS up_start, d.w_version, d.w_size FROM wanted w JOIN edges_v e ON e.dst = w.job_id JOIN jobs_v u ON u.job_id = e.src JOIN jobs_v d ON d.job_id = w.job_id),
-timed AS (SELECT p.*, n.slot AS last_upstream, n.before AS before_upstream FROM paired p ASOF JOIN numbered n ON p.up_cron = n.cron AND p.scheduled_at >= n.slot)"""
-
-
-def _sensor_runs(t):
-    return R.expected(t.jobs_v, f"'{S_LO}'", f"'{S_HI}'")
+SENSORS_SQL = f"""{EXPECTED_SQL},
+numbered AS (SELECT *, row_number() OVER w AS n, lag(slot) OVER w AS before FROM slots WINDOW w AS (PARTITION BY cron ORDER BY slot)),
+paired AS (SELECT w.job_id, w.scheduled_at, e.src AS upstream_id, u.cron AS up_cron, CASE WHEN u.job_id % 13 <> 6 THEN u.start_at END AS up_start, d.w_version, d.w_size FROM expected w JOIN edges_v e ON e.dst = w.job_id JOIN jobs_v u ON u.job_id = e.src JOIN jobs_v d ON d.job_id = w.job_id),
+timed AS (SELECT p.*, n.slot AS last_upstream, n.before AS before_upstream, n.n AS last_n FROM paired p ASOF JOIN numbered n ON p.up_cron = n.cron AND p.scheduled_at >= n.slot)"""
 
 
 @query("upstream_asof", f"WITH {SENSORS_SQL} SELECT job_id, scheduled_at, upstream_id, last_upstream, before_upstream FROM timed")
 def upstream_asof(t):
-    times = R.upstream_times(_sensor_runs(t), t.edges_v, t.jobs_v)
+    times = R.upstream_times(_expected(t), t.edges_v, t.jobs_v)
     return times.select("job_id", "scheduled_at", "upstream_id", "last_upstream", "before_upstream")
 
 
@@ -145,13 +139,17 @@ def upstream_asof(t):
     f"""WITH {SENSORS_SQL}, {LATEST_SQL},
 sized AS (SELECT *, CASE WHEN w_size = '' AND w_version = 1 THEN 24 ELSE coalesce(try_cast(regexp_extract(w_size, '([0-9]+)h', 1) AS BIGINT), 0) END AS sh, coalesce(try_cast(regexp_extract(w_size, '^([0-9]+)M', 1) AS BIGINT), 0) AS sm FROM timed),
 moved AS (SELECT *, last_upstream - to_hours(CASE WHEN w_version = 1 THEN sh + 720 * sm ELSE sh END) AS b FROM sized),
-ranges AS (SELECT job_id, scheduled_at, upstream_id, up_cron, up_start, last_upstream AS hi, CASE WHEN w_version = 1 THEN b ELSE {add_months_sql('b', '-sm')} END AS lo FROM moved),
-firsts AS (SELECT r.*, s.slot AS first_needed FROM ranges r ASOF LEFT JOIN slots s ON r.up_cron = s.cron AND r.lo < s.slot),
-counted AS (SELECT f.job_id, f.scheduled_at, f.upstream_id, coalesce(first_needed < up_start OR hi < up_start, true) AS refused, count(s.slot) AS n_expected, count(CASE WHEN l.state = 'success' THEN 1 END) AS n_success
-  FROM firsts f LEFT JOIN slots s ON s.cron = f.up_cron AND s.slot > f.lo AND s.slot <= f.hi LEFT JOIN latest l ON l.job_id = f.upstream_id AND l.scheduled_at = s.slot GROUP BY ALL)
+ranges AS (SELECT job_id, scheduled_at, upstream_id, up_cron, up_start, last_n, last_upstream AS hi, CASE WHEN w_version = 1 THEN b ELSE {add_months_sql('b', '-sm')} END AS lo FROM moved),
+firsts AS (SELECT r.*, s.slot AS first_needed, s.n AS first_n FROM ranges r ASOF LEFT JOIN numbered s ON r.up_cron = s.cron AND r.lo < s.slot),
+upstreams AS (SELECT DISTINCT upstream_id, up_cron FROM paired),
+succeeded AS (SELECT upstream_id, n, sum(CASE WHEN l.state = 'success' THEN 1 ELSE 0 END) OVER (PARTITION BY upstream_id ORDER BY n) AS so_far
+  FROM upstreams u JOIN numbered s ON s.cron = u.up_cron LEFT JOIN latest l ON l.job_id = u.upstream_id AND l.scheduled_at = s.slot),
+counted AS (SELECT f.job_id, f.scheduled_at, f.upstream_id, coalesce(first_needed < up_start OR hi < up_start, true) AS refused, greatest(last_n - first_n + 1, 0) AS n_expected,
+    CASE WHEN last_n >= first_n THEN CAST(b.so_far - coalesce(a.so_far, 0) AS BIGINT) ELSE 0 END AS n_success
+  FROM firsts f LEFT JOIN succeeded b ON b.upstream_id = f.upstream_id AND b.n = f.last_n LEFT JOIN succeeded a ON a.upstream_id = f.upstream_id AND a.n = f.first_n - 1)
 SELECT job_id, scheduled_at, upstream_id, CASE WHEN NOT refused THEN n_expected END AS n_expected, CASE WHEN NOT refused THEN n_success END AS n_success,
   CASE WHEN refused THEN 'error' WHEN n_expected = n_success THEN 'ready' ELSE 'waiting' END AS status FROM counted""",
 )
 def sensor_ready(t):
     jobs = t.jobs_v.withColumn("start_at", F.expr("IF(job_id % 13 <> 6, start_at, NULL)"))
-    return R.readiness(_sensor_runs(t), t.edges_v, jobs, R.latest(t.runs_v))
+    return R.readiness(_expected(t), t.edges_v, jobs, R.latest(t.runs_v))

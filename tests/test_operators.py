@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from flowtables.functions import macros, text
 from flowtables.operators import events as E
 from flowtables.operators import graph, lineage, registry, replay, skew
+from flowtables.operators import runs as R
 from flowtables.plans import job as J
 from flowtables.sources import loads, specs, versions
 from flowtables.sources import tables as managed
@@ -787,3 +788,52 @@ def test_job_run_renders_macros_and_hooks_see_what_was_loaded(spark, tables, tmp
     assert seen["from"].endswith("Z") and seen["mode"] == "replay"
     with pytest.raises(ValueError, match="NOPE"):
         J.run(spark, J.Job("m", "SELECT {{.NOPE}}", f"{tmp_path}/t", "day"), tables.events, "ts", "2024-01-16 02:00:00")
+
+
+def test_calendars_follow_the_runs(spark):
+    jobs = spark.sql("""SELECT * FROM VALUES (1L, '@daily', TIMESTAMP '2024-01-10'), (2L, '@daily', TIMESTAMP '2024-01-20'), (3L, '@daily', NULL),
+        (4L, '0 2 * * *', TIMESTAMP '2024-01-20') t(job_id, cron, start_at)""")
+    runs = spark.sql("SELECT * FROM VALUES (1L, TIMESTAMP '2024-01-02'), (1L, TIMESTAMP '2024-01-04'), (1L, NULL), (9L, TIMESTAMP '2024-01-02') t(job_id, scheduled_at)")
+    got = R.expected(R.spans(jobs, runs), "lo", "hi")
+    assert sorted((r.job_id, r.scheduled_at.day) for r in got.collect()) == [(1, 2), (1, 3), (1, 4), (2, 20)]
+    assert R.expected(R.spans(jobs, runs.limit(0)), "lo", "hi").count() == 2
+    assert R.expected(R.spans(jobs.limit(0), runs), "lo", "hi").count() == 0
+
+
+def _attempts(spark, rows):
+    df = spark.createDataFrame(rows, "job_id long, seconds long, minute long")
+    return df.selectExpr(
+        "'p' AS project", "job_id", "TIMESTAMP '2024-01-01' AS scheduled_at", "'task' AS operator_type", "'' AS operator_name", "1L AS attempt",
+        "timestamp_seconds(1704067200 + minute * 60 - seconds) AS start_time", "timestamp_seconds(1704067200 + minute * 60) AS end_time",
+    )
+
+
+def test_job_durations_stay_within_their_bound(spark):
+    from random import Random
+
+    r = Random(1)
+    rows = [(job, r.choice([0, 3, 255, 256, r.randrange(1000), int(1.4 ** r.randrange(60))]), k) for k in range(6000) for job in [k % 40 if k % 3 else 7]]
+    attempts = _attempts(spark, rows)
+    got = {x.job_id: x for x in E.job_durations(E.duration_partials(attempts), thousandths=(1, 500, 950, 1000)).collect()}
+    assert len(got) == 40
+    for job, x in got.items():
+        values = sorted(s for j, s, _ in rows if j == job)
+        assert (x.n, x.total_seconds, x.max_seconds) == (len(values), sum(values), values[-1])
+        assert x.last_seconds == max((k, s) for j, s, k in rows if j == job)[1]
+        for p in (1, 500, 950, 1000):
+            exact = values[(len(values) * p + 999) // 1000 - 1]
+            assert exact <= x[f"p{p}_seconds"] <= exact * (1 + 1 / 128)
+            if exact < 256:
+                assert x[f"p{p}_seconds"] == exact
+
+
+def test_stored_duration_partials_merge_in_any_order(spark):
+    attempts = _attempts(spark, [(k % 3, k * 37 % 900, k * 31) for k in range(500)] + [(5, 7, 1), (5, 7, 1)])
+    whole = E.job_durations(E.duration_partials(attempts))
+    early, late = (E.duration_partials(attempts.where(f"end_time {sign} TIMESTAMP '2024-01-05'")) for sign in ("<", ">="))
+    merged = E.job_durations(E.merge_durations(late.unionByName(early), [*E.JOB_OPERATOR, "day"]))
+    assert sorted(whole.collect()) == sorted(merged.collect())
+    open_ones = attempts.withColumn("end_time", F.lit(None).cast("timestamp"))
+    assert E.job_durations(E.duration_partials(open_ones)).count() == 0
+    backwards = _attempts(spark, [(1, -300, 1), (1, -5, 2), (1, 9, 3)])
+    assert E.job_durations(E.duration_partials(backwards)).first().p500_seconds == -5
