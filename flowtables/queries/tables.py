@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import datetime
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtables import session
@@ -93,18 +94,28 @@ def cluster_write(t):
 def external_scan(t):
     """CSV files with two leading rows each, under a given schema."""
     path = session.scratch(t.spark, "external")
-    t.orders.select(F.concat_ws(",", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderpriority").alias("value")).mapInPandas(
-        _with_leading_rows, "value string"
-    ).write.text(path)
+    lines = t.orders.select(F.concat_ws(",", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderpriority").alias("value"))
+    _with_leading_rows(lines, "exported file\no_orderkey,o_custkey,o_orderpriority\n").write.text(path)
     schema = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority").schema
     return tables.read_external(t.spark, [path], "csv", schema, skip_leading_rows=2)
 
 
-def _with_leading_rows(batches):
-    import pandas as pd
+def _with_leading_rows(rows: DataFrame, leading: str) -> DataFrame:
+    """Lines of text; the first row of every task, and so of every file, brings the leading lines with it."""
+    is_first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    return rows.select(F.when(is_first, F.concat(F.lit(leading), "value")).otherwise(F.col("value")).alias("value"))
 
-    yield pd.DataFrame({"value": ["exported file", "o_orderkey,o_custkey,o_orderpriority"]})
-    yield from batches
+
+@query("external_range", "SELECT o_orderkey, o_custkey, o_orderdate AS o_date, o_orderpriority FROM orders")
+def external_range(t):
+    """Columns B to E of one large and many small files with three leading rows, the last of which names them; types are detected."""
+    path = session.scratch(t.spark, "range")
+    times = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    lines = t.orders.select("o_orderkey", F.concat_ws(",", F.lit("#"), F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), times, "o_orderpriority", F.lit("end")).alias("value"))
+    for name, rows in (("large", lines.where("o_orderkey % 3 > 0").repartition(1)), ("small", lines.where("o_orderkey % 3 = 0").repartition(16))):
+        _with_leading_rows(rows, "exported file\n\n#,o_orderkey,o_custkey,o_date,o_orderpriority,end\n").write.text(f"{path}/{name}")
+    found = tables.read_external(t.spark, [f"{path}/large", f"{path}/small"], "csv", skip_leading_rows=3, cells="B1:E")
+    return found.withColumn("o_date", F.col("o_date").cast("timestamp_ntz"))
 
 
 @query("view_query", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 GROUP BY n_name")
@@ -155,3 +166,35 @@ def profile_window(t):
     bounds = incremental.bounds_of_run(t.spark, "2024-01-16 02:00:00", version=2, size="168h", offset="0", unit="w")
     rows = incremental.read_window(t.events, "ts", *bounds).withColumns({"odd": F.expr("IF(event_id % 3 = 0, event_id, NULL)"), "event_type": F.expr("IF(event_id % 11 <> 0, event_type, NULL)")})
     return quality.profile(rows, ["user_id", "props", "odd"], group="event_type")
+
+
+# Profiles over all weeks of the events, from partials per week.
+_WEEKS_SQL = "w AS (SELECT date_trunc('week', ts) AS window_key, event_type, user_id, CASE WHEN event_id % 3 = 0 THEN props END AS props, value FROM events)"
+_PROFILED = ("user_id", "props", "value")
+
+
+def _modes_sql(keys: str) -> str:
+    one = "SELECT {k}, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value, round(count({c}) / count(*), 6) AS completeness{d} FROM w GROUP BY {g}"
+    distinct = {"user_id": ", count(DISTINCT user_id) AS n_distinct", "props": ", count(DISTINCT props) AS n_distinct", "value": ", CAST(NULL AS BIGINT) AS n_distinct"}
+    named = keys.replace("event_type", "event_type AS group_value")
+    return f"WITH {_WEEKS_SQL} " + " UNION ALL ".join(one.format(k=named, g=keys, c=c, d=distinct[c]) for c in _PROFILED)
+
+
+def _weekly_partials(t):
+    rows = t.events.withColumn("props", F.expr("IF(event_id % 3 = 0, props, NULL)"))
+    return quality.partials(rows, list(_PROFILED), "event_type", F.date_trunc("week", "ts").cast("timestamp"))
+
+
+def _few_distinct(profile: DataFrame) -> DataFrame:
+    """The distinct count of a column with a value of its own in nearly every row is an estimate: not compared."""
+    return profile.withColumn("n_distinct", F.when(F.col("column_name") != "value", F.col("n_distinct")))
+
+
+@query("profile_complete", _modes_sql("event_type"))
+def profile_complete(t):
+    return _few_distinct(quality.report(_weekly_partials(t)))
+
+
+@query("profile_incremental", _modes_sql("window_key, event_type"))
+def profile_incremental(t):
+    return _few_distinct(quality.report(_weekly_partials(t), "incremental"))

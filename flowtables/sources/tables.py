@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -122,12 +123,18 @@ def store_by_key(df: DataFrame, name: str, key: str, buckets: int, partition: st
 
 
 def read_external(
-    spark: SparkSession, uris: Sequence[str], fmt: str, schema: T.StructType | None = None, skip_leading_rows: int = 0, **options: str
+    spark: SparkSession, uris: Sequence[str], fmt: str, schema: T.StructType | None = None, skip_leading_rows: int = 0, cells: str = "", **options: str
 ) -> DataFrame:
-    """External files. Without a schema it is detected; leading rows can be skipped in CSV files."""
+    """External files. Without a schema it is detected; leading rows can be skipped in CSV files.
+
+    ``cells`` limits every CSV file to a block of cells such as ``B3:D``, ``B:D`` or ``A1:C20``; leading rows are counted inside
+    it. Without a schema, the last leading row names the columns. A record of such a file is one line.
+    """
+    if cells and fmt != "csv":
+        raise ValueError("only CSV files have cells")
+    if cells or (fmt == "csv" and skip_leading_rows > 1 and schema is None):
+        return _read_cells(spark, uris, schema, skip_leading_rows, cell_range(cells), options)
     if fmt == "csv" and skip_leading_rows > 1:
-        if schema is None:
-            raise ValueError("skipping several rows needs a schema")
         return _skip_lines(spark, uris, schema, skip_leading_rows, options)
     reader = spark.read.format(fmt).options(**options)
     if fmt == "csv" and skip_leading_rows == 1:
@@ -149,6 +156,81 @@ def _skip_lines(spark: SparkSession, uris: Sequence[str], schema: T.StructType,
     return parsed.select("r.*")
 
 
+def cell_range(text: str) -> tuple[int, int | None, int, int | None]:
+    """First and last column, first and last row, from 1, of a range such as ``B3:D20``; None means to the end."""
+    if not text:
+        return 1, None, 1, None
+    found = re.fullmatch(r"([A-Za-z]+)([1-9][0-9]*)?:([A-Za-z]+)?([1-9][0-9]*)?", text)
+    if not found or not (found[3] or found[4]):
+        raise ValueError(f"not a range of cells: {text!r}")
+    column = lambda letters: sum((ord(c) - 64) * 26**k for k, c in enumerate(reversed(letters.upper())))
+    first, last = column(found[1]), column(found[3]) if found[3] else None
+    top, bottom = int(found[2] or 1), int(found[4]) if found[4] else None
+    if (last is not None and last < first) or (bottom is not None and bottom < top):
+        raise ValueError(f"a range of cells ends before it starts: {text!r}")
+    return first, last, top, bottom
+
+
+def _numbered_lines(spark: SparkSession, uris: Sequence[str]) -> DataFrame:
+    """Lines with their file and their number in it, from 1. Large files are read in blocks by many tasks: a block's lines are
+    counted first, and the counts of a file's earlier blocks are added up."""
+    lines = spark.read.text(list(uris)).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")
+    )
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("line").alias("first"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("file", "block", (earlier - F.col("first") + 1).alias("shift"))
+    return lines.join(starts, ["file", "block"]).select("value", "file", (F.col("line") + F.col("shift")).alias("row"))
+
+
+def _detected(rows: DataFrame) -> DataFrame:
+    """Text columns cast to the first type that every value has: whole number, number, date, time, truth value, else text."""
+    fits = {
+        "bigint": "try_cast({c} AS BIGINT) IS NOT NULL",
+        "double": "try_cast({c} AS DOUBLE) IS NOT NULL",
+        "date": "trim({c}) RLIKE '^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}$' AND try_cast({c} AS DATE) IS NOT NULL",
+        "timestamp": "try_cast({c} AS TIMESTAMP) IS NOT NULL",
+        "boolean": "try_cast({c} AS BOOLEAN) IS NOT NULL",
+    }
+    tests = [f"bool_and({test.format(c=f'c{k}')}) FILTER (WHERE c{k} IS NOT NULL) AS {kind}_{k}" for k in range(len(rows.columns)) for kind, test in fits.items()]
+    found = rows.toDF(*[f"c{k}" for k in range(len(rows.columns))]).selectExpr(*tests).first()
+    kinds = [next((kind for kind in fits if found[f"{kind}_{k}"]), "string") for k in range(len(rows.columns))]
+    return rows.toDF(*[f"c{k}" for k in range(len(kinds))]).selectExpr(*[f"CAST(c{k} AS {kind}) AS c{k}" for k, kind in enumerate(kinds)]).toDF(*rows.columns)
+
+
+def _read_cells(
+    spark: SparkSession, uris: Sequence[str], schema: T.StructType | None, leading: int, cells: tuple[int, int | None, int, int | None], options: dict
+) -> DataFrame:
+    first, last, top, bottom = cells
+    lines = _numbered_lines(spark, uris)
+    inside = lines.where((F.col("row") >= top + leading) & (F.lit(True) if bottom is None else F.col("row") <= bottom))
+    inside = inside.where(F.trim("value") != "")
+    if schema is not None:
+        if last is not None and last - first + 1 != len(schema):
+            raise ValueError(f"{len(schema)} columns for a range of {last - first + 1}")
+        kept = list(schema.fields)
+    else:
+        # One line tells the names, or how many columns there are: the last leading row, else the first row, of the first file.
+        wanted = lines.where(F.col("row") == top + leading - 1) if leading else inside
+        line = wanted.orderBy("file", "row").select("value").first()
+        if line is None:
+            return spark.createDataFrame([], T.StructType())
+        width = len(re.findall(r"_c\d+: ", spark.range(1).select(F.schema_of_csv(F.lit(line["value"]), options or None)).first()[0]))
+        texts = ", ".join(f"c{k} STRING" for k in range(width))
+        shown = spark.range(1).select(F.from_csv(F.lit(line["value"]), F.lit(texts), options or None).alias("r")).first()["r"]
+        kept = []
+        for k in range(first - 1, min(width, last or width)):
+            name = (shown[k] if leading else None) or f"_c{k}"
+            taken = {f.name.lower() for f in kept}
+            kept.append(T.StructField(f"{name}{k}" if name.lower() in taken else name, T.StringType()))
+        if not kept:
+            return spark.createDataFrame([], T.StructType())
+    fields = [f"c{k} STRING" for k in range(first - 1)] + [f"c{first - 1 + k} {f.dataType.simpleString()}" for k, f in enumerate(kept)]
+    rows = inside.select(F.from_csv("value", F.lit(", ".join(fields)), options or None).alias("r"))
+    rows = rows.select(*[F.col(f"r.c{first - 1 + k}").alias(f.name) for k, f in enumerate(kept)])
+    return rows if schema is not None else _detected(rows)
+
+
 def create_view(spark: SparkSession, name: str, query: str, *, temporary: bool = True) -> DataFrame:
     """Creates a view or replaces its query."""
     spark.sql(f"CREATE OR REPLACE {'TEMPORARY ' if temporary else ''}VIEW {name} AS {query}")

@@ -837,3 +837,61 @@ def test_stored_duration_partials_merge_in_any_order(spark):
     assert E.job_durations(E.duration_partials(open_ones)).count() == 0
     backwards = _attempts(spark, [(1, -300, 1), (1, -5, 2), (1, 9, 3)])
     assert E.job_durations(E.duration_partials(backwards)).first().p500_seconds == -5
+
+
+def test_ranges_of_cells():
+    assert managed.cell_range("") == (1, None, 1, None)
+    assert managed.cell_range("B3:d20") == (2, 4, 3, 20)
+    assert managed.cell_range("AA:AB") == (27, 28, 1, None)
+    assert managed.cell_range("B2:9") == (2, None, 2, 9)
+    for wrong in ("B3", "3:4", "D:B", "A9:B2", "Sheet!A1:B2", "A0:B", "A:"):
+        with pytest.raises(ValueError):
+            managed.cell_range(wrong)
+
+
+def test_external_cells_of_large_and_small_files(spark, tmp_path):
+    lines = {f: ["title", "", "k,Name,when,ok,name"] + [f"{n},{'x' if n % 2 else ''},2024-01-0{1 + n % 9},true,{n / 2}" for n in range(rows)] for f, rows in (("a", 3000), ("b", 5), ("c", 0))}
+    for f, text_ in lines.items():
+        (tmp_path / f"{f}.csv").write_text("\n".join(text_) + "\n")
+    (tmp_path / "empty.csv").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        read = lambda **more: managed.read_external(spark, [str(tmp_path)], "csv", **more)
+        whole = read(skip_leading_rows=3)
+        assert whole.rdd.getNumPartitions() > 4
+        assert whole.dtypes == [("k", "bigint"), ("Name", "string"), ("when", "date"), ("ok", "boolean"), ("name4", "double")]
+        assert sorted(r.k for r in whole.collect()) == sorted([*range(3000), *range(5)])
+        part = read(skip_leading_rows=1, cells="A3:C2503")
+        assert part.columns == ["k", "Name", "when"] and sorted(r.k for r in part.collect()) == sorted([*range(2500), *range(5)])
+        typed = read(cells="C4:D6", schema=spark.range(0).selectExpr("DATE '2024-01-01' AS d", "true AS b").schema)
+        assert typed.count() == 6 and typed.where("d IS NULL OR NOT b").count() == 0
+        assert read(cells="A9000:B").columns == []
+        with pytest.raises(ValueError):
+            read(cells="A1:B2", schema=spark.range(0).schema)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_profile_of_windows_merges_to_the_profile_of_all_rows(spark):
+    from flowtables.operators import quality
+
+    rows = spark.range(20000).selectExpr("id % 7 AS day", "IF(id % 5 = 0, NULL, concat('g', id % 3)) AS g", "IF(id % 4 = 0, NULL, id % 900) AS x", "id AS y", "CAST(NULL AS DATE) AS z")
+    parts = quality.partials(rows, ["x", "y", "z"], "g", F.col("day"))
+    plain = {(r.group_value, r.column_name): r for r in quality.profile(rows, ["x", "y", "z"], "g").collect()}
+    got = quality.report(parts).collect()
+    assert len(got) == len(plain) == 12
+    for r in got:
+        p = plain[r.group_value, r.column_name]
+        assert (r.n_rows, r.n_nulls, r.min_value, r.max_value, r.completeness) == (p.n_rows, p.n_nulls, p.min_value, p.max_value, p.completeness)
+        assert r.n_distinct == p.n_distinct if p.n_distinct < 1000 else abs(r.n_distinct - p.n_distinct) <= 0.03 * p.n_distinct
+    # A window loaded again counts once; one that is now empty is not in the fresh partials and must be dropped by the caller.
+    again = quality.partials(rows.where("day = 3 AND x > 100"), ["x", "y", "z"], "g", F.col("day"))
+    same(
+        quality.report(quality.replace_window(parts, again)).drop("n_distinct"),
+        quality.report(quality.partials(rows.where("day <> 3 OR x > 100"), ["x", "y", "z"], "g", F.col("day"))).drop("n_distinct"),
+    )
+    assert quality.report(parts, "incremental").count() == 7 * 4 * 3
+    assert quality.report(parts.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        quality.report(parts, "partial")
