@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowtables.operators import events as E
 from flowtables.sources import feed
-from flowtables.streaming import payloads, run_state, timeouts, windows
+from flowtables.streaming import late, payloads, run_state, timeouts, windows
 
 
 @pytest.fixture(scope="module")
@@ -157,3 +157,35 @@ def test_event_parse_sla_lists(spark):
 
 def test_sf_events_exist(spark):
     assert spark.read.parquet(f"{SF}/events.parquet").count() > 0
+
+
+def test_late_rows_are_kept_over_a_restart(spark, tables, tmp_path):
+    path, target, checkpoint = str(tmp_path / "in"), str(tmp_path / "split"), str(tmp_path / "cp")
+    events = tables.run_events_v.withColumn("batch_no", F.lit(0))
+    kind = events.schema
+    third = events.approxQuantile("event_id", [0.33, 0.66], 0.0)
+    given = [events.where(F.col("event_id") < third[0]), events.where(F.col("event_id") > third[1]), events.where(F.col("event_id").between(*third))]
+    assert late.counts(spark, target, kind).isEmpty()
+    for n, part in enumerate(given):
+        part.withColumn("batch_no", F.lit(n)).coalesce(1).write.mode("append").parquet(path)
+        # Every part is a run of its own: the query stops and starts again.
+        late.start(stream(spark, path), target, checkpoint, "2 days").awaitTermination()
+    limit = given[1].select(F.max("event_time") - F.expr("INTERVAL 2 DAYS")).first()[0]
+    all_given = spark.read.parquet(path)
+    kept, gone = late.kept(spark, target, kind), late.late(spark, target, kind)
+    same(kept.unionByName(gone.select(*kind.names)), all_given)
+    same(gone.select(*kind.names), all_given.where((F.col("batch_no") == 2) & (F.col("event_time") < F.lit(limit))))
+    assert gone.count() > 0 and {r.watermark for r in gone.select("watermark").distinct().collect()} == {limit}
+    by_batch = {r.batch: (r.n_kept, r.n_late) for r in late.counts(spark, target, kind).collect()}
+    assert sum(map(sum, by_batch.values())) == all_given.count() and [n for _, (_, n) in sorted(by_batch.items())][:2] == [0, 0]
+
+
+def test_a_batch_that_died_before_its_mark_is_not_read_and_is_replaced(spark, tables, tmp_path):
+    path, target, checkpoint = str(tmp_path / "in"), str(tmp_path / "split"), str(tmp_path / "cp")
+    events = tables.run_events_v
+    events.coalesce(1).write.parquet(path)
+    half = events.limit(7).withColumns({"watermark": F.lit(None).cast("timestamp"), "is_late": F.lit(False)})
+    half.write.partitionBy("is_late").parquet(f"{target}/rows/batch=0")
+    assert late.rows(spark, target, events.schema).isEmpty()
+    late.start(stream(spark, path), target, checkpoint).awaitTermination()
+    same(late.kept(spark, target, events.schema), events)
