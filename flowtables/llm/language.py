@@ -5,7 +5,8 @@ Every language has a codeword of bits, far from the others'; one linear classifi
 logistic loss of every bit, weighted by how reliable the bit's classifier was on its training rows. Close seconds are
 flagged as ambiguous.
 
-The fit sees at most ``ROWS_PER_LANGUAGE`` documents of each language (those with the smallest hash of their id).
+The fit sees at most ``ROWS_PER_LANGUAGE`` documents of each language (those with the smallest hash of their id)
+and ``TOTAL_ROWS`` in all.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; rows without a language or an id
 are not learned from; without any such row every text is ``und``; an empty table gives an empty result.
@@ -27,6 +28,7 @@ from flowtables.llm.common import col, crc_text, unpack, whole_row
 
 BITS = 12
 ROWS_PER_LANGUAGE = 800
+TOTAL_ROWS = 20_000  # 8 KB each
 EPOCHS, RATE, DECAY = 12, 0.5, 1e-5
 AMBIGUOUS = 0.2
 UNKNOWN = "und"
@@ -100,7 +102,10 @@ def fit(rows: np.ndarray, languages: list[str]) -> Model:
             seen_b += gb * gb
             weights -= RATE * gw / np.sqrt(seen_w)
             intercepts -= RATE * gb / np.sqrt(seen_b)
-    right = ((rows.astype(np.float64) @ weights + intercepts) * signs > 0).mean(axis=0) if len(rows) else np.ones(bits)
+    right = np.ones(bits)
+    if len(rows):
+        parts = [slice(at, at + 1024) for at in range(0, len(rows), 1024)]
+        right = sum(((rows[p].astype(np.float64) @ weights + intercepts) * signs[p] > 0).sum(axis=0) for p in parts) / len(rows)
     return Model(names, codes, weights.astype(np.float32), intercepts.astype(np.float32), np.clip(2 * right - 1, 0.05, 1))
 
 
@@ -116,8 +121,11 @@ def decode(model: Model, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return best, top[:, -1], top[:, -1] - second < AMBIGUOUS
 
 
-def train(docs: DataFrame, learn: Column | None = None, rows: int = ROWS_PER_LANGUAGE) -> Model:
-    """Fits on at most ``rows`` documents per language; ``learn`` restricts which documents may be used."""
+def train(docs: DataFrame, learn: Column | None = None, rows: int = ROWS_PER_LANGUAGE, total: int = TOTAL_ROWS) -> Model:
+    """Fits on at most ``rows`` documents per language and ``total`` in all, shared evenly; ``learn`` restricts which may be used.
+
+    Of repeated documents the text that sorts first is taken, so ``total`` bounds what is collected.
+    """
     usable = docs.where(col("lang").isNotNull() & col("doc_id").isNotNull() & col("text").isNotNull() & (F.lit(True) if learn is None else learn))
     named = usable.select(col("doc_id").cast("bigint").alias("id"), col("lang").alias("lang"))
     # Only ids whose hash can be among the lowest meet in a language's window: about twice the rows wanted.
@@ -126,9 +134,11 @@ def train(docs: DataFrame, learn: Column | None = None, rows: int = ROWS_PER_LAN
     sizes = F.broadcast(named.groupBy("lang").agg(F.count("*").alias("n")))
     likely = named.join(sizes, "lang").where(place * F.col("n") <= 2 * rows).select("id", "lang").distinct()
     turn = F.row_number().over(Window.partitionBy("lang").orderBy(place, "id"))
-    chosen = likely.select("id", "lang", turn.alias("turn")).where(F.col("turn") <= rows).select("id", "lang")
-    # Bounded by ``rows`` times the number of languages: about 20 bytes each.
+    chosen = likely.select("id", "lang", turn.alias("turn")).where(F.col("turn") <= rows)
+    chosen = chosen.orderBy("turn", "lang", "id").limit(total).select("id", "lang")
+    # Bounded by ``total``: about 20 bytes each.
     picked = usable.select(col("text").alias("text"), col("doc_id").cast("bigint").alias("id"), col("lang").alias("lang")).join(F.broadcast(chosen), ["id", "lang"])
+    picked = picked.groupBy("id", "lang").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

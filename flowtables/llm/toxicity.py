@@ -77,11 +77,15 @@ def _texts(batch: pa.RecordBatch, at: int) -> list[bytes]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column | None = None, rows: int = TRAINING_ROWS) -> Weights:
-    """Fits on at most ``rows`` labelled documents; ``learn`` restricts which labels may be used."""
+    """Fits on at most ``rows`` labelled documents; ``learn`` restricts which labels may be used.
+
+    Repeated labels count once, and of repeated documents the text that sorts first is taken, so ``rows`` bounds what is collected.
+    """
     usable = labels.where(col(label).isNotNull() & col("doc_id").isNotNull() & (F.lit(True) if learn is None else learn))
-    chosen = usable.select(col("doc_id").cast("bigint").alias("id"), col(label).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id", "label").limit(rows)
+    chosen = usable.select(col("doc_id").cast("bigint").alias("id"), col(label).cast("int").alias("label")).distinct().orderBy(F.xxhash64("id"), "id", "label").limit(rows)
     # Bounded by the parameter ``rows``: 12 bytes each.
     joined = docs.select(col("doc_id").cast("bigint").alias("id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "id")
+    joined = joined.groupBy("id", "label").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -150,3 +150,23 @@ def test_thresholds_of_counts():
 def test_pii_odd_rows(spark):
     rows = odd_docs(spark)
     assert pii.report(rows).count() == rows.count() and pii.report(rows.limit(0)).count() == 0
+
+
+def test_fits_are_bounded_by_rows_not_ids(spark, monkeypatch):
+    """Two ids with thousands of rows each, and many languages: what reaches the driver keeps the bounds, and repeats change nothing."""
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda examples: seen.update(toxicity=examples) or toxicity.Weights(np.zeros(0, np.int64), np.zeros(0), 0.0, False))
+    monkeypatch.setattr(language, "fit", lambda rows, names: seen.update(rows=rows, names=names))
+    docs = spark.range(6000).selectExpr("id % 2 AS doc_id", "concat('word ', 'x', id % 50) AS text", "IF(id % 2 = 0, 'en', 'de') AS lang")
+    labels = spark.range(40).selectExpr("id % 2 AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    toxicity.train(docs, labels)
+    assert len(seen["toxicity"]) == 2
+    language.train(docs)
+    assert seen["rows"].shape[0] == 2 and seen["names"] == ["de", "en"]
+    once = docs.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    before = seen["rows"]
+    language.train(once)
+    assert (seen["rows"] == before).all()
+    many = spark.range(900).selectExpr("id AS doc_id", "'some text' AS text", "concat('l', id % 90) AS lang")
+    language.train(many, rows=8, total=270)
+    assert len(seen["names"]) == 270 and {seen["names"].count(x) for x in seen["names"]} == {3}
