@@ -40,6 +40,16 @@ def batches(routed: DataFrame, every: str = "10 seconds") -> DataFrame:
     ).select(F.col("w.start").alias("flushed_from"), "scheme", "route", "n_alerts", "first_event", "last_event")
 
 
+def in_messages(routed: DataFrame, every: str = "10 seconds") -> DataFrame:
+    """Every routed alert with the message it goes into (``flushed_from``) and its position there, from 1.
+
+    Positions are running counts over bins of equal size, so a route that gets most alerts is no single task. Alerts without a time
+    belong to no message.
+    """
+    timed = routed.where("event_time IS NOT NULL").withColumn("flushed_from", F.window("event_time", every)["start"])
+    return skew.running_sums(timed, ["scheme", "route", "flushed_from"], ["event_time", "event_id"], {"position": F.lit(1)})
+
+
 def message_items(breaches: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """What a message shows of its breaches: the first eight, the eighth with a note that the list is cut.
 

@@ -173,6 +173,15 @@ def alert_batches(t):
     return A.batches(_routed(t))
 
 
+@query(
+    "alert_messages",
+    f"""WITH {_ROUTED}, m AS (SELECT event_id, job_id, scheme, route, event_time, time_bucket(INTERVAL 10 SECOND, event_time) AS flushed_from FROM routed)
+SELECT event_id, job_id, scheme, route, flushed_from, row_number() OVER (PARTITION BY scheme, route, flushed_from ORDER BY event_time, event_id) AS position FROM m""",
+)
+def alert_messages(t):
+    return A.in_messages(_routed(t)).select("event_id", "job_id", "scheme", "route", "flushed_from", "position")
+
+
 @query(
     "alert_truncate",
     f"""WITH {_ROUTED}, d AS (SELECT date_trunc('day', event_time) AS day, route, event_id, job_id, row_number() OVER (PARTITION BY date_trunc('day', event_time), route ORDER BY event_time, event_id) AS position FROM routed WHERE type = 'sla_miss')

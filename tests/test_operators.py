@@ -895,3 +895,18 @@ def test_profile_of_windows_merges_to_the_profile_of_all_rows(spark):
     assert quality.report(parts.limit(0)).count() == 0
     with pytest.raises(ValueError):
         quality.report(parts, "partial")
+
+
+def test_alerts_of_a_busy_route_are_numbered_by_message(spark):
+    from flowtables.operators import alerts
+
+    routed = spark.range(900).selectExpr(
+        "id AS event_id", "'chat' AS scheme", "IF(id % 3 = 0, concat('r', id % 5), 'busy') AS route",
+        "IF(id = 7, NULL, timestamp_seconds(1704067200 + id DIV 40)) AS event_time",
+    )
+    w = Window.partitionBy("scheme", "route", "flushed_from").orderBy("event_time", "event_id")
+    got = alerts.in_messages(routed)
+    assert got.count() == 899
+    same(got, got.drop("position").withColumn("position", F.row_number().over(w).cast("bigint")))
+    batches = {(r.route, r.flushed_from): r.n_alerts for r in alerts.batches(routed).collect()}
+    assert {(r.route, r.flushed_from): r.n for r in got.groupBy("route", "flushed_from").agg(F.max("position").alias("n")).collect()} == batches
