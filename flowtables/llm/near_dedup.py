@@ -39,6 +39,7 @@ PERMUTATIONS, BANDS, ROWS = 48, 24, 4
 LEAST_ESTIMATE = 0.6
 BLOCK = 1 << 20
 MEMBERS_PER_TASK_GROUP = 256
+SALTS = 32
 # A shingle travels as 5 bytes of its hash.
 SHINGLE_BYTES = 5
 _BATCH = 512
@@ -136,10 +137,14 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union.
 
-    Sets meet in groups of one b and at most about ``MEMBERS_PER_TASK_GROUP`` a, so a busy b is spread.
+    Sets meet in groups of one b and at most about ``MEMBERS_PER_TASK_GROUP`` a, so a busy b is spread. Only a b with several
+    groups must learn how many it has; its pairs are salted for that.
     """
     groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS_PER_TASK_GROUP).cast("int").alias("groups"))
-    spread = pairs.join(groups, "b").select("b", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("g"), F.col("a").alias("id"))
+    busy = groups.where("groups > 1").select("b", "groups", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("a", F.lit(1)), F.lit(SALTS)).cast("int").alias("salt"))
+    group = F.coalesce(F.pmod(F.xxhash64("a"), F.col("groups")).cast("int"), F.lit(0))
+    spread = salted.join(busy, ["b", "salt"], "left").select("b", group.alias("g"), F.col("a").alias("id"))
     heads = groups.select("b", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.col("b").alias("id"))
     asked = heads.withColumn("head", F.lit(True)).unionByName(spread.withColumn("head", F.lit(False)))
     rows = asked.join(sets, "id").select("b", "g", "head", "id", "items").repartition("b", "g").sortWithinPartitions("b", "g", F.desc("head"))
