@@ -87,12 +87,25 @@ def scratch(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), "flowtables", f"{label}-{uuid.uuid4().hex}")
 
 
+# A finished query's shuffle files are deleted at its end instead of when the driver's garbage is collected.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: iterative jobs survive the loss of executors."""
+    """Reliable checkpoint: iterative jobs survive the loss of executors.
+
+    Nothing reads the shuffle files behind a checkpoint again, so they go at once: loops of many steps do not fill the disks.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(CLEAN_SHUFFLES)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        # The setting holds for queries planned from here on, so the plan is made anew.
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
 
 
 def zoneless(df: DataFrame) -> DataFrame:
