@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,16 +53,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle and checkpoint files of finished steps now.
-
-    It does so when the driver's garbage is collected, which a driver with little to do may put off while a loop
-    of many small steps fills the disks.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 _count = 0
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtables import session
-from flowtables.llm import common
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,4 +30,21 @@ def components(edges: DataFrame) -> DataFrame:
                 now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
             )
         before = state
-        common.release(now.sparkSession)
+
+
+def extend(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, component) after more links (a, b): only links between different components are worked on.
+
+    Ends that ``parts`` does not hold are components of their own. Null ends and loops are ignored.
+    """
+    links = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
+    of_a = parts.select(F.col("id").alias("a"), F.col("component").alias("u"))
+    of_b = parts.select(F.col("id").alias("b"), F.col("component").alias("v"))
+    ends = links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("u", "a").alias("a"), F.coalesce("v", "b").alias("b"))
+    between = session.cut_lineage(ends.where("a <> b").distinct())
+    if between.isEmpty():
+        return parts
+    wider = components(between).select(F.col("id").alias("component"), F.col("component").alias("wider"))
+    new = between.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(parts, "id", "left_anti")
+    every = parts.unionByName(new.select("id", F.col("id").alias("component")))
+    return session.cut_lineage(every.join(wider, "component", "left").select("id", F.coalesce("wider", "component").alias("component")))

@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtables import session
-from flowtables.llm.common import col, release, stored, text_or_empty, unpack, whole_row
-from flowtables.llm.components import components
+from flowtables.llm.common import col, stored, text_or_empty, unpack, whole_row
+from flowtables.llm.components import components, extend
 from flowtables.llm.hashing import mix, shingles, word_hashes
 
 PERMUTATIONS, BANDS, ROWS = 48, 24, 4
@@ -288,10 +288,6 @@ def _links_apart(members: DataFrame, parts: DataFrame, shorts: DataFrame, sets:
     return _by_meeting(rows, compare)
 
 
-def _star(parts: DataFrame) -> DataFrame:
-    return parts.select(F.col("id").alias("a"), F.col("component").alias("b")).where(F.col("a") != F.col("b"))
-
-
 def find_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Words per shingle and percent of similarity are parameters."""
     spark = docs.sparkSession
@@ -311,19 +307,14 @@ def find_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
     pairs = members.join(centres, "key").select(F.col("id").alias("a"), (-F.col("c.least")).alias("b")).where(F.col("a") != F.col("b")).distinct()
     pairs = session.cut_lineage(pairs)
     members = members.select("key", "id", "n")
-    release(spark)
     sets = stored(_sets(docs, members.select("id").distinct(), words), "near-sets")
     links = session.cut_lineage(_confirmed(pairs, sets, percent))
-    release(spark)
     shorts = reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "short", "keys")
     parts = components(links)
     near = session.cut_lineage(_nearest(members, parts, shorts.drop("keys"), percent))
-    release(spark)
-    # Components so far stand for their links: a star has as many edges as members.
-    parts = components(_star(parts).unionByName(_confirmed(near, sets, percent)))
+    parts = extend(parts, session.cut_lineage(_confirmed(near, sets, percent)))
     rest = session.cut_lineage(_links_apart(members, parts, shorts, sets, percent).unionByName(by_id))
-    release(spark)
-    final = parts if rest.isEmpty() else components(_star(parts).unionByName(rest))
+    final = extend(parts, rest)
     of_class = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("same", "n", F.coalesce("component", "rep").alias("component"))
     return rows.join(of_class, ["same", "n"], "left").select(
         F.col("id").alias("doc_id"),

@@ -11,7 +11,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from helpers import SPACES, near_components, odd_docs, odd_rows, sentence, shingle_set  # noqa: E402
 
-from flowtables.llm import exact_dedup, near_dedup  # noqa: E402
+from flowtables.llm import components, exact_dedup, near_dedup  # noqa: E402
 
 
 @pytest.mark.parametrize("rows_per_bin", [16, 1])
@@ -101,3 +101,30 @@ def test_signature_agrees_with_similarity():
     b = np.concatenate([a[:900], draw.integers(0, 2**64, 100, dtype=np.uint64)])
     same = (near_dedup.signature(np.unique(a)) == near_dedup.signature(np.unique(b))).mean()
     assert abs(same - 900 / 1100) < 0.12
+
+
+def test_components_and_their_extension(spark):
+    draw = random.Random(5)
+    edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(140)] + [(k, k + 1) for k in range(1000, 1060)] + [(7, 7), (None, 3)]
+    more = [(draw.randrange(300), draw.randrange(300)) for _ in range(40)] + [(1060, 5), (2000, 2001), (9, None), (1003, 1040)]
+
+    def plain(pairs):
+        up = {}
+
+        def top(x):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        for a, b in pairs:
+            if a is not None and b is not None and a != b:
+                a, b = top(a), top(b)
+                up[max(a, b)] = min(a, b)
+        return {x: top(x) for x in up}
+
+    first = components.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r.id: r.component for r in first.collect()} == plain(edges)
+    wider = components.extend(first, spark.createDataFrame(more, "a long, b long")).collect()
+    assert len(wider) == len({r.id for r in wider}) and {r.id: r.component for r in wider} == plain(edges + more)
+    none = spark.createDataFrame([], "a long, b long")
+    assert components.extend(components.components(none), none).collect() == []
