@@ -12,7 +12,7 @@ from flowtables import session
 from flowtables.operators import quality
 from flowtables.plans import incremental
 from flowtables.queries.registry import query
-from flowtables.sources import backup, specs, tables
+from flowtables.sources import backup, loads, schemas, specs, tables
 
 CUSTOMER = [
     {"name": "c_custkey", "type": "INTEGER", "mode": "required"},
@@ -60,6 +60,31 @@ def schema_evolve(t):
     return specs.evolve(t.customer, old, specs.struct_type([*new, {"name": "c_note", "type": "STRING"}]))
 
 
+@query(
+    "schema_replace",
+    """SELECT c_custkey, c_name AS full_name, CAST(c_nationkey AS DOUBLE) AS c_nationkey, CAST(NULL AS VARCHAR) AS note, c_mktsegment, CAST(NULL AS VARCHAR) AS c_acctbal FROM customer
+UNION ALL SELECT c_custkey + 1000000000, c_name, CAST(c_nationkey AS DOUBLE), c_name || '!', c_mktsegment, CAST(NULL AS VARCHAR) FROM customer WHERE c_acctbal > 0
+UNION ALL SELECT c_custkey + 2000000000, c_name, CAST(c_nationkey AS DOUBLE), NULL, c_mktsegment, CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_acctbal <= 0""",
+)
+def schema_replace(t):
+    """Three loads under three schemas: a column renamed, one widened, one dropped and its name given to a new one."""
+    path = session.scratch(t.spark, "history")
+    key, segment = CUSTOMER[0], CUSTOMER[4]
+    rows = t.customer.select(*[f["name"] for f in CUSTOMER])
+    schemas.create(t.spark, path, CUSTOMER, "c_mktsegment", labels={"team": "sales"})
+    loads.append(rows, path, "c_mktsegment")
+    second = [key, {"name": "full_name", "type": "STRING"}, {"name": "c_nationkey", "type": "NUMERIC"}, {"name": "note", "type": "STRING"}, segment]
+    schemas.replace(t.spark, path, second, renames={"c_name": "full_name"})
+    named = rows.withColumnRenamed("c_name", "full_name")
+    shifted = lambda by: (F.col("c_custkey") + F.lit(by).cast("bigint")).alias("c_custkey")
+    noted = named.where("c_acctbal > 0").select(shifted(1000000000), "full_name", "c_nationkey", F.concat("full_name", F.lit("!")).alias("note"), "c_mktsegment")
+    loads.append(noted, path, "c_mktsegment")
+    schemas.replace(t.spark, path, [*second, {"name": "c_acctbal", "type": "STRING"}])
+    nation = F.col("c_nationkey").cast("bigint").cast("string").alias("c_acctbal")
+    loads.append(named.where("c_acctbal <= 0").select(shifted(2000000000), "full_name", "c_nationkey", "c_mktsegment", nation), path, "c_mktsegment")
+    return loads.read(t.spark, path).withColumn("c_nationkey", F.col("c_nationkey").cast("double"))
+
+
 @query("time_partition", "SELECT date_trunc('hour', ts) AS partition_hour, count(*) AS n FROM events GROUP BY 1")
 def time_partition(t):
     return t.events.groupBy(tables.time_partition(F.col("ts").cast("timestamp"), "HOUR").alias("partition_hour")).agg(F.count("*").alias("n"))

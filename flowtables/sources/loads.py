@@ -16,20 +16,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowtables.sources import versions
+from flowtables.sources import schemas, versions
 from flowtables.sources.versions import Content, Files
 
 
-def read(spark: SparkSession, path: str, like: DataFrame | T.StructType | str) -> DataFrame:
-    """The newest version of a stored table; ``like`` gives its columns."""
+def read(spark: SparkSession, path: str, like: DataFrame | T.StructType | str | None = None) -> DataFrame:
+    """The newest version of a stored table; ``like`` gives its columns, by default those of its current schema."""
+    if like is None:
+        like = schemas.current(spark, path).columns
     schema = like.schema if isinstance(like, DataFrame) else T._parse_datatype_string(like) if isinstance(like, str) else like
-    return versions.scan(spark, path, versions.latest(Files(spark), path)[1], schema)
+    return schemas.scan(spark, path, versions.latest(Files(spark), path)[1], schema)
 
 
 @contextmanager
 def _written(df: DataFrame, path: str, partition: str) -> Iterator[tuple[Files, str, list[str]]]:
     """Rows written but not in effect: (files, load, partitions). An error removes what no version names."""
-    files, load = Files(df.sparkSession), uuid.uuid4().hex
+    files = Files(df.sparkSession)
+    schema = schemas.newest(files, path)
+    load = schemas.load_name(uuid.uuid4().hex, schema)
+    if schema:
+        df = schemas.conform(df, schema)
     try:
         versions.write(df, path, partition, load)
         yield files, load, versions.arrived(files, path, load)
@@ -108,7 +114,10 @@ def merge(
     _check(matched, {"update", "delete"})
     _check(not_matched, {"insert"})
     _check(not_matched_by_source, {"update", "delete"})
-    base = versions.latest(files, path, partition)
+    base, schema = versions.latest(files, path, partition), schemas.newest(files, path)
+    if schema:
+        # A column the source does not know would be lost.
+        source = schemas.conform(source, schema, whole=True)
     try:
         source.write.parquet(staged)
         rows = spark.read.schema(source.schema).parquet(staged)
@@ -125,13 +134,13 @@ def merge(
             listed = _named(spark, base[1], partition, kind)
             read_names = {r["name"] for r in listed.where(_is_any(partition, [x["v"] for x in facts["values"]], kind)).collect()}
         else:
-            target = versions.scan(spark, path, base[1], source.schema)
+            target = schemas.scan(spark, path, base[1], source.schema)
             held = target.select(partition, *[F.col(k).alias(f"__{k}") for k in keys])
             same = [F.col(f"__{k}").eqNullSafe(F.col(k)) for k in keys]
             # As many values as the table has folders at most.
             values = [r[0] for r in held.join(rows.select(*[F.col(k) for k in keys]).alias("s"), same, "left_semi").select(F.col(partition).cast("string")).distinct().collect()] if base[1] else []
             read_names = {r["name"] for r in _named(spark, base[1], partition, kind).where(_is_any(partition, values, kind)).collect()}
-        target = versions.scan(spark, path, {n: x for n, x in base[1].items() if n in read_names}, source.schema)
+        target = schemas.scan(spark, path, {n: x for n, x in base[1].items() if n in read_names}, source.schema)
         result = _merged(target, rows, keys, matched, not_matched, not_matched_by_source)
         with _written(result, path, partition) as (_, load, names):
 

@@ -54,16 +54,32 @@ def cast_to(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+# Changes of type that lose nothing.
+WIDER = {("int", "bigint"), ("int", "double"), ("float", "double"), ("bigint", "decimal(38,9)"), ("date", "timestamp")}
+
+
+def check_change(old: T.StructField, new: T.StructField, fixed: bool = False) -> None:
+    """A column may be widened and become optional, not the reverse; a fixed one keeps its type."""
+    pair = (old.dataType.simpleString(), new.dataType.simpleString())
+    if pair[0] != pair[1] and (fixed or pair not in WIDER):
+        raise ValueError(f"column {old.name} cannot change from {pair[0]} to {pair[1]}")
+    if old.nullable and not new.nullable:
+        raise ValueError(f"column {old.name} cannot become required")
+
+
+def check_partitioning(old: dict, new: dict) -> None:
+    """Time partitioning may change; range partitioning may not."""
+    if old.get("type", "").upper() == "RANGE" and old != new:
+        raise ValueError("range partitioning cannot be changed")
+
+
 def evolve(df: DataFrame, old: T.StructType, new: T.StructType) -> DataFrame:
-    """Old data under a new schema: columns may be added or widened, not dropped or narrowed."""
-    wider = {("int", "bigint"), ("int", "double"), ("float", "double"), ("bigint", "decimal(38,9)"), ("date", "timestamp")}
+    """Old data under a new schema: columns may be added or widened, not dropped or narrowed (``schemas`` drops and renames)."""
     target = {f.name: f for f in new.fields}
     for f in old.fields:
         if f.name not in target:
             raise ValueError(f"column {f.name} cannot be dropped")
-        pair = (f.dataType.simpleString(), target[f.name].dataType.simpleString())
-        if pair[0] != pair[1] and pair not in wider:
-            raise ValueError(f"column {f.name} cannot change from {pair[0]} to {pair[1]}")
+        check_change(T.StructField(f.name, f.dataType, False), T.StructField(f.name, target[f.name].dataType, True))
     added = [f for f in new.fields if f.name not in set(old.fieldNames())]
     if any(not f.nullable for f in added):
         raise ValueError("a required column cannot be added to existing data")

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from flowtables.functions import durations
 from flowtables.sources import loads, specs
+from flowtables.sources.specs import check_partitioning  # noqa: F401
 
 # Partition type -> time unit.
 UNITS = {"HOUR": "hour", "DAY": "day", "MONTH": "month", "YEAR": "year"}
@@ -96,12 +97,6 @@ def remove_expired(spark: SparkSession, path: str, partition: str, kind: str, ho
     return names
 
 
-def check_partitioning(old: dict, new: dict) -> None:
-    """Time partitioning may change; range partitioning may not."""
-    if old.get("type", "").upper() == "RANGE" and old != new:
-        raise ValueError("range partitioning cannot be changed")
-
-
 def write_clustered(df: DataFrame, path: str, columns: Sequence[str], files: int | None = None) -> None:
     """Files hold narrow value ranges of the cluster columns, so that scans can skip them."""
     ordered = df.repartitionByRange(files, *columns) if files else df.repartitionByRange(*columns)
