@@ -55,7 +55,7 @@ def cast_to(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 # Changes of type that lose nothing.
-WIDER = {("int", "bigint"), ("int", "double"), ("float", "double"), ("bigint", "decimal(38,9)"), ("date", "timestamp")}
+WIDER = {("int", "bigint"), ("int", "double"), ("int", "decimal(38,9)"), ("float", "double"), ("bigint", "decimal(38,9)"), ("date", "timestamp")}
 
 
 def check_change(old: T.StructField, new: T.StructField, fixed: bool = False) -> None:
