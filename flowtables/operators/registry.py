@@ -97,11 +97,16 @@ def fingerprint(df: DataFrame, columns: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256)
 
 
-def diff(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], columns: Sequence[str], invalid: DataFrame | None = None) -> DataFrame:
-    """added / modified / deleted / unmodified per key. Keys with an invalid incoming row take no part."""
+def diff(
+    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], columns: Sequence[str], invalid: DataFrame | None = None, carry: Sequence[str] = ()
+) -> DataFrame:
+    """added / modified / deleted / unmodified per key. Keys with an invalid incoming row take no part.
+
+    The columns to ``carry`` come along, the incoming row's value before the existing one's.
+    """
     keys = list(keys)
-    old = existing.select(*keys, fingerprint(existing, columns).alias("__old"))
-    new = incoming.select(*keys, fingerprint(incoming, columns).alias("__new"))
+    old = existing.select(*keys, fingerprint(existing, columns).alias("__old"), *[F.col(c).alias(f"__old_{c}") for c in carry])
+    new = incoming.select(*keys, fingerprint(incoming, columns).alias("__new"), *[F.col(c).alias(f"__new_{c}") for c in carry])
     if invalid is not None:
         old, new = (side.join(invalid.select(*keys), keys, "left_anti") for side in (old, new))
     change = (
@@ -110,7 +115,8 @@ def diff(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], columns:
         .when(F.col("__old") == F.col("__new"), "unmodified")
         .otherwise("modified")
     )
-    return old.join(new, keys, "full_outer").select(*keys, change.alias("change"))
+    carried = [F.coalesce(f"__new_{c}", f"__old_{c}").alias(c) for c in carry]
+    return old.join(new, keys, "full_outer").select(*keys, *carried, change.alias("change"))
 
 
 def resource_actions(existing: DataFrame, incoming: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -125,10 +125,10 @@ diffed AS (SELECT coalesce(ok.project, old.project) AS project, coalesce(ok.name
   FROM old FULL OUTER JOIN ok ON old.project = ok.project AND old.name = ok.name)"""
 
 
-def _diff(t):
+def _diff(t, carry=()):
     incoming = t.sql(_INCOMING)
     return registry.diff(
-        t.jobs_v, incoming.where("NOT is_invalid"), ["project", "name"], ["w_size", "cron", "namespace"], incoming.where("is_invalid")
+        t.jobs_v, incoming.where("NOT is_invalid"), ["project", "name"], ["w_size", "cron", "namespace"], incoming.where("is_invalid"), carry
     )
 
 
@@ -139,10 +139,7 @@ def registry_diff(t):
 
 @query("change_counters", f"WITH {_DIFF_SQL} SELECT project, namespace, change, count(*) AS n FROM diffed GROUP BY ALL")
 def change_counters(t):
-    tenants = t.jobs_v.select("project", "name", "namespace").unionByName(
-        t.sql(_INCOMING).where("job_id >= 1000000").select("project", "name", "namespace")
-    )
-    return registry.change_counters(_diff(t).join(tenants, ["project", "name"]))
+    return registry.change_counters(_diff(t, ["namespace"]))
 
 
 _RESOURCES = """SELECT p_partkey AS id, concat('warehouse-1.d', p_size % 5, '.t', p_partkey) AS full_name, concat('warehouse-1.d', p_size % 5) AS dataset,

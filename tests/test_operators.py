@@ -910,3 +910,28 @@ def test_alerts_of_a_busy_route_are_numbered_by_message(spark):
     same(got, got.drop("position").withColumn("position", F.row_number().over(w).cast("bigint")))
     batches = {(r.route, r.flushed_from): r.n_alerts for r in alerts.batches(routed).collect()}
     assert {(r.route, r.flushed_from): r.n for r in got.groupBy("route", "flushed_from").agg(F.max("position").alias("n")).collect()} == batches
+
+
+def test_changes_are_counted_once_whatever_the_job_ids(spark):
+    """Jobs of the registry with ids in the range of the new ones; the namespace comes with the change, not from a second look-up."""
+    from flowtables.fixtures import Tables
+    from flowtables.queries import registry_queries
+
+    class Far(Tables):
+        @property
+        def part(self):
+            return self.spark.sql("SELECT 999990 + id AS p_partkey, CAST(id % 50 + 1 AS INT) AS p_size FROM range(40)")
+
+        @property
+        def supplier(self):
+            return self.spark.sql("SELECT id AS s_suppkey FROM range(3)")
+
+    got = registry_queries.change_counters(Far(spark, "")).collect()
+    incoming = {k for k in range(999990, 1000030) if k % 11}
+    counted = [k for k in range(999990, 1000030) if k not in incoming or k % 29]
+    assert sum(r.n for r in got) == len(counted) + 3
+    assert sum(r.n for r in got if r.namespace == "ns_9") == 3
+    jobs = spark.createDataFrame([("p", "a", "n1", 1), ("p", "b", "n2", 1)], "project string, name string, namespace string, x int")
+    new = spark.createDataFrame([("p", "a", "n3", 1), ("p", "c", "n4", 1)], "project string, name string, namespace string, x int")
+    got = registry.diff(jobs, new, ["project", "name"], ["x"], carry=["namespace"]).collect()
+    assert {(r.name, r.namespace, r.change) for r in got} == {("a", "n3", "unmodified"), ("b", "n2", "deleted"), ("c", "n4", "added")}
