@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def profile(df: DataFrame, columns: Sequence[str], group: str | None = None) -> DataFrame:
@@ -66,15 +67,28 @@ def merge_partials(parts: DataFrame, per_window: bool = False) -> DataFrame:
     return parts.groupBy(*keys).agg(*merged)
 
 
+def distinct_values(df: DataFrame, columns: Sequence[str], group: str | None = None, window: Column | None = None) -> DataFrame:
+    """The distinct values of every window and group in long form: what exact distinct counts over several windows need.
+
+    They are kept and replaced per window like partials. NULL stands for itself, so every column of a group has a row.
+    """
+    kept = df.select((F.lit("all") if window is None else window).alias("window_key"), (F.col(group) if group else F.lit("all")).alias("group_value"), *columns)
+    # Zero and minus zero are one value.
+    text = lambda c: f"CAST(`{c}` + 0{'D' if isinstance(df.schema[c].dataType, T.DoubleType) else 'F'} AS STRING)" if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else f"CAST(`{c}` AS STRING)"
+    per_column = ", ".join(f"'{c}', {text(c)}" for c in columns)
+    return kept.selectExpr("window_key", "group_value", f"stack({len(columns)}, {per_column}) AS (column_name, v)").distinct()
+
+
 def replace_window(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Stored partials with those of the windows in ``fresh`` exchanged."""
+    """Stored partials, or distinct values, with those of the windows in ``fresh`` exchanged."""
     return stored.join(fresh.select("window_key").distinct(), "window_key", "left_anti").select(*fresh.columns).unionByName(fresh)
 
 
-def report(parts: DataFrame, mode: str = "complete") -> DataFrame:
+def report(parts: DataFrame, mode: str = "complete", values: DataFrame | None = None) -> DataFrame:
     """The profile from partials: of all windows together (complete) or of each window (incremental).
 
-    One row per column (and group, and window): rows, NULLs, estimated distinct values, minimum, maximum, completeness.
+    One row per column (and group, and window): rows, NULLs, distinct values, minimum, maximum, completeness. Distinct values
+    are counted exactly for the columns in ``values`` (see ``distinct_values``) and estimated for the others.
     """
     if mode not in ("complete", "incremental"):
         raise ValueError(f"not a profile mode: {mode!r}")
@@ -84,4 +98,12 @@ def report(parts: DataFrame, mode: str = "complete") -> DataFrame:
     cells = ", ".join(
         f"'{c}', n_rows - `{c}__n`, hll_sketch_estimate(`{c}__distinct`), CAST(`{c}__min` AS STRING), CAST(`{c}__max` AS STRING), round(`{c}__n` / n_rows, 6)" for c in columns
     )
-    return merged.selectExpr(*keys, "n_rows", f"stack({len(columns)}, {cells}) AS (column_name, n_nulls, n_distinct, min_value, max_value, completeness)")
+    rows = merged.selectExpr(*keys, "n_rows", f"stack({len(columns)}, {cells}) AS (column_name, n_nulls, n_distinct, min_value, max_value, completeness)")
+    if values is None:
+        return rows
+    exact = values.select(*keys, "column_name", "v").distinct().groupBy(*keys, "column_name").agg(F.count("v").alias("__exact"))
+    exact = exact.withColumnsRenamed({k: f"__{k}" for k in (*keys, "column_name")})
+    same = F.col("column_name") == F.col("__column_name")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return rows.join(exact, same, "left").withColumn("n_distinct", F.coalesce("__exact", "n_distinct")).select(*rows.columns)

@@ -935,3 +935,23 @@ def test_changes_are_counted_once_whatever_the_job_ids(spark):
     new = spark.createDataFrame([("p", "a", "n3", 1), ("p", "c", "n4", 1)], "project string, name string, namespace string, x int")
     got = registry.diff(jobs, new, ["project", "name"], ["x"], carry=["namespace"]).collect()
     assert {(r.name, r.namespace, r.change) for r in got} == {("a", "n3", "unmodified"), ("b", "n2", "deleted"), ("c", "n4", "added")}
+
+
+@pytest.mark.parametrize("mode", ["complete", "incremental"])
+def test_profiles_count_many_distinct_values_exactly(spark, mode):
+    """More values than a sketch counts exactly, NULL groups and windows, and both zeros."""
+    from flowtables.operators import quality
+
+    rows = spark.range(60000).selectExpr(
+        "IF(id % 4 = 3, NULL, id % 4) AS day", "IF(id % 5 = 0, NULL, concat('g', id % 3)) AS g", "IF(id % 7 = 0, NULL, id % 9001) AS x", "CAST(NULL AS INT) AS y",
+        "IF(id % 2 = 0, -0D, 0D) AS z", "id AS w",
+    )
+    columns = ["x", "y", "z"]
+    got = quality.report(quality.partials(rows, [*columns, "w"], "g", F.col("day")), mode, quality.distinct_values(rows, columns, "g", F.col("day")))
+    keys = ["day", "g"] if mode == "incremental" else ["g"]
+    want = {tuple(r[: len(keys)]): r for r in rows.groupBy(*keys).agg(*[F.countDistinct(c).alias(c) for c in [*columns, "w"]]).collect()}
+    got = got.collect()
+    assert len(got) == 4 * len(want)
+    for r in got:
+        exact = want[(r.window_key, r.group_value) if mode == "incremental" else (r.group_value,)][r.column_name]
+        assert r.n_distinct == exact if r.column_name != "w" else abs(r.n_distinct - exact) <= 0.03 * exact
