@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowtables import session
 from flowtables.functions import cron
 from flowtables.functions import names as N
 from flowtables.operators import skew
@@ -65,16 +66,24 @@ def run_config(runs: DataFrame, replays: DataFrame, config: str) -> DataFrame:
     ``config`` is a map column. A replay's range becomes a few aligned time blocks, and each block keeps
     only its latest value per key; a run then looks up the blocks around its schedule time. Neither many
     replays over one moment nor a long range multiplies anything.
+
+    The entries are numbered in the order in which they win, so that the latest is the largest of plain numbers: those are
+    aggregated in hash tables as large as the result, where whole entries would be sorted in the tasks that read them.
     """
-    blocks = replays.selectExpr(
-        "job_id", "replay_id", "created_at", config, f"explode({skew.blocks_of('start_time', 'end_time')}) AS b"
-    ).selectExpr("job_id", "b.level AS level", "b.block AS block", "created_at", "replay_id", f"explode({config}) AS (key, value)")
-    newest = blocks.groupBy("job_id", "level", "block", "key").agg(F.max(F.struct("created_at", "replay_id", "value")).alias("v"))
+    entries = replays.selectExpr("job_id", "start_time", "end_time", "created_at", "replay_id", f"explode({config}) AS (key, value)")
+    order = ["created_at", "replay_id", "value"]
+    numbered = entries.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("turn", F.monotonically_increasing_id())
+    numbered = session.cut_lineage(numbered.select("job_id", "start_time", "end_time", "key", "value", "turn"))
+    # Of entries over the same range only the latest can win.
+    ranges = numbered.groupBy("job_id", "start_time", "end_time", "key").agg(F.max("turn").alias("turn"))
+    blocks = ranges.selectExpr("job_id", "key", "turn", f"explode({skew.blocks_of('start_time', 'end_time')}) AS b")
+    newest = blocks.selectExpr("job_id", "b.level AS level", "b.block AS block", "key", "turn").groupBy("job_id", "level", "block", "key").agg(F.max("turn").alias("turn"))
     times = runs.select("job_id", "scheduled_at").distinct().join(replays.select("job_id").distinct(), "job_id", "left_semi")
     around = times.selectExpr("job_id", "scheduled_at", f"explode({skew.blocks_over('scheduled_at')}) AS b")
     around = around.selectExpr("job_id", "scheduled_at", "b.level AS level", "b.block AS block")
     hits = around.join(newest, ["job_id", "level", "block"])
-    return hits.groupBy("job_id", "scheduled_at", "key").agg(F.max("v").alias("v")).selectExpr("job_id", "scheduled_at", "key", "v.value AS value")
+    won = hits.groupBy("job_id", "scheduled_at", "key").agg(F.max("turn").alias("turn"))
+    return won.join(numbered.select("turn", "value").hint("merge"), "turn").select("job_id", "scheduled_at", "key", "value")
 
 
 def updated_runs(replay_runs: DataFrame, actual: DataFrame) -> DataFrame:

@@ -955,3 +955,18 @@ def test_profiles_count_many_distinct_values_exactly(spark, mode):
     for r in got:
         exact = want[(r.window_key, r.group_value) if mode == "incremental" else (r.group_value,)][r.column_name]
         assert r.n_distinct == exact if r.column_name != "w" else abs(r.n_distinct - exact) <= 0.03 * exact
+
+
+def test_run_configuration_needs_no_sorted_entries(spark):
+    """The latest entry per key wins, also among ties and NULLs, and entries are combined in hash tables, not sorted by the task that reads them."""
+    replays = spark.range(3000).selectExpr(
+        "id % 7 AS job_id", "IF(id % 2 = 0, id, id - 1) AS replay_id", "timestamp_seconds(86400 * (id % 11)) AS start_time", "timestamp_seconds(86400 * (id % 11 + id % 5)) AS end_time",
+        "IF(id % 13 = 0, NULL, timestamp_seconds(id % 90)) AS created_at", "map(concat('k', id % 3), IF(id % 17 = 0, NULL, CAST(id AS STRING)), 'all', concat('v', id % 19)) AS config",
+    )
+    runs = spark.range(500).selectExpr("id % 8 AS job_id", "timestamp_seconds(3600 * id) AS scheduled_at")
+    got = replay.run_config(runs, replays, "config")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    hits = runs.distinct().join(replays.selectExpr("*", "explode(config) AS (key, value)"), "job_id").where("scheduled_at BETWEEN start_time AND end_time")
+    want = hits.groupBy("job_id", "scheduled_at", "key").agg(F.max(F.struct("created_at", "replay_id", "value")).alias("v"))
+    same(got, want.selectExpr("job_id", "scheduled_at", "key", "v.value AS value"))
