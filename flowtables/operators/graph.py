@@ -1,11 +1,15 @@
 """The job graph as an edge table (src, dst): closures, cycles, levels, deletion.
 
 All are loops over small joins. Each step is checkpointed, so the plan stays short and a lost
-executor costs one step; only an emptiness test comes back to the driver.
+executor costs one step; only an emptiness test, and tables small enough for ``session.small_broadcasts``,
+come back to the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +17,17 @@ from flowtables import session
 from flowtables.operators import skew
 
 
+def _loop(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A loop whose many joins collect small tables only."""
+
+    @wraps(fn)
+    def run(edges: DataFrame, *args, **options) -> DataFrame:
+        with session.small_broadcasts(edges.sparkSession):
+            return fn(edges, *args, **options)
+
+    return run
+
+
 class _Edges:
     """Edges prepared once: stored, and the few sources with very many edges spread over several partitions."""
 
@@ -30,6 +45,7 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+@_loop
 def closure(edges: DataFrame, seeds: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """(node, depth) of everything reachable from the seeds (``node``), with the least number of steps.
 
@@ -49,6 +65,7 @@ def closure(edges: DataFrame, seeds: DataFrame, hot_rows: int = skew.HOT_ROWS) -
             found = session.cut_lineage(found)
 
 
+@_loop
 def levels(edges: DataFrame, nodes: DataFrame | None = None, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """(node, level): longest distance from a node without incoming edges; NULL on or behind a cycle.
 
@@ -98,6 +115,7 @@ class _Steps:
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self.n}")
 
 
+@_loop
 def strong_components(edges: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """(node, component) of every node on a cycle; the component is its smallest node.
 
@@ -106,10 +124,11 @@ def strong_components(edges: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFr
     any, is labelled again. Nodes between cycles are in no component.
     """
     with _Steps(edges) as steps:
+        edges = steps.kept(edges.select("src", "dst").distinct())
         outer = levels(edges, hot_rows=hot_rows).where("level IS NULL").select("node")
-        trimmed = steps.kept(_inside(edges.select("src", "dst"), outer))
+        trimmed = steps.kept(_inside(edges, outer))
         core = levels(reverse(trimmed), hot_rows=hot_rows).where("level IS NULL").select("node")
-        left, found = steps.kept(_inside(trimmed, core).distinct()), None
+        left, found = steps.kept(_inside(trimmed, core)), None
         while not left.isEmpty():
             labels = _smallest_reaching(left, steps, hot_rows)
             parts = left.join(labels.selectExpr("node AS src", "label"), "src").join(labels.selectExpr("node AS dst", "label"), ["dst", "label"])
@@ -145,14 +164,16 @@ def cycle_nodes(edges: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     return strong_components(edges, hot_rows).select("node")
 
 
+@_loop
 def cycle_paths(edges: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """(component, step, node): a shortest cycle through the smallest node of every component, from that node on.
 
     Of several ways of the same length, each node comes after its smallest predecessor, and the cycle closes from its smallest last node.
     """
     with _Steps(edges) as steps:
+        edges = steps.kept(edges.select("src", "dst").distinct())
         members = steps.kept(strong_components(edges, hot_rows))
-        inner = edges.select("src", "dst").distinct().join(members.selectExpr("node AS src", "component"), "src")
+        inner = edges.join(members.selectExpr("node AS src", "component"), "src")
         inner = steps.kept(inner.join(members.selectExpr("node AS dst", "component"), ["dst", "component"]))
         graph, depth = _Edges(inner, hot_rows), 0
         frontier = steps.kept(members.where("node = component").selectExpr("node", "0 AS depth", "CAST(NULL AS BIGINT) AS parent"))

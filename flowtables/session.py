@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,6 +110,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         spark.conf.set(CLEAN_SHUFFLES, before)
 
 
+SMALL_BROADCAST = "256k"
+
+
+@contextmanager
+def small_broadcasts(spark: SparkSession, limit: str = SMALL_BROADCAST) -> Iterator[None]:
+    """Inside, only tables below the limit are collected for broadcast joins: loops of very many joins send the driver
+    a bounded amount each, whatever the size of their tables. Holds for queries planned and run inside."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {key: spark.conf.get(key, None) for key in keys}
+    try:
+        for key in keys:
+            spark.conf.set(key, limit)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def zoneless(df: DataFrame) -> DataFrame:
     """Timestamps without zone, the type the stored tables use."""
     return df.select(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from flowtables import session
 from flowtables.functions import macros, text
 from flowtables.operators import events as E
 from flowtables.operators import graph, lineage, registry, replay, skew
@@ -970,3 +971,25 @@ def test_run_configuration_needs_no_sorted_entries(spark):
     hits = runs.distinct().join(replays.selectExpr("*", "explode(config) AS (key, value)"), "job_id").where("scheduled_at BETWEEN start_time AND end_time")
     want = hits.groupBy("job_id", "scheduled_at", "key").agg(F.max(F.struct("created_at", "replay_id", "value")).alias("v"))
     same(got, want.selectExpr("job_id", "scheduled_at", "key", "v.value AS value"))
+
+
+def test_graph_loops_collect_small_tables_only(spark, monkeypatch):
+    """Every step is planned under a small limit for broadcasts, the edges are computed once, and the session's own limits hold again afterwards."""
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before, seen, cut = [spark.conf.get(k, None) for k in keys], [], session.cut_lineage
+    monkeypatch.setattr(session, "cut_lineage", lambda df: (seen.append([spark.conf.get(k, None) for k in keys]), cut(df))[1])
+    computed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    edges = spark.range(400).selectExpr("id AS src", "IF(id % 4 = 3, id - 3, id + 1) AS dst").mapInArrow(counted, "src long, dst long")
+    for fn in (graph.cycle_paths, graph.strong_components, graph.levels, lambda e: graph.closure(e, spark.range(1).selectExpr("id AS node"))):
+        seen.clear()
+        computed.value = 0
+        assert fn(edges).count() in (400, 4)
+        assert seen and all(s == [session.SMALL_BROADCAST] * 2 for s in seen)
+        assert computed.value == 400
+        assert [spark.conf.get(k, None) for k in keys] == before
