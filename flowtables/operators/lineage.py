@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowtables import session
 from flowtables.functions import names as N
 from flowtables.operators import skew
 
@@ -36,7 +37,10 @@ def tables_in_sql(df: DataFrame, sql: str, own: str | None = None, into: str = "
     expected next, whether an ignore note stands before it, and for each open bracket whether a comma goes on with a list of
     tables. The note removes the name right after it; names that WITH defines are no tables. A job does not read its own
     destination (``own``, a column).
+
+    Reading a text costs far more than moving it, and a file of many texts is small: they are dealt to all tasks first.
     """
+    df = df.repartition(session.shuffle_pieces(df.sparkSession))
     tokens = F.regexp_extract_all(F.col(sql), F.lit(_TOKENS), F.lit(0))
     # Comments go, strings become one mark, words are compared in upper case.
     kind = rf"""filter(transform(__raw, t -> CASE WHEN t RLIKE r'^{NOTE}$' THEN '@' WHEN left(t, 2) IN ('/*', '--') OR left(t, 1) = '#' THEN ''

@@ -993,3 +993,10 @@ def test_graph_loops_collect_small_tables_only(spark, monkeypatch):
         assert seen and all(s == [session.SMALL_BROADCAST] * 2 for s in seen)
         assert computed.value == 400
         assert [spark.conf.get(k, None) for k in keys] == before
+
+
+def test_query_texts_of_one_partition_are_read_by_many_tasks(spark):
+    texts = spark.range(200).coalesce(1).selectExpr("id", "concat('SELECT 1 FROM `a.b.t', id, '`') AS q")
+    read = lineage.tables_in_sql(texts, "q").withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r.source_table for r in read) == sorted(f"a.b.t{k}" for k in range(200))
+    assert len({r.task for r in read}) == session.shuffle_pieces(spark)
