@@ -178,16 +178,25 @@ def _numbered_lines(spark: SparkSession, uris: Sequence[str]) -> DataFrame:
     return lines.join(starts, ["file", "block"]).select("value", "file", (F.col("line") + F.col("shift")).alias("row"))
 
 
+# What texts that a cast accepts look like; some others do too.
+_WHOLE = r"[+-]?[0-9]+"
+_NUMBER = r"(?i:[+-]?(?:nan|inf(?:inity)?|0x[0-9a-f.]+p[+-]?[0-9]+[fd]?|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?[fd]?))"
+_MOMENT = r"[+-]?(?:0[0-9]{6}|[0-2][0-9]{5}|[0-9]{4,5})(?:-.*)?|T[0-9].*|.*:.*"
+_TRUTH = r"(?i:t|true|y|yes|1|f|false|n|no|0)"
+
+
 def _detected(rows: DataFrame) -> DataFrame:
     """Text columns cast to the first type that every value has: whole number, number, date, time, truth value, else text."""
+    # A failed cast costs far more than a pattern, so values that cannot have a type do not reach its cast.
+    may_be = lambda pattern: rf"{{c}} RLIKE r'(?s)^[\s\p{{Cntrl}}]*(?:{pattern})[\s\p{{Cntrl}}]*$'"
     fits = {
-        "bigint": "try_cast({c} AS BIGINT) IS NOT NULL",
-        "double": "try_cast({c} AS DOUBLE) IS NOT NULL",
-        "date": "trim({c}) RLIKE '^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}$' AND try_cast({c} AS DATE) IS NOT NULL",
-        "timestamp": "try_cast({c} AS TIMESTAMP) IS NOT NULL",
-        "boolean": "try_cast({c} AS BOOLEAN) IS NOT NULL",
+        "bigint": f"{may_be(_WHOLE)} AND try_cast({{c}} AS BIGINT) IS NOT NULL",
+        "double": f"{may_be(_NUMBER)} AND try_cast({{c}} AS DOUBLE) IS NOT NULL",
+        "date": "trim({c}) RLIKE '^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$' AND try_cast({c} AS DATE) IS NOT NULL",
+        "timestamp": f"{may_be(_MOMENT)} AND try_cast({{c}} AS TIMESTAMP) IS NOT NULL",
+        "boolean": f"{may_be(_TRUTH)} AND try_cast({{c}} AS BOOLEAN) IS NOT NULL",
     }
-    tests = [f"bool_and({test.format(c=f'c{k}')}) FILTER (WHERE c{k} IS NOT NULL) AS {kind}_{k}" for k in range(len(rows.columns)) for kind, test in fits.items()]
+    tests = [f"bool_and({test.replace('{c}', f'c{k}')}) FILTER (WHERE c{k} IS NOT NULL) AS {kind}_{k}" for k in range(len(rows.columns)) for kind, test in fits.items()]
     found = rows.toDF(*[f"c{k}" for k in range(len(rows.columns))]).selectExpr(*tests).first()
     kinds = [next((kind for kind in fits if found[f"{kind}_{k}"]), "string") for k in range(len(rows.columns))]
     return rows.toDF(*[f"c{k}" for k in range(len(kinds))]).selectExpr(*[f"CAST(c{k} AS {kind}) AS c{k}" for k, kind in enumerate(kinds)]).toDF(*rows.columns)

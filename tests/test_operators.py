@@ -1000,3 +1000,16 @@ def test_query_texts_of_one_partition_are_read_by_many_tasks(spark):
     read = lineage.tables_in_sql(texts, "q").withColumn("task", F.spark_partition_id()).collect()
     assert sorted(r.source_table for r in read) == sorted(f"a.b.t{k}" for k in range(200))
     assert len({r.task for r in read}) == session.shuffle_pieces(spark)
+
+
+def test_types_are_detected_without_casts_that_must_fail(spark):
+    """Whatever a cast accepts passes the pattern before it; ordinary texts of another type never reach the cast."""
+    accepted = "1| 1 |+1|-1|1.|1.5|.5|-.5|1e5|1E+5|1d|1.5f|NaN|inf|-inf|+Infinity|0x1p3|\t7\n|2024|02024|200000|2024-01|2024-1-1|2024-01-01 1:02|12:00|T12:00:00|T1|2024-01-01T00:00|t|TRUE|Yes|n| f |0"
+    refused = "1-URGENT|5-LOW|TRUCK|#|deadbeef|1234567 a|x1"
+    rows = spark.createDataFrame([(v, k) for k, text in enumerate((accepted, refused)) for v in text.split("|")], "c string, k int")
+    for kind, pattern in (("BIGINT", managed._WHOLE), ("DOUBLE", managed._NUMBER), ("TIMESTAMP", managed._MOMENT), ("BOOLEAN", managed._TRUTH)):
+        seen = rows.selectExpr("c", "k", f"c RLIKE r'(?s)^[\\s\\p{{Cntrl}}]*(?:{pattern})[\\s\\p{{Cntrl}}]*$' AS may_be", f"try_cast(c AS {kind}) IS NOT NULL AS fits").collect()
+        assert not [r.c for r in seen if r.fits and not r.may_be]
+        assert not [r.c for r in seen if r.k and r.may_be]
+    some = spark.createDataFrame([("1", "1-A", "2024-01-01 10:00:00", "t", "1.5", "2024-01-01", None), ("2", "x", "2024-01-02", " no ", "2", "2024-1-2", None)], "a string, b string, c string, d string, e string, f string, g string")
+    assert managed._detected(some).schema.simpleString() == "struct<a:bigint,b:string,c:timestamp,d:boolean,e:double,f:date,g:string>"
