@@ -12,7 +12,7 @@ import os
 import re
 from array import array
 
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 LONGEST_REMEMBERED = 64
 MARKS = frozenset(",.;:!?")
 

@@ -265,3 +265,13 @@ def test_pipeline_stages(spark, tmp_path):
         copies[r.doc_id, r.text] += 1
     assert n_ids == {i: c * (len(library.encode(t, add_special_tokens=False).ids) + 1) for (i, t), c in copies.items()}
     assert corpus_pipeline.run(spark, SF).count() == len(packed)
+
+
+def test_pieces_of_a_large_vocabulary_are_encoded_once():
+    from flowtables.llm import encoding
+
+    made = []
+    pieces = encoding._Pieces(lambda piece: made.append(piece) or piece.encode())
+    for _ in range(2):
+        assert all(pieces[str(k)] == str(k).encode() for k in range(450_000))
+    assert len(made) == 450_000
