@@ -4,12 +4,13 @@ A is a byte-level BPE vocabulary of the ``tokenizers`` library that starts words
 that puts a space before every text. Both read space + text, so their tokens cover the same bytes; tokens that end at
 the same byte are linked, and the common ends cut both sequences into groups.
 
-1. First pass: every task aligns its documents and writes how often it met each pair, once per task and pair.
-2. A minimal perfect hash is built over the distinct pairs. Of two linked tokens the shorter one's bytes end the longer one's, so there are
+1. Every document is aligned once; its numbers of tokens and links, the digest of its groups and its links are stored.
+2. Every task writes how often it met each pair, once per task and pair, from the stored links. A minimal perfect hash is built
+   over the distinct pairs. Of two linked tokens the shorter one's bytes end the longer one's, so there are
    at most ``pair_bound`` pairs, a number that follows from the two vocabularies and not from the corpus; the keys may travel.
 3. Every task adds its counts into a dense vector indexed by the hash. Vectors are summed chunk by chunk in a tree of
    fan-in ``FAN_IN``. The key stored in each slot is compared, so no foreign pair is ever counted in another's place.
-4. Second pass: documents are aligned again and look their pairs up in the broadcast vector.
+4. The stored links of every document are looked up in the broadcast vector.
 
 Neither vocabulary joins characters over a single space between two that are not white space, so texts are cut there, and
 the alignment of a piece is remembered by the worker. A text whose pieces do not give its bytes back is aligned whole.
@@ -26,7 +27,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +39,20 @@ from flowtables.llm.encoding import byte_names
 from flowtables.llm.hashing import mix
 
 # Pieces each worker remembers, twice over, and the longest of them.
-REMEMBERED, LONGEST_REMEMBERED = 500_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 200_000, 64
+# Bytes a writer of links holds before it hands them on.
+ROW_GROUP = 16 << 20
 SEGMENT = 1 << 20
 FAN_IN = 16
 CHUNK = 1 << 16
+# Links of a document that are kept as they come; those of longer ones are counted.
+LISTED = 1 << 16
 # Bits a key of the hash per level; more make fewer levels.
 GAMMA = 2
 
 _between_words = re.compile(r"(?<=\S) (?=\S)")
 _beside_space = re.compile(r"\s | \s")
-_workers: dict[tuple[str, str, bool], Aligner] = {}
+_workers: dict[tuple[str, str], Aligner] = {}
 
 
 def cuts(text: str) -> Iterator[list[str]]:
@@ -72,9 +77,9 @@ Fact = tuple[int, int, bytes, bytes]
 
 
 class Aligner:
-    """Aligns pieces of text; one for each worker process, see ``aligner``. Groups are made where they are wanted."""
+    """Aligns pieces of text; one for each worker process, see ``aligner``."""
 
-    def __init__(self, path_a: str, path_b: str, groups: bool = True):
+    def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -91,7 +96,6 @@ class Aligner:
         self.sizes = [np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b)]
         # A piece of B that went on after a space would make the cuts wrong.
         self.may_cut = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.groups = groups
         # Names of tokens as they stand inside and at the end of their side of a group.
         sizes = [len(self.bytes_a), len(self.bytes_b)]
         self.names = [f"{i}{end}".encode() for size, ends in zip(sizes, (",|", ",;"), strict=True) for end in ends for i in range(size)]
@@ -157,8 +161,6 @@ class Aligner:
         links = np.searchsorted(last[0], until[0]).tolist()
         counts = [np.diff(u).tolist() for u in until]
         of_piece = [keys[8 * at : 8 * to] for at, to in zip(links[:-1], links[1:], strict=True)]
-        if not self.groups:
-            return zip(*counts, of_piece, repeat(b""), strict=False)
         names = self._in_groups(ids, last)
         ends = (until[0] + until[1]).tolist()
         return zip(*counts, of_piece, [b"".join(names[at:to]) for at, to in zip(ends[:-1], ends[1:], strict=True)], strict=True)
@@ -213,11 +215,11 @@ class Aligner:
         return held, pieces, facts
 
 
-def aligner(path_a: str, path_b: str, groups: bool) -> Aligner:
-    if (path_a, path_b, groups) not in _workers:
+def aligner(path_a: str, path_b: str) -> Aligner:
+    if (path_a, path_b) not in _workers:
         _workers.clear()
-        _workers[path_a, path_b, groups] = Aligner(path_a, path_b, groups)
-    return _workers[path_a, path_b, groups]
+        _workers[path_a, path_b] = Aligner(path_a, path_b)
+    return _workers[path_a, path_b]
 
 
 def pair_bound(a: Aligner) -> int:
@@ -293,21 +295,101 @@ class _Counts:
         np.add.at(self.counts, place, counts)
 
 
-def count_in_tasks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """First pass: (key, n) per task and linked pair; the key is id of A * 2^32 + id of B."""
+ALIGNED = pa.schema([("doc_id", pa.int64()), *[(n, pa.int64()) for n in ("n_a", "n_b", "n_links")], ("links", pa.binary()), ("times", pa.binary()), ("groups_sha256", pa.string())])
+
+
+def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """Per document its numbers of tokens and links, the digest of its groups, and its links: keys of 8 bytes, id of A * 2^32 + id of B.
+
+    ``times`` says how often each key occurs, also in 8 bytes; where it is empty, the keys stand as often as they occur.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, total = aligner(path_a, path_b, groups=False), _Counts()
+        tool = aligner(path_a, path_b)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for _, pieces, facts in tool.blocks(batch.column(0).slice(at, 256).to_pylist()):
-                    keys = [f[2] for f in map(facts.__getitem__, pieces)]
-                    times = np.fromiter(pieces.values(), np.int64, len(pieces))
-                    total.add(np.frombuffer(b"".join(keys), "<u8"), np.repeat(times, np.fromiter(map(len, keys), np.int64, len(keys)) // 8))
+            at = 0
+            while at < batch.num_rows:
+                texts, size = [], 0
+                while at + len(texts) < batch.num_rows and len(texts) < 256 and size < SEGMENT:
+                    texts.append(batch.column(1)[at + len(texts)].as_py())
+                    size += len(texts[-1])
+                sums, links, digests = _align(tool, texts)
+                columns = [*[pa.array(sums[:, k]) for k in range(3)], *[pa.array(x, pa.binary()) for x in zip(*links, strict=True)], pa.array(digests, pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *columns], schema=ALIGNED)
+                at += len(texts)
+
+    picked = docs.select(col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
+    return picked.mapInArrow(run, "doc_id long, n_a long, n_b long, n_links long, links binary, times binary, groups_sha256 string")
+
+
+def _align(tool: Aligner, texts: list[str]) -> tuple[np.ndarray, list[tuple[bytes, bytes]], list[str]]:
+    """Per text: numbers of tokens of A, of B and of links; (links, times); digest."""
+    sums, digests = np.zeros((len(texts), 3), np.int64), [None] * len(texts)
+    found: list[list[bytes]] = [[] for _ in texts]
+    counted: dict[int, _Counts] = {}
+    for held, _, facts in tool.blocks(texts):
+        if not held:
+            continue
+        n_a, n_b, keys, groups = zip(*facts.values(), strict=True)
+        rows = np.column_stack([n_a, n_b, np.fromiter(map(len, keys), np.int64, len(keys)) // 8])
+        place = dict(zip(facts, range(len(facts)), strict=True))
+        starts = np.cumsum([0, *[len(part) for _, part in held]])
+        at = list(map(place.__getitem__, chain.from_iterable(part for _, part in held)))
+        added = np.add.reduceat(rows[at], starts[:-1], axis=0)
+        for (k, _), row, first, end in zip(held, added, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            text = b"".join(map(groups.__getitem__, at[first:end]))[:-1]
+            if digests[k] is None:
+                digests[k] = hashlib.sha256(text)
+            else:
+                digests[k].update(b";" + text)
+            sums[k] += row
+            found[k].append(b"".join(map(keys.__getitem__, at[first:end])))
+            # Different links are bounded by the vocabularies, however long the text.
+            if sum(map(len, found[k])) > 8 * LISTED:
+                counted.setdefault(k, _Counts()).add(*_distinct(found[k]))
+                found[k] = []
+    links = [(b"".join(x), b"") for x in found]
+    for k, total in counted.items():
+        total.add(*_distinct(found[k]))
+        total.merge()
+        links[k] = total.keys.tobytes(), total.counts.tobytes()
+    return sums, links, [d.hexdigest() if d else "" for d in digests]
+
+
+def _distinct(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.frombuffer(b"".join(keys), "<u8"), return_counts=True)
+
+
+def _listed(links: list[bytes], times: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of some rows one after the other, how often each occurs, and where each row starts and the last one ends."""
+    starts = np.cumsum([0, *[len(x) // 8 for x in links]])
+    often = np.ones(starts[-1], np.int64)
+    for k, x in enumerate(times):
+        if x:
+            often[starts[k] : starts[k + 1]] = np.frombuffer(x, "<i8")
+    return np.frombuffer(b"".join(links), "<u8"), often, starts
+
+
+def count_in_tasks(stored_links: DataFrame) -> DataFrame:
+    """(key, n) per task and linked pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, once = _Counts(), []
+        for batch in batches:
+            for links, times in zip(batch.column(0), batch.column(1), strict=True):
+                links, times = links.as_py(), times.as_py()
+                if times:
+                    total.add(np.frombuffer(links, "<u8"), np.frombuffer(times, "<i8"))
+                    continue
+                once.append(links)
+                if len(once) == 2048:
+                    total.add(*_distinct(once))
+                    once = []
+        total.add(*_distinct(once))
         total.merge()
         yield pa.RecordBatch.from_arrays([pa.array(total.keys.view(np.int64)), pa.array(total.counts)], names=["key", "n"])
 
-    return docs.select(text_or_empty().alias("text")).mapInArrow(run, "key long, n long")
+    return stored_links.select("links", "times").mapInArrow(run, "key long, n long")
 
 
 def tree_sum(vectors: DataFrame, tasks: int) -> DataFrame:
@@ -326,10 +408,14 @@ def tree_sum(vectors: DataFrame, tasks: int) -> DataFrame:
 
 def count_pairs(docs: DataFrame, path_a: str, path_b: str) -> tuple[PerfectHash, np.ndarray]:
     """The hash over all linked pairs of the corpus and the dense vector of their counts."""
-    spark = docs.sparkSession
-    partial = stored(count_in_tasks(docs, path_a, path_b), "pair-counts")
+    return _count_links(stored(aligned(docs, path_a, path_b), "aligned", row_group=ROW_GROUP), path_a, path_b)
+
+
+def _count_links(stored_links: DataFrame, path_a: str, path_b: str) -> tuple[PerfectHash, np.ndarray]:
+    spark = stored_links.sparkSession
+    partial = stored(count_in_tasks(stored_links), "pair-counts")
     distinct = partial.select("key").distinct().toArrow().column("key").to_numpy().astype(np.int64)
-    bound = pair_bound(aligner(path_a, path_b, groups=False))
+    bound = pair_bound(aligner(path_a, path_b))
     if len(distinct) > bound:
         raise RuntimeError(f"{len(distinct)} linked pairs, but only {bound} are possible")
     index = PerfectHash(np.sort(distinct).view(np.uint64))
@@ -367,49 +453,38 @@ def align_corpus(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     n_best are links whose pair is the most frequent one of its token of B, ties included; count_sum adds the corpus-wide counts of all
     links of the document.
     """
-    index, counts = count_pairs(docs, path_a, path_b)
+    once = stored(aligned(docs, path_a, path_b), "aligned", row_group=ROW_GROUP)
+    index, counts = _count_links(once, path_a, path_b)
     of_b = (index.keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
     most = np.zeros(of_b.max() + 1 if len(of_b) else 0, np.int64)
     np.maximum.at(most, of_b, counts)
     shared = docs.sparkSession.sparkContext.broadcast((index, counts, counts == most[of_b]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = aligner(path_a, path_b, groups=True)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sums, digests = _report(tool, [x.as_py() for x in part.column(1)], *shared.value)
-                columns = [pa.array(sums[:, k]) for k in range(6)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns, pa.array(digests, pa.string())], schema=REPORT)
+                links, times = part.column("links").to_pylist(), part.column("times").to_pylist()
+                found = _looked_up(links, times, *shared.value)
+                n_links = part.column("n_links")
+                columns = [part.column("n_a"), part.column("n_b"), n_links, n_links, *[pa.array(x) for x in found], part.column("groups_sha256")]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], schema=REPORT)
+
+    return once.mapInArrow(run, ", ".join(f"{n} long" for n in REPORT.names[:-1]) + ", groups_sha256 string")
 
-    picked = docs.select(col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    return picked.mapInArrow(run, ", ".join(f"{n} long" for n in REPORT.names[:-1]) + ", groups_sha256 string")
+
+def _looked_up(links: list[bytes], times: list[bytes], index: PerfectHash, counts: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """n_best and count_sum of each row."""
+    keys, often, starts = _listed(links, times)
+    slots = index.find(keys)
+    if (slots < 0).any():
+        raise RuntimeError("a pair is not among the keys of the hash")
+    until = [np.append(0, np.cumsum(x[slots] * often))[starts] for x in (best, counts)]
+    return np.diff(until[0]), np.diff(until[1])
 
 
 def _report(tool: Aligner, texts: list[str], index: PerfectHash, counts: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, list[str]]:
-    sums, digests = np.zeros((len(texts), 6), np.int64), [None] * len(texts)
-    for held, _, facts in tool.blocks(texts):
-        if not held:
-            continue
-        n_a, n_b, keys, groups = zip(*facts.values(), strict=True)
-        links = np.fromiter(map(len, keys), np.int64, len(keys)) // 8
-        slots = index.find(np.frombuffer(b"".join(keys), "<u8"))
-        if (slots < 0).any():
-            raise RuntimeError("a pair is not among the keys of the hash")
-        owner = np.repeat(np.arange(len(keys)), links)
-        rows = np.zeros((len(keys), 6), np.int64)
-        rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3] = n_a, n_b, links, links
-        np.add.at(rows[:, 4], owner, best[slots])
-        np.add.at(rows[:, 5], owner, counts[slots])
-        place = dict(zip(facts, range(len(facts)), strict=True))
-        starts = np.cumsum([0, *[len(part) for _, part in held]])
-        at = list(map(place.__getitem__, chain.from_iterable(part for _, part in held)))
-        added = np.add.reduceat(rows[at], starts[:-1], axis=0)
-        for (k, _), row, first, end in zip(held, added, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            text = b"".join(map(groups.__getitem__, at[first:end]))[:-1]
-            if digests[k] is None:
-                digests[k] = hashlib.sha256(text)
-            else:
-                digests[k].update(b";" + text)
-            sums[k] += row
-    return sums, [d.hexdigest() if d else "" for d in digests]
+    """What the two steps find of some texts, without the tables between them."""
+    sums, links, digests = _align(tool, texts)
+    found = _looked_up(*map(list, zip(*links, strict=True)), index, counts, best)
+    return np.column_stack([sums, sums[:, 2], *found]), digests

@@ -41,7 +41,7 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(col(name), F.lit(""))
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, row_group: int = 128 << 20) -> DataFrame:
     """Writes to the shared folder and reads back: lineage ends here and lost executors cost nothing twice.
 
     Compressed Parquet; narrow intermediate tables use ``session.cut_lineage`` instead, whose files Spark
@@ -49,7 +49,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{session.shared_dir(spark)}/flowtables/{spark.sparkContext.applicationId}/{label}-{_serial()}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", row_group).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

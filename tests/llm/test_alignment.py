@@ -144,3 +144,26 @@ def test_pairs_are_bounded_by_the_vocabularies():
 
 def test_empty_table(spark):
     assert alignment.align_corpus(odd_docs(spark, []), A, B).count() == 0
+
+
+def test_every_document_is_aligned_once(spark, monkeypatch):
+    asked = []
+    made = alignment.aligned
+    monkeypatch.setattr(alignment, "aligned", lambda docs, *paths: asked.append(1) or made(docs, *paths))
+    docs = spark.createDataFrame([(1, "one text"), (2, "another text")], "doc_id long, text string")
+    found = alignment.align_corpus(docs, A, B)
+    # What comes back reads stored links, not the texts.
+    assert asked == [1] and found.inputFiles() and found.count() == 2
+
+
+def test_links_of_long_documents_are_counted(monkeypatch):
+    draw = random.Random(9)
+    texts = [sentence(draw, 4000), sentence(draw, 5), ""]
+    tool = alignment.Aligner(A, B)
+    want = alignment._align(tool, texts)
+    monkeypatch.setattr(alignment, "LISTED", 100)
+    monkeypatch.setattr(alignment, "SEGMENT", 400)
+    got = alignment._align(alignment.Aligner(A, B), texts)
+    assert (got[0] == want[0]).all() and got[2] == want[2] and got[1][1:] == want[1][1:]
+    keys, times = (np.frombuffer(x, "<u8") for x in got[1][0])
+    assert len(keys) < got[0][0, 2] and dict(zip(keys.tolist(), times.tolist(), strict=True)) == Counter(np.frombuffer(want[1][0][0], "<u8").tolist())
