@@ -15,6 +15,7 @@ are not learned from; without any such row every text is ``und``; an empty table
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -28,7 +29,7 @@ from flowtables.llm.common import col, crc_text, unpack, whole_row
 
 BITS = 12
 ROWS_PER_LANGUAGE = 800
-TOTAL_ROWS = 20_000  # 8 KB each
+TOTAL_ROWS = 20_000  # 8 KB each in the fit, compressed on the way to the driver
 EPOCHS, RATE, DECAY = 12, 0.5, 1e-5
 AMBIGUOUS = 0.2
 UNKNOWN = "und"
@@ -82,6 +83,15 @@ def vector(text: str) -> np.ndarray:
     return np.sqrt(found / max(1, found.sum()), dtype=np.float64).astype(np.float32)
 
 
+def packed(found: np.ndarray) -> bytes:
+    """A vector as the fit takes it; counts of n-grams take few values, so this is a fraction of its 8 KB."""
+    return zlib.compress(found.astype(np.float16).tobytes())
+
+
+def unpacked(found: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(found), np.float16)
+
+
 def fit(rows: np.ndarray, languages: list[str]) -> Model:
     """One logistic classifier per bit, all trained together by gradient steps with a rate per coordinate."""
     names = sorted(set(languages))
@@ -142,11 +152,13 @@ def train(docs: DataFrame, learn: Column | None = None, rows: int = ROWS_PER_LAN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [vector(x.as_py()).astype(np.float16).tobytes() for x in batch.column(0)]
+            found = [packed(vector(x.as_py())) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1), batch.column(2)], names=["found", "id", "lang"])
 
     taken = picked.select("text", "id", "lang").mapInArrow(run, "found binary, id long, lang string").orderBy("lang", "id", "found").collect()
-    rows_ = np.stack([np.frombuffer(r["found"], np.float16) for r in taken]) if taken else np.zeros((0, 1 << BITS), np.float16)
+    rows_ = np.empty((len(taken), 1 << BITS), np.float16)
+    for k, r in enumerate(taken):
+        rows_[k] = unpacked(r["found"])
     return fit(rows_, [r["lang"] for r in taken])
 
 

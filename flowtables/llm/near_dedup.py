@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from flowtables import session
 from flowtables.llm.common import col, stored, text_or_empty, unpack, whole_row
-from flowtables.llm.components import components, extend
+from flowtables.llm.components import merged, merged_further
 from flowtables.llm.hashing import mix, shingles, word_hashes
 
 PERMUTATIONS, BANDS, ROWS = 48, 24, 4
@@ -309,12 +309,13 @@ def find_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
     members = members.select("key", "id", "n")
     sets = stored(_sets(docs, members.select("id").distinct(), words), "near-sets")
     links = session.cut_lineage(_confirmed(pairs, sets, percent))
-    shorts = reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "short", "keys")
-    parts = components(links)
+    # Both searches between components look signatures up: found and stored once, about 300 bytes each.
+    shorts = session.cut_lineage(reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "short", "keys"))
+    parts = merged(links)
     near = session.cut_lineage(_nearest(members, parts, shorts.drop("keys"), percent))
-    parts = extend(parts, session.cut_lineage(_confirmed(near, sets, percent)))
+    parts = merged_further(parts, session.cut_lineage(_confirmed(near, sets, percent)))
     rest = session.cut_lineage(_links_apart(members, parts, shorts, sets, percent).unionByName(by_id))
-    final = extend(parts, rest)
+    final = merged_further(parts, rest)
     of_class = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("same", "n", F.coalesce("component", "rep").alias("component"))
     return rows.join(of_class, ["same", "n"], "left").select(
         F.col("id").alias("doc_id"),

@@ -128,3 +128,28 @@ def test_components_and_their_extension(spark):
     assert len(wider) == len({r.id for r in wider}) and {r.id: r.component for r in wider} == plain(edges + more)
     none = spark.createDataFrame([], "a long, b long")
     assert components.extend(components.components(none), none).collect() == []
+
+
+def _stages(spark, work):
+    """How many stages ran for it."""
+    before = {j for g in (None, "work") for j in spark.sparkContext.statusTracker().getJobIdsForGroup(g)}
+    spark.sparkContext.setJobGroup("work", "work")
+    try:
+        work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in set(tracker.getJobIdsForGroup("work")) - before for s in tracker.getJobInfo(j).stageIds}
+    return sum(tracker.getStageInfo(s) is not None for s in stages)
+
+
+def test_components_take_few_stages(spark):
+    """The driver pays for every stage: links that are stars already need no step, and a step no second one to see its end."""
+    stars = spark.createDataFrame([(k, k % 7) for k in range(7, 400)], "a long, b long")
+    more = spark.createDataFrame([(7 * k, 7 * k + 1) for k in range(1, 20)], "a long, b long")
+    found = []
+    first = _stages(spark, lambda: found.append(components.components(stars).localCheckpoint()))
+    second = _stages(spark, lambda: found.append(components.extend(found[0], more).localCheckpoint()))
+    assert {r.id: r.component for r in found[0].collect()} == {k: k % 7 for k in range(400)}
+    assert {r.id: r.component for r in found[1].collect()} == {k: 0 if k % 7 < 2 else k % 7 for k in range(400)}
+    assert first <= 10 and second <= 40

@@ -170,3 +170,18 @@ def test_fits_are_bounded_by_rows_not_ids(spark, monkeypatch):
     many = spark.range(900).selectExpr("id AS doc_id", "'some text' AS text", "concat('l', id % 90) AS lang")
     language.train(many, rows=8, total=270)
     assert len(seen["names"]) == 270 and {seen["names"].count(x) for x in seen["names"]} == {3}
+
+
+def test_language_rows_travel_packed(spark, docs, monkeypatch):
+    """What training fetches is a fraction of the vectors it fits on, and these stay the same to the last bit."""
+    kind, fetched, seen = type(docs), [], {}
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: fetched.append(collect(self)) or fetched[-1])
+    monkeypatch.setattr(language, "fit", lambda rows, names: seen.update(rows=rows, names=names))
+    few = docs.where("doc_id < 60")
+    language.train(few)
+    rows = [r for got in fetched for r in got if "found" in r.asDict()]
+    texts = {(r.lang, r.doc_id): r.text for r in collect(few)}
+    want = [language.vector(texts[key]).astype(np.float16) for key in sorted(k for k in texts if None not in k)]
+    assert len(rows) == len(want) > 10 and seen["rows"].dtype == np.float16 and (seen["rows"] == np.stack(want)).all()
+    assert sum(len(r.found) for r in rows) < 0.4 * seen["rows"].nbytes
