@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowtables.llm import common, exact_dedup, language, mixing, near_dedup, packing
 
+# Workers serve every stage and keep what they remember: fewer pieces than when packing is all they do.
+REMEMBERED = 100_000
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; those without a letter or with two about equally likely languages go."""
@@ -39,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, each a sequence whose length is a power of two."""
     common.prepare(spark)
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), how="words", end_id=1)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), how="words", end_id=1, remembered=REMEMBERED)
 
 
 STAGES = [

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from functools import cached_property
 
 REMEMBERED = 500_000
 LONGEST_REMEMBERED = 64
@@ -18,7 +19,7 @@ MARKS = frozenset(",.;:!?")
 
 _between_words = re.compile(r"(?<=\S) (?=\S)")
 _over_line_end = re.compile(r"(\S+)\n(\S+)")
-_workers: dict[tuple[str, str], PieceEncoder] = {}
+_workers: dict[tuple[str, str, int | None], PieceEncoder] = {}
 
 # Fixed rule of byte-level vocabularies: printable Latin-1 stands for itself, the other bytes for 256, 257, ...
 _printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -29,9 +30,9 @@ byte_names = {b: chr(b) for b in _printable} | {b: chr(256 + k) for k, b in enum
 class _Pieces(dict):
     """Ids of pieces as little-endian uint32 bytes; two generations bound the memory."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, most: int | None = None):
         super().__init__()
-        self.encode, self.older = encode, {}
+        self.encode, self.most, self.older = encode, REMEMBERED if most is None else most, {}
 
     def __missing__(self, piece: str):
         found = self.older.get(piece, self)
@@ -39,7 +40,7 @@ class _Pieces(dict):
             found = self.encode(piece)
             if len(piece) > LONGEST_REMEMBERED:
                 return found
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[piece] = found
@@ -54,24 +55,31 @@ class PieceEncoder:
     * ``words``: vocabularies that drop white space and case. Cut at every space, tab and line end.
 
     ``added`` says whether added tokens are found in texts, as the library does by itself, or are plain text.
+    ``remembered`` pieces are kept twice over; it changes time and memory, not the ids.
     """
 
-    def __init__(self, path: str, how: str, added: bool = False):
+    def __init__(self, path: str, how: str, added: bool = False, remembered: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         # Pieces are plain text, also one that only reads like an added token in lower case.
         self.tokenizer.encode_special_tokens = True
-        self.unchanged = Tokenizer.from_file(path) if added else self.tokenizer
-        named = [re.escape(t.content) for t in self.unchanged.get_added_tokens_decoder().values() if added and t.content]
+        named = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if added and t.content]
         self.holds_added = re.compile("|".join(named)).search if named else None
-        self.model, self.how = self.tokenizer.model, how
-        self.pieces = _Pieces(self._spaced if how == "spaced" else self._word)
-        self.bare = _Pieces(lambda piece: self._cut(piece, self.bare, ""))
-        self.careful = _Pieces(lambda piece: self._library(" " + piece))
+        self.path, self.model, self.how = path, self.tokenizer.model, how
+        self.pieces = _Pieces(self._spaced if how == "spaced" else self._word, remembered)
+        self.bare = _Pieces(lambda piece: self._cut(piece, self.bare, ""), remembered)
+        self.careful = _Pieces(lambda piece: self._library(" " + piece), remembered)
         self.line_end = self._library("\n")
 
+    @cached_property
+    def unchanged(self):
+        """The library's tokenizer as it is, loaded when the first text with an added token comes: it is 40 MB."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -124,8 +132,9 @@ class PieceEncoder:
         return self._library(first) + b"".join(map(self.careful.__getitem__, rest))
 
 
-def encoder(path: str, how: str) -> PieceEncoder:
-    """One encoder for each worker process."""
-    if (path, how) not in _workers:
-        _workers[path, how] = PieceEncoder(path, how, added=True)
-    return _workers[path, how]
+def encoder(path: str, how: str, remembered: int | None = None) -> PieceEncoder:
+    """One encoder for each worker process; it stays as long as the process."""
+    key = (path, how, remembered)
+    if key not in _workers:
+        _workers[key] = PieceEncoder(path, how, added=True, remembered=remembered)
+    return _workers[key]

@@ -34,15 +34,17 @@ def lengths_of(n: int, longest: int = LONGEST) -> list[int]:
     return [top] * (n // top) + [1 << k for k in reversed(range(top.bit_length() - 1)) if rest >> k & 1]
 
 
-def pack(docs: DataFrame, tokenizer: str, how: str = "words", end_id: int = 1, longest: int = LONGEST, with_ids: bool = False) -> DataFrame:
-    """One row per piece; ``with_ids`` adds the ids themselves."""
+def pack(
+    docs: DataFrame, tokenizer: str, how: str = "words", end_id: int = 1, longest: int = LONGEST, with_ids: bool = False, remembered: int | None = None
+) -> DataFrame:
+    """One row per piece; ``with_ids`` adds the ids themselves. ``remembered`` bounds what a worker keeps, see ``encoding``."""
     end = np.array([end_id], "<u4").tobytes()
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, task, used = encoder(tokenizer, how).encode, TaskContext.get().partitionId() << TASK_SHIFT, {}
+        encode, task, used = encoder(tokenizer, how, remembered).encode, TaskContext.get().partitionId() << TASK_SHIFT, {}
         for batch in batches:
             out: list[list] = [[] for _ in range(8 if with_ids else 7)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

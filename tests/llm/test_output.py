@@ -275,3 +275,16 @@ def test_pieces_of_a_large_vocabulary_are_encoded_once():
     for _ in range(2):
         assert all(pieces[str(k)] == str(k).encode() for k in range(450_000))
     assert len(made) == 450_000
+
+
+@pytest.mark.parametrize("name, how", [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaced")])
+def test_workers_hold_what_they_are_told(name, how):
+    """The second tokenizer is loaded for the first text that needs it; few remembered pieces give the same ids."""
+    path = public_tokenizers.path(name)
+    few, many = (PieceEncoder(path, how, added=True, remembered=n) for n in (8, 100_000))
+    texts = [r[1] or "" for r in odd_rows()]
+    assert [few.encode(t) for t in texts] == [many.encode(t) for t in texts]
+    assert max(len(x) for kind in (few.pieces, few.bare, few.careful) for x in (kind, kind.older)) <= 8 < len(many.pieces)
+    assert "unchanged" not in vars(few)
+    marked = next(t.content for t in few.tokenizer.get_added_tokens_decoder().values() if t.content)
+    assert few.encode(f"a {marked} b") == many.encode(f"a {marked} b") and "unchanged" in vars(few)
